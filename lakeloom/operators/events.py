@@ -61,23 +61,29 @@ def resolve_rule_buckets(rules: DataFrame, bucket_map: DataFrame | None) -> Data
     return exploded.drop("bucket_names")
 
 
-def route_events(events: DataFrame, rules: DataFrame, bucket_map: DataFrame | None = None) -> DataFrame:
+def route_events(events: DataFrame, rules: DataFrame, bucket_map: DataFrame | None = None,
+                 max_rule_rows: int = 10_000) -> DataFrame:
     """One row per (event, matching enabled rule, target).
 
-    ``rules`` is a configuration table (a handful of rows, size known when it is
-    built), so it is broadcast; the non-equi match runs next to each event
-    partition without a shuffle. Columns added: rule_name, service, action,
-    parameters, supported.
+    ``rules`` is a configuration table; after a size check it is broadcast and
+    matched by a hash join on the event source (one rule row per listed
+    source), the type / domain / bucket tests run as a residual condition next
+    to each event partition, so events are never shuffled. Columns added:
+    rule_name, service, action, parameters, supported.
     """
-    r = resolve_rule_buckets(rules.where(F.col("enabled")), bucket_map)
+    from lakeloom.operators.lookups import bounded_broadcast
+
+    r = (resolve_rule_buckets(rules.where(F.col("enabled")), bucket_map)
+         .select("*", F.explode("source").alias("r_source")))
+    r = bounded_broadcast(r, max_rule_rows).alias("r")
     e = events.alias("e")
-    cond = (F.array_contains(F.col("r.source"), F.col("e.source"))
+    cond = ((F.col("e.source") == F.col("r.r_source"))
             & (F.col("r.detail_type").isNull()
                | F.array_contains(F.col("r.detail_type"), F.col("e.`detail-type`")))
             & (F.col("r.domains").isNull()
                | F.array_contains(F.col("r.domains"), F.col("e.detail.metadata.domain")))
             & (F.col("r.bucket").isNull() | (F.col("r.bucket") == F.col("e.detail.bucket.name"))))
-    matched = e.join(F.broadcast(r.alias("r")), cond, "inner")
+    matched = e.join(r, cond, "inner")
     pairs = F.array(*[F.struct(F.lit(s).alias("service"), F.lit(a).alias("action"))
                       for s, a in SUPPORTED_TARGETS])
     return (matched.select("e.*", "r.rule_name", F.explode("r.targets").alias("t"))

@@ -101,13 +101,18 @@ def ingest_all(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str
 
 
 def ingest_and_register(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
-                        database: str, table: str, **kw) -> IngestResult:
-    """Ingest, then (only on success) register or refresh the catalog table."""
+                        database: str, table: str, db_location: str | None = None,
+                        **kw) -> IngestResult:
+    """Ingest, then (only on success) register or refresh the catalog table.
+
+    ``db_location`` places a new database under a shared folder.
+    """
     res = ingest(spark, ctx, src, dst, state_dir, **kw)
     cols = res.columns or mf.last_columns(spark, state_dir, ctx)
     if cols:
         register_table(spark, database, table, dst, cols,
-                       layout=kw.get("layout", "ymd"), fmt=kw.get("fmt", "csv"))
+                       layout=kw.get("layout", "ymd"), fmt=kw.get("fmt", "csv"),
+                       db_location=db_location)
     return res
 
 

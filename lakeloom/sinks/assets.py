@@ -12,18 +12,35 @@ def _reads_name(query: str, name: str) -> bool:
     return re.search(r"(?<![\w.`])`?" + re.escape(name) + r"`?(?![\w`])", query, re.I) is not None
 
 
+def ensure_database(spark: SparkSession, database: str, location: str | None = None) -> None:
+    """``CREATE DATABASE IF NOT EXISTS``, placed under ``location`` when given
+    (a shared folder) instead of the session's default warehouse."""
+    where = f" LOCATION '{location.rstrip('/')}/{database}.db'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{where}")
+
+
 def run_sql_asset(spark: SparkSession, database: str, table: str, query: str,
-                  publish: str = "view") -> tuple[str, DataFrame]:
+                  publish: str = "view", location: str | None = None) -> tuple[str, DataFrame]:
     """K3: run the asset's query in its database and publish the result.
 
     ``publish="view"`` registers a temp view; ``"table"`` saves a managed table
     in the database. When the query also reads ``table`` itself, the view gets a
     run-local name so it does not hide its own source. Returns (name, result).
+    The session's current database is restored afterwards.
     """
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    ensure_database(spark, database, location)
+    before = spark.catalog.currentDatabase()
     spark.catalog.setCurrentDatabase(database)
-    text = query.strip().rstrip(";").strip()
-    result = spark.sql(text)
+    try:
+        text = query.strip().rstrip(";").strip()
+        result = spark.sql(text)
+        return _publish(spark, database, table, text, result, publish)
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+
+
+def _publish(spark: SparkSession, database: str, table: str, text: str, result: DataFrame,
+             publish: str) -> tuple[str, DataFrame]:
     name = table
     if publish == "view":
         if _reads_name(text, table):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.operators.aggregates import latest_per_key
+from lakeloom.sinks.tables import CSV_WRITE_OPTIONS
 
 # Fixed values of the notification message.
 NOTIFY_SUBJECT = "Asset Metadata Download Notification"
@@ -35,7 +36,7 @@ def export_latest(rows: DataFrame, root: str, keys: list[str], order: list[str],
     last = latest_per_key(rows, keys, order)
     w = last.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
-        w = w.option("header", "true")
+        w = w.options(**CSV_WRITE_OPTIONS)
     w.format(fmt).save(root)
 
 
@@ -51,10 +52,10 @@ def export_dictionary(rows: DataFrame, root: str, order: list[str] | None = None
         *EXPORT_KEYS, F.col("c.columnIdentifier").alias("column_name"),
         F.col("c.description").alias("description"))
     (out.write.partitionBy(*EXPORT_KEYS).mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").option("header", "true").csv(root))
+     .option("partitionOverwriteMode", "dynamic").options(**CSV_WRITE_OPTIONS).csv(root))
 
 
-def notification_rows(exports: DataFrame, bucket: str, prefix: str = "datazone-assets") -> DataFrame:
+def notification_rows(exports: DataFrame, bucket: str, prefix: str = "dictionary") -> DataFrame:
     """K6: one message row per export: subject, bucket, key, link expiry.
 
     ``exports`` has EXPORT_KEYS and ``created`` (timestamp).

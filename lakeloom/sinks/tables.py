@@ -15,6 +15,14 @@ LAYOUTS = {
 }
 PARTITION_TYPES = {"year": "INT", "month": "INT", "day": "INT", "batch_id": "BIGINT"}
 
+# CSV written by this library keeps timestamps to the microsecond (Spark's
+# default CSV format stops at milliseconds).
+CSV_WRITE_OPTIONS = {
+    "header": "true",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 
 def write_partitioned(df: DataFrame, path: str, layout: str = "ymd", fmt: str = "csv",
                       max_records_per_file: int | None = None) -> None:
@@ -28,7 +36,7 @@ def write_partitioned(df: DataFrame, path: str, layout: str = "ymd", fmt: str =
     cols = LAYOUTS[layout]
     w = df.write.partitionBy(*cols).format(fmt)
     if fmt == "csv":
-        w = w.option("header", "true")
+        w = w.options(**CSV_WRITE_OPTIONS)
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
     if layout == "ymd_batch":
@@ -49,14 +57,17 @@ def read_lake_table(spark: SparkSession, path: str, columns: list[str], fmt: str
 
 
 def register_table(spark: SparkSession, database: str, table: str, location: str,
-                   columns: list[str], layout: str = "ymd", fmt: str = "csv") -> str:
+                   columns: list[str], layout: str = "ymd", fmt: str = "csv",
+                   db_location: str | None = None) -> str:
     """K2: create the database and an external partitioned table over ``location``.
 
     Data columns are strings (as read from CSV); new columns are added on drift;
     partitions are recovered from the folder layout. Returns ``db.table``.
     """
+    from lakeloom.sinks.assets import ensure_database
+
     name = f"`{database}`.`{table}`"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    ensure_database(spark, database, db_location)
     parts = LAYOUTS[layout]
     if not spark.catalog.tableExists(table, database):
         data_cols = [f"`{c}` STRING" for c in columns] + ["upload_time TIMESTAMP"]

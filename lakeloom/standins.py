@@ -9,6 +9,8 @@ derivations in SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from lakeloom.sources.events import EVENT_SCHEMA
 HOME_DOMAIN = "dzd-home"
 FAR_DOMAIN = "dzd-far"
 HOME_DOMAIN_NAME = "Home Domain"
+SCHEDULE = "cron(30 3 * * ? *)"
 CSV_TS_NTZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
@@ -135,20 +138,22 @@ def users(nation: DataFrame) -> DataFrame:
 
 def hierarchy_units(region: DataFrame, nation: DataFrame, customer: DataFrame) -> DataFrame:
     """Units (nations) under parent units (regions), one project each, whose
-    entities are the market segments of the nation's customers."""
-    ents = (customer.select("c_nationkey", "c_mktsegment").distinct()
-            .groupBy("c_nationkey")
-            .agg(F.sort_array(F.collect_list(F.struct(
-                F.lower("c_mktsegment").alias("entity_type"),
-                F.concat(F.lit("source-"), F.lower("n_name_"), F.lit("-"), F.lower("c_mktsegment"))
-                .alias("source_bucket") if False else
-                F.lower("c_mktsegment").alias("source_bucket"),
-                F.lit("cron(30 3 * * ? *)").alias("schedule_trigger_timing")))).alias("entities")))
+    entities are the market segments of the nation's customers.
+
+    The entity list of a project is bounded by the number of segments; a
+    nation without customers gets a project with no entity.
+    """
+    segs = customer.select("c_nationkey", F.lower("c_mktsegment").alias("seg")).distinct()
+    ents = (segs.groupBy("c_nationkey")
+            .agg(F.sort_array(F.collect_list("seg")).alias("segs")))
     n = nation.join(region, nation.n_regionkey == region.r_regionkey)
     j = n.join(ents, n.n_nationkey == ents.c_nationkey, "left")
-    entities = F.transform(F.coalesce("entities", F.array().cast(ents.schema["entities"].dataType)),
-                           lambda x: x.withField("source_bucket", F.concat(
-                               F.lit("source-"), F.lower("n_name"), F.lit("-"), x["source_bucket"])))
+    entities = F.transform(
+        F.coalesce("segs", F.array().cast("array<string>")),
+        lambda seg: F.struct(
+            seg.alias("entity_type"),
+            F.concat(F.lit("source-"), F.lower("n_name"), F.lit("-"), seg).alias("source_bucket"),
+            F.lit(SCHEDULE).alias("schedule_trigger_timing")))
     project = F.struct(F.concat(F.col("n_name"), F.lit(" data feed")).alias("name"),
                        F.concat(F.lit("Data of "), F.col("n_name")).alias("description"),
                        entities.alias("entities"))
@@ -210,3 +215,74 @@ def route_rules(spark: SparkSession) -> DataFrame:
 
 def bucket_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BUCKET_MAP, "logical string, real string")
+
+
+# ---------------------------------------------------------------------------
+# Staging: the given tables written as source drops (CSV files with fixed names)
+# ---------------------------------------------------------------------------
+
+def stage_csv(spark: SparkSession, df: DataFrame, folder: str, n_files: int | None = None,
+              key: str | None = None) -> list[str]:
+    """Write ``df`` as header CSV files named ``part-00000.csv``… under ``folder``.
+
+    The rows are written by the executors into a hidden sibling folder, then
+    the files are renamed into place (metadata only). With ``n_files`` and
+    ``key`` the rows are hash-partitioned on ``key``, so writing the same rows
+    again gives the same files; renaming over existing names rewrites those
+    files in place (same path, new change time).
+    """
+    from lakeloom.sinks.tables import CSV_WRITE_OPTIONS
+    from lakeloom.sources import fs
+
+    tmp = f"{folder.rstrip('/')}/_incoming-{uuid.uuid4().hex[:8]}"
+    out = df
+    if n_files is not None:
+        out = df.repartition(n_files, key) if key else df.repartition(n_files)
+    out.write.options(**CSV_WRITE_OPTIONS).csv(tmp)
+    names = []
+    for i, path in enumerate(fs.list_data_files(spark, tmp, ".csv")):
+        target = f"{folder.rstrip('/')}/part-{i:05d}.csv"
+        fs.delete(spark, target, recursive=False)
+        fs.rename(spark, path, target)
+        names.append(target)
+    fs.delete(spark, tmp)
+    return names
+
+
+def stage_text_files(spark: SparkSession, df: DataFrame, root: str, dir_col: str, name_col: str,
+                     text_col: str) -> None:
+    """Write one text file per row at ``<root>/<dir>/<name>`` (small config files).
+
+    The files are written by a partitioned text write and renamed into place.
+    ``dir_col`` may be null for files at the top level.
+    """
+    from lakeloom.sources import fs
+
+    tmp = f"{root.rstrip('/')}/_incoming-{uuid.uuid4().hex[:8]}"
+    (df.select(F.coalesce(F.col(dir_col), F.lit("")).alias("_d"), F.col(name_col).alias("_n"),
+               F.col(text_col).alias("value"))
+     .repartition("_d", "_n")
+     .write.partitionBy("_d", "_n").text(tmp))
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+               .load(tmp).select("path"))
+    # One small file per config row; the list of names is bounded by the rows.
+    for r in listing.collect():
+        parts = r["path"].split("/")
+        d = _unescape(parts[-3].split("=", 1)[1])
+        n = _unescape(parts[-2].split("=", 1)[1])
+        target = "/".join(x for x in [root.rstrip("/"), d, n] if x)
+        _mkparent(spark, target)
+        fs.rename(spark, r["path"], target)
+    fs.delete(spark, tmp)
+
+
+def _unescape(v: str) -> str:
+    from urllib.parse import unquote
+    return "" if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v)
+
+
+def _mkparent(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p.getParent())
+    return True
