@@ -36,9 +36,13 @@ def date_parts(ts: Column, prefix: str = "") -> list[Column]:
 
 
 def stamp_upload_time(df: DataFrame, run_ts_sql: str, batch_id: int | None = None) -> DataFrame:
-    """P1 + P2 (+ P3): one constant run timestamp and its partition columns."""
+    """P1 + P2 (+ P3): one constant run timestamp and its partition columns.
+
+    The stamp is the first column (see ``sinks.tables.lake_ddl``); the
+    partition columns go last and become folders.
+    """
     ts = F.expr(f"CAST('{run_ts_sql}' AS TIMESTAMP)")
-    cols = [ts.alias("upload_time")] + date_parts(ts)
+    cols = date_parts(ts)
     if batch_id is not None:
         cols.append(F.lit(batch_id).cast("bigint").alias("batch_id"))
-    return df.select("*", *cols)
+    return df.select(ts.alias("upload_time"), "*", *cols)

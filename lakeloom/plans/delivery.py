@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeloom.functions.stamps import run_clock
 from lakeloom.operators.mapping import apply_mapper
 from lakeloom.sinks.exports import write_delivery
-from lakeloom.sinks.tables import LAYOUTS, PARTITION_TYPES
+from lakeloom.sinks.tables import lake_ddl
 from lakeloom.sources import files as src_files
 from lakeloom.sources import manifest as mf
 
@@ -54,8 +54,7 @@ def deliver_entity(spark: SparkSession, ctx: str, table_root: str, columns: list
     file_df = spark.createDataFrame(files, chosen.schema)
     if not retried:
         mf.append(mf.manifest_rows(file_df, ctx, batch_id, run_ts_sql, mf.INTENT), state_dir)
-    ddl = ", ".join([f"`{c}` STRING" for c in columns] + ["upload_time TIMESTAMP"]
-                    + [f"{p} {PARTITION_TYPES[p]}" for p in LAYOUTS[layout]])
+    ddl = lake_ddl(columns, layout)
     rows = (spark.read.schema(ddl).option("header", "true").option("basePath", table_root)
             .csv([r["path"] for r in files]))
     out = shape_delivery(spark, rows, pairs, query, view)

@@ -71,8 +71,12 @@ def ingest(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
     columns = src_files.merge_columns(groups, known)
     raw = src_files.csv_scan(spark, groups, columns, csv_options)
     if rejects_dir:
+        # Spark refuses a raw CSV query that reads only the corrupt-record
+        # column, so the parsed fields travel with the line.
         (raw.where(F.col(src_files.CORRUPT_COL).isNotNull())
-         .select(F.col(src_files.CORRUPT_COL).alias("line"), F.lit(batch_id).alias("batch_id"))
+         .select(F.col(src_files.CORRUPT_COL).alias("line"),
+                 *[F.col(f"`{c}`") for c in columns],
+                 F.lit(batch_id).cast("bigint").alias("batch_id"))
          .write.mode("append").parquet(rejects_dir))
     rows = raw.drop(src_files.CORRUPT_COL)
     stamped = stamp_upload_time(rows, run_ts_sql, batch_id if layout == "ymd_batch" else None)

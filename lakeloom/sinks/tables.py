@@ -24,6 +24,19 @@ CSV_WRITE_OPTIONS = {
 }
 
 
+def lake_ddl(columns: list[str], layout: str = "ymd", with_partitions: bool = True) -> str:
+    """Schema of a lake table written by K1: the run stamp first, then the data
+    columns as strings in their recorded order, then the partition columns.
+
+    CSV is read by position, so the stamp leads: columns that drift in later
+    are appended at the end and older files read them as null.
+    """
+    cols = ["upload_time TIMESTAMP"] + [f"`{c}` STRING" for c in columns]
+    if with_partitions:
+        cols += [f"{p} {PARTITION_TYPES[p]}" for p in LAYOUTS[layout]]
+    return ", ".join(cols)
+
+
 def write_partitioned(df: DataFrame, path: str, layout: str = "ymd", fmt: str = "csv",
                       max_records_per_file: int | None = None) -> None:
     """K1: write under year=/month=/day=[/batch_id=].
@@ -51,9 +64,7 @@ def read_lake_table(spark: SparkSession, path: str, columns: list[str], fmt: str
     """Read a table written by K1 with string data columns and typed stamps."""
     if fmt != "csv":
         return spark.read.option("mergeSchema", "true").format(fmt).load(path)
-    ddl = ", ".join([f"`{c}` STRING" for c in columns] + ["upload_time TIMESTAMP"]
-                    + [f"{p} {PARTITION_TYPES[p]}" for p in LAYOUTS[layout]])
-    return spark.read.schema(ddl).option("header", "true").csv(path)
+    return spark.read.schema(lake_ddl(columns, layout)).option("header", "true").csv(path)
 
 
 def register_table(spark: SparkSession, database: str, table: str, location: str,
@@ -69,11 +80,9 @@ def register_table(spark: SparkSession, database: str, table: str, location: str
     name = f"`{database}`.`{table}`"
     ensure_database(spark, database, db_location)
     parts = LAYOUTS[layout]
-    if not spark.catalog.tableExists(table, database):
-        data_cols = [f"`{c}` STRING" for c in columns] + ["upload_time TIMESTAMP"]
-        part_cols = [f"{p} {PARTITION_TYPES[p]}" for p in parts]
+    if not spark.catalog.tableExists(f"`{database}`.`{table}`"):
         opts = "OPTIONS (header 'true')" if fmt == "csv" else ""
-        spark.sql(f"CREATE TABLE {name} ({', '.join(data_cols + part_cols)}) USING {fmt} "
+        spark.sql(f"CREATE TABLE {name} ({lake_ddl(columns, layout)}) USING {fmt} "
                   f"{opts} PARTITIONED BY ({', '.join(parts)}) LOCATION '{location}'")
     else:
         have = {c.lower() for c in spark.table(name).columns}

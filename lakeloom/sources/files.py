@@ -98,14 +98,16 @@ def probe_headers(listing: DataFrame) -> DataFrame:
 
 
 def header_groups(listing: DataFrame) -> list[tuple[tuple[str, ...], list[str]]]:
-    """Group the listed files by header, in first-modified order.
+    """Group the listed files by header, in first-modified order (then path).
 
-    Only the (bounded) file list of one run reaches the driver.
+    Only the (bounded) file list of one run reaches the driver: one row per
+    distinct header, holding its paths.
     """
     heads = probe_headers(listing).join(listing.select("path", "mtime"), "path")
     rows = (heads.where(F.col("columns").isNotNull())
             .groupBy("columns")
-            .agg(F.min("mtime").alias("first"), F.sort_array(F.collect_list("path")).alias("paths"))
+            .agg(F.min(F.struct("mtime", "path")).alias("first"),
+                 F.sort_array(F.collect_list("path")).alias("paths"))
             .orderBy("first")
             .collect())
     return [(tuple(r["columns"]), list(r["paths"])) for r in rows]

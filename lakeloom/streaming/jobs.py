@@ -22,7 +22,7 @@ from lakeloom.plans.delivery import shape_delivery
 from lakeloom.plans.dictionary import asset_events
 from lakeloom.plans.ingest import ingest_all
 from lakeloom.sinks.exports import EXPORT_KEYS, export_dictionary, notification_rows, write_delivery
-from lakeloom.sinks.tables import LAYOUTS, PARTITION_TYPES, write_partitioned
+from lakeloom.sinks.tables import lake_ddl, write_partitioned
 from lakeloom.sources.events import event_stream
 
 Clock = Callable[[int], "dt.datetime | str | None"]
@@ -90,8 +90,7 @@ def deliver_daily(spark: SparkSession, table_root: str, columns: list[str], enti
                   processing_time: str | None = None) -> StreamingQuery:
     """Stream the lake table's (append-only) files; each micro-batch runs the
     SQL asset and mapper over just the new rows and writes them (K4)."""
-    ddl = ", ".join([f"`{c}` STRING" for c in columns] + ["upload_time TIMESTAMP"]
-                    + [f"{p} {PARTITION_TYPES[p]}" for p in LAYOUTS[layout]])
+    ddl = lake_ddl(columns, layout)
     rows = spark.readStream.schema(ddl).option("header", "true").csv(table_root)
 
     def run(batch: DataFrame, batch_id: int) -> None:
