@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions.names import database_name, entity_path, snake_name, target_name
-from lakeloom.operators.lookups import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from lakeloom.operators.lookups import DEFAULT_BROADCAST_ROWS, bounded_broadcast, skew_join
 from lakeloom.session import shared_dir
 
 
@@ -42,26 +42,30 @@ def hierarchy_closure(spark: SparkSession, edges: DataFrame, max_depth: int = 10
     """(node, ancestor, depth) for every node and each of its ancestors.
 
     ``edges`` is (node, parent); roots have a null parent or no row. Depth 0 is
-    the node itself. One join per level: the frontier (node, ancestor at
-    distance d) meets the edges on ancestor = child. A parent with many
-    children makes a hot key on the frontier side; the edge side holds one row
-    per key, so AQE's skew split handles it (or the edges are broadcast when
-    their size allows). Every ``checkpoint_every`` levels the frontier is
-    checkpointed to the shared checkpoint folder to cut lineage (every level by
-    default, so each level is computed once). A path longer than
-    ``max_depth`` (a cycle) raises.
+    the node itself.
+
+    Only internal nodes (those that are someone's parent) take part in the
+    level-by-level walk: their closure is built one join per level, each level
+    checkpointed to the shared checkpoint folder (lineage stays short and a
+    lost executor does not replay earlier levels). Leaves, usually the bulk of
+    a tree, are then attached with a single join: a node's ancestors at
+    distance d ≥ 1 are its parent's ancestors at distance d - 1. That join
+    goes through ``skew_join``, because one parent may hold a large share of
+    all nodes. A path longer than ``max_depth`` (a cycle) raises.
     """
     shared_dir(spark)  # make sure a checkpoint folder is set
     e = edges.select(F.col("node").cast("string").alias("node"),
                      F.col("parent").cast("string").alias("parent"))
     links = e.where(F.col("parent").isNotNull()).select(
         F.col("node").alias("_child"), F.col("parent").alias("_up"))
-    links = bounded_broadcast(links, max_broadcast_rows)
-    nodes = (e.select("node").union(e.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")))
-             .distinct())
-    levels = [nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))]
-    frontier = e.where(F.col("parent").isNotNull()).select(
-        "node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    internal = links.select(F.col("_up").alias("_inode")).distinct()
+    ilinks = bounded_broadcast(links.join(internal, F.col("_child") == F.col("_inode"), "left_semi"),
+                               max_broadcast_rows)
+    # Closure of the internal nodes, one join per level.
+    levels = [internal.select(F.col("_inode").alias("node"), F.col("_inode").alias("ancestor"),
+                              F.lit(0).alias("depth"))]
+    frontier = ilinks.select(F.col("_child").alias("node"), F.col("_up").alias("ancestor"),
+                             F.lit(1).alias("depth"))
     depth = 1
     while True:
         if depth % checkpoint_every == 0:
@@ -72,12 +76,21 @@ def hierarchy_closure(spark: SparkSession, edges: DataFrame, max_depth: int = 10
             raise ValueError(f"hierarchy deeper than {max_depth} levels (cycle?)")
         levels.append(frontier)
         depth += 1
-        frontier = (frontier.join(links, F.col("ancestor") == F.col("_child"))
+        frontier = (frontier.join(ilinks, F.col("ancestor") == F.col("_child"))
                     .select("node", F.col("_up").alias("ancestor"), F.lit(depth).alias("depth")))
-    out = levels[0]
+    inner = levels[0]
     for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+        inner = inner.unionByName(lv)
+    inner = inner.select(F.col("node").alias("_anode"), F.col("ancestor").alias("_anc"),
+                         F.col("depth").alias("_d"))
+    # Every node with its parent's closure.
+    up = skew_join(links, inner, [("_up", "_anode")], salt_by=["_child"],
+                   max_rows=max_broadcast_rows)
+    above = up.select(F.col("_child").alias("node"), F.col("_anc").alias("ancestor"),
+                      (F.col("_d") + 1).alias("depth"))
+    nodes = e.select("node").union(e.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")))
+    self_rows = nodes.distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
+    return self_rows.unionByName(above)
 
 
 def fan_out_grants(units: DataFrame, unit_col: str, creator: str, users: list[str]) -> DataFrame:
@@ -109,10 +122,11 @@ def effective_grants(grants: DataFrame, closure: DataFrame,
     ``include_child`` is true, every descendant.
 
     ``grants`` has entity, include_child (+ any other columns); ``closure`` is
-    J5's output. Result: the grant columns plus ``node`` and ``depth``.
+    J5's output. Result: the grant columns plus ``node`` and ``depth``. The
+    closure's ancestor column is highly skewed (every leaf lists the roots),
+    so the join goes through ``skew_join``.
     """
     c = closure.select(F.col("node"), F.col("ancestor").alias("_anc"), F.col("depth"))
-    g = bounded_broadcast(grants, max_broadcast_rows)
-    return (c.join(g, F.col("_anc") == F.col("entity"))
+    return (skew_join(c, grants, [("_anc", "entity")], salt_by=["node"], max_rows=max_broadcast_rows)
             .where(F.col("include_child") | (F.col("depth") == 0))
             .drop("_anc"))

@@ -11,12 +11,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_ROWS = 200_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
+DEFAULT_SALTS = 32
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` as is."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                   max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and about ``max_bytes``
+    bytes (measured as JSON text of the rows).
+
+    One small job over at most ``max_rows + 1`` rows; nothing reaches the
+    driver but two numbers.
+    """
+    probe = df.limit(max_rows + 1).select(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))),
+                   F.lit(0)).alias("bytes"))
+    r = probe.first()
+    return r["n"] <= max_rows and r["bytes"] <= max_bytes
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` if it passes ``fits_broadcast``, else ``df`` as is."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
+
+
+def skew_join(big: DataFrame, small: DataFrame, cond_keys: list[tuple[str, str]], how: str = "inner",
+              salt_by: list[str] | None = None, salts: int = DEFAULT_SALTS,
+              max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Equi-join ``big`` with ``small`` on ``[(big_col, small_col), ...]`` where
+    a key of ``big`` may hold a large share of its rows.
+
+    A ``small`` side that passes the size check is broadcast (no shuffle of
+    ``big``). Otherwise each ``big`` row gets a salt from a hash of
+    ``salt_by`` (deterministic, so a lost task recomputes the same rows) and
+    ``small`` is replicated once per salt: a hot key is spread over ``salts``
+    tasks instead of one. ``how`` is ``inner`` or ``left``.
+    """
+    cond = [F.col(a) == F.col(b) for a, b in cond_keys]
+    if fits_broadcast(small, max_rows, max_bytes):
+        return big.join(F.broadcast(small), _and(cond), how)
+    cols = salt_by or big.columns
+    b = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), F.lit(salts)))
+    s = small.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return b.join(s, _and(cond + [F.col("_salt") == F.col("_salt2")]), how).drop("_salt", "_salt2")
+
+
+def _and(conds):
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return out
 
 
 def lookup_or_self(df: DataFrame, col: str, mapping: DataFrame, key: str = "logical",

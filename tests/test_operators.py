@@ -189,3 +189,27 @@ def test_standin_envelopes_are_schema_exact(spark):
         .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     e = si.envelopes(ev).first()
     assert e["detail"]["data"] is None and e["detail"]["metadata"]["domain"] == si.FAR_DOMAIN
+
+
+def test_salted_fallback_equals_broadcast_path(spark):
+    """With a zero broadcast bound the joins take the salted path; same rows."""
+    edges = spark.createDataFrame(
+        [("root", None)] + [(f"m{i}", "root") for i in range(3)]
+        + [(f"l{i}", f"m{i % 3}") for i in range(40)] + [("hot", None)] + [(f"h{i}", "hot") for i in range(60)],
+        "node string, parent string")
+    a = {tuple(r) for r in hierarchy_closure(spark, edges).collect()}
+    b = {tuple(r) for r in hierarchy_closure(spark, edges, max_broadcast_rows=0).collect()}
+    assert a == b and ("l5", "root", 2) in a and len(a) == 105 + 3 + 80 + 60
+    grants = spark.createDataFrame([("root", True), ("hot", False), ("m1", True)], "entity string, include_child boolean")
+    closure = hierarchy_closure(spark, edges)
+    g1 = sorted(tuple(r) for r in effective_grants(grants, closure).collect())
+    g2 = sorted(tuple(r) for r in effective_grants(grants, closure, max_broadcast_rows=0).collect())
+    assert g1 == g2 and len(g1) == (1 + 3 + 40) + 1 + (1 + 13)
+
+
+def test_fits_broadcast_checks_bytes(spark):
+    from lakeloom.operators.lookups import fits_broadcast
+    df = spark.createDataFrame([("x" * 1000,)] * 10, "s string")
+    assert fits_broadcast(df, 100, 1 << 20)
+    assert not fits_broadcast(df, 100, 5000)
+    assert not fits_broadcast(df, 5, 1 << 20)
