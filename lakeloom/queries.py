@@ -183,7 +183,7 @@ def retention_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders")
     parts = ["year", "month", "day"]
     (o.select("o_orderkey", "o_orderstatus", "o_orderdate", *date_parts(F.col("o_orderdate")))
-     .repartition(*parts)  # one file per date folder
+     .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *parts)  # one file per date
      .write.partitionBy(*parts).format("parquet").saveAsTable(f"`{database}`.orders_by_day"))
     latest = o.agg(F.max("o_orderdate").alias("m")).first()["m"]  # one value
     expire_partitions(spark, f"`{database}`.orders_by_day", keep_days=90, now=latest.date())
