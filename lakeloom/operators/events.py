@@ -65,6 +65,10 @@ def route_events(events: DataFrame, rules: DataFrame, bucket_map: DataFrame | No
                  max_rule_rows: int = 10_000) -> DataFrame:
     """One row per (event, matching enabled rule, target).
 
+    Rule semantics: source ∈ rule sources, type ∈ rule types (if listed);
+    catalog rules match ``detail.metadata.domain`` ∈ domains, other rules
+    ``detail.bucket.name`` ∈ buckets (if listed).
+
     ``rules`` is a configuration table; after a size check it is broadcast and
     matched by a hash join on the event source (one rule row per listed
     source), the type / domain / bucket tests run as a residual condition next
@@ -73,7 +77,12 @@ def route_events(events: DataFrame, rules: DataFrame, bucket_map: DataFrame | No
     """
     from lakeloom.operators.lookups import bounded_broadcast
 
-    r = (resolve_rule_buckets(rules.where(F.col("enabled")), bucket_map)
+    # A catalog rule tests only "domain is ours": without a domain list it is
+    # skipped, and a bucket list on it is ignored.
+    catalog = F.array_contains("source", CATALOG_SOURCE)
+    live = rules.where(F.col("enabled") & ~(catalog & F.coalesce(F.size("domains") <= 0, F.lit(True))))
+    live = live.withColumn("bucket_names", F.when(catalog, F.lit(None)).otherwise(F.col("bucket_names")))
+    r = (resolve_rule_buckets(live, bucket_map)
          .select("*", F.explode("source").alias("r_source")))
     r = bounded_broadcast(r, max_rule_rows).alias("r")
     e = events.alias("e")

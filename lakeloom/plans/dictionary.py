@@ -23,8 +23,9 @@ def asset_events(events: DataFrame, projects: DataFrame, units: DataFrame, domai
     Every matched event is kept; ``reject_reason`` is null for good rows and
     names the failure otherwise (unknown type, missing lookup, missing form).
     """
+    # No domain id: the catalog rule is skipped, so nothing matches.
     m = match_events(events, [CATALOG_SOURCE], None,
-                     [home_domain] if home_domain is not None else None)
+                     [home_domain] if home_domain is not None else [])
     x = extract_by_type(m)
     e = enrich_asset(x, projects, units, domains, assets)
     cols = column_metadata("forms")

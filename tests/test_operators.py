@@ -213,3 +213,14 @@ def test_fits_broadcast_checks_bytes(spark):
     assert fits_broadcast(df, 100, 1 << 20)
     assert not fits_broadcast(df, 100, 5000)
     assert not fits_broadcast(df, 5, 1 << 20)
+
+
+def test_catalog_rule_without_domain_is_skipped(spark):
+    e = env(spark, [("1", CATALOG_SOURCE, ASSET_ADDED, "home", "u", "a", None, None)])
+    rules = spark.createDataFrame([
+        ("no-domain", True, [CATALOG_SOURCE], [ASSET_ADDED], None, None, [("Lambda", "invokeLambdaFunction", {})]),
+        ("empty-domain", True, [CATALOG_SOURCE], [ASSET_ADDED], [], None, [("Lambda", "invokeLambdaFunction", {})]),
+        ("home", True, [CATALOG_SOURCE], [ASSET_ADDED], ["home"], ["ignored-bucket"],
+         [("Lambda", "invokeLambdaFunction", {})]),
+    ], RULE_SCHEMA)
+    assert [r.rule_name for r in route_events(e, rules).collect()] == ["home"]
