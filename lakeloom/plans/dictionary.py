@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.functions.nested import asset_summary, column_metadata
+from lakeloom.functions.nested import COMMON_DETAILS_FORM, asset_summary, column_metadata, pick_form
 from lakeloom.operators.events import ASSET_ADDED, CATALOG_SOURCE, METADATA_ACCEPTED, extract_by_type, match_events
 from lakeloom.operators.lookups import enrich_asset
 from lakeloom.sinks.exports import EXPORT_KEYS
@@ -29,15 +29,18 @@ def asset_events(events: DataFrame, projects: DataFrame, units: DataFrame, domai
     x = extract_by_type(m)
     e = enrich_asset(x, projects, units, domains, assets)
     cols = column_metadata("forms")
+    summary = asset_summary("forms")
+    # Both forms are required (the original fails the event on either).
     reason = (F.when(~F.col("known"), F.concat(F.lit("unknown type: "), F.col("`detail-type`")))
               .when(F.size("missing") > 0, F.concat(F.lit("missing: "), F.array_join("missing", ",")))
-              .when(cols.isNull(), F.lit("missing form")))
+              .when(cols.isNull() | pick_form("forms", COMMON_DETAILS_FORM).isNull(),
+                    F.lit("missing form")))
     return e.select(
         F.col("id").alias("event_id"), F.col("`detail-type`").alias("detail_type"),
         "user_id", "asset_id", "domain_id", "project_id",
         F.to_timestamp(F.col("create_date")).alias("event_time"),
         *EXPORT_KEYS, "asset_revision",
-        asset_summary("forms").alias("asset_summary"),
+        summary.alias("asset_summary"),
         cols.alias("columns"),
         reason.alias("reject_reason"))
 

@@ -96,17 +96,21 @@ def test_enrich_asset_lists_misses(spark):
 def test_asset_events_rejects_unknown_type_and_missing_form(spark):
     e = env(spark, [("1", CATALOG_SOURCE, ASSET_ADDED, "home", "u", "x", ("a1", "u2"), None),
                     ("2", CATALOG_SOURCE, ASSET_ADDED, "home", "u", "x", ("a2", "u2"), None),
-                    ("3", CATALOG_SOURCE, "Asset Removed", "home", "u", "a1", None, None)])
+                    ("3", CATALOG_SOURCE, "Asset Removed", "home", "u", "a1", None, None),
+                    ("4", CATALOG_SOURCE, ASSET_ADDED, "home", "u", "x", ("a3", "u2"), None)])
     projects = spark.createDataFrame([("home", "prj-1", "P", "u1")], "domain_id string, id string, name string, domainUnitId string")
     units = spark.createDataFrame([("home", "u1", "U")], "domain_id string, id string, name string")
     domains = spark.createDataFrame([("home", "H")], "id string, name string")
     content = '{"columnsBusinessMetadata": [{"columnIdentifier": "c", "description": "d"}]}'
-    assets = spark.createDataFrame([("home", "a1", "A1", "1", [("ColumnBusinessMetadataForm", content)]),
-                                    ("home", "a2", "A2", "1", [("AssetCommonDetailsForm", '{"summary": "s"}')])],
+    assets = spark.createDataFrame([("home", "a1", "A1", "1", [("AssetCommonDetailsForm", '{"summary": "s"}'),
+                                                               ("ColumnBusinessMetadataForm", content)]),
+                                    ("home", "a2", "A2", "1", [("AssetCommonDetailsForm", '{"summary": "s"}')]),
+                                    ("home", "a3", "A3", "1", [("ColumnBusinessMetadataForm", content)])],
                                    "domain_id string, id string, name string, revision string, forms array<struct<formName string, content string>>")
     got = asset_events(e, projects, units, domains, assets, "home").select("event_id", "reject_reason") \
         .orderBy("event_id").collect()
-    assert [tuple(r) for r in got] == [("1", None), ("2", "missing form"), ("3", "unknown type: Asset Removed")]
+    assert [tuple(r) for r in got] == [("1", None), ("2", "missing form"), ("3", "unknown type: Asset Removed"),
+                                       ("4", "missing form")]
 
 
 def test_fan_out_entities_skips_empty(spark):
@@ -162,15 +166,23 @@ def test_latest_per_key_ties_broken(spark):
 
 def test_grant_state_delete_removes(spark):
     cols = ("request_id long, ts int, RequestType string, DomainIdentifier string, EntityIdentifier string, "
-            "EntityType string, PolicyType string, PrincipalArn string, IncludeChildDomainUnits string")
+            "EntityType string, PolicyType string, PrincipalType string, PrincipalArn string, "
+            "IncludeChildDomainUnits string")
+    P, R = "CREATE_PROJECT", "IAM_ROLE"
     df = spark.createDataFrame([
-        (1, 1, "Create", "d", "e1", "U", "P", "r1", "true"),
-        (2, 2, "Delete", "d", "e1", "U", "P", "r1", "true"),
-        (3, 1, "Create", "d", "e2", "U", "P", "r1", "false"),
-        (4, 2, "Update", "d", "e2", "U", "P", "r1", "true"),
+        (1, 1, "Create", "d", "e1", "U", P, R, "r1", "true"),
+        (2, 2, "Delete", "d", "e1", "U", P, R, "r1", "true"),
+        (3, 1, "Create", "d", "e2", "U", P, R, "r1", "false"),
+        (4, 2, "Update", "d", "e2", "U", P, R, "r1", "true"),
+        (5, 3, "Delete", "d", "e2", "U", "NOT_A_POLICY", R, "r1", "true"),  # fails: no effect
+        (6, 3, "Delete", "d", "e2", "U", P, "ROBOT", "r1", "true"),         # fails: no effect
+        (7, 1, "Create", "d", "e3", "U", P, "IAM_GROUP", "g1", "false"),
     ], cols)
-    got = [(r.EntityIdentifier, r.RequestType, r.include_child) for r in grant_state(df).collect()]
-    assert got == [("e2", "Update", True)]
+    got = sorted((r.EntityIdentifier, r.RequestType, r.principal_kind, r.include_child)
+                 for r in grant_state(df).collect())
+    assert got == [("e2", "Update", "user", True), ("e3", "Create", "group", False)]
+    from lakeloom.operators.aggregates import rejected_requests
+    assert sorted(r.request_id for r in rejected_requests(df).collect()) == [5, 6]
 
 
 def test_mapper_rules(spark):
