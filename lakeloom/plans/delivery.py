@@ -16,10 +16,14 @@ from lakeloom.sources import manifest as mf
 
 def shape_delivery(spark: SparkSession, rows: DataFrame, pairs: list[tuple[str, str]],
                    query: str | None = None, view: str = "increment") -> DataFrame:
-    """SQL asset over the increment (published as ``view``), then the mapper."""
+    """SQL asset over the increment (published as ``view``), then the mapper.
+
+    The view and the query use the rows' own session: inside ``foreachBatch``
+    a micro-batch belongs to the stream's session, not the caller's.
+    """
     if query:
         rows.createOrReplaceTempView(view)
-        rows = spark.sql(query.strip().rstrip(";"))
+        rows = rows.sparkSession.sql(query.strip().rstrip(";"))
     return apply_mapper(rows, pairs)
 
 

@@ -90,3 +90,12 @@ def test_expire_partitions_managed_table_removes_files(spark, work):
     assert dropped == [{"year": "2024", "month": "1", "day": "1"}]
     assert sorted(r.id for r in spark.table(f"{db}.t").collect()) == [2, 3]
     assert not os.path.exists(f"{work}/wh/{db}.db/t/year=2024/month=1/day=1".replace("file:", ""))
+
+
+def test_sql_asset_published_as_table(spark, work):
+    spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "k string, n int").createOrReplaceTempView("src_rows")
+    db = "pub_" + work.rsplit("-", 1)[1]
+    name, df = run_sql_asset(spark, db, "totals", "SELECT k, sum(n) AS total FROM src_rows GROUP BY k;",
+                             publish="table", location=f"{work}/wh")
+    assert name == f"{db}.totals"
+    assert sorted(tuple(r) for r in spark.table(f"{db}.totals").collect()) == [("a", 3), ("b", 5)]
