@@ -69,7 +69,8 @@ def ingest(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
     groups = src_files.header_groups(file_df)
     known = mf.last_columns(spark, state_dir, ctx)
     columns = src_files.merge_columns(groups, known)
-    raw = src_files.csv_scan(spark, groups, columns, csv_options)
+    raw = src_files.listed_versions_only(src_files.csv_scan(spark, groups, columns, csv_options),
+                                         file_df)
     if rejects_dir:
         # Spark refuses a raw CSV query that reads only the corrupt-record
         # column, so the parsed fields travel with the line.
@@ -78,12 +79,16 @@ def ingest(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
                  *[F.col(f"`{c}`") for c in columns],
                  F.lit(batch_id).cast("bigint").alias("batch_id"))
          .write.mode("append").parquet(rejects_dir))
-    rows = raw.drop(src_files.CORRUPT_COL)
+    rows = raw.drop(src_files.CORRUPT_COL, src_files.SOURCE_PATH, src_files.SOURCE_MTIME)
     stamped = stamp_upload_time(rows, run_ts_sql, batch_id if layout == "ymd_batch" else None)
     write_partitioned(stamped, dst, layout=layout, fmt=fmt)
     if stop_after == "write":
         raise SimulatedCrash(f"stopped after writing batch {batch_id}")
-    mf.append(mf.manifest_rows(file_df, ctx, batch_id, run_ts_sql, mf.COMMITTED), state_dir)
+    # Commit only files still at their listed version; one rewritten during
+    # the run is read again, whole, by the next run.
+    unchanged = file_df.join(src_files.list_files(spark, src, glob), ["path", "mtime", "length"],
+                             "left_semi")
+    mf.append(mf.commit_rows(spark, unchanged, ctx, batch_id, run_ts_sql), state_dir)
     if columns != known:
         mf.record_columns(spark, state_dir, ctx, batch_id, columns)
     return IngestResult(ctx, batch_id, run_ts_sql, len(files), columns, retried)
@@ -127,4 +132,5 @@ def read_increment(spark: SparkSession, ctx: str, src: str, state_dir: str,
     chosen = (mf.new_files(src_files.list_files(spark, src, glob), manifest, ctx)
               .orderBy("mtime", "path").limit(max_files))
     groups = src_files.header_groups(chosen)
-    return src_files.csv_scan(spark, groups).drop(src_files.CORRUPT_COL)
+    return src_files.csv_scan(spark, groups).drop(src_files.CORRUPT_COL, src_files.SOURCE_PATH,
+                                                  src_files.SOURCE_MTIME)

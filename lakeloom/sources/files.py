@@ -28,6 +28,7 @@ LISTING_SCHEMA = T.StructType([
 ])
 
 CORRUPT_COL = "_corrupt_record"
+SOURCE_PATH, SOURCE_MTIME = "_source_path", "_source_mtime"
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*.csv",
@@ -128,7 +129,12 @@ def read_csv_group(spark: SparkSession, columns: tuple[str, ...], paths: list[st
               .option("columnNameOfCorruptRecord", CORRUPT_COL))
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
-    return reader.csv(paths)
+    df = reader.csv(paths)
+    # Where each row came from, in the listing's form: Spark reports the file
+    # path URL-encoded; a literal "+" is protected before decoding.
+    src = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return df.select("*", src.alias(SOURCE_PATH),
+                     F.col("_metadata.file_modification_time").alias(SOURCE_MTIME))
 
 
 def merge_columns(groups: list[tuple[tuple[str, ...], list[str]]],
@@ -147,22 +153,39 @@ def csv_scan(spark: SparkSession, groups: list[tuple[tuple[str, ...], list[str]]
     """One read per header group, combined by name (missing → null).
 
     The result has ``columns`` (or the merged header order) plus
-    ``_corrupt_record``.
+    ``_corrupt_record``, ``_source_path`` and ``_source_mtime`` (the file
+    and the change time each row was read from).
     """
     order = merge_columns(groups, columns)
     frames = [read_csv_group(spark, cols, paths, options) for cols, paths in groups]
     if not frames:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in order]
-                              + [T.StructField(CORRUPT_COL, T.StringType())])
+                              + [T.StructField(CORRUPT_COL, T.StringType()),
+                                 T.StructField(SOURCE_PATH, T.StringType()),
+                                 T.StructField(SOURCE_MTIME, T.TimestampType())])
         return spark.createDataFrame([], schema)
     df = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c)
-                       for c in order], CORRUPT_COL)
+                       for c in order], CORRUPT_COL, SOURCE_PATH, SOURCE_MTIME)
+
+
+def listed_versions_only(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Keep rows read from the listed version of their file.
+
+    ``files`` is the run's (path, mtime) list (bounded by the run's file cap,
+    size-checked before it is broadcast): a file rewritten after it was
+    listed contributes no rows now and is left for the next run.
+    """
+    from lakeloom.operators.lookups import bounded_broadcast
+
+    seen = files.select(F.col("path").alias(SOURCE_PATH), F.col("mtime").alias(SOURCE_MTIME))
+    return rows.join(bounded_broadcast(seen), [SOURCE_PATH, SOURCE_MTIME], "left_semi")
 
 
 def scan_csv_folder(spark: SparkSession, root: str, options: dict | None = None) -> DataFrame:
     """S1 over everything under ``root`` (no manifest)."""
-    return csv_scan(spark, header_groups(list_files(spark, root)), options=options)
+    return csv_scan(spark, header_groups(list_files(spark, root)), options=options).drop(
+        SOURCE_PATH, SOURCE_MTIME)
 
 
 # ---------------------------------------------------------------------------

@@ -88,6 +88,15 @@ def manifest_rows(files: DataFrame, ctx: str, batch_id: int, run_ts_sql: str,
         F.lit(state).alias("state"))
 
 
+def commit_rows(spark: SparkSession, files: DataFrame, ctx: str, batch_id: int,
+                run_ts_sql: str) -> DataFrame:
+    """S3: committed rows for ``files`` plus one marker row (null path) that
+    closes the batch even when no file is left to commit."""
+    marker = spark.createDataFrame([(ctx, None, None, None, batch_id, None, COMMITTED)], MANIFEST_SCHEMA)
+    marker = marker.withColumn("run_ts", F.expr(f"CAST('{run_ts_sql}' AS TIMESTAMP)"))
+    return manifest_rows(files, ctx, batch_id, run_ts_sql, COMMITTED).unionByName(marker)
+
+
 def append(rows: DataFrame, state_dir: str) -> None:
     """Append manifest rows; a handful of files per run, never rewritten."""
     rows.coalesce(1).write.mode("append").parquet(manifest_path(state_dir))

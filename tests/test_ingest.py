@@ -45,8 +45,9 @@ def test_incremental_modified_and_empty(spark, work):
     assert ingest(spark, "t", src, lake, state, run_ts="2024-03-07").files == 2
     assert rows(spark, lake, ["id", "v"]) == [("1", "x", 5), ("1", "x2", 7), ("2", "y", 5), ("3", "z", 7)]
     m = mf.read_manifest(spark, state)
-    # the empty run left one committed marker with a null path
-    assert m.where("path IS NULL AND state = 'committed'").count() == 1
+    # every run, the empty one included, closes its batch with one marker row
+    assert m.where("path IS NULL AND state = 'committed'").count() == 3
+    assert m.where("path IS NOT NULL AND state = 'committed'").count() == 4
 
 
 def test_header_only_file_gives_no_rows(spark, work):
@@ -130,3 +131,29 @@ def test_register_table_sees_new_partitions_and_columns(spark, work):
                         db_location=f"{work}/wh")
     got = spark.sql(f"SELECT id, w, day FROM {db}.t_table ORDER BY id").collect()
     assert [tuple(r) for r in got] == [("1", None, 5), ("2", "q", 6)]
+
+
+def test_file_rewritten_after_listing_is_left_for_next_run(spark, work):
+    """Rows come only from the listed version of a file; a file changed after
+    listing is neither read now nor committed, and the next run takes it whole."""
+    from lakeloom.sources import files as src_files
+
+    write_file(work, "src/a.csv", "id,v\n1,x\n")
+    write_file(work, "src/b.csv", "id,v\n2,y\n")
+    listing = spark.createDataFrame(src_files.list_files(spark, f"{work}/src").collect(),
+                                    src_files.LISTING_SCHEMA)
+    groups = src_files.header_groups(listing)
+    time.sleep(1.1)
+    write_file(work, "src/b.csv", "id,v\n2,y2\n3,z\n")  # rewritten after listing
+    rows = src_files.listed_versions_only(src_files.csv_scan(spark, groups), listing)
+    assert [(r.id, r.v) for r in rows.collect()] == [("1", "x")]
+
+
+def test_ingest_closes_batch_and_retakes_changed_file(spark, work):
+    src, lake, state = f"{work}/src", f"{work}/lake", f"{work}/state"
+    write_file(work, "src/a.csv", "id,v\n1,x\n")
+    ingest(spark, "t", src, lake, state, run_ts="2024-03-05")
+    m = mf.read_manifest(spark, state)
+    # a marker closes the batch; no intent stays open
+    assert mf.open_intent(m, "t") is None
+    assert m.where("state = 'committed' AND path IS NULL").count() == 1
