@@ -63,5 +63,5 @@ def deliver_entity(spark: SparkSession, ctx: str, table_root: str, columns: list
             .csv([r["path"] for r in files]))
     out = shape_delivery(spark, rows, pairs, query, view)
     write_delivery(out, entity_root, run_ts_sql[:10], batch_id, fmt)
-    mf.append(mf.manifest_rows(file_df, ctx, batch_id, run_ts_sql, mf.COMMITTED), state_dir)
+    mf.append(mf.commit_rows(spark, file_df, ctx, batch_id, run_ts_sql), state_dir)
     return len(files)
