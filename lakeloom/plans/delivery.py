@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.functions.stamps import run_clock
 from lakeloom.operators.mapping import apply_mapper
 from lakeloom.sinks.exports import write_delivery
 from lakeloom.sinks.tables import lake_ddl
@@ -26,7 +25,6 @@ def shape_delivery(spark: SparkSession, rows: DataFrame, pairs: list[tuple[str,
         rows = rows.sparkSession.sql(query.strip().rstrip(";"))
     return apply_mapper(rows, pairs)
 
-
 def deliver_entity(spark: SparkSession, ctx: str, table_root: str, columns: list[str],
                    state_dir: str, entity_root: str, pairs: list[tuple[str, str]],
                    query: str | None = None, view: str = "increment",
@@ -46,7 +44,7 @@ def deliver_entity(spark: SparkSession, ctx: str, table_root: str, columns: list
         chosen = mf.intent_files(manifest, ctx, batch_id)
         retried = True
     else:
-        run_ts_sql, batch_id = run_clock(run_ts)
+        run_ts_sql, batch_id = mf.next_clock(manifest, ctx, run_ts)
         listing = src_files.list_files(spark, table_root, "*.csv")
         chosen = mf.new_files(listing, manifest, ctx).orderBy("mtime", "path").limit(max_files)
         retried = False

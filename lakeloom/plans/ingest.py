@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.functions.stamps import run_clock, stamp_upload_time
+from lakeloom.functions.stamps import stamp_upload_time
 from lakeloom.sinks.tables import register_table, write_partitioned
 from lakeloom.sources import files as src_files
 from lakeloom.sources import manifest as mf
@@ -42,7 +42,8 @@ def ingest(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
     At most ``max_files`` files (oldest first) are taken per run; the rest wait
     for the next run, so the path list that reaches the driver stays bounded.
     An open intent (crash after write, before commit) is retried first with its
-    own batch id, run time and file list.
+    own batch id, run time and file list. ``rejects_dir`` keeps malformed lines
+    at the cost of a second pass over the run's files.
     """
     manifest = mf.read_manifest(spark, state_dir)
     pending = mf.open_intent(manifest, ctx)
@@ -52,7 +53,7 @@ def ingest(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
         chosen = mf.intent_files(manifest, ctx, batch_id)
         retried = True
     else:
-        run_ts_sql, batch_id = run_clock(run_ts)
+        run_ts_sql, batch_id = mf.next_clock(manifest, ctx, run_ts)
         listing = src_files.list_files(spark, src, glob)
         candidates = mf.new_files(listing, manifest, ctx)
         chosen = candidates.orderBy("mtime", "path").limit(max_files)

@@ -73,6 +73,23 @@ def open_intent(manifest: DataFrame, ctx: str):
     return (row[0]["batch_id"], row[0]["run_ts"]) if row else None
 
 
+def next_clock(manifest: DataFrame, ctx: str, run_ts=None) -> tuple[str, int]:
+    """The run clock for a new batch: ``run_ts`` (default now) in whole
+    seconds, moved past the last batch of ``ctx`` when needed, so batch ids
+    stay unique and increasing (two runs in one second would otherwise share
+    a batch partition)."""
+    import datetime as dt
+
+    from lakeloom.functions.stamps import run_clock
+
+    ts_sql, batch_id = run_clock(run_ts)
+    last = manifest.where(F.col("ctx") == ctx).agg(F.max("batch_id").alias("b")).first()["b"]
+    if last is not None and batch_id <= last:
+        batch_id = last + 1
+        ts_sql = dt.datetime.fromtimestamp(batch_id, dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    return ts_sql, batch_id
+
+
 def intent_files(manifest: DataFrame, ctx: str, batch_id: int) -> DataFrame:
     return (manifest.where((F.col("ctx") == ctx) & (F.col("state") == INTENT)
                            & (F.col("batch_id") == batch_id) & F.col("path").isNotNull())

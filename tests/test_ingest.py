@@ -157,3 +157,14 @@ def test_ingest_closes_batch_and_retakes_changed_file(spark, work):
     # a marker closes the batch; no intent stays open
     assert mf.open_intent(m, "t") is None
     assert m.where("state = 'committed' AND path IS NULL").count() == 1
+
+
+def test_runs_in_the_same_second_get_distinct_batches(spark, work):
+    src, lake, state = f"{work}/src", f"{work}/lake", f"{work}/state"
+    write_file(work, "src/a.csv", "id,v\n1,x\n")
+    r1 = ingest(spark, "t", src, lake, state, run_ts="2024-03-05 07:08:09", layout="ymd_batch")
+    write_file(work, "src/b.csv", "id,v\n2,y\n")
+    r2 = ingest(spark, "t", src, lake, state, run_ts="2024-03-05 07:08:09", layout="ymd_batch")
+    assert r2.batch_id == r1.batch_id + 1 and r2.run_ts == "2024-03-05 07:08:10"
+    got = read_lake_table(spark, lake, ["id", "v"], layout="ymd_batch").select("id").collect()
+    assert sorted(r.id for r in got) == ["1", "2"]  # the second batch did not replace the first
