@@ -62,7 +62,8 @@ def _first_line(path: str, limit: int = 1 << 20) -> str | None:
 
     filesystem, inner = pafs.FileSystem.from_uri(_local_uri(path))
     buf = b""
-    with filesystem.open_input_stream(inner) as f:
+    # Compression follows the extension (.gz, .bz2, .zst …), as in Spark's reader.
+    with filesystem.open_input_stream(inner, compression="detect") as f:
         while len(buf) < limit:
             chunk = f.read(65536)
             if not chunk:

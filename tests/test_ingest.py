@@ -168,3 +168,18 @@ def test_runs_in_the_same_second_get_distinct_batches(spark, work):
     assert r2.batch_id == r1.batch_id + 1 and r2.run_ts == "2024-03-05 07:08:10"
     got = read_lake_table(spark, lake, ["id", "v"], layout="ymd_batch").select("id").collect()
     assert sorted(r.id for r in got) == ["1", "2"]  # the second batch did not replace the first
+
+
+def test_compressed_csv_files(spark, work):
+    import gzip
+
+    path = os.path.join(work.replace("file:", ""), "src", "a.csv.gz")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with gzip.open(path, "wt") as f:
+        f.write("v,id\nx,1\ny,2\n")
+    write_file(work, "src/b.csv", "id,v\n3,z\n")
+    res = ingest(spark, "t", f"{work}/src", f"{work}/lake", f"{work}/state", run_ts="2024-03-05",
+                 glob="*.csv*")
+    assert res.files == 2
+    got = read_lake_table(spark, f"{work}/lake", res.columns).select("id", "v").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [("1", "x"), ("2", "y"), ("3", "z")]
