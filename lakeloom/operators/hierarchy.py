@@ -81,8 +81,10 @@ def hierarchy_closure(spark: SparkSession, edges: DataFrame, max_depth: int = 10
     inner = levels[0]
     for lv in levels[1:]:
         inner = inner.unionByName(lv)
+    # The internal closure is small and used twice (size check, join): cut
+    # its lineage once so the edges are not scanned again for it.
     inner = inner.select(F.col("node").alias("_anode"), F.col("ancestor").alias("_anc"),
-                         F.col("depth").alias("_d"))
+                         F.col("depth").alias("_d")).checkpoint(eager=True)
     # Every node with its parent's closure.
     up = skew_join(links, inner, [("_up", "_anode")], salt_by=["_child"],
                    max_rows=max_broadcast_rows)
