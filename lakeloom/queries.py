@@ -524,6 +524,16 @@ def status_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_mapper(view, mapper_pairs(spark, f"{work}/mapper"))
 
 
+def _pinned(fn):
+    """Run a query under the library's session settings (UTC time zone, AQE),
+    whatever session the caller passes."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        apply_runtime_defaults(spark)
+        return fn(spark, sf_dir)
+    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+    return run
+
+
 QUERIES = {
     "status_revenue": status_revenue,
     "ingest_stamp": ingest_stamp,
@@ -556,5 +566,6 @@ QUERIES = {
     "stream_ingest": stream_ingest,
     "stream_assets": stream_assets,
 }
+QUERIES = {name: _pinned(fn) for name, fn in QUERIES.items()}
 
 __all__ = ["QUERIES", "METADATA_ACCEPTED"]
