@@ -99,3 +99,19 @@ def test_sql_asset_published_as_table(spark, work):
                              publish="table", location=f"{work}/wh")
     assert name == f"{db}.totals"
     assert sorted(tuple(r) for r in spark.table(f"{db}.totals").collect()) == [("a", 3), ("b", 5)]
+
+
+def test_expire_partitions_external_lake_table_deletes_folders(spark, work):
+    from lakeloom.plans.ingest import ingest_and_register
+
+    src, lake, state = f"{work}/src", f"{work}/lake", f"{work}/state"
+    db = "ext_" + work.rsplit("-", 1)[1]
+    write_file(work, "src/a.csv", "id,v\n1,x\n")
+    ingest_and_register(spark, "t", src, lake, state, db, "t_lake", run_ts="2024-01-01", db_location=f"{work}/wh")
+    write_file(work, "src/b.csv", "id,v\n2,y\n")
+    ingest_and_register(spark, "t", src, lake, state, db, "t_lake", run_ts="2024-06-01", db_location=f"{work}/wh")
+    dropped = expire_partitions(spark, f"{db}.t_lake", keep_days=90, now="2024-06-02")
+    assert dropped == [{"year": "2024", "month": "1", "day": "1"}]
+    assert [r.id for r in spark.table(f"{db}.t_lake").collect()] == ["2"]
+    assert not os.path.exists(f"{lake}/year=2024/month=1/day=1".replace("file:", ""))
+    assert os.path.exists(f"{lake}/year=2024/month=6/day=1".replace("file:", ""))
