@@ -49,3 +49,13 @@ def list_data_files(spark: SparkSession, folder: str, suffix: str = "") -> list[
         if st.isFile() and not name.startswith(("_", ".")) and name.endswith(suffix):
             out.append(st.getPath().toString())
     return sorted(out)
+
+
+def file_sizes(spark: SparkSession, folder: str, suffix: str = "") -> list[tuple[str, int]]:
+    """(path, bytes) of the data files directly under ``folder``."""
+    fs, p = _fs_and_path(spark, folder)
+    if not fs.exists(p):
+        return []
+    return sorted((st.getPath().toString(), int(st.getLen())) for st in fs.listStatus(p)
+                  if st.isFile() and not st.getPath().getName().startswith(("_", "."))
+                  and st.getPath().getName().endswith(suffix))

@@ -142,3 +142,24 @@ def record_columns(spark: SparkSession, state_dir: str, ctx: str, batch_id: int,
                    columns: list[str]) -> None:
     (spark.createDataFrame([(ctx, batch_id, columns)], COLUMNS_SCHEMA)
      .coalesce(1).write.mode("append").parquet(columns_path(state_dir)))
+
+
+def compact_manifest(spark: SparkSession, state_dir: str, target_bytes: int = 128 << 20) -> int:
+    """Rewrite the manifest's many small files as a few; returns the number of
+    files replaced.
+
+    Every reader of the manifest is insensitive to repeated rows (anti-join,
+    latest batch, open intents), so this is safe at any crash point: first the
+    current files' rows are appended again as one compacted copy, then the old
+    files are deleted. Run it between ingest runs of the contexts it holds.
+    """
+    path = manifest_path(state_dir)
+    old = fs.file_sizes(spark, path, ".parquet")
+    if len(old) <= 1:
+        return 0
+    n = max(1, -(-sum(b for _, b in old) // target_bytes))
+    rows = spark.read.schema(MANIFEST_SCHEMA).parquet(*[p for p, _ in old]).dropDuplicates()
+    rows.repartition(n).write.mode("append").parquet(path)
+    for p, _ in old:
+        fs.delete(spark, p, recursive=False)
+    return len(old)

@@ -183,3 +183,20 @@ def test_compressed_csv_files(spark, work):
     assert res.files == 2
     got = read_lake_table(spark, f"{work}/lake", res.columns).select("id", "v").orderBy("id").collect()
     assert [tuple(r) for r in got] == [("1", "x"), ("2", "y"), ("3", "z")]
+
+
+def test_compact_manifest_keeps_state(spark, work):
+    src, lake, state = f"{work}/src", f"{work}/lake", f"{work}/state"
+    for k in range(3):
+        write_file(work, f"src/f{k}.csv", f"id,v\n{k},x\n")
+        ingest(spark, "t", src, lake, state, run_ts=f"2024-03-0{5 + k}")
+    before = mf.read_manifest(spark, state)
+    n_before, n_distinct = before.count(), before.distinct().count()
+    replaced = mf.compact_manifest(spark, state)
+    assert replaced >= 6
+    after = mf.read_manifest(spark, state)
+    assert after.count() == after.distinct().count() == n_distinct <= n_before
+    assert len([f for f in os.listdir(f"{state}/manifest".replace("file:", "")) if f.endswith(".parquet")]) == 1
+    # nothing is new after compaction, and the next batch id still moves forward
+    assert ingest(spark, "t", src, lake, state, run_ts="2024-03-01").files == 0
+    assert read_lake_table(spark, lake, ["id", "v"]).count() == 3
