@@ -37,6 +37,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
 
 
+def broadcast_known(df: DataFrame, n_rows: int, n_bytes: int, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                    max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when its size is already known (e.g. built from a
+    bounded list on the driver) and within the bounds; no job is run."""
+    return F.broadcast(df) if n_rows <= max_rows and n_bytes <= max_bytes else df
+
+
 def skew_join(big: DataFrame, small: DataFrame, cond_keys: list[tuple[str, str]], how: str = "inner",
               salt_by: list[str] | None = None, salts: int = DEFAULT_SALTS,
               max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:

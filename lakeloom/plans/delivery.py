@@ -37,14 +37,14 @@ def deliver_entity(spark: SparkSession, ctx: str, table_root: str, columns: list
     retried batch replaces its own folder. Returns the number of files taken.
     """
     manifest = mf.read_manifest(spark, state_dir)
-    pending = mf.open_intent(manifest, ctx)
+    pending, last_batch = mf.batch_state(manifest, ctx)
     if pending is not None:
         batch_id, ts = pending
         run_ts_sql = ts.strftime("%Y-%m-%d %H:%M:%S")
         chosen = mf.intent_files(manifest, ctx, batch_id)
         retried = True
     else:
-        run_ts_sql, batch_id = mf.next_clock(manifest, ctx, run_ts)
+        run_ts_sql, batch_id = mf.next_clock(last_batch, run_ts)
         listing = src_files.list_files(spark, table_root, "*.csv")
         chosen = mf.new_files(listing, manifest, ctx).orderBy("mtime", "path").limit(max_files)
         retried = False

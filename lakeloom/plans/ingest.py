@@ -46,14 +46,14 @@ def ingest(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
     at the cost of a second pass over the run's files.
     """
     manifest = mf.read_manifest(spark, state_dir)
-    pending = mf.open_intent(manifest, ctx)
+    pending, last_batch = mf.batch_state(manifest, ctx)
     if pending is not None:
         batch_id, ts = pending
         run_ts_sql = ts.strftime("%Y-%m-%d %H:%M:%S")
         chosen = mf.intent_files(manifest, ctx, batch_id)
         retried = True
     else:
-        run_ts_sql, batch_id = mf.next_clock(manifest, ctx, run_ts)
+        run_ts_sql, batch_id = mf.next_clock(last_batch, run_ts)
         listing = src_files.list_files(spark, src, glob)
         candidates = mf.new_files(listing, manifest, ctx)
         chosen = candidates.orderBy("mtime", "path").limit(max_files)
@@ -70,8 +70,9 @@ def ingest(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
     groups = src_files.header_groups(file_df)
     known = mf.last_columns(spark, state_dir, ctx)
     columns = src_files.merge_columns(groups, known)
+    size = (len(files), sum(len(r["path"]) + 24 for r in files))  # known on the driver
     raw = src_files.listed_versions_only(src_files.csv_scan(spark, groups, columns, csv_options),
-                                         file_df)
+                                         file_df, size)
     if rejects_dir:
         # Spark refuses a raw CSV query that reads only the corrupt-record
         # column, so the parsed fields travel with the line.

@@ -170,17 +170,20 @@ def csv_scan(spark: SparkSession, groups: list[tuple[tuple[str, ...], list[str]]
                        for c in order], CORRUPT_COL, SOURCE_PATH, SOURCE_MTIME)
 
 
-def listed_versions_only(rows: DataFrame, files: DataFrame) -> DataFrame:
+def listed_versions_only(rows: DataFrame, files: DataFrame,
+                         known_size: tuple[int, int] | None = None) -> DataFrame:
     """Keep rows read from the listed version of their file.
 
-    ``files`` is the run's (path, mtime) list (bounded by the run's file cap,
-    size-checked before it is broadcast): a file rewritten after it was
+    ``files`` is the run's (path, mtime) list, bounded by the run's file cap.
+    It is broadcast after a size check, or directly when ``known_size``
+    (rows, bytes) is given and within bounds. A file rewritten after it was
     listed contributes no rows now and is left for the next run.
     """
-    from lakeloom.operators.lookups import bounded_broadcast
+    from lakeloom.operators.lookups import bounded_broadcast, broadcast_known
 
     seen = files.select(F.col("path").alias(SOURCE_PATH), F.col("mtime").alias(SOURCE_MTIME))
-    return rows.join(bounded_broadcast(seen), [SOURCE_PATH, SOURCE_MTIME], "left_semi")
+    small = broadcast_known(seen, *known_size) if known_size else bounded_broadcast(seen)
+    return rows.join(small, [SOURCE_PATH, SOURCE_MTIME], "left_semi")
 
 
 def scan_csv_folder(spark: SparkSession, root: str, options: dict | None = None) -> DataFrame:

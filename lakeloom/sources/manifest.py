@@ -62,30 +62,41 @@ def new_files(listing: DataFrame, manifest: DataFrame, ctx: str) -> DataFrame:
     return listing.join(committed_files(manifest, ctx), ["path", "mtime", "length"], "left_anti")
 
 
+def batch_state(manifest: DataFrame, ctx: str):
+    """One pass over the manifest for ``ctx``: the oldest open intent
+    ``(batch_id, run_ts)`` (an intent whose batch has no commit row) or None,
+    and the last batch id or None."""
+    state = F.col("state")
+    per = (manifest.where(F.col("ctx") == ctx).groupBy("batch_id")
+           .agg(F.max((state == COMMITTED).cast("int")).alias("c"),
+                F.max((state == INTENT).cast("int")).alias("i"),
+                F.min("run_ts").alias("run_ts")))
+    row = per.agg(F.max("batch_id").alias("last"),
+                  F.min(F.when((F.col("c") == 0) & (F.col("i") == 1), F.struct("batch_id", "run_ts")))
+                  .alias("open")).first()
+    if row is None:
+        return None, None
+    pending = (row["open"]["batch_id"], row["open"]["run_ts"]) if row["open"] is not None else None
+    return pending, row["last"]
+
+
 def open_intent(manifest: DataFrame, ctx: str):
     """(batch_id, run_ts) of the oldest intent without a commit, else None."""
-    mine = manifest.where(F.col("ctx") == ctx)
-    done = mine.where(F.col("state") == COMMITTED).select("batch_id").distinct()
-    row = (mine.where(F.col("state") == INTENT)
-           .join(done, "batch_id", "left_anti")
-           .groupBy("batch_id").agg(F.min("run_ts").alias("run_ts"))
-           .orderBy("batch_id").limit(1).collect())
-    return (row[0]["batch_id"], row[0]["run_ts"]) if row else None
+    return batch_state(manifest, ctx)[0]
 
 
-def next_clock(manifest: DataFrame, ctx: str, run_ts=None) -> tuple[str, int]:
+def next_clock(last_batch: int | None, run_ts=None) -> tuple[str, int]:
     """The run clock for a new batch: ``run_ts`` (default now) in whole
-    seconds, moved past the last batch of ``ctx`` when needed, so batch ids
-    stay unique and increasing (two runs in one second would otherwise share
-    a batch partition)."""
+    seconds, moved past ``last_batch`` when needed, so batch ids stay unique
+    and increasing (two runs in one second would otherwise share a batch
+    partition)."""
     import datetime as dt
 
     from lakeloom.functions.stamps import run_clock
 
     ts_sql, batch_id = run_clock(run_ts)
-    last = manifest.where(F.col("ctx") == ctx).agg(F.max("batch_id").alias("b")).first()["b"]
-    if last is not None and batch_id <= last:
-        batch_id = last + 1
+    if last_batch is not None and batch_id <= last_batch:
+        batch_id = last_batch + 1
         ts_sql = dt.datetime.fromtimestamp(batch_id, dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     return ts_sql, batch_id
 
