@@ -38,7 +38,8 @@ def asset_events(events: DataFrame, projects: DataFrame, units: DataFrame, domai
     return e.select(
         F.col("id").alias("event_id"), F.col("`detail-type`").alias("detail_type"),
         "user_id", "asset_id", "domain_id", "project_id",
-        F.to_timestamp(F.col("create_date")).alias("event_time"),
+        # try_: a malformed time gives null (ANSI to_timestamp would fail the job).
+        F.try_to_timestamp(F.col("create_date")).alias("event_time"),
         *EXPORT_KEYS, "asset_revision",
         summary.alias("asset_summary"),
         cols.alias("columns"),

@@ -236,3 +236,16 @@ def test_catalog_rule_without_domain_is_skipped(spark):
          [("Lambda", "invokeLambdaFunction", {})]),
     ], RULE_SCHEMA)
     assert [r.rule_name for r in route_events(e, rules).collect()] == ["home"]
+
+
+def test_malformed_event_time_does_not_fail(spark):
+    rows = [("1", CATALOG_SOURCE, ASSET_ADDED, "not a time",
+             (("u", "x", "home", "prj-1"), ("a1", "u2"), None))]
+    e = spark.createDataFrame(rows, EVENT_SCHEMA)
+    projects = spark.createDataFrame([("home", "prj-1", "P", "u1")], "domain_id string, id string, name string, domainUnitId string")
+    units = spark.createDataFrame([("home", "u1", "U")], "domain_id string, id string, name string")
+    domains = spark.createDataFrame([("home", "H")], "id string, name string")
+    assets = spark.createDataFrame([("home", "a1", "A1", "1", [])],
+                                   "domain_id string, id string, name string, revision string, forms array<struct<formName string, content string>>")
+    r = asset_events(e, projects, units, domains, assets, "home").first()
+    assert r.event_time is None and r.reject_reason == "missing form"
