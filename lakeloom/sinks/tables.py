@@ -107,11 +107,12 @@ def expire_partitions(spark: SparkSession, table: str, keep_days: int = 90,
         now = dt.date.fromisoformat(now[:10])
     cutoff = now - dt.timedelta(days=keep_days)
     parts = (spark.sql(f"SHOW PARTITIONS {table}")
-             .select(F.regexp_extract("partition", r"year=(\d+)", 1).cast("int").alias("y"),
-                     F.regexp_extract("partition", r"month=(\d+)", 1).cast("int").alias("m"),
-                     F.regexp_extract("partition", r"day=(\d+)", 1).cast("int").alias("d"),
+             .select(F.regexp_extract("partition", r"year=(\d+)", 1).alias("y"),
+                     F.regexp_extract("partition", r"month=(\d+)", 1).alias("m"),
+                     F.regexp_extract("partition", r"day=(\d+)", 1).alias("d"),
                      "partition")
-             .where(F.make_date("y", "m", "d") < F.lit(cutoff))
+             # try_: a folder that is not a valid date is kept, never a failure.
+             .where(F.try_to_date(F.concat_ws("-", "y", "m", "d"), "y-M-d") < F.lit(cutoff))
              .collect())
     if not parts:
         return []
