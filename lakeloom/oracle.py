@@ -298,6 +298,16 @@ SELECT page_id, split_part(url, '/', 3) AS bucket,
        array_to_string(string_split(url, '/')[4:], '/') AS key
 FROM pages""",
 
+    "ingest_rejects": """
+SELECT s_suppkey, s_name, 5 AS n_fields FROM supplier WHERE s_nationkey >= 20""",
+
+    "asset_rejects": f"""
+WITH {_ENV}, {_LOOKUPS}
+SELECT id AS event_id,
+       CASE WHEN NOT known THEN 'unknown type: ' || detail_type
+            WHEN missing <> '' THEN 'missing: ' || missing END AS reject_reason
+FROM enriched WHERE NOT known OR missing <> ''""",
+
     "stream_ingest": """
 SELECT o_orderkey, o_orderstatus, '2024-03-05 07:08:09' AS upload_time FROM orders""",
 

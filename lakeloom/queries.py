@@ -44,6 +44,8 @@ RUN1_BATCH = 1709622489
 DROP_SPLIT = "1998-01-01"
 # Suppliers of nations below this key form file set a, the rest file set b.
 NATION_SPLIT = 12
+# Suppliers of nations from this key on are staged as malformed lines.
+REJECT_NATION = 20
 
 ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
               "o_orderpriority"]
@@ -157,6 +159,26 @@ def date_parts_count(spark: SparkSession, sf_dir: str) -> DataFrame:
             .groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("n_orders")))
 
 
+def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 (malformed lines): suppliers of the top nations are staged with an
+    unquoted extra field; those lines land in the rejects output (with their
+    parsed fields), and ingest goes on."""
+    work = _start(spark, "ingest_rejects")
+    src, lake, state = f"{work}/src", f"{work}/lake", f"{work}/state"
+    sup = _t(spark, sf_dir, "supplier").select(*SUPPLIER_COLS)
+    bad = F.col("s_nationkey") >= REJECT_NATION
+    name = F.when(bad, F.concat("s_name", F.lit(",extra"))).otherwise(F.col("s_name"))
+    lines = sup.select(F.concat_ws(",", F.col("s_suppkey").cast("string"), name,
+                                   F.col("s_nationkey").cast("string"),
+                                   F.col("s_acctbal").cast("string")).alias("value"))
+    si.stage_lines(spark, lines, ",".join(SUPPLIER_COLS), f"{src}/drop")
+    ingest(spark, "supplier", src, lake, state, run_ts=RUN1, rejects_dir=f"{work}/rejects",
+           glob="*.txt")
+    rej = spark.read.parquet(f"{work}/rejects")
+    return rej.select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "s_name",
+                      F.size(F.split("line", ",")).alias("n_fields"))
+
+
 def register_table_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: two ingests, each followed by registration; the catalog table sees
     both runs' partitions."""
@@ -339,6 +361,13 @@ def latest_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("user_id", "event_id", "event_type", "value")
 
 
+def asset_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched catalog events that cannot be exported, with the
+    reason (unknown type, failed lookups, missing form)."""
+    ev = asset_events(_envelopes(spark, sf_dir), *_lookups(spark, sf_dir), si.HOME_DOMAIN)
+    return ev.where(F.col("reject_reason").isNotNull()).select("event_id", "reject_reason")
+
+
 def notification_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6: one message row per good dictionary event: key and link expiry."""
     good = asset_events(_envelopes(spark, sf_dir), *_lookups(spark, sf_dir), si.HOME_DOMAIN)
@@ -545,6 +574,7 @@ QUERIES = {
     "mapper_project": mapper_project,
     "asset_discovery": asset_discovery,
     "sql_asset_run": sql_asset_run,
+    "ingest_rejects": ingest_rejects,
     "register_table": register_table_query,
     "event_match": event_match,
     "event_route": event_route,
@@ -563,6 +593,7 @@ QUERIES = {
     "names": names,
     "object_path": object_path,
     "notification_rows": notification_rows,
+    "asset_rejects": asset_rejects,
     "stream_ingest": stream_ingest,
     "stream_assets": stream_assets,
 }

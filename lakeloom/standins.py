@@ -249,6 +249,19 @@ def stage_csv(spark: SparkSession, df: DataFrame, folder: str, n_files: int | No
     return names
 
 
+def stage_lines(spark: SparkSession, lines: DataFrame, header: str, folder: str) -> None:
+    """Write raw text lines (column ``value``) as files that each start with
+    ``header``: exact bytes, no CSV quoting, e.g. for malformed lines."""
+    import pandas as pd
+
+    def with_header(batches):
+        yield pd.DataFrame({"value": [header]})
+        for b in batches:
+            yield b[["value"]]
+
+    lines.select("value").mapInPandas(with_header, "value string").write.text(folder)
+
+
 def stage_text_files(spark: SparkSession, df: DataFrame, root: str, dir_col: str, name_col: str,
                      text_col: str) -> None:
     """Write one text file per row at ``<root>/<dir>/<name>`` (small config files).
