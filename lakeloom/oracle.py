@@ -86,23 +86,44 @@ greq AS (
          CASE WHEN CAST(json_extract_string(e.props, '$.k') AS INTEGER) >= 70
               THEN 'r' || n.n_regionkey ELSE 'n' || c.c_nationkey END AS EntityIdentifier,
          'DOMAIN_UNIT' AS EntityType,
-         CASE WHEN CAST(json_extract_string(e.props, '$.k') AS INTEGER) < 35
-              THEN 'CREATE_PROJECT' ELSE 'ADD_TO_PROJECT_MEMBER_POOL' END AS PolicyType,
+         CASE WHEN CAST(json_extract_string(e.props, '$.k') AS INTEGER) >= 95 THEN 'MANAGE_EVERYTHING'
+              WHEN CAST(json_extract_string(e.props, '$.k') AS INTEGER) < 35 THEN 'CREATE_PROJECT'
+              ELSE 'ADD_TO_PROJECT_MEMBER_POOL' END AS PolicyType,
+         CASE WHEN e.event_type = 'signup' THEN 'IAM_GROUP' ELSE 'IAM_ROLE' END AS PrincipalType,
          'role-' || (e.user_id // 10) AS PrincipalArn,
          CASE WHEN e.value >= 50 THEN 'true' ELSE 'false' END AS IncludeChildDomainUnits
   FROM events e
   JOIN customer c ON e.user_id = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
 ),
+gkind AS (
+  SELECT *,
+         CASE WHEN PrincipalType IN ('IAM_USER', 'IAM_ROLE') AND PolicyType <> 'CREATE_ENVIRONMENT_PROFILE'
+                THEN 'user'
+              WHEN PrincipalType = 'IAM_GROUP' THEN 'group'
+              WHEN PrincipalType = 'root' THEN 'all_users'
+              WHEN PolicyType IN ('CREATE_ENVIRONMENT_PROFILE', 'CREATE_ENVIRONMENT') THEN 'project'
+         END AS principal_kind
+  FROM greq
+),
+gvalid AS (
+  SELECT *, RequestType IN ('Create', 'Update', 'Delete')
+            AND PolicyType IN ('CREATE_PROJECT', 'ADD_TO_PROJECT_MEMBER_POOL', 'CREATE_GLOSSARY',
+                               'CREATE_FORM_TYPE', 'CREATE_ASSET_TYPE', 'CREATE_ENVIRONMENT_PROFILE',
+                               'CREATE_ENVIRONMENT', 'CREATE_ENVIRONMENT_FROM_BLUEPRINT',
+                               'CREATE_PROJECT_FROM_PROJECT_PROFILE')
+            AND principal_kind IS NOT NULL AS valid
+  FROM gkind
+),
 granked AS (
   SELECT *, row_number() OVER (
-    PARTITION BY DomainIdentifier, EntityIdentifier, EntityType, PolicyType, PrincipalArn
+    PARTITION BY DomainIdentifier, EntityIdentifier, EntityType, PolicyType, principal_kind, PrincipalArn
     ORDER BY ts DESC, request_id DESC) AS rn
-  FROM greq
+  FROM gvalid WHERE valid
 ),
 grants AS (
-  SELECT DomainIdentifier, EntityIdentifier, EntityType, PolicyType, PrincipalArn, request_id,
-         RequestType, IncludeChildDomainUnits = 'true' AS include_child
+  SELECT DomainIdentifier, EntityIdentifier, EntityType, PolicyType, principal_kind, PrincipalArn,
+         request_id, RequestType, IncludeChildDomainUnits = 'true' AS include_child
   FROM granked WHERE rn = 1 AND RequestType <> 'Delete'
 )"""
 
@@ -263,10 +284,14 @@ SELECT * FROM grants""",
 
     "grant_effective": f"""
 WITH RECURSIVE {_TREE}, {_GRANTS.strip()}
-SELECT w.node, g.EntityIdentifier AS entity, g.PolicyType, g.PrincipalArn, w.depth
+SELECT w.node, g.EntityIdentifier AS entity, g.PolicyType, g.principal_kind, g.PrincipalArn, w.depth
 FROM walk w JOIN grants g ON w.ancestor = g.EntityIdentifier
 WHERE g.include_child OR w.depth = 0""",
 
+    "grant_rejects": f"""
+WITH {_GRANTS.strip()}
+SELECT request_id, PolicyType, PrincipalType FROM gvalid WHERE NOT valid""",
+
     "retention_keep": """
 SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders
 WHERE CAST(o_orderdate AS DATE) >= (SELECT CAST(max(o_orderdate) AS DATE) FROM orders) - INTERVAL 90 DAY""",

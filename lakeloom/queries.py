@@ -19,6 +19,7 @@ from lakeloom import standins as si
 from lakeloom.functions import names as nm
 from lakeloom.functions.stamps import date_parts
 from lakeloom.operators.aggregates import grant_state as fold_grants
+from lakeloom.operators.aggregates import rejected_requests
 from lakeloom.operators.events import (ASSET_ADDED, CATALOG_SOURCE, METADATA_ACCEPTED,
                                        extract_by_type, match_events, route_events)
 from lakeloom.operators.hierarchy import (effective_grants, fan_out_entities, fan_out_grants,
@@ -428,17 +429,25 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grant_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: the latest request per grant key decides; Delete removes."""
     g = fold_grants(_requests(spark, sf_dir))
-    return g.select("DomainIdentifier", "EntityIdentifier", "EntityType", "PolicyType", "PrincipalArn",
-                    "request_id", "RequestType", "include_child")
+    return g.select("DomainIdentifier", "EntityIdentifier", "EntityType", "PolicyType", "principal_kind",
+                    "PrincipalArn", "request_id", "RequestType", "include_child")
+
+
+def grant_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: requests with an unknown policy type or principal fail; listed."""
+    r = rejected_requests(_requests(spark, sf_dir))
+    return r.select("request_id", "PolicyType", "PrincipalType")
 
 
 def grant_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grants cover their entity and, with the child flag, all descendants."""
     _start(spark, "grant_effective")
     g = fold_grants(_requests(spark, sf_dir)).select(
-        F.col("EntityIdentifier").alias("entity"), "PolicyType", "PrincipalArn", "include_child")
+        F.col("EntityIdentifier").alias("entity"), "PolicyType", "principal_kind", "PrincipalArn",
+        "include_child")
     closure = hierarchy_closure(spark, _edges(spark, sf_dir))
-    return effective_grants(g, closure).select("node", "entity", "PolicyType", "PrincipalArn", "depth")
+    return effective_grants(g, closure).select("node", "entity", "PolicyType", "principal_kind",
+                                               "PrincipalArn", "depth")
 
 
 # ---------------------------------------------------------------------------
@@ -588,6 +597,7 @@ QUERIES = {
     "grant_fan_out": grant_fan_out,
     "grant_state": grant_state,
     "grant_effective": grant_effective,
+    "grant_rejects": grant_rejects,
     "retention_keep": retention_keep,
     "deliver_entity": deliver_entity,
     "names": names,

@@ -173,7 +173,11 @@ def tree_edges(region: DataFrame, nation: DataFrame, customer: DataFrame) -> Dat
 
 
 def grant_requests(events: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
-    """Grant change log: one request per event, on the user's nation or region."""
+    """Grant change log: one request per event, on the user's nation or region.
+
+    Sign-ups grant to a group, other events to a role; events with k ≥ 95
+    carry a policy type that does not exist (such requests fail).
+    """
     k = F.from_json("props", "k INT")["k"]
     e = events.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"))
     j = (e.join(customer.select("c_custkey", "c_nationkey"), F.col("user_id") == F.col("c_custkey"))
@@ -186,9 +190,11 @@ def grant_requests(events: DataFrame, customer: DataFrame, nation: DataFrame) ->
         F.when(F.col("k") >= 70, F.concat(F.lit("r"), _s("n_regionkey")))
         .otherwise(F.concat(F.lit("n"), _s("c_nationkey"))).alias("EntityIdentifier"),
         F.lit("DOMAIN_UNIT").alias("EntityType"),
-        F.when(F.col("k") < 35, F.lit("CREATE_PROJECT")).otherwise(F.lit("ADD_TO_PROJECT_MEMBER_POOL"))
+        F.when(F.col("k") >= 95, F.lit("MANAGE_EVERYTHING"))
+        .when(F.col("k") < 35, F.lit("CREATE_PROJECT")).otherwise(F.lit("ADD_TO_PROJECT_MEMBER_POOL"))
         .alias("PolicyType"),
-        F.lit("IAM_ROLE").alias("PrincipalType"),
+        F.when(F.col("event_type") == "signup", F.lit("IAM_GROUP")).otherwise(F.lit("IAM_ROLE"))
+        .alias("PrincipalType"),
         F.concat(F.lit("role-"), _s(F.expr("user_id div 10"))).alias("PrincipalArn"),
         F.when(F.col("value") >= 50, F.lit("true")).otherwise(F.lit("false")).alias("IncludeChildDomainUnits"))
 
