@@ -43,8 +43,12 @@ def ingest_on_arrival(spark: SparkSession, ctx: str, src: str, dst: str, state_d
                       clock: Clock | None = None, available_now: bool = True,
                       processing_time: str | None = None, **ingest_kw) -> StreamingQuery:
     """T1 (manifest form): new files wake the query; each micro-batch runs the
-    manifest ingest, which also catches files modified in place (the file
-    stream alone would not). The micro-batch rows are never read.
+    manifest ingest, which also catches files modified in place. The
+    micro-batch rows are never read.
+
+    A file rewritten in place under the same name does not wake a file
+    stream on its own; it is taken by the next micro-batch, or by running
+    ``ingest`` as a plain batch job on a schedule.
     """
     stream = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
