@@ -44,10 +44,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def apply_runtime_defaults(spark: SparkSession) -> None:
-    """Set the runtime SQL settings on an existing session (no-op if equal)."""
+    """Set the runtime SQL settings on an existing session (no-op if equal).
+
+    File listings of many folders (per-key exports, date partitions, source
+    drops) run as a Spark job with, by default, one task per folder up to
+    10,000. A few listing tasks per core are enough: the cap scales with the
+    cluster's default parallelism and never exceeds Spark's own default.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism",
+                   str(min(10_000, max(8, 4 * cores))))
 
 
 def shared_dir(spark: SparkSession) -> str:
