@@ -86,33 +86,77 @@ def _parse_header(line: str | None) -> list[str] | None:
 
 def _probe_batches(batches):
     for pdf in batches:
-        heads = [_parse_header(_first_line(p)) for p in pdf["path"]]
-        yield pd.DataFrame({"path": pdf["path"], "columns": heads})
+        heads, unread = [], []
+        for p in pdf["path"]:
+            try:
+                heads.append(_parse_header(_first_line(p)))
+                unread.append(False)
+            except Exception:  # noqa: BLE001 — file system not reachable from Python
+                heads.append(None)
+                unread.append(True)
+        yield pd.DataFrame({"path": pdf["path"], "columns": heads, "unread": unread})
 
 
 def probe_headers(listing: DataFrame) -> DataFrame:
-    """(path, columns array<string>) for each listed file; read on executors.
-
-    Empty files get a null header and are left out of the scan.
-    """
+    """(path, columns array<string>, unread) for each listed file; read on
+    executors. Empty files get a null header and are left out of the scan;
+    ``unread`` marks files Python could not open (see ``spark_headers``)."""
     return listing.select("path").mapInPandas(
-        _probe_batches, "path string, columns array<string>")
+        _probe_batches, "path string, columns array<string>, unread boolean")
 
 
-def header_groups(listing: DataFrame) -> list[tuple[tuple[str, ...], list[str]]]:
-    """Group the listed files by header, in first-modified order (then path).
+# A comma outside double quotes (CSV header field separator).
+_FIELD_SEP = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
-    Only the (bounded) file list of one run reaches the driver: one row per
-    distinct header, holding its paths.
+
+def spark_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, columns) from the first line of each file, read by Spark itself.
+
+    The fallback for files the Python probe cannot open (e.g. a file system
+    without a Python client). It scans the files' first splits: the first
+    line of a file is the row with the smallest id in the split starting at
+    offset 0.
     """
-    heads = probe_headers(listing).join(listing.select("path", "mtime"), "path")
-    rows = (heads.where(F.col("columns").isNotNull())
+    src = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    lines = (spark.read.text(paths)
+             .select(src.alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("i"), "value")
+             .where(F.col("start") == 0))
+    first = lines.groupBy("path").agg(F.min_by("value", "i").alias("line"))
+    line = F.regexp_replace(F.regexp_replace("line", "^\ufeff", ""), "\r$", "")
+    fields = F.transform(F.split(line, _FIELD_SEP),
+                         lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), '""', '"'))
+    return first.select("path", fields.alias("columns"))
+
+
+def _group(heads: DataFrame, listing: DataFrame) -> list:
+    return (heads.where(F.col("columns").isNotNull())
+            .join(listing.select("path", "mtime"), "path")
             .groupBy("columns")
             .agg(F.min(F.struct("mtime", "path")).alias("first"),
                  F.sort_array(F.collect_list("path")).alias("paths"))
-            .orderBy("first")
             .collect())
-    return [(tuple(r["columns"]), list(r["paths"])) for r in rows]
+
+
+def header_groups(listing: DataFrame) -> list[tuple[tuple[str, ...], list[str]]]:
+    """Group the listed files by header, in first-modified order (then path).
+
+    Only the (bounded) file list of one run reaches the driver: one row per
+    distinct header, holding its paths. Files the Python probe could not open
+    are probed by Spark (``spark_headers``).
+    """
+    # One row per file, used twice below: kept so first lines are read once.
+    probe = probe_headers(listing).persist()
+    try:
+        unread = [r["path"] for r in probe.where("unread").select("path").collect()]
+        heads = probe.where(~F.col("unread")).select("path", "columns")
+        if unread:
+            heads = heads.unionByName(spark_headers(listing.sparkSession, unread))
+        merged = _group(heads, listing)
+    finally:
+        probe.unpersist()
+    merged.sort(key=lambda r: (r["first"]["mtime"], r["first"]["path"]))
+    return [(tuple(r["columns"]), list(r["paths"])) for r in merged]
 
 
 def read_csv_group(spark: SparkSession, columns: tuple[str, ...], paths: list[str],

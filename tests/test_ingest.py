@@ -200,3 +200,21 @@ def test_compact_manifest_keeps_state(spark, work):
     # nothing is new after compaction, and the next batch id still moves forward
     assert ingest(spark, "t", src, lake, state, run_ts="2024-03-01").files == 0
     assert read_lake_table(spark, lake, ["id", "v"]).count() == 3
+
+
+def test_spark_header_fallback_matches_python_probe(spark, work):
+    import gzip
+
+    from lakeloom.sources import files as src_files
+
+    write_file(work, "src/a.csv", "id,v\n1,x\n")
+    write_file(work, "src/b.csv", '﻿"v","id, with comma",w\r\ny,2,q\r\n')
+    path = os.path.join(work.replace("file:", ""), "src", "c.csv.gz")
+    with gzip.open(path, "wt") as f:
+        f.write("w,id\nq,3\n")
+    listing = src_files.list_files(spark, f"{work}/src", "*.csv*")
+    paths = [r.path for r in listing.collect()]
+    py = {r.path: list(r.columns) for r in src_files.probe_headers(listing).collect()}
+    sp = {r.path: list(r.columns) for r in src_files.spark_headers(spark, paths).collect()}
+    assert py == sp
+    assert sorted(map(tuple, sp.values())) == [("id", "v"), ("v", "id, with comma", "w"), ("w", "id")]
