@@ -10,6 +10,7 @@ from lakeloom.operators.mapping import apply_mapper
 from lakeloom.sinks.exports import write_delivery
 from lakeloom.sinks.tables import lake_ddl
 from lakeloom.sources import files as src_files
+from lakeloom.sources import fs
 from lakeloom.sources import manifest as mf
 
 
@@ -25,16 +26,22 @@ def shape_delivery(spark: SparkSession, rows: DataFrame, pairs: list[tuple[str,
         rows = rows.sparkSession.sql(query.strip().rstrip(";"))
     return apply_mapper(rows, pairs)
 
+
 def deliver_entity(spark: SparkSession, ctx: str, table_root: str, columns: list[str],
                    state_dir: str, entity_root: str, pairs: list[tuple[str, str]],
                    query: str | None = None, view: str = "increment",
                    run_ts: dt.datetime | str | None = None, layout: str = "ymd",
-                   fmt: str = "json", max_files: int = 100_000) -> int:
+                   fmt: str = "json", max_files: int = 100_000, full_listing: bool = False) -> int:
     """K4: deliver the lake-table files not yet delivered for ``ctx``.
 
     Same manifest protocol as ingest (intent, write, commit). Output goes to
     ``<entity_root>/run_date=<d>/batch_id=<id>/`` with dynamic overwrite, so a
     retried batch replaces its own folder. Returns the number of files taken.
+
+    Only day folders on or after the newest day already delivered are
+    listed. An ingest context's clock only moves forward, and a retry reuses
+    its own (latest) day, so new lake files never land in older days. Set
+    ``full_listing`` for a table written by several ingest contexts.
     """
     manifest = mf.read_manifest(spark, state_dir)
     pending, last_batch = mf.batch_state(manifest, ctx)
@@ -45,7 +52,11 @@ def deliver_entity(spark: SparkSession, ctx: str, table_root: str, columns: list
         retried = True
     else:
         run_ts_sql, batch_id = mf.next_clock(last_batch, run_ts)
-        listing = src_files.list_files(spark, table_root, "*.csv")
+        since = None if full_listing else mf.last_committed_day(manifest, ctx)
+        if since is None:
+            listing = src_files.list_files(spark, table_root, "*.csv")
+        else:
+            listing = src_files.list_files(spark, fs.day_folders_since(spark, table_root, since), "*.csv")
         chosen = mf.new_files(listing, manifest, ctx).orderBy("mtime", "path").limit(max_files)
         retried = False
     files = chosen.collect()  # bounded by max_files

@@ -31,19 +31,21 @@ CORRUPT_COL = "_corrupt_record"
 SOURCE_PATH, SOURCE_MTIME = "_source_path", "_source_mtime"
 
 
-def list_files(spark: SparkSession, root: str, glob: str = "*.csv",
+def list_files(spark: SparkSession, root: str | list[str], glob: str = "*.csv",
                recursive: bool = True) -> DataFrame:
-    """(path, mtime, length) of every matching file under ``root``.
+    """(path, mtime, length) of every matching file under ``root`` (one
+    folder or a list of existing folders).
 
     ``binaryFile`` without selecting ``content`` never opens the files. Names
     starting with ``_`` or ``.`` are skipped by Spark's file index.
     """
-    if not fs.exists(spark, root):
+    roots = [root] if isinstance(root, str) else list(root)
+    if not roots or (isinstance(root, str) and not fs.exists(spark, root)):
         return spark.createDataFrame([], LISTING_SCHEMA)
     return (spark.read.format("binaryFile")
             .option("recursiveFileLookup", str(recursive).lower())
             .option("pathGlobFilter", glob)
-            .load(root)
+            .load(roots)
             .select(F.col("path"), F.col("modificationTime").alias("mtime"),
                     F.col("length")))
 

@@ -101,6 +101,16 @@ def next_clock(last_batch: int | None, run_ts=None) -> tuple[str, int]:
     return ts_sql, batch_id
 
 
+def last_committed_day(manifest: DataFrame, ctx: str):
+    """The newest ``year=/month=/day=`` date among files committed for
+    ``ctx`` (a date), or None."""
+    ymd = [F.regexp_extract("path", rf"/{k}=(\d+)/", 1) for k in ("year", "month", "day")]
+    row = (manifest.where((F.col("ctx") == ctx) & (F.col("state") == COMMITTED) & F.col("path").isNotNull())
+           .select(F.try_to_date(F.concat_ws("-", *ymd), "y-M-d").alias("d"))
+           .agg(F.max("d").alias("d")).first())
+    return row["d"] if row is not None else None
+
+
 def intent_files(manifest: DataFrame, ctx: str, batch_id: int) -> DataFrame:
     return (manifest.where((F.col("ctx") == ctx) & (F.col("state") == INTENT)
                            & (F.col("batch_id") == batch_id) & F.col("path").isNotNull())

@@ -84,3 +84,24 @@ def test_asset_event_stream_equals_batch(spark, work):
     assert notes.count() == good.count()
     rejects = spark.read.parquet(f"{work}/rejects")
     assert rejects.count() == batch.where(F.col("reject_reason").isNotNull()).count()
+
+
+def test_delivery_lists_only_recent_days_and_misses_nothing(spark, work):
+    from lakeloom.plans.delivery import deliver_entity
+    from lakeloom.plans.ingest import ingest
+
+    src, lake, state = f"{work}/src", f"{work}/lake", f"{work}/state"
+    pairs = [("id", "id"), ("v", "v")]
+    out = f"{work}/out"
+    write_file(work, "src/a.csv", "id,v\n1,x\n")
+    ingest(spark, "t", src, lake, state, run_ts="2024-03-05 10:00:00")
+    assert deliver_entity(spark, "d", lake, ["id", "v"], f"{work}/dstate", out, pairs, run_ts="2024-03-05 11:00:00") == 1
+    write_file(work, "src/b.csv", "id,v\n2,y\n")
+    ingest(spark, "t", src, lake, state, run_ts="2024-03-05 12:00:00")  # same day as the last delivery
+    write_file(work, "src/c.csv", "id,v\n3,z\n")
+    ingest(spark, "t", src, lake, state, run_ts="2024-03-07 12:00:00")
+    assert deliver_entity(spark, "d", lake, ["id", "v"], f"{work}/dstate", out, pairs, run_ts="2024-03-07 13:00:00") == 2
+    assert deliver_entity(spark, "d", lake, ["id", "v"], f"{work}/dstate", out, pairs, run_ts="2024-03-08") == 0
+    got = spark.read.schema("id STRING, v STRING, run_date STRING, batch_id BIGINT").json(out)
+    assert sorted((r.id, r.run_date) for r in got.collect()) == [
+        ("1", "2024-03-05"), ("2", "2024-03-07"), ("3", "2024-03-07")]
