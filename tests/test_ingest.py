@@ -218,3 +218,18 @@ def test_spark_header_fallback_matches_python_probe(spark, work):
     sp = {r.path: list(r.columns) for r in src_files.spark_headers(spark, paths).collect()}
     assert py == sp
     assert sorted(map(tuple, sp.values())) == [("id", "v"), ("v", "id, with comma", "w"), ("w", "id")]
+
+
+def test_file_cap_defers_the_rest_and_ingest_all_takes_everything(spark, work):
+    from lakeloom.plans.ingest import ingest_all
+
+    src, lake, state = f"{work}/src", f"{work}/lake", f"{work}/state"
+    for k in range(5):
+        write_file(work, f"src/f{k}.csv", f"id,v\n{k},x{k}\n")
+    first = ingest(spark, "t", src, lake, state, run_ts="2024-03-05", max_files=2)
+    assert first.files == 2
+    runs = ingest_all(spark, "t", src, lake, state, run_ts="2024-03-05", max_files=2)
+    assert [r.files for r in runs] == [2, 1, 0]
+    got = read_lake_table(spark, lake, ["id", "v"]).select("id").collect()
+    assert sorted(r.id for r in got) == ["0", "1", "2", "3", "4"]
+    assert len({r.batch_id for r in runs}) == 3  # distinct batches although the clock was fixed
