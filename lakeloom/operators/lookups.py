@@ -21,8 +21,11 @@ def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     bytes (measured as JSON text of the rows).
 
     One small job over at most ``max_rows + 1`` rows; nothing reaches the
-    driver but two numbers.
+    driver but two numbers. A streaming side has no bound and is never
+    broadcast.
     """
+    if df.isStreaming:
+        return False
     probe = df.limit(max_rows + 1).select(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))),
