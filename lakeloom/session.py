@@ -8,8 +8,10 @@ the checkpoint directory at it.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -43,6 +45,34 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lakeloom`` importable in the Python workers (``mapInPandas``).
+
+    The package is zipped once per application and handed to
+    ``SparkContext.addPyFile``, which copies it to every executor, the same
+    as ``spark-submit --py-files``. Nothing is done where the workers can
+    already import it from a zip shipped earlier in this application.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    # A driver-side build artifact that Spark itself ships; not a data folder.
+    target = os.path.join(tempfile.mkdtemp(prefix="lakeloom-pyfiles-"), "lakeloom.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, dirs, files in os.walk(pkg):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def apply_runtime_defaults(spark: SparkSession) -> None:
     """Set the runtime SQL settings on an existing session (no-op if equal).
 
@@ -51,6 +81,7 @@ def apply_runtime_defaults(spark: SparkSession) -> None:
     10,000. A few listing tasks per core are enough: the cap scales with the
     cluster's default parallelism and never exceeds Spark's own default.
     """
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -103,6 +103,9 @@ def probe_headers(listing: DataFrame) -> DataFrame:
     """(path, columns array<string>, unread) for each listed file; read on
     executors. Empty files get a null header and are left out of the scan;
     ``unread`` marks files Python could not open (see ``spark_headers``)."""
+    from lakeloom.session import ship_package
+
+    ship_package(listing.sparkSession)  # the workers import this module
     return listing.select("path").mapInPandas(
         _probe_batches, "path string, columns array<string>, unread boolean")
 

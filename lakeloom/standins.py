@@ -265,6 +265,9 @@ def stage_lines(spark: SparkSession, lines: DataFrame, header: str, folder: str)
         for b in batches:
             yield b[["value"]]
 
+    from lakeloom.session import ship_package
+
+    ship_package(spark)
     lines.select("value").mapInPandas(with_header, "value string").write.text(folder)
 
 

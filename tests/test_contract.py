@@ -11,6 +11,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tools.check_oracle import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
+ENTRY = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "__spark_entry__.py")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
 
@@ -40,3 +41,21 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert digest(df.columns, rows) == digest(ocols, orows)
+
+
+def test_entry_from_another_working_directory(tmp_path):
+    """Python workers must import the package wherever the driver starts."""
+    import subprocess
+    import sys
+
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import importlib.util\n"
+        f"spec = importlib.util.spec_from_file_location('e', {ENTRY!r})\n"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').getOrCreate()\n"
+        "print('ROWS', m.entry(s).count())\n")
+    out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS 3" in out.stdout, out.stderr[-2000:]
