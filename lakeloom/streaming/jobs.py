@@ -105,20 +105,14 @@ def deliver_daily(spark: SparkSession, table_root: str, columns: list[str], enti
     return _start(rows, run, checkpoint, available_now, processing_time)
 
 
-def asset_event_stream(spark: SparkSession, events_path: str, projects: DataFrame,
-                       units: DataFrame, domains: DataFrame, assets: DataFrame,
-                       home_domain: str | None, export_root: str, notify_root: str,
-                       rejects_root: str, checkpoint: str, bucket: str = "dictionary-exports",
-                       max_files_per_trigger: int | None = None, available_now: bool = True,
-                       processing_time: str | None = None) -> StreamingQuery:
-    """JSON events → match → extract → stream-static enrichment → per
-    micro-batch: dictionary export (K5), then notification rows (K6) and
-    rejects, both keyed by the batch id."""
-    events = event_stream(spark, events_path, max_files_per_trigger)
-    enriched = asset_events(events, projects, units, domains, assets, home_domain)
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+def process_asset_batch(batch: DataFrame, batch_id: int, export_root: str, notify_root: str,
+                        rejects_root: str, bucket: str = "dictionary-exports") -> None:
+    """One micro-batch of T3: dictionary export (K5), then notification rows
+    (K6) and rejects. Every write replaces only what this batch owns (its
+    export keys, its ``batch_id`` partitions), so a replayed batch gives the
+    same result as a single run."""
+    batch.persist()
+    try:
         good = batch.where(F.col("reject_reason").isNull())
         export_dictionary(good, export_root)
         notes = notification_rows(good.select("event_id", *EXPORT_KEYS, F.col("event_time").alias("created")),
@@ -131,7 +125,22 @@ def asset_event_stream(spark: SparkSession, events_path: str, projects: DataFram
          .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
          .write.partitionBy("batch_id").mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").parquet(rejects_root))
+    finally:
         batch.unpersist()
 
-    return _start(enriched, run, checkpoint, available_now, processing_time)
 
+def asset_event_stream(spark: SparkSession, events_path: str, projects: DataFrame,
+                       units: DataFrame, domains: DataFrame, assets: DataFrame,
+                       home_domain: str | None, export_root: str, notify_root: str,
+                       rejects_root: str, checkpoint: str, bucket: str = "dictionary-exports",
+                       max_files_per_trigger: int | None = None, available_now: bool = True,
+                       processing_time: str | None = None) -> StreamingQuery:
+    """JSON events → match → extract → stream-static enrichment → per
+    micro-batch ``process_asset_batch``."""
+    events = event_stream(spark, events_path, max_files_per_trigger)
+    enriched = asset_events(events, projects, units, domains, assets, home_domain)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        process_asset_batch(batch, batch_id, export_root, notify_root, rejects_root, bucket)
+
+    return _start(enriched, run, checkpoint, available_now, processing_time)
