@@ -35,8 +35,9 @@ def deliver_entity(spark: SparkSession, ctx: str, table_root: str, columns: list
     """K4: deliver the lake-table files not yet delivered for ``ctx``.
 
     Same manifest protocol as ingest (intent, write, commit). Output goes to
-    ``<entity_root>/run_date=<d>/batch_id=<id>/`` with dynamic overwrite, so a
-    retried batch replaces its own folder. Returns the number of files taken.
+    ``<entity_root>/batch_id=<id>/`` (rows carry ``run_date``) with dynamic
+    overwrite, so a retried batch replaces its own folder. Returns the number
+    of files taken.
 
     Only day folders on or after the newest day already delivered are
     listed. An ingest context's clock only moves forward, and a retry reuses

@@ -16,13 +16,15 @@ EXPORT_KEYS = ["domain_name", "domain_unit_name", "project_name", "asset_name"]
 
 def write_delivery(df: DataFrame, entity_root: str, run_date: str, batch_id: int,
                    fmt: str = "json") -> None:
-    """K4 write: the entity's mapped rows under ``<root>/run_date=<d>/batch_id=<b>/``.
+    """K4 write: the entity's mapped rows under ``<root>/batch_id=<b>/``, each
+    row carrying its ``run_date``.
 
     Dynamic overwrite of that one folder makes a retry of the same batch
-    idempotent; other batches are untouched.
+    idempotent, even when the retry runs on a later day; other batches are
+    untouched.
     """
     (df.withColumn("run_date", F.lit(run_date)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-     .write.partitionBy("run_date", "batch_id").mode("overwrite")
+     .write.partitionBy("batch_id").mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").format(fmt).save(entity_root))
 
 
