@@ -9,8 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import prepare, table
+from . import simhash, toxicity
+from .common import TMP, fold, prepare, table
+
+THRESHOLD = 0.7
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, spans (``start:end``, comma-joined)."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), mod=3, out=1)
+    got = toxicity.with_toxicity(docs, model)
+    return got.select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col(f"{TMP}score").alias("score"),
+        (F.col(f"{TMP}score") >= THRESHOLD).cast("int").alias("predicted"),
+        F.array_join(F.transform(f"{TMP}spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +35,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
