@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, toxicity
+from . import decontamination, simhash, toxicity
 from .common import TMP, fold, prepare, table
 
 THRESHOLD = 0.7
@@ -27,6 +27,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform(f"{TMP}spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, n_item, n_common, containment: every leaked item."""
+    prepare(spark)
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                 n=5, threshold=0.8).drop("row_key")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     prepare(spark)
@@ -36,7 +43,26 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_toxicity": op5_toxicity,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+_SHINGLES = """
+ words AS (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w
+           FROM rows),
+ grams AS (SELECT id, unnest(CASE WHEN len(w) >= 5
+               THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)
+"""
+
+ORACLE: dict[str, str] = {
+    "op7_benchmark_decontamination": f"""
+WITH d AS (WITH rows AS (SELECT doc_id AS id, text FROM documents), {_SHINGLES} SELECT * FROM grams),
+     b AS (WITH rows AS (SELECT item_id AS id, text FROM benchmark), {_SHINGLES} SELECT * FROM grams),
+     n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, any_value(n_item) AS n_item, count(*) AS n_common,
+       count(*) / any_value(n_item) AS containment
+FROM d JOIN b USING (s) JOIN n ON n.id = b.id
+GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n_item)
+""",
+}

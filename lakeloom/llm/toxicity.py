@@ -83,11 +83,11 @@ def learning_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 def build_lexicon(rows: DataFrame, n_toxic: int, n_clean: int, size: int,
                   min_docs: int, min_odds: float, min_z: float) -> list[str]:
     """Features of (text, y) rows that speak for y = 1, strongest first."""
-    words = rows.select("y", F.explode(F.array_distinct(
+    words = rows.select("y", F.explode_outer(F.array_distinct(
         F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("w")).filter("w != ''")
     words = words.groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     exact = words.select(F.concat(F.lit("="), "w").alias("f"), "t", "c")
-    starts = words.filter(F.length("w") >= STARTS[0]).select("t", "c", "w", F.explode(F.sequence(
+    starts = words.filter(F.length("w") >= STARTS[0]).select("t", "c", "w", F.explode_outer(F.sequence(
         F.lit(STARTS[0]), F.least(F.length("w"), F.lit(STARTS[-1])))).alias("k")) \
         .groupBy(F.concat(F.lit("^"), F.substring("w", F.lit(1), F.col("k"))).alias("f")) \
         .agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
