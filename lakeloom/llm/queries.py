@@ -9,12 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, simhash, toxicity
+from . import decontamination, mixing, pii, simhash, toxicity
 from .common import TMP, fold, prepare, table
 
 THRESHOLD = 0.7
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, block, position: the mixture of all sources
+    with no source over 1.25 times, in as many tokens as the table has."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, max_repeats=1.25).select(
+        "doc_id", "source", F.col(f"{TMP}tokens").alias("n_tokens"), F.col(f"{TMP}block").alias("block"),
+        F.col(f"{TMP}position").alias("position"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (``start:end``, comma-joined)."""
     prepare(spark)
@@ -27,6 +37,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform(f"{TMP}spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = pii.with_pii(docs, pii.fit(docs), with_text=False)
+    names = [f.name for f in pii.ADDED.fields if f.name != f"{TMP}redacted"]
+    return got.select("doc_id", *[F.col(n).alias(n.removeprefix(TMP)) for n in names])
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, n_item, n_common, containment: every leaked item."""
     prepare(spark)
@@ -42,7 +61,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_source_mixing": op3_source_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
@@ -55,7 +76,26 @@ _SHINGLES = """
                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)
 """
 
+_UNIT = "CAST('0x' || substr(md5('0:' || {block} || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0"
+
 ORACLE: dict[str, str] = {
+    "op3_source_mixing": f"""
+WITH docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0) AS k FROM documents),
+ src AS (SELECT source, sum(k) AS n FROM docs GROUP BY source HAVING sum(k) > 0),
+ tot AS (SELECT sum(n) AS total FROM src),
+ grid AS (SELECT g.step, source, n, total, pow(n / total, g.step / 1024.0) AS raw
+          FROM src, tot, range(0, 1025) AS g(step)),
+ fit AS (SELECT step, max(raw / n) / sum(raw) * any_value(total) AS rep FROM grid GROUP BY step),
+ best AS (SELECT coalesce(min(step) FILTER (rep <= 1.25 + 1e-9), 1024) AS step FROM fit),
+ w AS (SELECT source, n, CAST(floor(raw / sum(raw) OVER () * total + 1e-6) AS BIGINT) AS t
+       FROM grid JOIN best USING (step)),
+ s AS (SELECT source, n, t, CAST(t // n AS BIGINT) AS full_blocks, t % n AS rest FROM w),
+ d AS (SELECT docs.doc_id, docs.source, k, n, t, full_blocks, rest, {_UNIT.format(block="full_blocks")} AS u
+       FROM docs JOIN s ON docs.source IS NOT DISTINCT FROM s.source),
+ c AS (SELECT *, rest > 0 AND sum(k) OVER (PARTITION BY source ORDER BY u RANGE UNBOUNDED PRECEDING) <= rest AS more FROM d),
+ b AS (SELECT *, unnest(range(0, full_blocks + CAST(more AS BIGINT))) AS block FROM c)
+SELECT doc_id, source, k AS n_tokens, block, (block + {_UNIT.format(block="block")}) * n / t AS position FROM b
+""",
     "op7_benchmark_decontamination": f"""
 WITH d AS (WITH rows AS (SELECT doc_id AS id, text FROM documents), {_SHINGLES} SELECT * FROM grams),
      b AS (WITH rows AS (SELECT item_id AS id, text FROM benchmark), {_SHINGLES} SELECT * FROM grams),
