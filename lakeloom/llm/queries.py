@@ -9,12 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, pii, simhash, toxicity
+from . import decontamination, language_id, mixing, pii, quality, simhash, toxicity
 from .common import TMP, fold, prepare, table
 
 THRESHOLD = 0.7
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.select("doc_id", "text", "lang"), mod=3, out=1)
+    return language_id.with_language(docs, model, ["doc_id"]).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col(f"{TMP}lang").alias("lang_pred"),
+        F.col(f"{TMP}score").alias("score"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, block, position: the mixture of all sources
     with no source over 1.25 times, in as many tokens as the table has."""
@@ -25,6 +35,14 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(f"{TMP}position").alias("position"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    prepare(spark)
+    got = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mod=4, out=2)
+    return got.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), F.col(f"{TMP}score").alias("score"),
+                      (F.col(f"{TMP}score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (``start:end``, comma-joined)."""
     prepare(spark)
@@ -61,7 +79,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_source_mixing": op3_source_mixing,
+    "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
