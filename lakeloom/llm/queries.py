@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, pii, quality, simhash, toxicity
+from . import decontamination, fingerprints, language_id, mixing, pii, quality, simhash, toxicity
 from .common import TMP, fold, prepare, table
 
 THRESHOLD = 0.7
@@ -71,6 +71,15 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                                  n=5, threshold=0.8).drop("row_key")
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next."""
+    prepare(spark)
+    got = fingerprints.against_next(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_chars", "edited_sha256", fingerprints.encode(F.col("fp")).alias("fingerprint"),
+                      fingerprints.encode(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     prepare(spark)
@@ -85,6 +94,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
