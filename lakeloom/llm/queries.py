@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language_id, mixing, pii, quality, simhash, toxicity
+from . import decontamination, fingerprints, language_id, mixing, pii, quality, secrets, simhash, toxicity
 from .common import TMP, fold, prepare, table
 
 THRESHOLD = 0.7
@@ -25,6 +25,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(f"{TMP}score").alias("score"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, end, score, is_secret: every candidate."""
+    prepare(spark)
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("cand")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, block, position: the mixture of all sources
     with no source over 1.25 times, in as many tokens as the table has."""
@@ -89,6 +95,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_secret_scan": op2_secret_scan,
     "op3_source_mixing": op3_source_mixing,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
