@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language_id, mixing, pii, quality, secrets, simhash, toxicity
+from . import decontamination, fingerprints, language_id, mixing, pii, quality, secrets, simhash, substrings, toxicity
 from .common import TMP, fold, prepare, table
 
 THRESHOLD = 0.7
@@ -77,6 +77,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                                  n=5, threshold=0.8).drop("row_key")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    prepare(spark)
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next."""
@@ -101,6 +107,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
