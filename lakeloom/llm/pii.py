@@ -171,7 +171,7 @@ def window_candidates(text: str, lo: int, hi: int, address: bool) -> tuple[int,
 
 def windows(text: str, spans: list[Span], runs: list[tuple[int, int]]) -> list[tuple[int, int, bool]]:
     """(start, end, is address) of the windows of a text."""
-    out = [(a, b, False) for a, b in runs if sum(map(len, _DIGITS.findall(text, a, b))) >= 7]
+    out = [(a - (text[max(a - 1, 0):a] == "("), b, False) for a, b in runs if sum(map(len, _DIGITS.findall(text, a, b))) >= 7]
     at = text.find("@")
     while at >= 0:
         lo, hi = at, at + 1

@@ -58,8 +58,13 @@ class Roller:
     byte * base ** i modulo 2 ** 64."""
 
     def __init__(self, base: int, size: int) -> None:
-        inverse = pow(base, -1, 1 << 64)
-        self.up, self.down = (np.cumprod(np.concatenate([[1], np.full(size, x, _U)]).astype(_U), dtype=_U) for x in (base, inverse))
+        self.up, self.down = (self._powers(x, size) for x in (base, pow(base, -1, 1 << 64)))
+
+    @staticmethod
+    def _powers(base: int, size: int) -> np.ndarray:
+        x = np.full(size + 1, base, _U)
+        x[0] = 1
+        return np.cumprod(x, dtype=_U)
 
     def __call__(self, b: np.ndarray, k: int) -> np.ndarray:
         n = len(b)
@@ -82,16 +87,19 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(suf[:n - w + 1], pre[w - 1:n])
 
 
-def segments(raw: bytes, length: int, roll: Roller) -> Iterator[tuple[int, int, int]]:
-    """(name, start, end) of the segments of one text: windows start..end -
-    length of equal name."""
+def segments(raw: bytes, length: int, roll: Roller) -> Iterator[tuple[int, int, int, int]]:
+    """(name, start, end, often) of the segments of one text: windows start..end
+    - length of equal name. Only if the named substring occurs ``often`` (1) in
+    a segment can the segment repeat a window within itself."""
     b = np.frombuffer(raw, np.uint8).astype(_U)
     w = length - GRAM + 1
     for lo in range(0, len(b) - length + 1, CHUNK):
-        name = sliding_min(roll(b[lo:lo + CHUNK + length - 1], GRAM), w)
+        grams = roll(b[lo:lo + CHUNK + length - 1], GRAM)
+        name = sliding_min(grams, w)
         first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
         last = np.append(first[1:], len(name)) - 1
-        yield from zip(name[first].view(np.int64).tolist(), (first + lo).tolist(), (last + lo + length).tolist())
+        for v, i, j in zip(name[first], first.tolist(), last.tolist()):
+            yield int(v.view(np.int64)), i + lo, j + lo + length, int(np.count_nonzero(grams[i:j + w] == v) > 1)
 
 
 # -- index ------------------------------------------------------------------------
@@ -220,20 +228,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _all_segments(keyed: DataFrame, length: int) -> DataFrame:
-    """(name, k1, k2, start, end, body) of every text long enough."""
+    """(name, k1, k2, start, end, often, body) of every text long enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Roller(0x9E3779B97F4A7C15, CHUNK + length)
         for b in batches:
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(7)]
             for raw, k1, k2 in zip(*(b.column(i).to_pylist() for i in range(3))):
-                for name, lo, hi in segments(raw, length, roll):
-                    for col, v in zip(rows, (name, k1, k2, lo, hi, xxhash.xxh64_intdigest(raw[lo:hi]) - (1 << 63))):
+                for name, lo, hi, often in segments(raw, length, roll):
+                    for col, v in zip(rows, (name, k1, k2, lo, hi, often, xxhash.xxh64_intdigest(raw[lo:hi]) - (1 << 63))):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows],
-                                             names=["name", "k1", "k2", "start", "end", "body"])
+                                             names=["name", "k1", "k2", "start", "end", "often", "body"])
 
     return keyed.filter(F.length("raw") >= length).select("raw", "k1", "k2").mapInArrow(
-        run, "name long, k1 long, k2 long, start long, end long, body long")
+        run, "name long, k1 long, k2 long, start long, end long, often long, body long")
 
 
 def _cut_out(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -277,15 +285,16 @@ def _counted(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 def marks(keyed: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """(k1, k2, lo, hi): ranges of texts to remove; they may overlap."""
-    seg = cut(_all_segments(keyed, length).groupBy("name", "body", "k1", "k2", "start", "end").agg(F.count(F.lit(1)).alias("c")))
-    bodies = seg.groupBy("name", "body").agg(F.sum("c").alias("c"), F.min(F.struct("k1", "k2", "start", "end")).alias("rep"))
+    seg = cut(_all_segments(keyed, length).groupBy("name", "body", "k1", "k2", "start", "end", "often")
+              .agg(F.count(F.lit(1)).alias("c")))
+    bodies = seg.groupBy("name", "body").agg(F.sum("c").alias("c"), F.max("often").alias("often"), F.min(F.struct("k1", "k2", "start", "end")).alias("rep"))
     size = (F.col("rep.end") - F.col("rep.start"))
     names = bodies.groupBy("name").agg(F.sum("c").alias("places"), F.count(F.lit(1)).alias("n_bodies"),
-                                       F.sum(size).alias("bytes"), F.min("rep.k1").alias("least")).filter("places > 1")
+                                       F.sum(size).alias("bytes"), F.min("rep.k1").alias("least"), F.max("often").alias("any_often")) \
+        .filter("places > 1 OR any_often = 1").drop("any_often")
     bodies = cut(bodies.join(names, "name"))
     whole = seg.join(bodies.filter("c > 1").select("name", "body"), ["name", "body"]).select("k1", "k2", F.col("start").alias("lo"), F.col("end").alias("hi"))
-    # Periodic text repeats inside one segment, so a lone long segment counts too.
-    bodies = bodies.filter((F.col("n_bodies") > 1) | (F.col("rep.end") - F.col("rep.start") >= 2 * length))
+    bodies = bodies.filter("n_bodies > 1 OR often = 1")
     hot = F.col("bytes") > shard_bytes
     bundles = bodies.filter(~hot).groupBy("least").agg(F.sum(F.col("rep.end") - F.col("rep.start")).alias("bundle"))
     some = bodies.filter(~hot).join(bundles, "least").withColumn(

@@ -81,20 +81,25 @@ def learning_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def build_lexicon(rows: DataFrame, n_toxic: int, n_clean: int, size: int,
-                  min_docs: int, min_odds: float, min_z: float) -> list[str]:
-    """Features of (text, y) rows that speak for y = 1, strongest first."""
+                  min_docs: int, min_odds: float, min_g2: float) -> list[str]:
+    """Features of (text, y) rows that speak for y = 1, strongest first by the
+    likelihood ratio of their toxic and clean documents. Words are grouped
+    once; their starts are sums of words."""
     words = rows.select("y", F.explode_outer(F.array_distinct(
         F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("w")).filter("w != ''")
     words = words.groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
-    exact = words.select(F.concat(F.lit("="), "w").alias("f"), "t", "c")
-    starts = words.filter(F.length("w") >= STARTS[0]).select("t", "c", "w", F.explode_outer(F.sequence(
-        F.lit(STARTS[0]), F.least(F.length("w"), F.lit(STARTS[-1])))).alias("k")) \
-        .groupBy(F.concat(F.lit("^"), F.substring("w", F.lit(1), F.col("k"))).alias("f")) \
-        .agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    features = F.concat(F.array(F.concat(F.lit("="), "w")), F.when(F.length("w") >= STARTS[0], F.transform(
+        F.sequence(F.lit(STARTS[0]), F.least(F.length("w"), F.lit(STARTS[-1]))),
+        lambda k: F.concat(F.lit("^"), F.substring(F.col("w"), F.lit(1), k)))).otherwise(F.array().cast("array<string>")))
+    counts = words.select("t", "c", F.explode_outer(features).alias("f")).groupBy("f") \
+        .agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter(F.col("t") >= min_docs)
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
-    z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = exact.unionByName(starts).filter(F.col("t") >= min_docs).withColumn("o", odds).withColumn("z", z) \
-        .filter((F.col("o") >= min_odds) & (F.col("z") >= min_z)).orderBy(F.desc("z"), "f").limit(size)
+    share = n_toxic / (n_toxic + n_clean)
+    n = F.col("t") + F.col("c")
+    g2 = 2 * (F.col("t") * F.log(F.col("t") / (n * share))
+              + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share)))).otherwise(0.0))
+    best = counts.withColumn("o", odds).withColumn("g2", g2) \
+        .filter((F.col("o") >= min_odds) & (F.col("g2") >= min_g2)).orderBy(F.desc("g2"), "f").limit(size)
     return [r.f for r in best.select("f").collect()]
 
 
@@ -199,7 +204,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", mod: int = 3, out: int = 1, sample_docs: int = 1000,
-        lexicon_size: int = 4096, min_docs: int = 5, min_odds: float = 1.5, min_z: float = 4.5) -> ToxicityModel:
+        lexicon_size: int = 2048, min_docs: int = 4, min_odds: float = 1.5, min_g2: float = 18.0) -> ToxicityModel:
     """Learn from labelled documents outside fold ``out`` of ``mod``.
 
     Word counts cover all of them; the field is fitted on about ``sample_docs``
@@ -214,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return ToxicityModel(base=float(n1 > 0))
     texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, mod) != out)) \
         .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lex = build_lexicon(texts.join(train, "id"), n1, n0, lexicon_size, min_docs, min_odds, min_z)
+    lex = build_lexicon(texts.join(train, "id"), n1, n0, lexicon_size, min_docs, min_odds, min_g2)
     lexicon = {f: i for i, f in enumerate(lex)}
     few = sample_by_count(train.filter("y = 1"), n1, sample_docs, "id").unionByName(
         sample_by_count(train.filter("y = 0"), n0, sample_docs, "id"))

@@ -1,0 +1,240 @@
+"""Toxicity, language ID, quality, secrets: numeric cores by brute force, whole
+operators by held-out accuracy on the given tables."""
+
+from __future__ import annotations
+
+import itertools
+import os
+import random
+
+import numpy as np
+import pytest
+from helpers import docs, empty
+from pyspark.sql import functions as F
+
+from lakeloom.llm import language_id, quality, queries, secrets, toxicity
+
+SF = "/root/testdata/sf0.01"
+has_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+
+
+# -- toxicity
+
+def test_forward_backward_against_enumeration():
+    rng = np.random.default_rng(1)
+    length, trans, emit = np.array([5, 1, 3]), rng.normal(size=(2, 2)), rng.normal(size=(5, 3))
+    marg, exp_tr, z = toxicity.forward_backward(emit, length, trans)
+    want, want_tr, want_z = np.zeros((5, 3)), np.zeros((2, 2)), 0.0
+    for s, n in enumerate(length):
+        paths = list(itertools.product((0, 1), repeat=n))
+        w = [np.exp(sum(emit[t, s] * y[t] for t in range(n)) + sum(trans[a, b] for a, b in zip(y, y[1:]))) for y in paths]
+        want_z += np.log(sum(w))
+        for y, v in zip(paths, np.array(w) / sum(w)):
+            for t in range(n):
+                want[t, s] += v * y[t]
+            for a, b in zip(y, y[1:]):
+                want_tr[a, b] += v
+    assert np.allclose(marg, want) and np.allclose(exp_tr, want_tr) and np.isclose(z, want_z)
+
+
+def test_marginals_skip_plain_tokens_exactly():
+    rng = np.random.default_rng(2)
+    model = toxicity.ToxicityModel(bias=-1.3, trans=rng.normal(size=(2, 2)))
+    for n, at in ((1, [0]), (9, [0, 3, 4, 8]), (40, [7, 30]), (5, [4])):
+        e = rng.normal(size=len(at)) * 3
+        emit = np.full((n, 1), model.bias)
+        emit[at, 0] = e
+        marg, _, _ = toxicity.forward_backward(emit, np.array([n]), model.trans)
+        assert np.allclose(toxicity._marginals(np.array(at), e, n, model), marg[at, 0])
+
+
+def toxic_corpus():
+    rng = random.Random(0)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        w = [rng.choice(vocab) for _ in range(rng.randint(5, 80))]
+        if i % 4 == 0:
+            for _ in range(3):
+                w[rng.randrange(len(w))] = rng.choice(["vilex", "nastyish", "nastyest"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, 0, int(i % 4 == 0)))
+    return rows, labels
+
+
+def test_toxicity_scores_and_spans(spark):
+    rows, labels = toxic_corpus()
+    lab = spark.createDataFrame(labels + [(None, 1, 1), (1, 0, None), (0, 0, 1)], "doc_id long, quality int, toxic int")
+    extra = [(9000, None), (9001, ""), (9002, "ab cd vilex ef"), (9002, "ab cd vilex ef"), (None, "plain words"), (9003, "nastyish " * 3000)]
+    df = docs(spark, rows + extra, clash=True)
+    model = toxicity.fit(df, lab)
+    got = toxicity.with_toxicity(df, model)
+    assert got.columns[:len(df.columns)] == df.columns and got.count() == len(rows) + len(extra)
+    by = {r.doc_id: r for r in got.collect()}
+    assert np.mean([(by[i]["__ll_score"] >= 0.7) == (i % 4 == 0) for i, _ in rows]) > 0.98
+    s = by[9002]["__ll_spans"]
+    assert [(x.start, x.end) for x in s] == [(6, 11)] and by[9000]["__ll_spans"] == []
+    assert by[9000]["__ll_score"] == by[9001]["__ll_score"] < 0.5 and by[9003]["__ll_score"] > 0.7
+
+
+def test_toxicity_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, [(1, "a")]), none)
+    assert [r["__ll_score"] for r in toxicity.with_toxicity(docs(spark, [(1, "a")]), model).collect()] == [0.0]
+    assert toxicity.with_toxicity(empty(spark), model).count() == 0
+
+
+@has_data
+def test_toxicity_held_out(spark):
+    got = queries.QUERIES["op5_toxicity"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    r = got.filter("held_out").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()
+    assert r[0] >= 0.92
+
+
+# -- language
+
+def test_grams():
+    assert len(language_id.grams("")) == 0 == len(language_id.grams("12 ,\n34 \U0001f600"))
+    a, b = language_id.grams("Über, den\n\nFluss!"), language_id.grams("über den fluss")
+    assert a.tolist() == b.tolist() and a.max() < language_id.DIM
+    assert len(a) == 16 + 15 + 14  # " über den fluss " and its 1-, 2- and 3-grams
+
+
+def test_ftrl_learns_a_sparse_separator():
+    rng = np.random.default_rng(0)
+    rows = []
+    for _ in range(400):
+        y = int(rng.integers(2))
+        at = np.unique(np.append(rng.integers(10, 2000, 5), [y, language_id.DIM]))
+        rows.append((at, np.ones(len(at), np.float32), y))
+    w = language_id.ftrl(rows, 2, 3)
+    assert all((v @ w[at]).argmax() == y for at, v, y in rows)
+    assert (w != 0).any(axis=1).sum() < 2000 * 0.7
+
+
+def test_temperature():
+    rng = np.random.default_rng(0)
+    z = rng.normal(size=(4000, 3)) * 2
+    p = language_id.softmax(z)
+    y = np.array([rng.choice(3, p=x) for x in p])
+    assert abs(language_id.fit_temperature(5 * z, y) - 5) < 0.7
+    assert language_id.fit_temperature(np.zeros((0,)), np.zeros(0, int)) == 1.0
+
+
+def test_language_edge_rows(spark):
+    rows = [(i, "the cat and the dog " * 3, "en") for i in range(30)] + [(100 + i, "le chat et le chien " * 3, "fr") for i in range(30)]
+    rows += [(200, None, "en"), (201, "", None), (202, "42 !!", "en"), (203, "chat et chien", None), (203, "chat et chien", None), (None, "the dog", "en")]
+    df = docs(spark, rows, clash=True)
+    model = language_id.fit(df)
+    got = language_id.with_language(df, model, ["doc_id"]).collect()
+    by = {r.doc_id: (r["__ll_lang"], r["__ll_score"]) for r in got}
+    assert len(got) == len(rows) and by[200] == by[201] == by[202] == ("und", 0.0)
+    assert by[203][0] == "fr" and by[None][0] == "en" and 0.5 < by[203][1] <= 1
+    nothing = language_id.fit(empty(spark))
+    assert language_id.with_language(empty(spark), nothing, ["doc_id"]).count() == 0
+    assert language_id.with_language(docs(spark, [(1, "word")]), nothing, ["doc_id"]).first()["__ll_lang"] == "und"
+
+
+@has_data
+def test_language_held_out(spark):
+    got = queries.QUERIES["op1_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    assert got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.98
+
+
+# -- quality
+
+def test_isotonic_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        k = int(rng.integers(1, 8))
+        x, n = np.arange(k) / 10.0, rng.integers(1, 5, k).astype(float)
+        y = np.array([rng.integers(0, int(c) + 1) for c in n], float)
+        cx, cy = quality.isotonic(x, n, y)
+        assert (np.diff(cy) > 0).all()
+        # min-max formula of isotonic regression
+        want = [max(min(y[a:b + 1].sum() / n[a:b + 1].sum() for b in range(i, k)) for a in range(i + 1)) for i in range(k)]
+        fit = [cy[np.abs(cy - w).argmin()] for w in want]
+        assert np.allclose(fit, want)
+        assert np.isclose((n * want).sum(), y.sum())
+
+
+def test_statistics_defined_for_any_text():
+    for t in ("", " ", "\n\n", "a", "é" * 10, "A!! B!!\n" * 50, "\x00"):
+        s = quality.statistics(t)
+        assert len(s) == len(quality.STATS) and np.isfinite(s).all()
+
+
+def test_normal_equations_match_one_solve(spark):
+    """Ridge weights from partition sums equal those of one dense solve."""
+    rng = random.Random(1)
+    rows = [(i, ("good plain words here " if i % 3 else "BAD!! ") * rng.randint(1, 20)) for i in range(300)]
+    lab = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int")
+    stats = quality.with_statistics(docs(spark, rows), "doc_id", "text").cache()
+    m = quality.fit(stats, lab, features=16)
+    part = stats.join(lab.withColumnRenamed("doc_id", "id"), "id").filter(quality.fold("id", 4) != 2) \
+        .filter(quality.unit_hash(F.col("id"), seed=3) < 0.75).collect()
+    f = m.features(np.array([r.x for r in part]))
+    y = np.array([r.quality for r in part], float)
+    pen = 1e-3 * len(y) / 16 * np.eye(17)
+    pen[-1, -1] = 1e-9 * len(y)
+    assert np.allclose(f @ np.linalg.solve(f.T @ f + pen, f.T @ y), f @ m.beta, atol=1e-5)
+
+
+def test_quality_edge_rows(spark):
+    rows = [(i, "good plain words here " * 5 if i % 3 else "BAD!! " * 9) for i in range(200)]
+    rows += [(300, None), (301, ""), (0, "again"), (None, "no id")]
+    lab = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    got = quality.quality_scores(docs(spark, rows, clash=True), lab).collect()
+    assert len(got) == len(rows) and all(0 <= r["__ll_score"] <= 1 for r in got)
+    by = {r.doc_id: r["__ll_score"] for r in got}
+    assert by[1] > 0.7 > 0.3 > by[3] and by[300] == by[301]
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r["__ll_score"] for r in quality.quality_scores(docs(spark, rows), none).collect()} == {0.0}
+    assert quality.quality_scores(empty(spark), none).count() == 0
+
+
+@has_data
+def test_quality_held_out(spark):
+    got = queries.QUERIES["op4_quality"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    assert got.filter("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] >= 0.95
+
+
+# -- secrets
+
+def secret_rows():
+    rng = random.Random(5)
+    hexa = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    rows = []
+    for i in range(150):
+        rows.append((i, f"some words of text token = \"{hexa(40)}\" then 4{''.join(rng.choice('0123456789') for _ in range(15))} and more", None, "src1"))
+    return rows
+
+
+def test_candidates_have_exact_places(spark):
+    rows = secret_rows() + [(900, None), (901, ""), (902, "é😀 x1" + "a" * 20 + " é " + "b" * 16 + "2"), (902, "abc1" * 5), (902, "abc1" * 5),
+                            (None, "1" * 16), (903, "a" * 5000), (904, "1" * 15)]
+    got = secrets.candidates(docs(spark, rows, clash=True)).collect()
+    texts = {}
+    for d, t, *_ in rows:
+        texts.setdefault(d, []).append(t)
+    assert all(any(t and t[r.start:r.end] == r.cand for t in texts[r.id]) for r in got)
+    assert sorted(r.cand for r in got if r.id == 902) == sorted(["x1" + "a" * 20, "b" * 16 + "2", "abc1" * 5, "abc1" * 5])
+    assert {r.id for r in got} >= {None, 902} and not {r.id for r in got} & {900, 901, 903, 904}
+    assert len([r for r in got if r.id is not None and r.id < 150]) == 300
+
+
+def test_scan_removes_false_findings(spark):
+    rows = secret_rows()
+    got = secrets.scan(docs(spark, rows, clash=True)).collect()
+    assert len(got) == 300 and all(r.is_secret == (len(r.cand) == 40) for r in got)
+    # Labelled findings replace the silver ones: here the long numbers are the secrets.
+    cands = secrets.candidates(docs(spark, rows))
+    known = cands.filter("id < 100").select(F.col("id").alias("doc_id"), "start", (F.length("cand") == 16).cast("int").alias("label"))
+    got = secrets.scan(docs(spark, rows), known).collect()
+    assert all(r.is_secret == (len(r.cand) == 16) for r in got)
+
+
+def test_scan_edge_tables(spark):
+    assert secrets.scan(empty(spark)).count() == 0
+    only = secrets.scan(docs(spark, [(1, "x 1234567890123456 y")])).first()
+    assert (only.start, only.end, only.score, only.is_secret) == (2, 18, 0.0, False)
