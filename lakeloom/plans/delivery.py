@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeloom.operators.mapping import apply_mapper
-from lakeloom.sinks.exports import write_delivery
+from lakeloom.sinks.exports import check_delivery, write_delivery
 from lakeloom.sinks.tables import lake_ddl
 from lakeloom.sources import files as src_files
 from lakeloom.sources import fs
@@ -27,51 +28,76 @@ def shape_delivery(spark: SparkSession, rows: DataFrame, pairs: list[tuple[str,
     return apply_mapper(rows, pairs)
 
 
-def deliver_entity(spark: SparkSession, ctx: str, table_root: str, columns: list[str],
+def deliver_entity(spark: SparkSession, ctx: str, table_root: str, columns: list[str] | None,
                    state_dir: str, entity_root: str, pairs: list[tuple[str, str]],
                    query: str | None = None, view: str = "increment",
                    run_ts: dt.datetime | str | None = None, layout: str = "ymd",
-                   fmt: str = "json", max_files: int = 100_000, full_listing: bool = False) -> int:
-    """K4: deliver the lake-table files not yet delivered for ``ctx``.
+                   fmt: str = "json", max_files: int = 10_000, lake_fmt: str = "csv",
+                   ingest_ctx: str | None = None, ingest_state: str | None = None) -> int:
+    """K4: deliver every lake-table file not yet delivered for ``ctx``.
 
-    Same manifest protocol as ingest (intent, write, commit). Output goes to
+    Same manifest protocol as ingest (intent, write, commit), in batches of at
+    most ``max_files`` until none is left. Output goes to
     ``<entity_root>/batch_id=<id>/`` (rows carry ``run_date``) with dynamic
     overwrite, so a retried batch replaces its own folder. Returns the number
     of files taken.
 
-    Only day folders on or after the newest day already delivered are
-    listed. An ingest context's clock only moves forward, and a retry reuses
-    its own (latest) day, so new lake files never land in older days. Set
-    ``full_listing`` for a table written by several ingest contexts.
+    With ``ingest_ctx`` and ``ingest_state`` the ingest manifest decides: its
+    recorded columns are read (``columns`` may be None), and in layout
+    ``ymd_batch`` only the files of committed batches are taken. All day
+    folders are listed, since a copied or restored lake may hold news in any.
     """
+    if ingest_ctx and ingest_state:
+        columns = mf.last_columns(spark, ingest_state, ingest_ctx) or columns
+    total = 0
+    while True:
+        n, retried, found = _deliver_batch(spark, ctx, table_root, columns or [], state_dir, entity_root, pairs, query,
+                                           view, run_ts, layout, fmt, max_files, lake_fmt, ingest_ctx, ingest_state,
+                                           first=total == 0)
+        total += n
+        if not retried and found < max_files:
+            return total
+
+
+def _committed_only(spark: SparkSession, files: DataFrame, ingest_ctx: str, ingest_state: str) -> DataFrame:
+    done = (mf.read_manifest(spark, ingest_state)
+            .where((F.col("ctx") == ingest_ctx) & (F.col("state") == mf.COMMITTED)).select("batch_id").distinct())
+    batch = F.regexp_extract("path", r"/batch_id=(\d+)/", 1).try_cast("bigint")
+    return files.withColumn("batch_id", batch).join(done, "batch_id", "left_semi").drop("batch_id")
+
+
+def _deliver_batch(spark, ctx, table_root, columns, state_dir, entity_root, pairs, query, view, run_ts, layout, fmt,
+                   max_files, lake_fmt, ingest_ctx, ingest_state, first) -> tuple[int, bool, int]:
+    """(files delivered, whether it was a retry, files chosen)."""
     manifest = mf.read_manifest(spark, state_dir)
     pending, last_batch = mf.batch_state(manifest, ctx)
-    if pending is not None:
-        batch_id, ts = pending
-        run_ts_sql = ts.strftime("%Y-%m-%d %H:%M:%S")
-        chosen = mf.intent_files(manifest, ctx, batch_id)
-        retried = True
+    retried = pending is not None
+    if retried:
+        run_ts_sql, batch_id = mf.clock_of(pending[0])
+        chosen = mf.existing(spark, mf.intent_files(manifest, ctx, batch_id))
+        fs.delete(spark, f"{entity_root.rstrip('/')}/batch_id={batch_id}")
     else:
         run_ts_sql, batch_id = mf.next_clock(last_batch, run_ts)
-        since = None if full_listing else mf.last_committed_day(manifest, ctx)
-        if since is None:
-            listing = src_files.list_files(spark, table_root, "*.csv")
-        else:
-            listing = src_files.list_files(spark, fs.day_folders_since(spark, table_root, since), "*.csv")
-        chosen = mf.new_files(listing, manifest, ctx).orderBy("mtime", "path").limit(max_files)
-        retried = False
-    files = chosen.collect()  # bounded by max_files
-    if not files:
-        if not retried:
+        new = mf.new_files(src_files.list_files(spark, table_root, "part-*"), manifest, ctx)
+        if ingest_ctx and ingest_state and layout == "ymd_batch":
+            new = _committed_only(spark, new, ingest_ctx, ingest_state)
+        chosen = mf.collect_files(new.orderBy("mtime", "path").limit(max_files))
+    if not chosen:
+        if retried:
+            mf.append(mf.commit_rows(spark, mf.file_frame(spark, []), ctx, batch_id, run_ts_sql), state_dir)
+        elif first:
             mf.commit_empty_run(spark, state_dir, ctx, batch_id, run_ts_sql)
-        return 0
-    file_df = spark.createDataFrame(files, chosen.schema)
+        return 0, retried, 0
+    file_df, paths = mf.file_frame(spark, chosen), [f[0] for f in chosen]
+    reader = spark.read.option("basePath", table_root)
+    if lake_fmt == "csv":
+        rows = reader.schema(lake_ddl(columns, layout)).option("header", "true").csv(paths)
+    else:
+        rows = reader.option("mergeSchema", "true").format(lake_fmt).load(paths)
+    out = shape_delivery(spark, rows, pairs, query, view)  # a plan that fails leaves no intent
+    check_delivery(out)
     if not retried:
         mf.append(mf.manifest_rows(file_df, ctx, batch_id, run_ts_sql, mf.INTENT), state_dir)
-    ddl = lake_ddl(columns, layout)
-    rows = (spark.read.schema(ddl).option("header", "true").option("basePath", table_root)
-            .csv([r["path"] for r in files]))
-    out = shape_delivery(spark, rows, pairs, query, view)
     write_delivery(out, entity_root, run_ts_sql[:10], batch_id, fmt)
     mf.append(mf.commit_rows(spark, file_df, ctx, batch_id, run_ts_sql), state_dir)
-    return len(files)
+    return len(chosen), retried, len(chosen)

@@ -1,8 +1,8 @@
 """File arrival → queryable table (the main path).
 
 ``ingest`` = list → anti-join the manifest → probe headers → read by header
-group → stamp → partitioned write → commit. Three small actions on metadata
-(listing, header probe, manifest) and one data pass.
+group → stamp → partitioned write → commit, chunk by chunk until nothing is
+left. Per chunk: small actions on metadata and one data pass.
 """
 
 from __future__ import annotations
@@ -14,10 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions.stamps import stamp_upload_time
-from lakeloom.sinks.tables import register_table, write_partitioned
+from lakeloom.sinks.tables import PARTITION_TYPES, batch_folder, register_table, write_partitioned
 from lakeloom.sources import files as src_files
+from lakeloom.sources import fs
 from lakeloom.sources import manifest as mf
 
+# Names the stamp owns: a source column of such a name is replaced by it.
+RESERVED = ("upload_time", *PARTITION_TYPES, src_files.CORRUPT_COL, src_files.SOURCE_PATH, src_files.SOURCE_MTIME)
+
 
 class SimulatedCrash(RuntimeError):
     """Raised by ``stop_after`` to test recovery between write and commit."""
@@ -25,54 +29,79 @@ class SimulatedCrash(RuntimeError):
 
 @dataclass
 class IngestResult:
+    """``batch_id`` and ``run_ts`` are the last batch's; ``files`` counts all."""
+
     ctx: str
     batch_id: int | None
     run_ts: str | None
     files: int
     columns: list[str] = field(default_factory=list)
     retried: bool = False
+    batches: list[int] = field(default_factory=list)
 
 
 def ingest(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
            run_ts: dt.datetime | str | None = None, layout: str = "ymd", fmt: str = "csv",
-           max_files: int = 100_000, glob: str = "*.csv", csv_options: dict | None = None,
+           max_files: int = 10_000, glob: str = "*.csv", csv_options: dict | None = None,
            rejects_dir: str | None = None, stop_after: str | None = None) -> IngestResult:
-    """Ingest the files under ``src`` that are new or modified since the last commit.
+    """Ingest every file under ``src`` that is new or modified since the last commit.
 
-    At most ``max_files`` files (oldest first) are taken per run; the rest wait
-    for the next run, so the path list that reaches the driver stays bounded.
+    Files are taken in batches of at most ``max_files`` (oldest first), so the
+    path list on the driver stays bounded; the call returns when none is left.
     An open intent (crash after write, before commit) is retried first with its
-    own batch id, run time and file list. ``rejects_dir`` keeps malformed lines
-    at the cost of a second pass over the run's files.
+    own batch id, run time and file list, less the files that have gone since.
+    ``rejects_dir`` keeps malformed lines at the cost of a second pass over the
+    batch's files.
     """
+    out, last = [], None
+    while last is None or last.retried or last.files >= max_files:
+        last = _ingest_batch(spark, ctx, src, dst, state_dir, run_ts, layout, fmt, max_files, glob,
+                             csv_options, rejects_dir, stop_after, first=not out)
+        out.append(last)
+    taken = [r for r in out if r.files] or out[-1:]
+    return IngestResult(ctx, taken[-1].batch_id, taken[-1].run_ts, sum(r.files for r in out),
+                        next((r.columns for r in reversed(out) if r.columns), []),
+                        any(r.retried for r in out), [r.batch_id for r in out if r.files])
+
+
+def _ingest_batch(spark, ctx, src, dst, state_dir, run_ts, layout, fmt, max_files, glob, csv_options,
+                  rejects_dir, stop_after, first) -> IngestResult:
     manifest = mf.read_manifest(spark, state_dir)
     pending, last_batch = mf.batch_state(manifest, ctx)
-    if pending is not None:
-        batch_id, ts = pending
-        run_ts_sql = ts.strftime("%Y-%m-%d %H:%M:%S")
-        chosen = mf.intent_files(manifest, ctx, batch_id)
-        retried = True
+    retried = pending is not None
+    if retried:
+        run_ts_sql, batch_id = mf.clock_of(pending[0])
+        chosen = mf.existing(spark, mf.intent_files(manifest, ctx, batch_id))
     else:
         run_ts_sql, batch_id = mf.next_clock(last_batch, run_ts)
-        listing = src_files.list_files(spark, src, glob)
-        candidates = mf.new_files(listing, manifest, ctx)
-        chosen = candidates.orderBy("mtime", "path").limit(max_files)
-        retried = False
-    files = chosen.collect()  # bounded by max_files
-    if not files:
-        if not retried:
+        candidates = mf.new_files(src_files.list_files(spark, src, glob), manifest, ctx)
+        chosen = mf.collect_files(candidates.orderBy("mtime", "path").limit(max_files))
+    if retried and layout == "ymd_batch":
+        # The retry rewrites the batch; whatever the first try left goes, also
+        # if no row is left to write.
+        fs.delete(spark, f"{dst.rstrip('/')}/{batch_folder(run_ts_sql, batch_id)}")
+        if rejects_dir:
+            fs.delete(spark, f"{rejects_dir.rstrip('/')}/batch_id={batch_id}")
+    if not chosen:
+        if retried:
+            mf.append(mf.commit_rows(spark, mf.file_frame(spark, []), ctx, batch_id, run_ts_sql), state_dir)
+        elif first:
             mf.commit_empty_run(spark, state_dir, ctx, batch_id, run_ts_sql)
-        return IngestResult(ctx, batch_id, run_ts_sql, 0)
-    file_df = spark.createDataFrame(files, chosen.schema)
-    if not retried:
-        mf.append(mf.manifest_rows(file_df, ctx, batch_id, run_ts_sql, mf.INTENT), state_dir)
+        return IngestResult(ctx, batch_id, run_ts_sql, 0, retried=retried)
+    file_df = mf.file_frame(spark, chosen)
 
-    groups = src_files.header_groups(file_df)
+    # Headers and the plan are checked before the intent is written: input that
+    # cannot be read must not leave an intent that fails for ever.
+    groups = src_files.header_groups(file_df, csv_options)
     known = mf.last_columns(spark, state_dir, ctx)
-    columns = src_files.merge_columns(groups, known)
-    size = (len(files), sum(len(r["path"]) + 24 for r in files))  # known on the driver
+    columns = src_files.merge_columns(groups, known, RESERVED)
+    size = (len(chosen), sum(len(r[0]) + 24 for r in chosen))  # known on the driver
     raw = src_files.listed_versions_only(src_files.csv_scan(spark, groups, columns, csv_options),
                                          file_df, size)
+    rows = raw.drop(src_files.CORRUPT_COL, src_files.SOURCE_PATH, src_files.SOURCE_MTIME)
+    stamped = stamp_upload_time(rows, run_ts_sql, batch_id if layout == "ymd_batch" else None)
+    if not retried:
+        mf.append(mf.manifest_rows(file_df, ctx, batch_id, run_ts_sql, mf.INTENT), state_dir)
     if rejects_dir:
         # Spark refuses a raw CSV query that reads only the corrupt-record
         # column, so the parsed fields travel with the line.
@@ -80,35 +109,27 @@ def ingest(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
          .select(F.col(src_files.CORRUPT_COL).alias("line"),
                  *[F.col(f"`{c}`") for c in columns],
                  F.lit(batch_id).cast("bigint").alias("batch_id"))
-         .write.mode("append").parquet(rejects_dir))
-    rows = raw.drop(src_files.CORRUPT_COL, src_files.SOURCE_PATH, src_files.SOURCE_MTIME)
-    stamped = stamp_upload_time(rows, run_ts_sql, batch_id if layout == "ymd_batch" else None)
+         .write.partitionBy("batch_id").mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").parquet(rejects_dir))
     write_partitioned(stamped, dst, layout=layout, fmt=fmt)
     if stop_after == "write":
         raise SimulatedCrash(f"stopped after writing batch {batch_id}")
     # Commit only files still at their listed version; one rewritten during
-    # the run is read again, whole, by the next run.
-    unchanged = file_df.join(src_files.list_files(spark, src, glob), ["path", "mtime", "length"],
-                             "left_semi")
+    # the run is read again, whole, by the next run. Only the folders of the
+    # batch's files are listed again.
+    folders = sorted({r[0].rsplit("/", 1)[0] for r in chosen})
+    now = src_files.list_files(spark, [f for f in folders if fs.exists(spark, f)], "*", recursive=False)
+    unchanged = file_df.join(now, ["path", "mtime", "length"], "left_semi")
     mf.append(mf.commit_rows(spark, unchanged, ctx, batch_id, run_ts_sql), state_dir)
     if columns != known:
         mf.record_columns(spark, state_dir, ctx, batch_id, columns)
-    return IngestResult(ctx, batch_id, run_ts_sql, len(files), columns, retried)
+    return IngestResult(ctx, batch_id, run_ts_sql, len(chosen), columns, retried)
 
 
 def ingest_all(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
-               run_ts: dt.datetime | str | None = None, **kw) -> list[IngestResult]:
-    """Run ``ingest`` until no new file is left (each run bounded by max_files)."""
-    out = []
-    while True:
-        res = ingest(spark, ctx, src, dst, state_dir, run_ts=run_ts, **kw)
-        out.append(res)
-        if res.files == 0:
-            return out
-        if run_ts is not None:
-            # Later runs of one call get later clocks so batch ids stay unique.
-            base = dt.datetime.fromisoformat(str(res.run_ts))
-            run_ts = base + dt.timedelta(seconds=1)
+               run_ts: dt.datetime | str | None = None, **kw) -> IngestResult:
+    """``ingest``, under its earlier name: one call takes every file."""
+    return ingest(spark, ctx, src, dst, state_dir, run_ts=run_ts, **kw)
 
 
 def ingest_and_register(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
@@ -128,11 +149,10 @@ def ingest_and_register(spark: SparkSession, ctx: str, src: str, dst: str, state
 
 
 def read_increment(spark: SparkSession, ctx: str, src: str, state_dir: str,
-                   max_files: int = 100_000, glob: str = "*.csv") -> DataFrame:
-    """S2 alone: the rows of files not yet committed for ``ctx`` (no write)."""
+                   glob: str = "*.csv", csv_options: dict | None = None) -> DataFrame:
+    """S2 alone: the rows of all files not yet committed for ``ctx`` (no write)."""
     manifest = mf.read_manifest(spark, state_dir)
-    chosen = (mf.new_files(src_files.list_files(spark, src, glob), manifest, ctx)
-              .orderBy("mtime", "path").limit(max_files))
-    groups = src_files.header_groups(chosen)
-    return src_files.csv_scan(spark, groups).drop(src_files.CORRUPT_COL, src_files.SOURCE_PATH,
-                                                  src_files.SOURCE_MTIME)
+    new = mf.new_files(src_files.list_files(spark, src, glob), manifest, ctx)
+    groups = src_files.header_groups(new, csv_options)
+    return src_files.csv_scan(spark, groups, options=csv_options).drop(
+        src_files.CORRUPT_COL, src_files.SOURCE_PATH, src_files.SOURCE_MTIME)

@@ -14,6 +14,13 @@ LINK_SECONDS = 86400
 EXPORT_KEYS = ["domain_name", "domain_unit_name", "project_name", "asset_name"]
 
 
+def check_delivery(df: DataFrame) -> None:
+    """A mapped column may not take a name that the delivery itself writes."""
+    taken = [c for c in df.columns if c.lower() in ("run_date", "batch_id")]
+    if taken:
+        raise ValueError(f"mapped columns {taken} would be overwritten by the delivery's own")
+
+
 def write_delivery(df: DataFrame, entity_root: str, run_date: str, batch_id: int,
                    fmt: str = "json") -> None:
     """K4 write: the entity's mapped rows under ``<root>/batch_id=<b>/``, each
@@ -23,6 +30,7 @@ def write_delivery(df: DataFrame, entity_root: str, run_date: str, batch_id: int
     idempotent, even when the retry runs on a later day; other batches are
     untouched.
     """
+    check_delivery(df)
     (df.withColumn("run_date", F.lit(run_date)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
      .write.partitionBy("batch_id").mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").format(fmt).save(entity_root))

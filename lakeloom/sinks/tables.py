@@ -37,6 +37,12 @@ def lake_ddl(columns: list[str], layout: str = "ymd", with_partitions: bool = Tr
     return ", ".join(cols)
 
 
+def batch_folder(run_ts_sql: str, batch_id: int) -> str:
+    """Where a batch's rows are, under a table of layout ``ymd_batch``."""
+    d = dt.date.fromisoformat(run_ts_sql[:10])
+    return f"year={d.year}/month={d.month}/day={d.day}/batch_id={batch_id}"
+
+
 def write_partitioned(df: DataFrame, path: str, layout: str = "ymd", fmt: str = "csv",
                       max_records_per_file: int | None = None) -> None:
     """K1: write under year=/month=/day=[/batch_id=].

@@ -13,6 +13,7 @@ from __future__ import annotations
 import csv
 import functools
 import io
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -59,62 +60,74 @@ def _local_uri(path: str) -> str:
     return path
 
 
-def _first_line(path: str, limit: int = 1 << 20) -> str | None:
+def _first_line(path: str, encoding: str) -> str | None:
+    """The whole first line, however long; None for an empty file."""
     from pyarrow import fs as pafs
 
     filesystem, inner = pafs.FileSystem.from_uri(_local_uri(path))
-    buf = b""
+    parts: list[bytes] = []
     # Compression follows the extension (.gz, .bz2, .zst …), as in Spark's reader.
     with filesystem.open_input_stream(inner, compression="detect") as f:
-        while len(buf) < limit:
-            chunk = f.read(65536)
-            if not chunk:
-                break
-            buf += chunk
+        while chunk := f.read(65536):
+            parts.append(chunk)
             if b"\n" in chunk:
                 break
-    if not buf:
+    if not parts:
         return None
-    line = buf.split(b"\n", 1)[0].rstrip(b"\r")
-    return line.decode("utf-8-sig", errors="replace")
+    text = b"".join(parts).decode("utf-8-sig" if encoding.lower() == "utf-8" else encoding, errors="replace")
+    return text.split("\n", 1)[0].rstrip("\r")
+
 
+def _option(options: dict | None, *names: str, default: str) -> str:
+    """A reader option under any of its names, as Spark reads it."""
+    low = {k.lower(): v for k, v in (options or {}).items()}
+    return str(next((low[n] for n in names if n in low), default))
 
-def _parse_header(line: str | None) -> list[str] | None:
+
+def _parse_header(line: str | None, sep: str = ",", quote: str = '"') -> list[str] | None:
+    """The fields of a header line, spaces around them dropped."""
     if line is None:
         return None
-    row = next(csv.reader(io.StringIO(line)), [])
+    if len(sep) > 1 or not quote:
+        return [c.strip() for c in line.split(sep)]
+    row = next(csv.reader(io.StringIO(line), delimiter=sep, quotechar=quote, skipinitialspace=True), [])
     return [c.strip() for c in row]
 
 
-def _probe_batches(batches):
+def _probe_batches(batches, sep: str, quote: str, encoding: str):
+    import pyarrow as pa
+
     for pdf in batches:
         heads, unread = [], []
         for p in pdf["path"]:
+            head, missed = None, False
             try:
-                heads.append(_parse_header(_first_line(p)))
-                unread.append(False)
-            except Exception:  # noqa: BLE001 — file system not reachable from Python
-                heads.append(None)
-                unread.append(True)
+                head = _parse_header(_first_line(p, encoding), sep, quote)
+            except FileNotFoundError:
+                pass  # gone since it was listed: not read, and not committed
+            except (pa.ArrowInvalid, pa.ArrowNotImplementedError, ImportError):
+                missed = True  # a file system that Python cannot reach
+            heads.append(head)
+            unread.append(missed)
         yield pd.DataFrame({"path": pdf["path"], "columns": heads, "unread": unread})
 
 
-def probe_headers(listing: DataFrame) -> DataFrame:
+def probe_headers(listing: DataFrame, options: dict | None = None) -> DataFrame:
     """(path, columns array<string>, unread) for each listed file; read on
-    executors. Empty files get a null header and are left out of the scan;
-    ``unread`` marks files Python could not open (see ``spark_headers``)."""
+    executors with the reader's own separator, quote and encoding. Empty files
+    get a null header and are left out of the scan; ``unread`` marks files on a
+    file system Python cannot reach (see ``spark_headers``). A file that may
+    not be read fails the run before anything is written."""
     from lakeloom.session import ship_package
 
     ship_package(listing.sparkSession)  # the workers import this module
-    return listing.select("path").mapInPandas(
-        _probe_batches, "path string, columns array<string>, unread boolean")
+    probe = functools.partial(_probe_batches, sep=_option(options, "sep", "delimiter", default=","),
+                              quote=_option(options, "quote", default='"'),
+                              encoding=_option(options, "encoding", "charset", default="utf-8"))
+    return listing.select("path").mapInPandas(probe, "path string, columns array<string>, unread boolean")
 
 
-# A comma outside double quotes (CSV header field separator).
-_FIELD_SEP = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
-def spark_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+def spark_headers(spark: SparkSession, paths: list[str], options: dict | None = None) -> DataFrame:
     """(path, columns) from the first line of each file, read by Spark itself.
 
     The fallback for files the Python probe cannot open (e.g. a file system
@@ -129,52 +142,65 @@ def spark_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
              .where(F.col("start") == 0))
     first = lines.groupBy("path").agg(F.min_by("value", "i").alias("line"))
     line = F.regexp_replace(F.regexp_replace("line", "^\ufeff", ""), "\r$", "")
-    fields = F.transform(F.split(line, _FIELD_SEP),
-                         lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), '""', '"'))
+    sep, q = re.escape(_option(options, "sep", "delimiter", default=",")), re.escape(_option(options, "quote", default='"'))
+    # A separator outside quotes: an even number of quotes follows.
+    fields = F.transform(F.split(line, f"{sep}(?=(?:[^{q}]*{q}[^{q}]*{q})*[^{q}]*$)"),
+                         lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), f"^{q}(.*){q}$", "$1"), q + q, q)))
     return first.select("path", fields.alias("columns"))
 
 
-def _group(heads: DataFrame, listing: DataFrame) -> list:
-    return (heads.where(F.col("columns").isNotNull())
-            .join(listing.select("path", "mtime"), "path")
-            .groupBy("columns")
-            .agg(F.min(F.struct("mtime", "path")).alias("first"),
-                 F.sort_array(F.collect_list("path")).alias("paths"))
-            .collect())
-
-
-def header_groups(listing: DataFrame) -> list[tuple[tuple[str, ...], list[str]]]:
+def header_groups(listing: DataFrame, options: dict | None = None) -> list[tuple[tuple[str, ...], list[str]]]:
     """Group the listed files by header, in first-modified order (then path).
 
-    Only the (bounded) file list of one run reaches the driver: one row per
-    distinct header, holding its paths. Files the Python probe could not open
-    are probed by Spark (``spark_headers``).
+    One row per file reaches the driver (the file list of one batch is bounded
+    and is there already); no task gathers paths. Files the Python probe could
+    not open are probed by Spark (``spark_headers``).
     """
     # One row per file, used twice below: kept so first lines are read once.
-    probe = probe_headers(listing).persist()
+    probe = probe_headers(listing, options).persist()
     try:
         unread = [r["path"] for r in probe.where("unread").select("path").collect()]
         heads = probe.where(~F.col("unread")).select("path", "columns")
         if unread:
-            heads = heads.unionByName(spark_headers(listing.sparkSession, unread))
-        merged = _group(heads, listing)
+            heads = heads.unionByName(spark_headers(listing.sparkSession, unread, options))
+        rows = heads.where(F.col("columns").isNotNull()).join(listing.select("path", "mtime"), "path") \
+            .select(F.unix_micros("mtime").alias("at"), "path", "columns").collect()
     finally:
         probe.unpersist()
-    merged.sort(key=lambda r: (r["first"]["mtime"], r["first"]["path"]))
-    return [(tuple(r["columns"]), list(r["paths"])) for r in merged]
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r["at"], r["path"])):
+        groups.setdefault(tuple(r["columns"]), []).append(r["path"])
+    return list(groups.items())
+
+
+def field_names(header: tuple[str, ...]) -> list[str]:
+    """Usable names for the fields of one header: an empty name becomes
+    ``_c<i>``, one that differs from an earlier name only by case gets a suffix
+    (Spark's columns do not differ by case)."""
+    out, seen = [], set()
+    for i, c in enumerate(header):
+        name, k = c or f"_c{i}", 2
+        while name.lower() in seen:
+            name, k = f"{c or f'_c{i}'}_{k}", k + 1
+        seen.add(name.lower())
+        out.append(name)
+    return out
 
 
 def read_csv_group(spark: SparkSession, columns: tuple[str, ...], paths: list[str],
                    options: dict | None = None) -> DataFrame:
     """Read files that share one header; every column is a string.
 
-    Lines with the wrong number of fields keep their text in ``_corrupt_record``.
+    The header was read from every file of the group, and rows of a file that
+    has changed since are dropped (``listed_versions_only``), so fields go by
+    position. Lines with the wrong number of fields keep their text in
+    ``_corrupt_record``.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
+    schema = T.StructType([T.StructField(f"_f{i}", T.StringType()) for i in range(len(columns))]
                           + [T.StructField(CORRUPT_COL, T.StringType())])
     reader = (spark.read.schema(schema)
               .option("header", "true")
-              .option("enforceSchema", "false")
+              .option("enforceSchema", "true")
               .option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", CORRUPT_COL))
     for k, v in (options or {}).items():
@@ -183,17 +209,22 @@ def read_csv_group(spark: SparkSession, columns: tuple[str, ...], paths: list[st
     # Where each row came from, in the listing's form: Spark reports the file
     # path URL-encoded; a literal "+" is protected before decoding.
     src = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return df.select("*", src.alias(SOURCE_PATH),
+    reserved = {CORRUPT_COL, SOURCE_PATH, SOURCE_MTIME}
+    named = [F.col(f"_f{i}").alias(c) for i, c in enumerate(field_names(columns)) if c.lower() not in reserved]
+    return df.select(*named, F.col(CORRUPT_COL), src.alias(SOURCE_PATH),
                      F.col("_metadata.file_modification_time").alias(SOURCE_MTIME))
 
 
-def merge_columns(groups: list[tuple[tuple[str, ...], list[str]]],
-                  base: list[str] | None = None) -> list[str]:
-    """A5: union of column names, known ones first, new ones in arrival order."""
+def merge_columns(groups: list[tuple[tuple[str, ...], list[str]]], base: list[str] | None = None,
+                  reserved: tuple[str, ...] = ()) -> list[str]:
+    """A5: union of column names, known ones first, new ones in arrival order.
+    Names are one if they differ by case only; ``reserved`` names are left out."""
     out = list(base or [])
+    seen = {c.lower() for c in out} | {c.lower() for c in reserved}
     for cols, _ in groups:
-        for c in cols:
-            if c not in out:
+        for c in field_names(cols):
+            if c.lower() not in seen:
+                seen.add(c.lower())
                 out.append(c)
     return out
 
@@ -206,7 +237,7 @@ def csv_scan(spark: SparkSession, groups: list[tuple[tuple[str, ...], list[str]]
     ``_corrupt_record``, ``_source_path`` and ``_source_mtime`` (the file
     and the change time each row was read from).
     """
-    order = merge_columns(groups, columns)
+    order = list(columns) if columns is not None else merge_columns(groups)
     frames = [read_csv_group(spark, cols, paths, options) for cols, paths in groups]
     if not frames:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in order]
@@ -215,7 +246,8 @@ def csv_scan(spark: SparkSession, groups: list[tuple[tuple[str, ...], list[str]]
                                  T.StructField(SOURCE_MTIME, T.TimestampType())])
         return spark.createDataFrame([], schema)
     df = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c)
+    have = {c.lower() for c in df.columns}
+    return df.select(*[F.col(f"`{c}`").alias(c) if c.lower() in have else F.lit(None).cast("string").alias(c)
                        for c in order], CORRUPT_COL, SOURCE_PATH, SOURCE_MTIME)
 
 

@@ -59,37 +59,3 @@ def file_sizes(spark: SparkSession, folder: str, suffix: str = "") -> list[tuple
     return sorted((st.getPath().toString(), int(st.getLen())) for st in fs.listStatus(p)
                   if st.isFile() and not st.getPath().getName().startswith(("_", "."))
                   and st.getPath().getName().endswith(suffix))
-
-
-def day_folders_since(spark: SparkSession, root: str, since) -> list[str]:
-    """Folders ``root/year=Y/month=M/day=D`` with a date on or after ``since``.
-
-    Walks only the year and month folders that can hold such days, so the
-    cost follows the days since ``since``, not the table's age.
-    """
-    fs, p = _fs_and_path(spark, root)
-    if not fs.exists(p):
-        return []
-
-    def children(path, key):
-        out = []
-        for st in fs.listStatus(path):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith(key + "="):
-                try:
-                    out.append((int(name.split("=", 1)[1]), st.getPath()))
-                except ValueError:
-                    pass
-        return out
-
-    days = []
-    for y, yp in children(p, "year"):
-        if y < since.year:
-            continue
-        for m, mp in children(yp, "month"):
-            if (y, m) < (since.year, since.month):
-                continue
-            for d, dp in children(mp, "day"):
-                if (y, m, d) >= (since.year, since.month, since.day):
-                    days.append(dp.toString())
-    return sorted(days)

@@ -10,10 +10,13 @@ data write and the commit leaves an open intent that the next run retries.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeloom.functions.stamps import run_clock
 from lakeloom.sources import fs
 
 MANIFEST_SCHEMA = T.StructType([
@@ -90,25 +93,34 @@ def next_clock(last_batch: int | None, run_ts=None) -> tuple[str, int]:
     seconds, moved past ``last_batch`` when needed, so batch ids stay unique
     and increasing (two runs in one second would otherwise share a batch
     partition)."""
-    import datetime as dt
-
-    from lakeloom.functions.stamps import run_clock
-
     ts_sql, batch_id = run_clock(run_ts)
     if last_batch is not None and batch_id <= last_batch:
-        batch_id = last_batch + 1
-        ts_sql = dt.datetime.fromtimestamp(batch_id, dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        ts_sql, batch_id = clock_of(last_batch + 1)
     return ts_sql, batch_id
 
 
-def last_committed_day(manifest: DataFrame, ctx: str):
-    """The newest ``year=/month=/day=`` date among files committed for
-    ``ctx`` (a date), or None."""
-    ymd = [F.regexp_extract("path", rf"/{k}=(\d+)/", 1) for k in ("year", "month", "day")]
-    row = (manifest.where((F.col("ctx") == ctx) & (F.col("state") == COMMITTED) & F.col("path").isNotNull())
-           .select(F.try_to_date(F.concat_ws("-", *ymd), "y-M-d").alias("d"))
-           .agg(F.max("d").alias("d")).first())
-    return row["d"] if row is not None else None
+def clock_of(batch_id: int) -> tuple[str, int]:
+    """The clock of a batch, from its id alone: epoch seconds, in UTC whatever
+    the driver's zone."""
+    return run_clock(dt.datetime.fromtimestamp(batch_id, dt.timezone.utc))
+
+
+def collect_files(files: DataFrame) -> list[tuple]:
+    """(path, change time in microseconds, length) on the driver. The change
+    time stays a number, so the driver's zone cannot touch it."""
+    return [tuple(r) for r in files.select("path", F.unix_micros("mtime"), "length").collect()]
+
+
+def file_frame(spark: SparkSession, files: list[tuple]) -> DataFrame:
+    """The opposite of ``collect_files``."""
+    df = spark.createDataFrame(files, "path string, micros long, length long")
+    return df.select("path", F.timestamp_micros("micros").alias("mtime"), "length")
+
+
+def existing(spark: SparkSession, files: DataFrame) -> list[tuple]:
+    """``collect_files`` of those that are still there; an intent holds no more
+    than the files of one batch."""
+    return [f for f in collect_files(files) if fs.exists(spark, f[0])]
 
 
 def intent_files(manifest: DataFrame, ctx: str, batch_id: int) -> DataFrame:

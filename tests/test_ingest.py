@@ -78,12 +78,12 @@ def test_crash_between_write_and_commit_retries_same_batch(spark, work):
     write_file(work, "src/a.csv", "id,v\n1,x\n2,y\n")
     with pytest.raises(SimulatedCrash):
         ingest(spark, "t", src, lake, state, run_ts="2024-03-05", layout="ymd_batch", stop_after="write")
-    # a new file arriving meanwhile waits for the next run
+    # a new file arriving meanwhile is taken after the retry, in a batch of its own
     write_file(work, "src/b.csv", "id,v\n3,z\n")
     res = ingest(spark, "t", src, lake, state, run_ts="2024-03-06", layout="ymd_batch")
-    assert res.retried and res.batch_id == 1709596800 and res.files == 1
+    assert res.retried and res.batches[0] == 1709596800 and res.files == 2 and len(res.batches) == 2
     res = ingest(spark, "t", src, lake, state, run_ts="2024-03-06", layout="ymd_batch")
-    assert res.files == 1 and not res.retried
+    assert res.files == 0 and not res.retried
     got = read_lake_table(spark, lake, ["id", "v"], layout="ymd_batch").select("id", "day").orderBy("id").collect()
     assert [tuple(r) for r in got] == [("1", 5), ("2", 5), ("3", 6)]
 
@@ -220,16 +220,12 @@ def test_spark_header_fallback_matches_python_probe(spark, work):
     assert sorted(map(tuple, sp.values())) == [("id", "v"), ("v", "id, with comma", "w"), ("w", "id")]
 
 
-def test_file_cap_defers_the_rest_and_ingest_all_takes_everything(spark, work):
-    from lakeloom.plans.ingest import ingest_all
-
+def test_one_call_takes_every_file_in_bounded_batches(spark, work):
     src, lake, state = f"{work}/src", f"{work}/lake", f"{work}/state"
     for k in range(5):
         write_file(work, f"src/f{k}.csv", f"id,v\n{k},x{k}\n")
-    first = ingest(spark, "t", src, lake, state, run_ts="2024-03-05", max_files=2)
-    assert first.files == 2
-    runs = ingest_all(spark, "t", src, lake, state, run_ts="2024-03-05", max_files=2)
-    assert [r.files for r in runs] == [2, 1, 0]
+    res = ingest(spark, "t", src, lake, state, run_ts="2024-03-05", max_files=2)
+    assert res.files == 5
+    assert len(set(res.batches)) == 3  # distinct batches although the clock was fixed
     got = read_lake_table(spark, lake, ["id", "v"]).select("id").collect()
     assert sorted(r.id for r in got) == ["0", "1", "2", "3", "4"]
-    assert len({r.batch_id for r in runs}) == 3  # distinct batches although the clock was fixed
