@@ -2,8 +2,9 @@
 
 A3 and A4 use ``max_by`` over a struct ordering key rather than a window with
 ``row_number``: ``max_by`` aggregates partially on the map side, so a key that
-holds a third of all rows is folded to one row per task before the shuffle,
-instead of being sorted in a single task.
+holds a third of all rows is folded to one row per task before the shuffle.
+Spark runs it as a sort aggregate: each task sorts its own rows by key, so only
+the columns that are needed should be passed in.
 """
 
 from __future__ import annotations
@@ -64,8 +65,9 @@ def principal_of(requests: DataFrame) -> DataFrame:
 
 def valid_request(requests: DataFrame) -> F.Column:
     """A request takes effect only with a known type, policy and principal."""
-    return (F.col("RequestType").isin(CREATE, UPDATE, DELETE) & F.col("PolicyType").isin(POLICY_TYPES)
-            & F.col("principal_kind").isNotNull())
+    known = (F.col("RequestType").isin(CREATE, UPDATE, DELETE) & F.col("PolicyType").isin(POLICY_TYPES)
+             & F.col("principal_kind").isNotNull())
+    return F.coalesce(known, F.lit(False))  # a null type or policy is no known one
 
 
 def grant_state(requests: DataFrame, keys: list[str] | None = None,
@@ -75,14 +77,16 @@ def grant_state(requests: DataFrame, keys: list[str] | None = None,
     Requests with an unknown policy type or principal fail and change
     nothing. Of the rest, the latest request per grant key decides; a Delete
     removes the grant. The include-children flag is parsed from text
-    (``"false"`` is false).
+    (``"false"`` is false); the environment policies have none, so it is false
+    for them whatever the request says.
     """
     keys = keys or GRANT_KEYS
     order = order or ["ts", "request_id"]
     ok = principal_of(requests)
     last = latest_per_key(ok.where(valid_request(ok)), keys, order)
     return (last.where(F.col("RequestType") != DELETE)
-            .withColumn("include_child", child_flag("IncludeChildDomainUnits")))
+            .withColumn("include_child", child_flag("IncludeChildDomainUnits")
+                        & ~F.col("PolicyType").isin(ENV_PROFILE, ENVIRONMENT)))
 
 
 def rejected_requests(requests: DataFrame) -> DataFrame:

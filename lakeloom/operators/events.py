@@ -49,16 +49,18 @@ def match_events(events: DataFrame, sources: list[str], detail_types: list[str]
 
 
 def resolve_rule_buckets(rules: DataFrame, bucket_map: DataFrame | None) -> DataFrame:
-    """Rules with one row per bucket name, logical names resolved.
+    """Rules with one row per bucket, logical names resolved.
 
-    Rules without a bucket list keep one row with a null bucket.
+    Rules without a bucket list keep one row with a null bucket; names that
+    resolve to one bucket give one row.
     """
     from lakeloom.operators.lookups import lookup_or_self
 
+    rules = rules.withColumn("_rule", F.to_json(F.struct(*rules.columns)))
     exploded = rules.select("*", F.explode_outer("bucket_names").alias("bucket"))
     if bucket_map is not None:
         exploded = lookup_or_self(exploded, "bucket", bucket_map, "logical", "real")
-    return exploded.drop("bucket_names")
+    return exploded.dropDuplicates(["_rule", "bucket"]).drop("bucket_names", "_rule")
 
 
 def route_events(events: DataFrame, rules: DataFrame, bucket_map: DataFrame | None = None,
@@ -79,11 +81,11 @@ def route_events(events: DataFrame, rules: DataFrame, bucket_map: DataFrame | No
 
     # A catalog rule tests only "domain is ours": without a domain list it is
     # skipped, and a bucket list on it is ignored.
-    catalog = F.array_contains("source", CATALOG_SOURCE)
-    live = rules.where(F.col("enabled") & ~(catalog & F.coalesce(F.size("domains") <= 0, F.lit(True))))
-    live = live.withColumn("bucket_names", F.when(catalog, F.lit(None)).otherwise(F.col("bucket_names")))
+    catalog = F.coalesce(F.get("source", F.lit(0)) == CATALOG_SOURCE, F.lit(False))  # the first source decides
+    live = rules.where(F.coalesce("enabled", F.lit(True)) & ~(catalog & F.coalesce(F.size("domains") <= 0, F.lit(True))))
+    live = live.withColumn("bucket_names", F.when(~catalog, F.col("bucket_names")))
     r = (resolve_rule_buckets(live, bucket_map)
-         .select("*", F.explode("source").alias("r_source")))
+         .select("*", F.explode(F.array_distinct("source")).alias("r_source")))
     r = bounded_broadcast(r, max_rule_rows).alias("r")
     e = events.alias("e")
     cond = ((F.col("e.source") == F.col("r.r_source"))

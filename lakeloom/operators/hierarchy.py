@@ -36,8 +36,7 @@ def fan_out_entities(units: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy_closure(spark: SparkSession, edges: DataFrame, max_depth: int = 100,
-                      checkpoint_every: int = 1,
+def hierarchy_closure(spark: SparkSession, edges: DataFrame,
                       max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """(node, ancestor, depth) for every node and each of its ancestors.
 
@@ -51,7 +50,9 @@ def hierarchy_closure(spark: SparkSession, edges: DataFrame, max_depth: int = 10
     a tree, are then attached with a single join: a node's ancestors at
     distance d ≥ 1 are its parent's ancestors at distance d - 1. That join
     goes through ``skew_join``, because one parent may hold a large share of
-    all nodes. A path longer than ``max_depth`` (a cycle) raises.
+    all nodes. A node that is its own ancestor (a cycle) raises; depth is not
+    limited. The edges are read once for the internal links and once for the
+    leaves.
     """
     shared_dir(spark)  # make sure a checkpoint folder is set
     e = edges.select(F.col("node").cast("string").alias("node"),
@@ -59,8 +60,10 @@ def hierarchy_closure(spark: SparkSession, edges: DataFrame, max_depth: int = 10
     links = e.where(F.col("parent").isNotNull()).select(
         F.col("node").alias("_child"), F.col("parent").alias("_up"))
     internal = links.select(F.col("_up").alias("_inode")).distinct()
-    ilinks = bounded_broadcast(links.join(internal, F.col("_child") == F.col("_inode"), "left_semi"),
-                               max_broadcast_rows)
+    internal = internal.checkpoint(eager=True)
+    # The links between internal nodes are used at every level: kept once.
+    ilinks = bounded_broadcast(links.join(internal, F.col("_child") == F.col("_inode"), "left_semi")
+                               .checkpoint(eager=True), max_broadcast_rows)
     # Closure of the internal nodes, one join per level.
     levels = [internal.select(F.col("_inode").alias("node"), F.col("_inode").alias("ancestor"),
                               F.lit(0).alias("depth"))]
@@ -68,12 +71,12 @@ def hierarchy_closure(spark: SparkSession, edges: DataFrame, max_depth: int = 10
                              F.lit(1).alias("depth"))
     depth = 1
     while True:
-        if depth % checkpoint_every == 0:
-            frontier = frontier.checkpoint(eager=True)
+        frontier = frontier.checkpoint(eager=True)
         if frontier.isEmpty():
             break
-        if depth > max_depth:
-            raise ValueError(f"hierarchy deeper than {max_depth} levels (cycle?)")
+        loop = frontier.where(F.col("node") == F.col("ancestor")).select("node").first()
+        if loop is not None:
+            raise ValueError(f"node {loop['node']!r} is its own ancestor at distance {depth}")
         levels.append(frontier)
         depth += 1
         frontier = (frontier.join(ilinks, F.col("ancestor") == F.col("_child"))
@@ -118,6 +121,24 @@ def child_flag(c) -> Column:
     return F.coalesce(c.try_cast("boolean"), F.lit(False))
 
 
+def effective_policies(grants: DataFrame, closure: DataFrame, by: list[str],
+                       max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """J7 for all nodes: how many grants of each kind (``by``) act on a node.
+
+    Grants are counted per entity and kind first, so the join has one row per
+    closure row and kind, however many grants an entity has, and the result
+    one row per node and kind: ``n_grants``, of which ``n_direct`` on the node
+    itself. ``effective_grants`` lists the grants behind a node's counts.
+    """
+    per = grants.groupBy("entity", *by).agg(F.count(F.lit(1)).alias("_all"), F.sum(F.col("include_child").cast("long")).alias("_down"))
+    c = closure.select(F.col("node"), F.col("ancestor").alias("_anc"), F.col("depth"))
+    j = skew_join(c, per, [("_anc", "entity")], salt_by=["node"], max_rows=max_broadcast_rows)
+    direct = F.when(F.col("depth") == 0, F.col("_all"))
+    return (j.groupBy("node", *by).agg(F.sum(F.coalesce(direct, F.col("_down"))).alias("n_grants"),
+                                       F.sum(F.coalesce(direct, F.lit(0))).alias("n_direct"))
+            .where(F.col("n_grants") > 0))
+
+
 def effective_grants(grants: DataFrame, closure: DataFrame,
                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """A grant on ``entity`` covers the entity itself and, when
@@ -126,7 +147,9 @@ def effective_grants(grants: DataFrame, closure: DataFrame,
     ``grants`` has entity, include_child (+ any other columns); ``closure`` is
     J5's output. Result: the grant columns plus ``node`` and ``depth``. The
     closure's ancestor column is highly skewed (every leaf lists the roots),
-    so the join goes through ``skew_join``.
+    so the join goes through ``skew_join``. Give the closure of the nodes asked
+    about: over all nodes the list has a row per grant and descendant, which
+    ``effective_policies`` counts instead.
     """
     c = closure.select(F.col("node"), F.col("ancestor").alias("_anc"), F.col("depth"))
     return (skew_join(c, grants, [("_anc", "entity")], salt_by=["node"], max_rows=max_broadcast_rows)

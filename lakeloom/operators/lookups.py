@@ -1,8 +1,9 @@
 """Dimension lookups: enrichment (J2), member resolution (J3), lookup-or-self.
 
-Broadcast only behind a size check: ``bounded_broadcast`` counts at most
-``max_rows + 1`` rows of the side; larger sides are left to the planner, where
-AQE picks the join at runtime and splits skewed partitions.
+Broadcast only behind a size check: ``fits_broadcast`` counts at most
+``max_rows + 1`` rows of the side. A larger side is joined by ``skew_join``,
+which spreads a hot key over many tasks. A lookup gives one match at most: a
+key that is listed twice counts once.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_ROWS = 200_000
 DEFAULT_BROADCAST_BYTES = 64 << 20
-DEFAULT_SALTS = 32
+MAX_SALTS = 512
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
@@ -47,8 +48,23 @@ def broadcast_known(df: DataFrame, n_rows: int, n_bytes: int, max_rows: int = DE
     return F.broadcast(df) if n_rows <= max_rows and n_bytes <= max_bytes else df
 
 
+def salts_of(spark) -> int:
+    """As many salts as shuffle partitions, so a hot key fills the cluster."""
+    return max(2, min(MAX_SALTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def one_per_key(lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, the same one in every run; null keys match nothing."""
+    rest = [c for c in lookup.columns if c not in keys]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    known = lookup.dropna(subset=keys)
+    if not rest:
+        return known.distinct()
+    return known.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("_row")).select(*keys, "_row.*")
+
+
 def skew_join(big: DataFrame, small: DataFrame, cond_keys: list[tuple[str, str]], how: str = "inner",
-              salt_by: list[str] | None = None, salts: int = DEFAULT_SALTS,
+              salt_by: list[str] | None = None, salts: int | None = None,
               max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Equi-join ``big`` with ``small`` on ``[(big_col, small_col), ...]`` where
     a key of ``big`` may hold a large share of its rows.
@@ -63,6 +79,7 @@ def skew_join(big: DataFrame, small: DataFrame, cond_keys: list[tuple[str, str]]
     if fits_broadcast(small, max_rows, max_bytes):
         return big.join(F.broadcast(small), _and(cond), how)
     cols = salt_by or big.columns
+    salts = salts or salts_of(big.sparkSession)
     b = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), F.lit(salts)))
     s = small.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return b.join(s, _and(cond + [F.col("_salt") == F.col("_salt2")]), how).drop("_salt", "_salt2")
@@ -78,8 +95,9 @@ def _and(conds):
 def lookup_or_self(df: DataFrame, col: str, mapping: DataFrame, key: str = "logical",
                    value: str = "real", max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Replace ``col`` by its mapped value where one exists, else keep it."""
-    m = mapping.select(F.col(key).alias("_lk"), F.col(value).alias("_lv"))
-    out = df.join(bounded_broadcast(m, max_rows), F.col(col) == F.col("_lk"), "left")
+    m = one_per_key(mapping.select(F.col(key).alias("_lk"), F.col(value).alias("_lv")), ["_lk"])
+    salt = [c for c, t in df.dtypes if "map<" not in t]  # maps cannot be hashed
+    out = skew_join(df, m, [(col, "_lk")], "left", salt_by=salt, max_rows=max_rows)
     return out.withColumn(col, F.coalesce("_lv", F.col(col))).drop("_lk", "_lv")
 
 
@@ -102,14 +120,12 @@ def enrich_asset(events: DataFrame, projects: DataFrame, units: DataFrame, domai
     a = assets.select(F.col("domain_id").alias("_ad"), F.col("id").alias("_aid"),
                       F.col("name").alias("asset_name"), F.col("revision").alias("asset_revision"),
                       F.col("forms").alias("forms"))
-    out = (events
-           .join(bounded_broadcast(p, max_rows),
-                 (F.col("domain_id") == F.col("_pd")) & (F.col("project_id") == F.col("_pid")), "left")
-           .join(bounded_broadcast(u, max_rows),
-                 (F.col("domain_id") == F.col("_ud")) & (F.col("domain_unit_id") == F.col("_uid")), "left")
-           .join(bounded_broadcast(d, max_rows), F.col("domain_id") == F.col("_did"), "left")
-           .join(bounded_broadcast(a, max_rows),
-                 (F.col("domain_id") == F.col("_ad")) & (F.col("asset_id") == F.col("_aid")), "left"))
+    out, salt = events, [c for c, t in events.dtypes if "map<" not in t]
+    for lookup, keys in ((p, [("domain_id", "_pd"), ("project_id", "_pid")]),
+                         (u, [("domain_id", "_ud"), ("domain_unit_id", "_uid")]),
+                         (d, [("domain_id", "_did")]),
+                         (a, [("domain_id", "_ad"), ("asset_id", "_aid")])):
+        out = skew_join(out, one_per_key(lookup, [k for _, k in keys]), keys, "left", salt_by=salt, max_rows=max_rows)
     missing = F.filter(F.array(
         F.when(F.col("_pid").isNull(), F.lit("project")),
         F.when(F.col("_uid").isNull(), F.lit("domain_unit")),
@@ -129,8 +145,8 @@ def resolve_members(members: DataFrame, users: DataFrame,
     Columns used: members(predefinedUserKey, userIdentifier, groupIdentifier),
     users(user_key, user_id).
     """
-    u = users.select(F.col("user_key").alias("_uk"), F.col("user_id").alias("_uv"))
-    j = members.join(bounded_broadcast(u, max_rows), F.col("predefinedUserKey") == F.col("_uk"), "left")
+    u = one_per_key(users.select(F.col("user_key").alias("_uk"), F.col("user_id").alias("_uv")), ["_uk"])
+    j = skew_join(members, u, [("predefinedUserKey", "_uk")], "left", max_rows=max_rows)
     resolved = F.when(F.col("predefinedUserKey").isNotNull(), F.col("_uv")).otherwise(F.col("userIdentifier"))
     return (j.withColumn("resolved_user", resolved)
             .withColumn("unknown_key", F.col("predefinedUserKey").isNotNull() & F.col("_uv").isNull())

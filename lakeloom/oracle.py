@@ -227,8 +227,8 @@ SELECT user_id, event_id, event_type, value FROM (
 WITH {_ENV}, {_LOOKUPS}
 SELECT id AS event_id, 'Asset Metadata Download Notification' AS subject,
        'dictionary-exports' AS bucket,
-       'dictionary/' || concat_ws('/', domain_name, domain_unit_name, project_name, asset_name)
-         || '.csv' AS key,
+       'dictionary/domain_name=' || replace(domain_name, '#', '%23') || '/domain_unit_name=' || replace(domain_unit_name, '#', '%23')
+         || '/project_name=' || replace(project_name, '#', '%23') || '/asset_name=' || replace(asset_name, '#', '%23') || '/' AS key,
        strftime(ts + INTERVAL 86400 SECOND, '%Y-%m-%d %H:%M:%S.%f') AS expires_at
 FROM good""",
 
@@ -284,9 +284,10 @@ SELECT * FROM grants""",
 
     "grant_effective": f"""
 WITH RECURSIVE {_TREE}, {_GRANTS.strip()}
-SELECT w.node, g.EntityIdentifier AS entity, g.PolicyType, g.principal_kind, g.PrincipalArn, w.depth
+SELECT w.node, g.PolicyType, g.principal_kind, count(*) AS n_grants, count(*) FILTER (w.depth = 0) AS n_direct
 FROM walk w JOIN grants g ON w.ancestor = g.EntityIdentifier
-WHERE g.include_child OR w.depth = 0""",
+WHERE g.include_child OR w.depth = 0
+GROUP BY w.node, g.PolicyType, g.principal_kind""",
 
     "grant_rejects": f"""
 WITH {_GRANTS.strip()}

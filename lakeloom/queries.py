@@ -22,7 +22,7 @@ from lakeloom.operators.aggregates import grant_state as fold_grants
 from lakeloom.operators.aggregates import rejected_requests
 from lakeloom.operators.events import (ASSET_ADDED, CATALOG_SOURCE, METADATA_ACCEPTED,
                                        extract_by_type, match_events, route_events)
-from lakeloom.operators.hierarchy import (effective_grants, fan_out_entities, fan_out_grants,
+from lakeloom.operators.hierarchy import (effective_policies, fan_out_entities, fan_out_grants,
                                           hierarchy_closure)
 from lakeloom.operators.lookups import enrich_asset, resolve_members
 from lakeloom.operators.mapping import apply_mapper
@@ -440,14 +440,14 @@ def grant_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grant_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grants cover their entity and, with the child flag, all descendants."""
+    """Grants cover their entity and, with the child flag, all descendants;
+    per node, policy and kind of principal, how many act on it."""
     _start(spark, "grant_effective")
     g = fold_grants(_requests(spark, sf_dir)).select(
         F.col("EntityIdentifier").alias("entity"), "PolicyType", "principal_kind", "PrincipalArn",
         "include_child")
     closure = hierarchy_closure(spark, _edges(spark, sf_dir))
-    return effective_grants(g, closure).select("node", "entity", "PolicyType", "principal_kind",
-                                               "PrincipalArn", "depth")
+    return effective_policies(g, closure, ["PolicyType", "principal_kind"])
 
 
 # ---------------------------------------------------------------------------

@@ -103,6 +103,8 @@ def shared_dir(spark: SparkSession) -> str:
     if current:
         # setCheckpointDir adds a random child folder; use its parent as root.
         return current.rstrip("/").rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="lakeloom-")
     spark.sparkContext.setCheckpointDir(root + "/checkpoints")
     return spark.sparkContext.getCheckpointDir().rstrip("/").rsplit("/", 1)[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.operators.aggregates import latest_per_key
@@ -54,23 +54,42 @@ def export_dictionary(rows: DataFrame, root: str, order: list[str] | None = None
     """K5: one CSV (column_name, description) per (domain, unit, project, asset).
 
     The latest event per key wins (A3, on ``order``); only those keys' folders
-    are overwritten. ``rows``: EXPORT_KEYS + event_time + event_id + columns array.
+    are overwritten. A latest event without columns leaves an object with one
+    blank line, so an earlier list does not stay. ``rows``: EXPORT_KEYS +
+    event_time + event_id + columns array.
     """
     order = order or ["event_time", "event_id"]
     last = latest_per_key(rows.select(*EXPORT_KEYS, *order, "columns"), EXPORT_KEYS, order)
-    out = last.select(*EXPORT_KEYS, F.explode("columns").alias("c")).select(
+    out = last.select(*EXPORT_KEYS, F.explode_outer("columns").alias("c")).select(
         *EXPORT_KEYS, F.col("c.columnIdentifier").alias("column_name"),
         F.col("c.description").alias("description"))
     (out.write.partitionBy(*EXPORT_KEYS).mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").options(**CSV_WRITE_OPTIONS).csv(root))
 
 
+# The characters that Spark writes as %XX in a partition folder.
+ESCAPED = "%\"#'*/:=?\\{[]^"
+
+
+def object_folder(keys: list[str]) -> Column:
+    """The folder K5 writes for a key: ``name=value/`` per column, as Spark
+    spells it; K6 announces the same one."""
+    def spelled(c: str) -> Column:
+        v = F.col(c).cast("string")
+        for ch in ESCAPED:
+            v = F.replace(v, F.lit(ch), F.lit(f"%{ord(ch):02X}"))
+        return F.concat(F.lit(f"{c}="), F.when(F.coalesce(v, F.lit("")) == "", F.lit("__HIVE_DEFAULT_PARTITION__")).otherwise(v), F.lit("/"))
+
+    return F.concat(*map(spelled, keys))
+
+
 def notification_rows(exports: DataFrame, bucket: str, prefix: str = "dictionary") -> DataFrame:
-    """K6: one message row per export: subject, bucket, key, link expiry.
+    """K6: one message row per export: subject, bucket, key (the folder that
+    ``export_dictionary`` writes), link expiry.
 
     ``exports`` has EXPORT_KEYS and ``created`` (timestamp).
     """
-    key = F.concat(F.lit(prefix + "/"), F.concat_ws("/", *EXPORT_KEYS), F.lit(".csv"))
+    key = F.concat(F.lit(prefix + "/"), object_folder(EXPORT_KEYS))
     return exports.select(
         "*",
         F.lit(NOTIFY_SUBJECT).alias("subject"),

@@ -10,6 +10,7 @@ batch id (dynamic overwrite), so a replayed batch replaces its own output.
 from __future__ import annotations
 
 import datetime as dt
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,11 +71,12 @@ def ingest_stream_append(spark: SparkSession, src: str, dst: str, columns: list[
     """T1 (append-only form) + T4: CSV rows stream in with a declared header,
     are stamped and written in layout ``ymd_batch`` keyed by the micro-batch.
 
-    Files must share the declared column order (the file stream reads by
-    position); use the manifest form for drifting headers or modified files.
+    The file stream reads by position, so a file whose header differs from the
+    declared columns fails the query; use the manifest form for drifting
+    headers or modified files.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    r = (spark.readStream.schema(schema).option("header", "true")
+    r = (spark.readStream.schema(schema).option("header", "true").option("enforceSchema", "false")
          .option("recursiveFileLookup", "true"))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -89,28 +91,38 @@ def ingest_stream_append(spark: SparkSession, src: str, dst: str, columns: list[
 
 def deliver_daily(spark: SparkSession, table_root: str, columns: list[str], entity_root: str,
                   pairs: list[tuple[str, str]], checkpoint: str, query: str | None = None,
-                  view: str = "increment", layout: str = "ymd", fmt: str = "json",
+                  view: str = "increment", layout: str = "ymd", fmt: str = "json", lake_fmt: str = "csv",
                   clock: Clock | None = None, available_now: bool = True,
                   processing_time: str | None = None) -> StreamingQuery:
     """Stream the lake table's (append-only) files; each micro-batch runs the
-    SQL asset and mapper over just the new rows and writes them (K4)."""
+    SQL asset and mapper over just the new rows and writes them (K4), keyed by
+    the query and its micro-batch."""
     ddl = lake_ddl(columns, layout)
-    rows = spark.readStream.schema(ddl).option("header", "true").csv(table_root)
+    rows = spark.readStream.schema(ddl).option("header", "true").format(lake_fmt).load(table_root)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         ts_sql, _ = run_clock(clock(batch_id) if clock else None)
         out = shape_delivery(spark, batch, pairs, query, view)
-        write_delivery(out, entity_root, ts_sql[:10], batch_id, fmt)
+        write_delivery(out, entity_root, ts_sql[:10], batch_key(batch, batch_id), fmt)
 
     return _start(rows, run, checkpoint, available_now, processing_time)
 
 
+def batch_key(batch: DataFrame, batch_id: int) -> int:
+    """A micro-batch's number made unique across checkpoints: micro-batches
+    restart at 0 with a new checkpoint, the query's id does not repeat. Outside
+    a stream it is the number alone."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return ((zlib.crc32(query.encode()) & 0x7FFFFFFF) << 32 | batch_id) if query else batch_id
+
+
 def process_asset_batch(batch: DataFrame, batch_id: int, export_root: str, notify_root: str,
                         rejects_root: str, bucket: str = "dictionary-exports") -> None:
     """One micro-batch of T3: dictionary export (K5), then notification rows
     (K6) and rejects. Every write replaces only what this batch owns (its
     export keys, its ``batch_id`` partitions), so a replayed batch gives the
     same result as a single run."""
+    batch_id = batch_key(batch, batch_id)
     batch.persist()
     try:
         good = batch.where(F.col("reject_reason").isNull())
@@ -135,12 +147,13 @@ def asset_event_stream(spark: SparkSession, events_path: str, projects: DataFram
                        rejects_root: str, checkpoint: str, bucket: str = "dictionary-exports",
                        max_files_per_trigger: int | None = None, available_now: bool = True,
                        processing_time: str | None = None) -> StreamingQuery:
-    """JSON events → match → extract → stream-static enrichment → per
-    micro-batch ``process_asset_batch``."""
+    """JSON events → per micro-batch: match, extract, enrichment,
+    ``process_asset_batch``. The lookups are sized anew for every micro-batch,
+    so one that outgrows the broadcast bound is no longer broadcast."""
     events = event_stream(spark, events_path, max_files_per_trigger)
-    enriched = asset_events(events, projects, units, domains, assets, home_domain)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        process_asset_batch(batch, batch_id, export_root, notify_root, rejects_root, bucket)
+        enriched = asset_events(batch, projects, units, domains, assets, home_domain)
+        process_asset_batch(enriched, batch_id, export_root, notify_root, rejects_root, bucket)
 
-    return _start(enriched, run, checkpoint, available_now, processing_time)
+    return _start(events, run, checkpoint, available_now, processing_time)

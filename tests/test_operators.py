@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom import standins as si
-from lakeloom.operators.aggregates import grant_state, latest_per_key
-from lakeloom.operators.events import (ASSET_ADDED, CATALOG_SOURCE, METADATA_ACCEPTED, RULE_SCHEMA,
+from lakeloom.operators.aggregates import grant_state, latest_per_key, rejected_requests
+from lakeloom.operators.events import (ASSET_ADDED, CATALOG_SOURCE, METADATA_ACCEPTED, OBJECT_CREATED, OBJECT_SOURCE, RULE_SCHEMA,
                                        extract_by_type, match_events, route_events)
-from lakeloom.operators.hierarchy import (child_flag, effective_grants, fan_out_entities, fan_out_grants,
+from lakeloom.operators.hierarchy import (child_flag, effective_grants, effective_policies, fan_out_entities, fan_out_grants,
                                           hierarchy_closure)
 from lakeloom.operators.lookups import enrich_asset, lookup_or_self, resolve_members
 from lakeloom.operators.mapping import apply_mapper, check_mapper
@@ -133,7 +133,9 @@ def test_hierarchy_closure_depths_and_cycle(spark):
     assert ("c", "root", 3) in got and ("a", "a", 0) in got and len(got) == 4 + 3 + 2 + 1
     cyc = spark.createDataFrame([("x", "y"), ("y", "x")], "node string, parent string")
     with pytest.raises(ValueError):
-        hierarchy_closure(spark, cyc, max_depth=5)
+        hierarchy_closure(spark, cyc)
+    deep = spark.createDataFrame([("n0", None)] + [(f"n{i}", f"n{i - 1}") for i in range(1, 9)], "node string, parent string")
+    assert hierarchy_closure(spark, deep).count() == 9 * 10 // 2
 
 
 def test_effective_grants_child_flag(spark):
@@ -145,6 +147,47 @@ def test_effective_grants_child_flag(spark):
     assert got == [("a", "a"), ("a", "b"), ("root", "root")]
 
 
+def test_effective_policies_count_what_effective_grants_lists(spark):
+    edges = spark.createDataFrame([("root", None)] + [(f"m{i}", "root") for i in range(3)] + [(f"l{i}", f"m{i % 3}") for i in range(20)],
+                                  "node string, parent string")
+    closure = hierarchy_closure(spark, edges)
+    grants = spark.createDataFrame([("root", "P", True), ("root", "P", False), ("m1", "P", True), ("m1", "Q", False), ("l4", "Q", True), ("l4", "Q", True)],
+                                   "entity string, kind string, include_child boolean")
+    want = effective_grants(grants, closure).groupBy("node", "kind").agg(
+        F.count(F.lit(1)).alias("n_grants"), F.count(F.when(F.col("depth") == 0, 1)).alias("n_direct"))
+    for bound in (200_000, 0):
+        got = effective_policies(grants, closure, ["kind"], max_broadcast_rows=bound)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_null_policy_is_rejected_and_environment_policies_never_spread(spark):
+    rows = [("r1", 1, "Create", "d", "e", "DOMAIN_UNIT", None, "IAM_ROLE", "a", "true"),
+            ("r2", 2, None, "d", "e", "DOMAIN_UNIT", "CREATE_PROJECT", "IAM_ROLE", "a", "true"),
+            ("r3", 3, "Create", "d", "e", "DOMAIN_UNIT", "CREATE_ENVIRONMENT", "x", "a", "true"),
+            ("r4", 4, "Create", "d", "e", "DOMAIN_UNIT", "CREATE_PROJECT", "IAM_ROLE", "a", "true")]
+    df = spark.createDataFrame(rows, "request_id string, ts long, RequestType string, DomainIdentifier string, EntityIdentifier string, "
+                               "EntityType string, PolicyType string, PrincipalType string, PrincipalArn string, IncludeChildDomainUnits string")
+    assert sorted(r.request_id for r in rejected_requests(df).collect()) == ["r1", "r2"]
+    assert {r.PolicyType: r.include_child for r in grant_state(df).collect()} == {"CREATE_ENVIRONMENT": False, "CREATE_PROJECT": True}
+
+
+def test_rules_default_to_enabled_and_route_once(spark):
+    e = env(spark, [("1", OBJECT_SOURCE, OBJECT_CREATED, None, None, None, None, "real-b")])
+    target = [("Lambda", "invokeLambdaFunction", {})]
+    rules = spark.createDataFrame([("two-names", None, [OBJECT_SOURCE, OBJECT_SOURCE], [OBJECT_CREATED], None, ["one", "other", "real-b"], target)],
+                                  RULE_SCHEMA)
+    bmap = spark.createDataFrame([("one", "real-b"), ("one", "real-b"), ("other", "real-b")], "logical string, real string")
+    assert [r.rule_name for r in route_events(e, rules, bmap).collect()] == ["two-names"]
+
+
+def test_a_repeated_lookup_key_matches_once_also_when_salted(spark):
+    members = spark.createDataFrame([("k", None, None)] * 3, "predefinedUserKey string, userIdentifier string, groupIdentifier string")
+    users = spark.createDataFrame([("k", "b"), ("k", "a"), (None, "z")], "user_key string, user_id string")
+    for bound in (200_000, 0):
+        got = resolve_members(members, users, max_rows=bound).collect()
+        assert [r.resolved_user for r in got] == ["a"] * 3
+
+
 def test_child_flag_text(spark):
     df = spark.createDataFrame([("true",), ("false",), ("TRUE",), ("yes",), ("junk",), (None,)], "f string")
     assert [r[0] for r in df.select(child_flag("f")).collect()] == [True, False, True, True, False, False]

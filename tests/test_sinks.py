@@ -71,12 +71,24 @@ def test_export_dictionary_last_event_wins_and_other_keys_kept(spark, work):
     assert ts is not None
 
 
+def test_announced_keys_are_the_folders_written(spark, work):
+    rows = spark.createDataFrame([("D#1", "U/2", "P=3 x", "A%é:[b]", None, "1", [("c", "d")]), ("D#1", "U/2", "P=3 x", "gone", None, "2", [("c", "d")])],
+                                 KEYS_DDL).withColumn("event_time", F.lit("2024-01-01").cast("timestamp"))
+    export_dictionary(rows, f"{work}/dictionary")
+    later = rows.where("asset_name = 'gone'").withColumn("columns", F.expr("filter(columns, x -> false)"))
+    export_dictionary(later, f"{work}/dictionary")  # the list became empty
+    keys = [r.key for r in notification_rows(rows.withColumn("created", F.col("event_time")), "b").collect()]
+    assert all(os.path.isdir(f"{work}/{k}".replace("file:", "")) for k in keys)
+    back = spark.read.option("header", "true").csv(f"{work}/dictionary").where("column_name is not null")
+    assert [r.asset_name for r in back.collect()] == ["A%é:[b]"]
+
+
 def test_notification_rows_expiry(spark):
     df = spark.createDataFrame([("D", "U", "P", "A")], "domain_name string, domain_unit_name string, "
                                "project_name string, asset_name string") \
         .withColumn("created", F.lit("2024-01-01 10:00:00").cast("timestamp"))
     r = notification_rows(df, "b").first()
-    assert r.key == "dictionary/D/U/P/A.csv"
+    assert r.key == "dictionary/domain_name=D/domain_unit_name=U/project_name=P/asset_name=A/"
     assert str(r.expires_at) == "2024-01-02 10:00:00"
 
 
