@@ -154,6 +154,31 @@ SELECT s_suppkey, s_name, CAST(1709622489 AS BIGINT) AS batch_id, 5 AS day FROM
 SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_nationkey >= 12 THEN s_acctbal END AS s_acctbal
 FROM supplier""",
 
+    "ingest_chunks": """
+SELECT s_suppkey, s_name, true AS in_call FROM supplier""",
+
+    "ingest_retry_rewritten": """
+SELECT s_suppkey, CASE WHEN s_nationkey >= 12 THEN s_name || '-v2' ELSE s_name END AS s_name,
+       CASE WHEN s_nationkey >= 12 THEN 6 ELSE 5 END AS day FROM supplier""",
+
+    "ingest_source_deleted": """
+SELECT s_suppkey, s_name, 5 AS day FROM supplier WHERE s_nationkey < 12""",
+
+    "ingest_header_rules": """
+SELECT s_suppkey, s_name, CASE WHEN s_nationkey >= 12 THEN s_nationkey END AS s_nationkey, 2024 AS year FROM supplier""",
+
+    "deliver_chunked": """
+SELECT s_suppkey AS supplier_id, s_name AS supplier FROM supplier""",
+
+    "deliver_after_retry": """
+SELECT s_suppkey AS supplier_id, s_name AS supplier, '2024-03-06' AS run_date FROM supplier""",
+
+    "stream_ingest_manifest": """
+SELECT s_suppkey, s_name, CASE WHEN s_nationkey >= 12 THEN 6 ELSE 5 END AS day FROM supplier""",
+
+    "stream_deliver": """
+SELECT s_suppkey AS supplier_id, s_name AS supplier, unnest(['2024-03-05', '2024-03-06']) AS run_date FROM supplier""",
+
     "date_parts": """
 SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
        CAST(day(o_orderdate) AS INTEGER) AS day, count(*) AS n_orders

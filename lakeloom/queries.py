@@ -33,10 +33,11 @@ from lakeloom.session import apply_runtime_defaults, scratch
 from lakeloom.sinks.assets import run_sql_asset
 from lakeloom.sinks.exports import EXPORT_KEYS, export_latest, notification_rows as notify
 from lakeloom.sinks.tables import expire_partitions, read_lake_table
+from lakeloom.sources import fs
 from lakeloom.sources.configs import mapper_pairs, sql_asset
 from lakeloom.sources.events import event_scan
 from lakeloom.sources.files import discover_assets
-from lakeloom.streaming.jobs import asset_event_stream, ingest_stream_append
+from lakeloom.streaming.jobs import asset_event_stream, deliver_daily, ingest_on_arrival, ingest_stream_append
 
 # Fixed run clocks of the staged runs (UTC) and the batch id of the first.
 RUN1, RUN2, RUN3 = "2024-03-05 07:08:09", "2024-03-06 07:08:09", "2024-03-07 07:08:09"
@@ -153,6 +154,66 @@ def ingest_header_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_acctbal").cast("double").alias("s_acctbal"))
 
 
+def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call takes every file, two at a time, each batch its own id."""
+    work = _start(spark, "ingest_chunks")
+    src, lake, state = f"{work}/src", f"{work}/lake", f"{work}/state"
+    si.stage_csv(spark, _t(spark, sf_dir, "supplier").select(*SUPPLIER_COLS), src, n_files=5, key="s_suppkey")
+    ingest(spark, "supplier", src, lake, state, run_ts=RUN1, layout="ymd_batch", max_files=2)
+    return read_lake_table(spark, lake, SUPPLIER_COLS, layout="ymd_batch").select(
+        F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "s_name", (F.col("batch_id") - RUN1_BATCH < 3).alias("in_call"))
+
+
+def _crash_then(spark: SparkSession, sf_dir: str, work: str, change) -> DataFrame:
+    """Suppliers in two folders, a crash before the commit, ``change`` of the
+    second folder, and a run that retries."""
+    src, lake, state = f"{work}/src", f"{work}/lake", f"{work}/state"
+    sup = _t(spark, sf_dir, "supplier").select(*SUPPLIER_COLS)
+    in_b = F.col("s_nationkey") >= NATION_SPLIT
+    si.stage_csv(spark, sup.where(~in_b), f"{src}/a", n_files=1, key="s_suppkey")
+    si.stage_csv(spark, sup.where(in_b), f"{src}/b", n_files=1, key="s_suppkey")
+    try:
+        ingest(spark, "supplier", src, lake, state, run_ts=RUN1, layout="ymd_batch", stop_after="write")
+    except SimulatedCrash:
+        pass
+    change(f"{src}/b", sup.where(in_b))
+    ingest(spark, "supplier", src, lake, state, run_ts=RUN2, layout="ymd_batch")
+    return read_lake_table(spark, lake, SUPPLIER_COLS, layout="ymd_batch").select(
+        F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "s_name", "day")
+
+
+def ingest_retry_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 K1: a file is rewritten between crash and retry. The retry keeps the
+    unchanged file, the next batch takes the new version, the old one is gone."""
+    work = _start(spark, "ingest_retry_rewritten")
+    return _crash_then(spark, sf_dir, work, lambda folder, rows: si.stage_csv(
+        spark, rows.withColumn("s_name", F.concat("s_name", F.lit("-v2"))), folder, n_files=1, key="s_suppkey"))
+
+
+def ingest_source_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: a source file is deleted between crash and retry; the rest goes in."""
+    work = _start(spark, "ingest_source_deleted")
+    return _crash_then(spark, sf_dir, work, lambda folder, rows: fs.delete(spark, folder))
+
+
+def ingest_header_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another separator, spaces in the header, names that differ
+    by case, and a source column of a stamp's name, which the stamp replaces."""
+    work = _start(spark, "ingest_header_rules")
+    src, lake, state = f"{work}/src", f"{work}/lake", f"{work}/state"
+    sup = _t(spark, sf_dir, "supplier")
+    in_b = F.col("s_nationkey") >= NATION_SPLIT
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    si.stage_lines(spark, sup.where(~in_b).select(F.concat_ws(";", key, "s_name", F.lit("1999")).alias("value")),
+                   "s_suppkey; s_name ;year", f"{src}/a")
+    si.stage_lines(spark, sup.where(in_b).select(F.concat_ws(";", "s_name", nation, key).alias("value")),
+                   "S_NAME;s_nationkey;S_SUPPKEY", f"{src}/b")
+    res = ingest(spark, "supplier", src, lake, state, run_ts=RUN1, glob="*.txt", csv_options={"sep": ";"})
+    return read_lake_table(spark, lake, res.columns).select(
+        F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "s_name",
+        F.col("s_nationkey").cast("int").alias("s_nationkey"), "year")
+
+
 def date_parts_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Year / month / day parts of a timestamp, counted."""
     o = _t(spark, sf_dir, "orders")
@@ -480,6 +541,42 @@ def deliver_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("order_id", "status", "total_price", "run_date")
 
 
+SUPPLIER_PAIRS = [("s_suppkey", "supplier_id"), ("s_name", "supplier")]
+
+
+def deliver_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: a file at a time, in one call, from a lake whose older day is written
+    last; nothing is left out."""
+    work = _start(spark, "deliver_chunked")
+    lake, out = f"{work}/lake", f"{work}/downstream"
+    sup = _t(spark, sf_dir, "supplier").select(*SUPPLIER_COLS)
+    in_b = F.col("s_nationkey") >= NATION_SPLIT
+    for part, cond, clock in (("a", ~in_b, RUN2), ("b", in_b, RUN1)):
+        si.stage_csv(spark, sup.where(cond), f"{work}/{part}", n_files=1, key="s_suppkey")
+        ingest(spark, part, f"{work}/{part}", lake, f"{work}/state", run_ts=clock)
+    deliver(spark, "deliver", lake, SUPPLIER_COLS, f"{work}/delivery_state", out, SUPPLIER_PAIRS, run_ts=RUN3, max_files=1)
+    deliver(spark, "deliver", lake, SUPPLIER_COLS, f"{work}/delivery_state", out, SUPPLIER_PAIRS, run_ts=RUN3)
+    back = spark.read.schema("supplier_id STRING, supplier STRING").json(out)
+    return back.select(F.col("supplier_id").cast("bigint").alias("supplier_id"), "supplier")
+
+
+def deliver_after_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: rows of a batch that crashed are delivered after its retry, once."""
+    work = _start(spark, "deliver_after_retry")
+    src, lake, state, out = f"{work}/src", f"{work}/lake", f"{work}/state", f"{work}/downstream"
+    si.stage_csv(spark, _t(spark, sf_dir, "supplier").select(*SUPPLIER_COLS), src, n_files=1, key="s_suppkey")
+    kw = {"layout": "ymd_batch", "ingest_ctx": "supplier", "ingest_state": state}
+    try:
+        ingest(spark, "supplier", src, lake, state, run_ts=RUN1, layout="ymd_batch", stop_after="write")
+    except SimulatedCrash:
+        pass
+    deliver(spark, "deliver", lake, SUPPLIER_COLS, f"{work}/delivery_state", out, SUPPLIER_PAIRS, run_ts=RUN1, **kw)
+    ingest(spark, "supplier", src, lake, state, run_ts=RUN2, layout="ymd_batch")
+    deliver(spark, "deliver", lake, None, f"{work}/delivery_state", out, SUPPLIER_PAIRS, run_ts=RUN2, **kw)
+    back = spark.read.schema("supplier_id STRING, supplier STRING, run_date STRING").json(out)
+    return back.select(F.col("supplier_id").cast("bigint").alias("supplier_id"), "supplier", "run_date")
+
+
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P13 P14 P15 P18 over part and supplier names."""
     p = _t(spark, sf_dir, "part").select(
@@ -523,6 +620,36 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("upload_time", TS_TEXT).alias("upload_time"))
 
 
+def stream_ingest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arriving files trigger the manifest ingest; two drops, headers
+    in another order, each file once."""
+    work = _start(spark, "stream_ingest_manifest")
+    src, lake, state = f"{work}/src", f"{work}/lake", f"{work}/state"
+    sup = _t(spark, sf_dir, "supplier")
+    in_b = F.col("s_nationkey") >= NATION_SPLIT
+    si.stage_csv(spark, sup.where(~in_b).select("s_suppkey", "s_name"), f"{src}/a", n_files=1, key="s_suppkey")
+    for drop, clock in ((None, RUN1), ("b", RUN2)):
+        if drop:
+            si.stage_csv(spark, sup.where(in_b).select("s_name", "s_suppkey"), f"{src}/{drop}", n_files=1, key="s_suppkey")
+        ingest_on_arrival(spark, "supplier", src, lake, state, f"{work}/checkpoint", clock=lambda b, c=clock: c).awaitTermination()
+    return read_lake_table(spark, lake, ["s_suppkey", "s_name"]).select(
+        F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "s_name", "day")
+
+
+def stream_deliver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lake table streams to the entity. A second stream with a new
+    checkpoint delivers anew, on a later day, and replaces nothing."""
+    work = _start(spark, "stream_deliver")
+    src, lake, out = f"{work}/src", f"{work}/lake", f"{work}/downstream"
+    si.stage_csv(spark, _t(spark, sf_dir, "supplier").select(*SUPPLIER_COLS), src, n_files=1, key="s_suppkey")
+    ingest(spark, "supplier", src, lake, f"{work}/state", run_ts=RUN1)
+    for k, clock in enumerate((RUN1, RUN1, RUN2)):  # the second run of the first checkpoint finds nothing new
+        deliver_daily(spark, lake, SUPPLIER_COLS, out, SUPPLIER_PAIRS, f"{work}/checkpoint{k // 2}",
+                      clock=lambda b, c=clock: c).awaitTermination()
+    back = spark.read.schema("supplier_id STRING, supplier STRING, run_date STRING").json(out)
+    return back.select(F.col("supplier_id").cast("bigint").alias("supplier_id"), "supplier", "run_date")
+
+
 def stream_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON events stream through match → extract → enrich → unnest; the
     dictionary exports (one CSV per domain/unit/project/asset) are read back."""
@@ -579,6 +706,14 @@ QUERIES = {
     "ingest_modified": ingest_modified,
     "ingest_retry": ingest_retry,
     "ingest_header_drift": ingest_header_drift,
+    "ingest_chunks": ingest_chunks,
+    "ingest_retry_rewritten": ingest_retry_rewritten,
+    "ingest_source_deleted": ingest_source_deleted,
+    "ingest_header_rules": ingest_header_rules,
+    "deliver_chunked": deliver_chunked,
+    "deliver_after_retry": deliver_after_retry,
+    "stream_ingest_manifest": stream_ingest_manifest,
+    "stream_deliver": stream_deliver,
     "date_parts": date_parts_count,
     "mapper_project": mapper_project,
     "asset_discovery": asset_discovery,
