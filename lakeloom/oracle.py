@@ -204,7 +204,7 @@ GROUP BY r.r_name""",
 
     "register_table": f"""
 SELECT 2024 AS year, 3 AS month, {_DROP_DAY} AS day, count(*) AS n_orders,
-       count(DISTINCT o_custkey) AS n_customers
+       count(DISTINCT o_custkey) AS n_customers, 'bigint' AS key_type, 'double' AS price_type, 'string' AS status_type
 FROM orders GROUP BY 1, 2, 3""",
 
     "event_match": f"""

@@ -144,7 +144,7 @@ def ingest_and_register(spark: SparkSession, ctx: str, src: str, dst: str, state
     if cols:
         register_table(spark, database, table, dst, cols,
                        layout=kw.get("layout", "ymd"), fmt=kw.get("fmt", "csv"),
-                       db_location=db_location)
+                       db_location=db_location, batches=res.batches)
     return res
 
 

@@ -254,7 +254,8 @@ def register_table_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ingest_and_register(spark, "orders", src, lake, state, database, "orders_orders",
                         run_ts=RUN2, db_location=f"{work}/warehouse")
     return spark.sql(f"SELECT year, month, day, count(*) AS n_orders, "
-                     f"count(DISTINCT o_custkey) AS n_customers "
+                     f"count(DISTINCT o_custkey) AS n_customers, max(typeof(o_custkey)) AS key_type, "
+                     f"max(typeof(o_totalprice)) AS price_type, max(typeof(o_orderstatus)) AS status_type "
                      f"FROM `{database}`.orders_orders GROUP BY year, month, day")
 
 
@@ -411,14 +412,14 @@ def dictionary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3 K5: the latest event per user (by time, then id) exported to one CSV
-    per user; a second export of the same keys overwrites them."""
+    """A3 K5: the latest event per user (by time, then id) in an export table; a
+    second export of the same keys replaces their rows and keeps the others."""
     work = _start(spark, "latest_export")
     ev = _t(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value")
     early = ev.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))
     export_latest(early, f"{work}/export", ["user_id"], ["ts", "event_id"])
     export_latest(ev, f"{work}/export", ["user_id"], ["ts", "event_id"])
-    back = (spark.read.schema("event_id BIGINT, ts STRING, event_type STRING, value DOUBLE, user_id BIGINT")
+    back = (spark.read.schema("user_id BIGINT, event_id BIGINT, ts STRING, event_type STRING, value DOUBLE")
             .option("header", "true").csv(f"{work}/export"))
     return back.select("user_id", "event_id", "event_type", "value")
 

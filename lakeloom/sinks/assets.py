@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,9 +24,12 @@ def run_sql_asset(spark: SparkSession, database: str, table: str, query: str,
                   publish: str = "view", location: str | None = None) -> tuple[str, DataFrame]:
     """K3: run the asset's query in its database and publish the result.
 
-    ``publish="view"`` registers a temp view; ``"table"`` saves a managed table
-    in the database. When the query also reads ``table`` itself, the view gets a
-    run-local name so it does not hide its own source. Returns (name, result).
+    ``publish="view"`` creates or replaces a view in the asset's database, which
+    other sessions of the catalog can read; a query over temp views, which the
+    catalog cannot keep, becomes a temp view instead. ``"table"`` saves a
+    managed table in the database. When the query also reads ``table`` itself,
+    the result gets another name so it does not hide its own source. Returns
+    (name, result).
     The session's current database is restored afterwards.
     """
     ensure_database(spark, database, location)
@@ -45,6 +49,12 @@ def _publish(spark: SparkSession, database: str, table: str, text: str, result:
     if publish == "view":
         if _reads_name(text, table):
             name = f"{table}_asset_{uuid.uuid4().hex[:8]}"
+        try:
+            spark.sql(f"CREATE OR REPLACE VIEW `{database}`.`{name}` AS {text}")
+            return f"{database}.{name}", spark.table(f"`{database}`.`{name}`")
+        except AnalysisException as e:
+            if e.getCondition() != "INVALID_TEMP_OBJ_REFERENCE":
+                raise
         result.createOrReplaceTempView(name)
         return name, spark.table(name)
     if publish == "table":

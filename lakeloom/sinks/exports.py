@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.operators.aggregates import latest_per_key
+from lakeloom.session import shared_dir
 from lakeloom.sinks.tables import CSV_WRITE_OPTIONS
+from lakeloom.sources import fs
 
 # Fixed values of the notification message.
 NOTIFY_SUBJECT = "Asset Metadata Download Notification"
@@ -37,14 +41,28 @@ def write_delivery(df: DataFrame, entity_root: str, run_date: str, batch_id: int
 
 
 def export_latest(rows: DataFrame, root: str, keys: list[str], order: list[str],
-                  fmt: str = "csv") -> None:
-    """One object per key holding the latest row (A3), overwriting that key only.
+                  fmt: str = "csv", buckets: int = 64) -> None:
+    """The latest row per key (A3), kept in a table of ``buckets`` hash buckets.
 
-    Dynamic partition overwrite by ``keys``: keys not in ``rows`` keep their
-    earlier export.
+    Only the buckets that ``rows`` touch are written again: their earlier rows
+    less the keys of ``rows``, and the new rows. The number of folders, which
+    the driver renames at commit, does not grow with the keys. The merged rows
+    are checkpointed, since a bucket cannot be read and written at once.
     """
-    last = latest_per_key(rows, keys, order)
-    w = last.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    spark = rows.sparkSession
+    shared_dir(spark)
+    bucket = F.pmod(F.xxhash64(*[F.col(f"`{k}`").cast("string") for k in keys]), F.lit(buckets)).cast("int")
+    new = latest_per_key(rows, keys, order).withColumn("key_bucket", bucket).checkpoint(eager=True)
+    if fs.exists(spark, root):
+        touched = [r[0] for r in new.select("key_bucket").distinct().collect()]  # at most ``buckets``
+        reader = spark.read.schema(new.schema).format(fmt)
+        if fmt == "csv":
+            reader = reader.options(**CSV_WRITE_OPTIONS)
+        old = reader.load(root).where(F.col("key_bucket").isin(touched)).select(new.columns)
+        same = [F.col(f"o.`{k}`").eqNullSafe(F.col(f"n.`{k}`")) for k in keys]
+        kept = old.alias("o").join(new.select(*keys).alias("n"), functools.reduce(lambda x, y: x & y, same), "left_anti")
+        new = new.unionByName(kept).checkpoint(eager=True)
+    w = new.repartition("key_bucket").write.partitionBy("key_bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         w = w.options(**CSV_WRITE_OPTIONS)
     w.format(fmt).save(root)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,29 +74,80 @@ def read_lake_table(spark: SparkSession, path: str, columns: list[str], fmt: str
     return spark.read.schema(lake_ddl(columns, layout)).option("header", "true").csv(path)
 
 
+WIDER = {("BIGINT", "DOUBLE"): "DOUBLE", ("DOUBLE", "BIGINT"): "DOUBLE"}
+
+
+def infer_types(rows: DataFrame, columns: list[str]) -> dict[str, str | None]:
+    """The type that every value of a text column fits: BIGINT (in its plain
+    spelling), DOUBLE or STRING; None for a column without values. One
+    aggregate over the rows."""
+    tests = []
+    for i, c in enumerate(columns):
+        v = F.col(f"`{c}`")
+        whole = v.try_cast("bigint").cast("string") == v
+        real = v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+        tests += [F.min(F.coalesce(whole, F.lit(False)) | v.isNull()).alias(f"i{i}"),
+                  F.min(F.coalesce(real, F.lit(False)) | v.isNull()).alias(f"d{i}"), F.count(v).alias(f"n{i}")]
+    got = rows.agg(*tests).first()
+    return {c: None if not got[f"n{i}"] else "BIGINT" if got[f"i{i}"] else "DOUBLE" if got[f"d{i}"] else "STRING"
+            for i, c in enumerate(columns)}
+
+
+def partition_spec(batch_id: int, layout: str) -> dict[str, int]:
+    """The partition that a batch writes."""
+    d = dt.datetime.fromtimestamp(batch_id, dt.timezone.utc)
+    parts = {"year": d.year, "month": d.month, "day": d.day, "batch_id": batch_id}
+    return {k: parts[k] for k in LAYOUTS[layout]}
+
+
 def register_table(spark: SparkSession, database: str, table: str, location: str,
                    columns: list[str], layout: str = "ymd", fmt: str = "csv",
-                   db_location: str | None = None) -> str:
+                   db_location: str | None = None, batches: list[int] | None = None) -> str:
     """K2: create the database and an external partitioned table over ``location``.
 
-    Data columns are strings (as read from CSV); new columns are added on drift;
-    partitions are recovered from the folder layout. Returns ``db.table``.
+    The types of a CSV table's columns are inferred from the rows of the run's
+    ``batches`` (all rows without them) and widened on conflict, at the end to
+    text; only then is the table's entry, not its data, made anew. New columns
+    are added on drift. Of a table that exists, only the batches' partitions are
+    added. Returns ``db.table``.
     """
     from lakeloom.sinks.assets import ensure_database
 
-    name = f"`{database}`.`{table}`"
+    name, parts = f"`{database}`.`{table}`", LAYOUTS[layout]
     ensure_database(spark, database, db_location)
-    parts = LAYOUTS[layout]
-    if not spark.catalog.tableExists(f"`{database}`.`{table}`"):
+    exists = spark.catalog.tableExists(f"`{database}`.`{table}`")
+    specs = [partition_spec(b, layout) for b in batches or []]
+    types: dict[str, str | None] = dict.fromkeys(columns, "STRING")
+    if fmt == "csv":
+        rows = read_lake_table(spark, location, columns, fmt, layout)
+        if specs:
+            rows = rows.where(functools.reduce(lambda x, y: x | y, [
+                functools.reduce(lambda x, y: x & y, [F.col(k) == v for k, v in s.items()]) for s in specs]))
+        types = infer_types(rows, columns) if specs or not exists else dict.fromkeys(columns)
+    have = {f.name.lower(): f.dataType.simpleString().upper() for f in spark.table(name).schema} if exists else {}
+    want = {}
+    for c in columns:
+        old, new = have.get(c.lower()), types[c]
+        want[c] = new or old or "STRING" if old in (None, new) or new is None else WIDER.get((old, new), "STRING")
+        want[c] = old if old and new is None else want[c]
+    if exists and any(have.get(c.lower(), t) != t for c, t in want.items()):
+        spark.sql(f"DROP TABLE {name}")  # external: the files stay
+        exists = False
+    if not exists:
         opts = "OPTIONS (header 'true')" if fmt == "csv" else ""
-        spark.sql(f"CREATE TABLE {name} ({lake_ddl(columns, layout)}) USING {fmt} "
+        ddl = ["upload_time TIMESTAMP"] + [f"`{c}` {want[c]}" for c in columns] + [f"{p} {PARTITION_TYPES[p]}" for p in parts]
+        spark.sql(f"CREATE TABLE {name} ({', '.join(ddl)}) USING {fmt} "
                   f"{opts} PARTITIONED BY ({', '.join(parts)}) LOCATION '{location}'")
-    else:
-        have = {c.lower() for c in spark.table(name).columns}
-        extra = [c for c in columns if c.lower() not in have]
-        if extra:
-            spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(f'`{c}` STRING' for c in extra)})")
-    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        return f"{database}.{table}"
+    extra = [c for c in columns if c.lower() not in have]
+    if extra:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(f'`{c}` {want[c]}' for c in extra)})")
+    if batches is None:
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    for i in range(0, len(specs), 500):
+        clause = " ".join("PARTITION (" + ", ".join(f"{k}={v}" for k, v in s.items()) + ")" for s in specs[i:i + 500])
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {clause}")
     return f"{database}.{table}"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S = T.StringType()
@@ -33,6 +34,15 @@ def event_scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT_SCHEMA).json(path)
 
 
+def malformed_events(spark: SparkSession, path: str) -> DataFrame:
+    """(line, id): the lines that are no envelopes, which ``event_scan`` reads
+    as rows of nulls and matching then drops; ``id`` is what could be read."""
+    schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField("line", _S)])
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "line").json(path)
+    # Spark refuses a query of the corrupt-record column alone, hence the id.
+    return rows.where(F.col("line").isNotNull()).select("line", "id")
+
+
 def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming read of the same envelopes (T3 input; T4 batch size)."""
     r = spark.readStream.schema(EVENT_SCHEMA)

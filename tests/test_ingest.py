@@ -130,7 +130,14 @@ def test_register_table_sees_new_partitions_and_columns(spark, work):
     ingest_and_register(spark, "t", src, lake, state, db, "t_table", run_ts="2024-03-06",
                         db_location=f"{work}/wh")
     got = spark.sql(f"SELECT id, w, day FROM {db}.t_table ORDER BY id").collect()
-    assert [tuple(r) for r in got] == [("1", None, 5), ("2", "q", 6)]
+    assert [tuple(r) for r in got] == [(1, None, 5), (2, "q", 6)]  # id is typed
+    # A value that is no number widens the column to text; nothing is lost.
+    write_file(work, "src/c.csv", "id,v,w\n2.5,1,q\n")
+    ingest_and_register(spark, "t", src, lake, state, db, "t_table", run_ts="2024-03-07", db_location=f"{work}/wh")
+    assert dict(spark.table(f"{db}.t_table").dtypes)["id"] == "double"
+    write_file(work, "src/d.csv", "id,v,w\n007x,1,q\n")
+    ingest_and_register(spark, "t", src, lake, state, db, "t_table", run_ts="2024-03-08", db_location=f"{work}/wh")
+    assert sorted(r.id for r in spark.table(f"{db}.t_table").collect()) == ["007x", "1", "2", "2.5"]
 
 
 def test_file_rewritten_after_listing_is_left_for_next_run(spark, work):

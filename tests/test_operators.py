@@ -281,6 +281,15 @@ def test_catalog_rule_without_domain_is_skipped(spark):
     assert [r.rule_name for r in route_events(e, rules).collect()] == ["home"]
 
 
+def test_malformed_event_lines_are_listed(spark, work):
+    from conftest import write_file
+    from lakeloom.sources.events import event_scan, malformed_events
+
+    write_file(work, "ev/a.json", '{"id": "1", "source": "s"}\n{not json\n')
+    assert [tuple(r) for r in malformed_events(spark, f"{work}/ev").collect()] == [("{not json", None)]
+    assert event_scan(spark, f"{work}/ev").where("id is not null").count() == 1
+
+
 def test_malformed_event_time_does_not_fail(spark):
     rows = [("1", CATALOG_SOURCE, ASSET_ADDED, "not a time",
              (("u", "x", "home", "prj-1"), ("a1", "u2"), None))]

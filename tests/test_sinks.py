@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import write_file
 from lakeloom.sinks.assets import run_sql_asset
-from lakeloom.sinks.exports import export_dictionary, notification_rows
+from lakeloom.sinks.exports import export_dictionary, export_latest, notification_rows
 from lakeloom.sinks.tables import expire_partitions
 from lakeloom.sources.configs import mapper_pairs, sql_asset
 from lakeloom.sources.files import discover_assets
@@ -104,6 +104,27 @@ def test_expire_partitions_managed_table_removes_files(spark, work):
     assert not os.path.exists(f"{work}/wh/{db}.db/t/year=2024/month=1/day=1".replace("file:", ""))
 
 
+def test_sql_asset_view_is_seen_by_another_session(spark, work):
+    dbs = [f"{d}_" + work.rsplit("-", 1)[1] for d in ("one", "two")]
+    for i, db in enumerate(dbs):
+        spark.sql(f"CREATE DATABASE {db} LOCATION '{work}/wh/{db}.db'")
+        spark.createDataFrame([("a", i), ("a", 2)], "k string, n int").write.saveAsTable(f"{db}.src_rows")
+        name, _ = run_sql_asset(spark, db, "totals", "SELECT k, sum(n) AS total FROM src_rows GROUP BY k;", location=f"{work}/wh")
+        assert name == f"{db}.totals"
+    other = spark.newSession()
+    assert [other.table(f"{db}.totals").first().total for db in dbs] == [2, 3]
+
+
+def test_export_latest_keeps_untouched_keys_in_few_folders(spark, work):
+    rows = spark.createDataFrame([(i, 1, f"v{i}") for i in range(300)] + [(None, 1, "none")], "k long, t int, v string")
+    export_latest(rows, f"{work}/latest", ["k"], ["t"], buckets=4)
+    export_latest(spark.createDataFrame([(5, 2, "new"), (5, 3, "newer"), (999, 1, "added")], "k long, t int, v string"),
+                  f"{work}/latest", ["k"], ["t"], buckets=4)
+    back = {r.k: r.v for r in spark.read.schema("k long, t int, v string").option("header", "true").csv(f"{work}/latest").collect()}
+    assert len(back) == 302 and back[5] == "newer" and back[999] == "added" and back[6] == "v6" and back[None] == "none"
+    assert len([d for d in os.listdir(f"{work}/latest".replace("file:", "")) if d.startswith("key_bucket=")]) <= 4
+
+
 def test_sql_asset_published_as_table(spark, work):
     spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "k string, n int").createOrReplaceTempView("src_rows")
     db = "pub_" + work.rsplit("-", 1)[1]
@@ -124,6 +145,6 @@ def test_expire_partitions_external_lake_table_deletes_folders(spark, work):
     ingest_and_register(spark, "t", src, lake, state, db, "t_lake", run_ts="2024-06-01", db_location=f"{work}/wh")
     dropped = expire_partitions(spark, f"{db}.t_lake", keep_days=90, now="2024-06-02")
     assert dropped == [{"year": "2024", "month": "1", "day": "1"}]
-    assert [r.id for r in spark.table(f"{db}.t_lake").collect()] == ["2"]
+    assert [r.id for r in spark.table(f"{db}.t_lake").collect()] == [2]  # a typed column
     assert not os.path.exists(f"{lake}/year=2024/month=1/day=1".replace("file:", ""))
     assert os.path.exists(f"{lake}/year=2024/month=6/day=1".replace("file:", ""))
