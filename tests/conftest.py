@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,7 @@ from lakeloom.session import get_session, scratch  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("local[*]", 8)
+    s = get_session("local[*]", 8, extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="lakeloom-test-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
