@@ -50,10 +50,13 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture in which no source repeats over 1.25 times, in as many
-    tokens as are left."""
+    tokens as are left. An added column whose name is taken is called ``mix_``
+    and the name."""
     got = mixing.mix(docs, max_repeats=1.25)
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{TMP}tokens").alias("n_tokens"),
-                      F.col(f"{TMP}block").alias("block"), F.col(f"{TMP}position").alias("position"))
+    taken = {c.lower() for c in docs.columns}
+    added = {"n_tokens": "tokens", "block": "block", "position": "position"}
+    return got.select(*[F.col(f"`{c}`") for c in docs.columns],
+                      *[F.col(f"{TMP}{c}").alias(f"mix_{name}" if name in taken else name) for name, c in added.items()])
 
 
 STAGES = [
