@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import pytest
+from helpers import docs, empty
 from pyspark.sql import functions as F
 from test_decontamination import brute as leaks_of
 from test_pii import brute as spans_of
@@ -43,10 +44,10 @@ def test_oracle(spark, name):
 
 
 def test_stages(spark, work):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names, cols = [n for n, _ in corpus_pipeline.STAGES], docs.columns
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    names, cols = [n for n, _ in corpus_pipeline.STAGES], whole.columns
     assert names == ["toxicity", "simhash near-dedup", "benchmark decontamination", "pii", "source mixing"]
-    out = [docs]
+    out = [whole]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, out[-1], SF).write.parquet(f"{work}/{k}")
         out.append(spark.read.parquet(f"{work}/{k}"))
@@ -73,12 +74,28 @@ def test_stages(spark, work):
             at = before[d].index(p, at) + len(p)
         changed += len(pieces) > 1
     assert changed
-    assert out[4].filter(F.col("n_chars") != F.length("text")).count() == docs.filter(F.col("n_chars") != F.length("text")).count() == 0
+    assert out[4].filter(F.col("n_chars") != F.length("text")).count() == whole.filter(F.col("n_chars") != F.length("text")).count() == 0
     # 5: only kept documents, each with its text, in the mixture's blocks.
     final = dict(rows[4])
     assert rows[5] and all(final[d] == t for d, t in rows[5])
 
 
+def test_stages_on_awkward_rows(spark, work):
+    rows = [(1, None), (1, None), (2, ""), (None, "words without an id " * 9), (3, "a@b.cd " * 4000), (4, "same text here now"), (4, "same text here now"),
+            (5, "\x00 \n"), (6, None, None, "s"), (7, "good words of a text " * 30, "en", "s")]
+    df = docs(spark, rows, clash=True)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, df, SF).write.parquet(f"{work}/{k}")
+        df = spark.read.parquet(f"{work}/{k}")
+    got = df.collect()
+    assert {"mix_block", "n_tokens", "position", "block", "fp"} <= set(df.columns)
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) and all("@" not in (r.text or "") for r in got)
+    none = empty(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, SF)
+        assert none.count() == 0
+
+
 def test_run_equals_the_stages_one_by_one(spark):
     a = corpus_pipeline.run(spark, SF)
     assert a.count() > 0 and {"doc_id", "text", "block", "position"} <= set(a.columns)
