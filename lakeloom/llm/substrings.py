@@ -202,7 +202,7 @@ def repeated_ranges(regions: list[bytes], length: int) -> list[tuple[int, int, i
 def _index_shard(length: int):
     """A shard's rows (k1, k2, start, raw) -> its marks (k1, k2, lo, hi)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["k1", "k2", "start"], kind="stable")
+        pdf = pdf.sort_values(["k1", "k2", "start"], kind="stable").drop_duplicates(["k1", "k2", "start"])
         regions: list[bytearray] = []
         of: list[tuple[int, int, int]] = []
         for k1, k2, lo, raw in zip(pdf["k1"], pdf["k2"], pdf["start"], pdf["raw"]):
@@ -245,26 +245,26 @@ def _all_segments(keyed: DataFrame, length: int) -> DataFrame:
 
 
 def _cut_out(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (k1, k2, start, end, shard) with the bytes, once per place."""
+    """``wanted`` (k1, k2, start, end, shard) with the bytes. Copies of a text
+    give their parts once per task; the last ones are dropped where they meet."""
     per_text = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end", "shard")).alias("parts"))
     rows = keyed.select("k1", "k2", "raw").join(per_text, ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
-            done: set[tuple[int, int]] = set()
             out: list[list] = [[] for _ in range(5)]
             for k1, k2, raw, parts in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if (k1, k2) in done:  # a further copy of the same text
+                if (k1, k2) == last:  # a further copy of the same text: the join sorts by key
                     continue
-                done.add((k1, k2))
+                last = (k1, k2)
                 for p in parts:
                     for col, v in zip(out, (p["shard"], k1, k2, p["start"], raw[p["start"]:p["end"]])):
                         col.append(v)
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["shard", "k1", "k2", "start", "raw"])
 
-    return rows.mapInArrow(run, "shard long, k1 long, k2 long, start long, raw binary") \
-        .dropDuplicates(["shard", "k1", "k2", "start"])
+    return rows.mapInArrow(run, "shard long, k1 long, k2 long, start long, raw binary")
 
 
 def _counted(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -278,20 +278,23 @@ def _counted(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(hs[0]), pa.array(hs[1]), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)),
                                                   pa.array(np.arange(start, start + n))], names=["h1", "h2", "k1", "k2", "lo"])
 
-    rows = cut(_cut_out(keyed, wanted).mapInArrow(run, "h1 long, h2 long, k1 long, k2 long, lo long"))
+    once = _cut_out(keyed, wanted).dropDuplicates(["shard", "k1", "k2", "start"])
+    rows = cut(once.mapInArrow(run, "h1 long, h2 long, k1 long, k2 long, lo long"))
     twice = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     return rows.join(twice, ["h1", "h2"], "left_semi").select("k1", "k2", "lo", (F.col("lo") + length).alias("hi"))
 
 
 def marks(keyed: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """(k1, k2, lo, hi): ranges of texts to remove; they may overlap."""
-    seg = cut(_all_segments(keyed, length).groupBy("name", "body", "k1", "k2", "start", "end", "often")
-              .agg(F.count(F.lit(1)).alias("c")))
-    bodies = seg.groupBy("name", "body").agg(F.sum("c").alias("c"), F.max("often").alias("often"), F.min(F.struct("k1", "k2", "start", "end")).alias("rep"))
+    # Segments are made twice rather than kept: most names occur once and go here.
+    seg = _all_segments(keyed, length)
+    again = seg.groupBy("name").agg(F.count(F.lit(1)).alias("places"), F.max("often").alias("often")) \
+        .filter("places > 1 OR often = 1").select("name")
+    seg = cut(seg.join(again, "name", "left_semi"))
+    bodies = seg.groupBy("name", "body").agg(F.count(F.lit(1)).alias("c"), F.max("often").alias("often"),
+                                             F.min(F.struct("k1", "k2", "start", "end")).alias("rep"))
     size = (F.col("rep.end") - F.col("rep.start"))
-    names = bodies.groupBy("name").agg(F.sum("c").alias("places"), F.count(F.lit(1)).alias("n_bodies"),
-                                       F.sum(size).alias("bytes"), F.min("rep.k1").alias("least"), F.max("often").alias("any_often")) \
-        .filter("places > 1 OR any_often = 1").drop("any_often")
+    names = bodies.groupBy("name").agg(F.count(F.lit(1)).alias("n_bodies"), F.sum(size).alias("bytes"), F.min("rep.k1").alias("least"))
     bodies = cut(bodies.join(names, "name"))
     whole = seg.join(bodies.filter("c > 1").select("name", "body"), ["name", "body"]).select("k1", "k2", F.col("start").alias("lo"), F.col("end").alias("hi"))
     bodies = bodies.filter("n_bodies > 1 OR often = 1")
