@@ -290,7 +290,7 @@ def fit_field(wins: list[tuple[str, int, int, bool]], rounds: int = 60, l2: floa
         g = -l2 * w
         for n, cands, feats, y in data:
             p = segment_marginals(n, cands, w[feats].sum(axis=1))
-            np.add.at(g, feats, ((y - p) / 1.0)[:, None, :])
+            np.add.at(g, feats, (y - p)[:, None, :])
         mom, var = 0.9 * mom + 0.1 * g, 0.99 * var + 0.01 * g * g
         w += 0.1 * (mom / (1 - 0.9 ** k)) / (np.sqrt(var / (1 - 0.99 ** k)) + 1e-8)
     return model
