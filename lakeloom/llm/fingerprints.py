@@ -155,7 +155,8 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     prepare(spark)
-    blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Blocks are dealt to partitions by hash: several small ones each even out.
+    blocks = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     d = with_next(docs, id_col, text_col, blocks, n, k)
     size, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     d = d.withColumn("n_chars", size.cast("bigint")).withColumn("edited", F.concat(
