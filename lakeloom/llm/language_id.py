@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TMP, fold, prepare, sample_by_count, unit_hash
+from .common import TMP, cut, fold, prepare, unit_hash
 
 DIM = 1 << 16
 # Sizes and offsets of the hashed 1-, 2- and 3-grams inside DIM.
@@ -191,12 +191,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     model.idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0).astype(np.float32)
     model.weights = np.zeros((DIM + 1, len(model.langs)), np.float32)
     number = {x: i for i, x in enumerate(model.langs)}
-    few = None
-    for lang, c in counts.items():
-        part = sample_by_count(train.filter(F.col("lang") == lang), c, sample_docs, "id")
-        few = part if few is None else few.unionByName(part)
-    few = few.select("text", "lang", unit_hash(F.col("id"), seed=11).alias("u"),
-                     F.xxhash64("id", "text").alias("h"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
+    # One pass samples every language at its own rate; the bounded sample is kept.
+    rate = F.create_map(*[F.lit(x) for lang, c in counts.items() for x in (lang, min(1.0, sample_docs / c))])
+    few = cut(train.filter(unit_hash(F.col("id"), seed=7) < F.element_at(rate, F.col("lang"))).select(
+        "text", "lang", unit_hash(F.col("id"), seed=11).alias("u"), F.xxhash64("id", "text").alias("h"),
+        F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")))
     empty = model
     langs = len(model.langs)
 
