@@ -1,16 +1,19 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
 **Labelled tokens.** Labels mark whole documents. Over all labelled learning
-documents (exact copies count once) Spark counts in how many toxic and clean
-documents each word occurs, and sums that by word start (3 to 8 letters).
-Words and starts that speak clearly for toxic documents form the feature
-lexicon; a token of a toxic document that carries such a feature is labelled
-toxic, every other token clean.
+documents Spark counts in how many toxic and clean documents each word occurs,
+and sums that by word start (3 to 8 letters). A group of near copies (SimHash
+components) counts as one document of each of its labels, which holds every
+word of the group. All words and starts that speak clearly for toxic documents
+form the feature lexicon, which grows with the vocabulary; a token of a toxic
+document that carries such a feature is labelled toxic, every other token clean.
 
 **Model.** Two labels, a bias, one weight per lexicon feature and a 2 x 2
 transition table, fitted by gradient ascent on the log-likelihood of token
 sequences from a bounded sample of learning documents (``sample_docs`` per
-class). The expectations come from forward-backward over the sequences.
+class, one of each group of near copies). The expectations come from
+forward-backward over the sequences. A feature that no sampled document holds
+gets the weight that the fitted features have at its log odds (least squares).
 
 **Scores.** Forward-backward marginals of the toxic label give the offending
 spans (marginal of 0.5 or more). Their sum, maximum and share of the document
@@ -32,7 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TMP, fold, prepare, sample_by_count
+from lakeloom.operators.lookups import skew_join
+
+from . import simhash
+from .common import TMP, cut, fold, prepare, sample_by_count
 
 WORD = re.compile(r"\w+")
 STARTS = range(3, 9)
@@ -71,23 +77,28 @@ def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
 
 def learning_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                   label_col: str, mod: int, out: int) -> DataFrame:
-    """(id, y): labelled documents outside the held-out fold, one per distinct
-    text. Repeated labels of one id count as toxic if any does."""
+    """(id, h, y, root): labelled documents outside the held-out fold, one per
+    distinct text (hash ``h``); near copies share ``root``. Repeated labels of
+    one id count as toxic if any does."""
     y = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col, mod) != out)) \
         .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    d = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, mod) != out)) \
-        .select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    return d.join(y, "id").groupBy("h").agg(F.min("id").alias("id"), F.max("y").alias("y")).select("id", "y")
-
-
-def build_lexicon(rows: DataFrame, n_toxic: int, n_clean: int, size: int,
-                  min_docs: int, min_odds: float, min_g2: float) -> list[str]:
-    """Features of (text, y) rows that speak for y = 1, strongest first by the
-    likelihood ratio of their toxic and clean documents. Words are grouped
-    once; their starts are sums of words."""
-    words = rows.select("y", F.explode_outer(F.array_distinct(
+    d = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, mod) != out))
+    d = simhash.with_fingerprint(d, text_col, [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")], 4)
+    d = cut(d.join(y, "id").groupBy("h").agg(F.min("id").alias("id"), F.max("y").alias("y"), F.first("fp").alias("fp")))
+    return d.join(simhash.near_components(d.select("fp").distinct(), 4, 6), "fp").select("id", "h", "y", "root")
+
+
+def build_lexicon(rows: DataFrame, n_toxic: int, n_clean: int,
+                  min_docs: int, min_odds: float, min_g2: float) -> list[tuple[str, float]]:
+    """Features of (text, y, root) rows that speak for y = 1 and their log odds,
+    strongest first by the likelihood ratio of their toxic and clean documents.
+    Rows alike in y and root count as one document, rows without root as one
+    each. Words are grouped once; their starts are sums of words."""
+    words = rows.select("y", "root", F.explode_outer(F.array_distinct(
         F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("w")).filter("w != ''")
-    words = words.groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    words = words.groupBy("w", "root", "y").agg(F.count(F.lit(1)).alias("k")) \
+        .withColumn("k", F.when(F.col("root").isNull(), F.col("k")).otherwise(1))
+    words = words.groupBy("w").agg(F.sum(F.col("k") * F.col("y")).alias("t"), F.sum(F.col("k") * (1 - F.col("y"))).alias("c"))
     features = F.concat(F.array(F.concat(F.lit("="), "w")), F.when(F.length("w") >= STARTS[0], F.transform(
         F.sequence(F.lit(STARTS[0]), F.least(F.length("w"), F.lit(STARTS[-1]))),
         lambda k: F.concat(F.lit("^"), F.substring(F.col("w"), F.lit(1), k)))).otherwise(F.array().cast("array<string>")))
@@ -98,9 +109,18 @@ def build_lexicon(rows: DataFrame, n_toxic: int, n_clean: int, size: int,
     n = F.col("t") + F.col("c")
     g2 = 2 * (F.col("t") * F.log(F.col("t") / (n * share))
               + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share)))).otherwise(0.0))
-    best = counts.withColumn("o", odds).withColumn("g2", g2) \
-        .filter((F.col("o") >= min_odds) & (F.col("g2") >= min_g2)).orderBy(F.desc("g2"), "f").limit(size)
-    return [r.f for r in best.select("f").collect()]
+    best = counts.withColumn("o", odds).withColumn("g2", g2).filter((F.col("o") >= min_odds) & (F.col("g2") >= min_g2))
+    return [(r.f, r.o) for r in sorted(best.select("f", "o", "g2").collect(), key=lambda r: (-r.g2, r.f))]
+
+
+def fill_weights(w: np.ndarray, odds: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """``w``, where not ``seen``, from a line through the seen (odds, weight)
+    points, held within their range of weights."""
+    if seen.all() or not seen.any():
+        return w
+    x, y = odds[seen], w[seen]
+    slope = ((x - x.mean()) @ (y - y.mean())) / max(((x - x.mean()) ** 2).sum(), 1e-9)
+    return np.where(seen, w, np.clip(y.mean() + slope * (odds - x.mean()), y.min(), y.max()))
 
 
 def _sequences(df: DataFrame, lexicon: dict[str, int]) -> DataFrame:
@@ -204,28 +224,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", mod: int = 3, out: int = 1, sample_docs: int = 1000,
-        lexicon_size: int = 2048, min_docs: int = 4, min_odds: float = 1.5, min_g2: float = 18.0) -> ToxicityModel:
+        min_docs: int = 4, min_odds: float = 1.5, min_g2: float = 18.0) -> ToxicityModel:
     """Learn from labelled documents outside fold ``out`` of ``mod``.
 
-    Word counts cover all of them; the field is fitted on about ``sample_docs``
-    documents of each class. Without labelled documents of both classes there
+    Word counts cover all of them and every feature that passes ``min_docs``,
+    ``min_odds`` and ``min_g2`` is used; the field is fitted on about
+    ``sample_docs`` documents of each class. Without labelled documents of both classes there
     are no spans, and every score is the share of toxic labels (0 if none).
     """
     prepare(docs.sparkSession)
-    train = learning_rows(docs, labels, id_col, text_col, label_col, mod, out)
-    n = dict(train.groupBy("y").count().collect())
+    rows = cut(learning_rows(docs, labels, id_col, text_col, label_col, mod, out))
+    groups = cut(rows.groupBy("root", "y").agg(F.min(F.struct("id", "h")).alias("one"), F.count(F.lit(1)).alias("k")))
+    n = dict(groups.groupBy("y").count().collect())
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not (n1 and n0):
         return ToxicityModel(base=float(n1 > 0))
     texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, mod) != out)) \
-        .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lex = build_lexicon(texts.join(train, "id"), n1, n0, lexicon_size, min_docs, min_odds, min_g2)
-    lexicon = {f: i for i, f in enumerate(lex)}
-    few = sample_by_count(train.filter("y = 1"), n1, sample_docs, "id").unionByName(
-        sample_by_count(train.filter("y = 0"), n0, sample_docs, "id"))
+        .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    copied = groups.filter("k > 1").select(F.col("root").alias("r"), F.col("y").alias("ry"))
+    train = skew_join(rows, copied, [("root", "r"), ("y", "ry")], "left").select("id", "h", "y", F.col("r").alias("root"))
+    lex = build_lexicon(texts.join(train, ["id", "h"]), n1, n0, min_docs, min_odds, min_g2)
+    lexicon = {f: i for i, (f, _) in enumerate(lex)}
+    ones = groups.select("one.id", "one.h", "y")
+    few = sample_by_count(ones.filter("y = 1"), n1, sample_docs, "id").unionByName(
+        sample_by_count(ones.filter("y = 0"), n0, sample_docs, "id"))
     rows = [(r.y, r.n, np.array(r.pos, np.int64), np.array(r.feat, np.int64))
-            for r in _sequences(texts.join(few, "id"), lexicon).collect()]
+            for r in _sequences(texts.join(few, ["id", "h"]).dropDuplicates(["id", "h"]), lexicon).collect()]
     w, bias, trans = fit_chain(rows, len(lex))
+    seen = np.bincount(np.concatenate([feat for *_, feat in rows]), minlength=len(lex)) > 0 if rows else np.zeros(len(lex), bool)
+    w = fill_weights(w, np.array([o for _, o in lex]), seen)
     model = ToxicityModel(lexicon, w, bias, trans, None, n1 / (n1 + n0))
     x, y = [], []
     for label, length, pos, feat in rows:

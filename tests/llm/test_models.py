@@ -84,6 +84,40 @@ def test_toxicity_without_labels(spark):
     assert toxicity.with_toxicity(empty(spark), model).count() == 0
 
 
+def plain_words(rng, k, sign):
+    return ["".join(rng.choice(sign) for _ in range(9)) for _ in range(k)]
+
+
+def test_toxicity_keeps_every_feature(spark):
+    """More than 2,048 features pass the gates, most of them in no sampled document."""
+    rng = random.Random(3)
+    bad, good = plain_words(rng, 400, "abcdefgh"), plain_words(rng, 300, "mnopqrst")
+    texts = [[rng.choice(good) for _ in range(150)] for _ in range(400)]
+    for w in bad:
+        for i in rng.sample(range(100), 10):
+            texts[4 * i].insert(rng.randrange(150), w)
+    df = docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(df, lab, mod=1000, out=999, sample_docs=8)
+    assert len(model.lexicon) > 2048 and all("=" + w in model.lexicon for w in bad)
+    got = toxicity.with_toxicity(docs(spark, [(i, f"{good[0]} {w} {good[1]}") for i, w in enumerate(bad)]), model).collect()
+    assert all([(s.start, s.end) for s in r["__ll_spans"]] == [(10, 19)] for r in got)
+
+
+def test_toxicity_counts_near_copies_once(spark):
+    rows, labels = toxic_corpus()
+    rng = random.Random(4)
+    base = plain_words(rng, 1000, "ijklmnop")
+    copies = []
+    for i in range(1000, 1040):
+        w = list(base)
+        w[rng.randrange(len(w))] = "other"
+        copies.append((i, " ".join(w)))
+    lab = spark.createDataFrame(labels + [(i, 0, 1) for i, _ in copies], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(spark, rows + copies), lab)
+    assert "=vilex" in model.lexicon and not any("=" + w in model.lexicon for w in base)
+
+
 @has_data
 def test_toxicity_held_out(spark):
     got = queries.QUERIES["op5_toxicity"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
