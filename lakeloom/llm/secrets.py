@@ -1,8 +1,12 @@
 """Secret scan: candidate strings, and a random forest that removes false ones.
 
-**Candidates** are maximal runs of at least 16 letters (A-Z), digits and the
-signs ``+/_=-`` that hold a digit. Their places come from one split of the text
-at the candidates: lengths of pieces and candidates are summed per document.
+**Candidates** are maximal runs of letters (A-Z), digits and the signs ``+/_-``
+with the ``=`` that pad their end; an ``=`` before a value ends the run. Runs of
+16 signs or more are candidates unless they repeat one sign that is no digit;
+runs of 8 to 15 if they mix letters and digits or come right after ``=`` or
+``:``. Shorter runs, and plain words and numbers of 8 to 15 signs elsewhere in a
+text, are none. The places come from one split of the text at the candidates:
+lengths of pieces and candidates are summed per document.
 
 **Features** (``FEATURES``): length and shares of sign classes; transitions
 between classes of neighbouring characters; dictionary coverage, the share of
@@ -31,9 +35,12 @@ from lakeloom.operators.lookups import fits_broadcast
 
 from .common import cut, prepare, sample_by_count
 
-_SIGN = "A-Za-z0-9+/_=-"
-# A run's start, then a digit somewhere in the run; possessive, so linear.
-CANDIDATE = rf"(?<![{_SIGN}])(?=[A-Za-z+/_=-]*+[0-9])[{_SIGN}]{{16,}}+"
+_SIGN = "A-Za-z0-9+/_-"
+# All parts are possessive, so linear.
+_LONG = rf"(?!([A-Za-z+/_-])\1*+(?![{_SIGN}]))[{_SIGN}]{{16,}}+"
+_MIXED = r"(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])"
+_SHORT = rf"(?:(?<=[:=][ \t]{{0,4}}[\"'`]?)|{_MIXED})[{_SIGN}]{{8,15}}+(?![{_SIGN}])"
+CANDIDATE = rf"(?<![{_SIGN}])(?:{_LONG}|{_SHORT})(?:={{1,2}}+(?![={_SIGN}]))?+"
 NAME = r"(?i)(token|secret|passw|api.?key|credential)\w*[^\w]{0,6}$"
 GRAM = 4
 FEATURES = ("length", "digits", "uppers", "lowers", "signs", "to_digit", "to_letter", "case_change", "vowel_change",
@@ -55,7 +62,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = d.select("row", "id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("c"),
                  F.split("text", CANDIDATE, -1).alias("s"))
     each = F.transform(F.sequence(F.lit(0), F.size("c") - 1), lambda i: F.struct(
-        F.get("c", i).alias("cand"), F.right(F.get("s", i), F.lit(40)).alias("before"),
+        F.get("c", i).alias("cand"), F.right(F.concat(
+            F.coalesce(F.get("c", i - 1), F.lit("")), F.get("s", i)), F.lit(40)).alias("before"),
         F.left(F.get("s", i + 1), F.lit(20)).alias("after"), F.length(F.get("s", i)).alias("gap"), F.length(F.get("c", i)).alias("len")))
     d = d.select("row", "id", "path", F.posexplode_outer(each).alias("i", "x")).filter(F.col("x").isNotNull())
     upto = W.partitionBy("row").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -120,8 +128,9 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     """(id_col, start, end, cand, score, is_secret): every candidate with the
     forest's probability that it is a real secret, and whether that is 0.5 or more.
 
-    ``findings`` has (start, label) and the ``id_col`` of labelled candidates;
-    without it, silver labels are used. With labels of one kind only, the score
+    ``findings`` has (start, label) and the ``id_col`` of labelled findings;
+    without it, silver labels are used. One that matches no candidate is a row
+    without ``end`` and ``cand`` whose score is its label. With labels of one kind only, the score
     is that label; without any, 0. Repeated rows give repeated candidates; null
     texts none; an empty table gives an empty result.
     """
@@ -130,13 +139,22 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     if findings is None:
         known = silver_findings(cands)
     else:
-        known = cands.join(findings.select(F.col(id_col).alias("id"), "start", "label").dropDuplicates(["id", "start"]), ["id", "start"])
+        labelled = findings.select(F.col(id_col).alias("id"), "start", "label").dropDuplicates(["id", "start"])
+        known = cands.join(labelled, ["id", "start"])
     n = {r.label: r[1] for r in known.groupBy("label").count().collect() if r.label is not None}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     out = [F.col("id").alias(id_col), "start", "end", "cand"]
+
+    def result(d: DataFrame, score: Column) -> DataFrame:
+        d = d.select(*out, score.alias("score"), (score >= 0.5).alias("is_secret"))
+        if findings is None:
+            return d
+        label = F.col("label").cast("double")
+        return d.unionByName(labelled.filter("label is not null").join(cands, ["id", "start"], "left_anti").select(
+            F.col("id").alias(id_col), "start", label.alias("score"), (label >= 0.5).alias("is_secret")), allowMissingColumns=True)
+
     if not (n0 and n1):
-        s = float(n1 > 0)
-        return cands.select(*out, F.lit(s).alias("score"), F.lit(s >= 0.5).alias("is_secret"))
+        return result(cands, F.lit(float(n1 > 0)))
     base = n1 / (n0 + n1)
     rates = cut(known.groupBy(F.col("path").alias("rpath")).agg(
         ((F.sum("label") + 10 * base) / (F.count("label") + 10)).alias("path_rate")))
@@ -148,5 +166,4 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     forest = RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8) \
         .fit(assemble.transform(train))
     got = forest.transform(assemble.transform(with_features(cands, grams, rates, base)))
-    score = vector_to_array("probability")[1]
-    return got.select(*out, score.alias("score"), (score >= 0.5).alias("is_secret"))
+    return result(got, vector_to_array("probability")[1])
