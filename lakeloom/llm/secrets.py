@@ -73,10 +73,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dictionary(docs: DataFrame, text_col: str = "text", min_count: int = 5) -> DataFrame:
     """(g): the letter 4-grams of words that occur ``min_count`` times or more
-    in all texts. Words longer than 12 letters add nothing new and are left
-    out of the dictionary."""
+    in all texts."""
     w = docs.select(F.explode_outer(F.split(F.lower(text_col), "[^a-z]+")).alias("w")) \
-        .filter(F.length("w").between(GRAM, 12)).groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_count)
+        .filter(F.length("w") >= GRAM).groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_count)
     return w.select(F.explode_outer(_grams("w")).alias("g")).distinct()
 
 

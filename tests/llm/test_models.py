@@ -267,6 +267,11 @@ def test_candidates_of_every_form(spark):
     assert {(r.id, r.cand) for r in got} == {(i, forms[t]) for i, t in rows} and all(texts[r.id][r.start:r.end] == r.cand for r in got)
 
 
+def test_dictionary_takes_long_words(spark):
+    got = {r.g for r in secrets.dictionary(docs(spark, [(i, "Donaudampfschiff") for i in range(5)])).collect()}
+    assert {"dona", "pfsc", "hiff"} <= got
+
+
 def test_scan_reports_findings_without_candidate(spark):
     known = spark.createDataFrame([(0, 1, 1), (1, 2, 0), (2, 3, None)], "doc_id long, start int, label int")
     got = secrets.scan(docs(spark, secret_rows()[:5]), known).filter("cand is null").collect()
