@@ -78,7 +78,7 @@ def _deliver_batch(spark, ctx, table_root, columns, state_dir, entity_root, pair
         fs.delete(spark, f"{entity_root.rstrip('/')}/batch_id={batch_id}")
     else:
         run_ts_sql, batch_id = mf.next_clock(last_batch, run_ts)
-        new = mf.new_files(src_files.list_files(spark, table_root, "part-*"), manifest, ctx)
+        new = mf.new_files(src_files.list_files(spark, table_root, "*"), manifest, ctx)
         if ingest_ctx and ingest_state and layout == "ymd_batch":
             new = _committed_only(spark, new, ingest_ctx, ingest_state)
         chosen = mf.collect_files(new.orderBy("mtime", "path").limit(max_files))

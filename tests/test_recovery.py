@@ -4,7 +4,9 @@ no state that a later run cannot leave."""
 from __future__ import annotations
 
 import os
+import shutil
 import time
+from pathlib import Path
 
 import pytest
 from conftest import write_file
@@ -134,6 +136,16 @@ def test_delivery_takes_older_days_and_every_batch(spark, work):
     assert deliver_entity(spark, "d", lake, ["id", "v"], f"{work}/ds", f"{work}/out", PAIRS, run_ts="2024-11-02") == 0
 
 
+def test_delivery_takes_files_of_any_name(spark, work):
+    src, lake, state = _dirs(work)
+    write_file(work, "src/a.csv", "id,v\n1,x\n")
+    ingest(spark, "t", src, lake, state, run_ts="2024-03-05")
+    part = next(Path(lake.replace("file:", "")).rglob("part-*"))
+    shutil.copy(part, part.with_name("restored.csv"))
+    assert deliver_entity(spark, "d", lake, ["id", "v"], f"{work}/ds", f"{work}/out", PAIRS, run_ts="2024-03-07") == 2
+    assert [r.key for r in spark.read.json(f"{work}/out").collect()] == ["1", "1"]
+
+
 def test_delivery_takes_committed_batches_only(spark, work):
     src, lake, state = _dirs(work)
     write_file(work, "src/a.csv", "id,v\n1,x\n")
