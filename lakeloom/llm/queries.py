@@ -9,10 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language_id, mixing, pii, quality, secrets, simhash, substrings, toxicity
+from lakeloom.operators.lookups import skew_join
+
+from . import (
+    centroids,
+    decontamination,
+    fingerprints,
+    language_id,
+    mixing,
+    oracle,
+    pii,
+    quality,
+    rules,
+    secrets,
+    simhash,
+    substrings,
+    toxicity,
+    vector_codes,
+)
 from .common import TMP, fold, prepare, table
 
 THRESHOLD = 0.7
+RISK = {"risk": 0.05, "level": 0.05}
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +117,34 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256."""
+    prepare(spark)
+    got, books = centroids.cluster(table(spark, sf_dir, "embeddings"), dims=64, scale=64, k=16, rounds=3)
+    return centroids.with_inertia(got, books).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, kept: at most 5 % of any language's good texts lost, at level 0.05."""
+    prepare(spark)
+    got, _ = rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), **RISK)
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, code, error, label_error, codebooks_sha256."""
+    prepare(spark)
+    got, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), [F.col("vec_id"), F.col("label")],
+                                       dims=64, parts=8, scale=4096, k=16, rounds=6)
+    key = F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit(""))  # null is a label of its own
+    got = got.withColumn(f"{TMP}key", key)
+    sums = got.groupBy(F.col(f"{TMP}key").alias(f"{TMP}of")).agg(F.sum(f"{TMP}error").alias("label_error"))
+    whole = centroids.digest([x for part in books for e in part for x in e])
+    return skew_join(got, sums, [(f"{TMP}key", f"{TMP}of")], salt_by=["vec_id", f"{TMP}code"]).select(
+        "vec_id", F.col(f"{TMP}code").alias("code"), F.col(f"{TMP}error").alias("error"), "label_error", F.lit(whole).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -110,6 +156,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _SHINGLES = """
@@ -149,4 +198,7 @@ SELECT d.id AS doc_id, b.id AS item_id, any_value(n_item) AS n_item, count(*) AS
 FROM d JOIN b USING (s) JOIN n ON n.id = b.id
 GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n_item)
 """,
+    "op11_centroid_clustering": oracle.centroid_clustering(dims=64, scale=64, k=16, rounds=3),
+    "op12_quality_rules": oracle.quality_rules(**RISK),
+    "op13_vector_codes": oracle.vector_codes(dims=64, parts=8, scale=4096, k=16, rounds=6),
 }

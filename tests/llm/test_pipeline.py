@@ -25,14 +25,14 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not p
 def test_every_operator_is_registered():
     names = set(queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
 
 
 @pytest.mark.parametrize("name", sorted(q.ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
