@@ -80,9 +80,11 @@ WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(CA
  known AS MATERIALIZED (SELECT stratum, h, min(r) AS r, max(q) = 1 AS good FROM based JOIN marks USING (doc_id) WHERE NOT base_failed GROUP BY stratum, h),
  scored AS (SELECT rule, c, count(*) FILTER (NOT good) AS bad, count(*) FILTER (good) AS good
    FROM (SELECT known.good, rule, unnest(range(0, hits)) AS c FROM known JOIN levels USING (r) WHERE known.h < '8') GROUP BY rule, c),
- pairs AS MATERIALIZED (SELECT rule, c, row_number() OVER (ORDER BY -bad / (good + 1), rule, c) AS t FROM scored WHERE bad > 0),
- steps AS MATERIALIZED (SELECT r, coalesce(min(t), (SELECT count(*) FROM pairs) + 1) AS step
-   FROM (SELECT levels.r, pairs.t FROM levels LEFT JOIN pairs ON levels.rule = pairs.rule AND pairs.c < levels.hits) GROUP BY r),
+ ranked AS MATERIALIZED (SELECT rule, c, row_number() OVER (ORDER BY -bad / (good + 1), rule, c) AS t FROM scored WHERE bad > 0),
+ first AS MATERIALIZED (SELECT r, min(t) AS t FROM levels JOIN ranked ON levels.rule = ranked.rule AND ranked.c < levels.hits GROUP BY r),
+ gain AS (SELECT t, sum(sum(CASE WHEN good THEN -1 ELSE 1 END)) OVER (ORDER BY t) AS g FROM known JOIN first USING (r) WHERE known.h < '8' GROUP BY t),
+ pairs AS MATERIALIZED (SELECT * FROM ranked WHERE t <= (SELECT coalesce(min(t), 0) FROM gain WHERE g > 0 AND g = (SELECT max(g) FROM gain))),
+ steps AS MATERIALIZED (SELECT based.r, coalesce(first.t, (SELECT count(*) FROM ranked) + 1) AS step FROM based LEFT JOIN first USING (r)),
  hold AS MATERIALIZED (SELECT stratum, step FROM known JOIN steps USING (r) WHERE good AND NOT h < '8'),
  size AS (SELECT stratum, count(*) AS n FROM hold GROUP BY stratum),
  tested AS (SELECT stratum, n, t, (SELECT count(*) FROM hold WHERE hold.stratum = size.stratum AND step <= t) AS x

@@ -51,6 +51,9 @@ def brute(rows, labels, risk, level):
                 scored.append((-hit.count(0) / (hit.count(1) + 1), k, r, n))
     pairs = [(r, n) for _, _, r, n in sorted(scored)]
     step = lambda c: next((t for t, (r, n) in enumerate(pairs, 1) if at[r](c) > n), len(pairs) + 1)
+    first = [(step(c), g) for (s, h), (g, c) in known.items() if h < "8"]
+    gain = [sum(1 - 2 * g for t, g in first if t <= n) for n in range(len(pairs) + 1)]
+    pairs = pairs[:gain.index(max(gain))]
     hold = defaultdict(list)
     for (s, h), (g, c) in known.items():
         if g and not h < "8":
