@@ -96,9 +96,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (``start:end``,
+    comma-joined) and text: what is left, a cut character replaced."""
     prepare(spark)
-    return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    got = substrings.remove_repeats(table(spark, sf_dir, "documents"), length=400, with_bytes=True)
+    return got.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -332,8 +332,9 @@ def _apply(raw: bytes, ranges: list[dict] | None) -> tuple[bytes, int, list[tupl
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
                    shard_bytes: int = 3_000_000, with_bytes: bool = False) -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept]): one row per
-    row of ``docs``, lengths in UTF-8 bytes.
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept]): one row
+    per row of ``docs``, lengths in UTF-8 bytes. ``spans`` lists the maximal
+    removed runs as ``start:end``, comma-joined; ``kept`` has the bytes left.
 
     Null texts count as empty. Repeated rows repeat each other's text, so one
     of ``length`` bytes or more goes wholly. Texts under ``length`` bytes stay.
@@ -347,16 +348,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per_text = marks(keyed, length, shard_bytes).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     rows = keyed.join(per_text, ["k1", "k2"], "left").select("id", "raw", "ranges")
     fields = [T.StructField("id", rows.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")),
-              T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.BinaryType())] * with_bytes
+              *(T.StructField(c, T.StringType()) for c in ("kept_sha256", "spans"))] + [T.StructField("kept", T.BinaryType())] * with_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for raw, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 kept, removed, runs = _apply(raw, ranges)
-                for col, v in zip(out, (len(raw), removed, len(runs), hashlib.sha256(kept).hexdigest(), kept)):
+                spans = ",".join(f"{lo}:{hi}" for lo, hi in runs)
+                for col, v in zip(out, (len(raw), removed, len(runs), hashlib.sha256(kept).hexdigest(), spans, kept)):
                     col.append(v)
-            cols = [b.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[4], pa.binary())] * with_bytes, names=[f.name for f in fields])
+            cols = [b.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:5])]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[5], pa.binary())] * with_bytes, names=[f.name for f in fields])
 
     return rows.mapInArrow(run, T.StructType(fields)).withColumnRenamed("id", id_col)

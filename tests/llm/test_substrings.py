@@ -8,6 +8,7 @@ import pytest
 from helpers import docs, empty
 
 from lakeloom.llm import substrings
+from lakeloom.llm.queries import op8_suffix_dedup
 
 
 def brute(texts: list[bytes], length: int) -> list[tuple]:
@@ -19,8 +20,8 @@ def brute(texts: list[bytes], length: int) -> list[tuple]:
             if seen[t[i:i + length]] > 1:
                 cover |= set(range(i, i + length))
         kept = bytes(c for i, c in enumerate(t) if i not in cover)
-        spans = sum(i - 1 not in cover for i in cover)
-        out.append((len(t), len(cover), spans, hashlib.sha256(kept).hexdigest()))
+        runs = list(zip(sorted(i for i in cover if i - 1 not in cover), sorted(i + 1 for i in cover if i + 1 not in cover)))
+        out.append((len(t), len(cover), len(runs), hashlib.sha256(kept).hexdigest(), ",".join(f"{a}:{b}" for a, b in runs)))
     return out
 
 
@@ -78,3 +79,18 @@ def test_kept_bytes_and_empty(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         substrings.remove_repeats(empty(spark), length=10)
+
+
+def test_query_shows_what_is_left(spark, tmp_path):
+    shared = "é" + "shared passage of the corpus " * 16
+    rows = [(1, "one " + shared + "é end"), (2, "ab" + shared + "û"), (3, "unlike"), (4, None)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    raw = {i: (t or "").encode() for i, t in rows}
+    for i, r in got.items():
+        kept, at = b"", 0
+        for a, b in (map(int, s.split(":")) for s in r.spans.split(",") if s):
+            kept, at = kept + raw[i][at:a], b
+        kept += raw[i][at:]
+        assert r.kept_sha256 == hashlib.sha256(kept).hexdigest() and r.text == kept.decode(errors="replace")
+    assert got[1].n_removed > 400 and got[2].n_removed == got[1].n_removed and got[3].text == "unlike" and got[4].text == ""
