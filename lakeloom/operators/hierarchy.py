@@ -36,6 +36,59 @@ def fan_out_entities(units: DataFrame) -> DataFrame:
     )
 
 
+def ancestor_jumps(links: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> list[DataFrame]:
+    """Pointer doubling: the r-th table has (node, up) for every node with an
+    ancestor at distance 2^r, so a tree of depth d takes log2(d) rounds.
+
+    ``links`` is (node, up), one step each. A node that is its own ancestor
+    keeps a pointer for ever: when 2^r exceeds the links and one is left, the
+    call raises. Each round is checkpointed to the shared folder.
+    """
+    jumps = [links.select("node", "up").distinct().checkpoint()]
+    n = jumps[0].count()
+    while True:
+        last = jumps[-1]
+        if last.isEmpty():
+            return jumps[:-1]
+        if 1 << (len(jumps) - 1) > n:
+            raise ValueError(f"node {last.first()['node']!r} has no end of ancestors: the tree has a cycle")
+        ahead = last.select(F.col("node").alias("_node"), F.col("up").alias("_up"))
+        jumps.append(skew_join(last, ahead, [("up", "_node")], salt_by=["node"], max_rows=max_broadcast_rows)
+                     .select("node", F.col("_up").alias("up")).distinct().checkpoint())
+
+
+def hierarchy_depths(spark: SparkSession, edges: DataFrame,
+                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """J5 in linear size: (node, root, depth) of every node, from the jumps of
+    the internal nodes, longest first; leaves take their parent's root and one
+    step more. For trees: of a node with several parents any way up is taken."""
+    shared_dir(spark)  # make sure a checkpoint folder is set
+    links, internal, ilinks = _links(edges)
+    at = internal.select(F.col("_inode").alias("node"), F.col("_inode").alias("root"), F.lit(0).alias("depth"))
+    jumps = ancestor_jumps(ilinks.select(F.col("_child").alias("node"), F.col("_up").alias("up")), max_broadcast_rows)
+    for r in range(len(jumps) - 1, -1, -1):
+        j = jumps[r].groupBy(F.col("node").alias("_node")).agg(F.min("up").alias("_next"))
+        at = skew_join(at, j, [("root", "_node")], "left", salt_by=["node"], max_rows=max_broadcast_rows).select(
+            "node", F.coalesce("_next", "root").alias("root"),
+            (F.col("depth") + F.when(F.col("_next").isNotNull(), 1 << r).otherwise(0)).alias("depth")).checkpoint()
+    own = edges.select(F.col("node").cast("string").alias("node")).where(F.col("node").isNotNull()).distinct()
+    up = links.groupBy(F.col("_child").alias("node")).agg(F.min("_up").alias("_up"))
+    leaves = own.join(at.select("node"), "node", "left_anti").join(up, "node", "left")
+    heads = at.select(F.col("node").alias("_head"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
+    leaves = skew_join(leaves, heads, [("_up", "_head")], "left", salt_by=["node"], max_rows=max_broadcast_rows)
+    return at.unionByName(leaves.select("node", F.coalesce("_root", "node").alias("root"),
+                                        F.coalesce(F.col("_depth") + 1, F.lit(0)).alias("depth")))
+
+
+def _links(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(child, up) of all edges, the internal nodes, and the links among them."""
+    e = edges.select(F.col("node").cast("string").alias("_child"), F.col("parent").cast("string").alias("_up"))
+    links = e.where(F.col("_up").isNotNull() & F.col("_child").isNotNull())
+    internal = links.select(F.col("_up").alias("_inode")).distinct().checkpoint()
+    ilinks = links.join(internal, F.col("_child") == F.col("_inode"), "left_semi").checkpoint()
+    return links, internal, ilinks
+
+
 def hierarchy_closure(spark: SparkSession, edges: DataFrame,
                       max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """(node, ancestor, depth) for every node and each of its ancestors.
@@ -43,57 +96,31 @@ def hierarchy_closure(spark: SparkSession, edges: DataFrame,
     ``edges`` is (node, parent); roots have a null parent or no row. Depth 0 is
     the node itself.
 
-    Only internal nodes (those that are someone's parent) take part in the
-    level-by-level walk: their closure is built one join per level, each level
-    checkpointed to the shared checkpoint folder (lineage stays short and a
-    lost executor does not replay earlier levels). Leaves, usually the bulk of
-    a tree, are then attached with a single join: a node's ancestors at
-    distance d ≥ 1 are its parent's ancestors at distance d - 1. That join
-    goes through ``skew_join``, because one parent may hold a large share of
-    all nodes. A node that is its own ancestor (a cycle) raises; depth is not
-    limited. The edges are read once for the internal links and once for the
-    leaves.
+    Only internal nodes (those that are someone's parent) take part in the walk
+    up. It doubles: the ancestors at distance 2^r and more, below 2^(r+1), are
+    those of the ancestor at distance 2^r, so a tree of depth d takes log2(d)
+    joins, each checkpointed to the shared folder (a lost executor does not
+    replay earlier rounds). Leaves, usually the bulk of a tree, are then
+    attached with a single join: a node's ancestors at distance d >= 1 are its
+    parent's ancestors at distance d - 1. The joins go through ``skew_join``,
+    because one ancestor may be that of a large share of all nodes. A node that
+    is its own ancestor (a cycle) raises, before any closure is built.
     """
     shared_dir(spark)  # make sure a checkpoint folder is set
-    e = edges.select(F.col("node").cast("string").alias("node"),
-                     F.col("parent").cast("string").alias("parent"))
-    links = e.where(F.col("parent").isNotNull()).select(
-        F.col("node").alias("_child"), F.col("parent").alias("_up"))
-    internal = links.select(F.col("_up").alias("_inode")).distinct()
-    internal = internal.checkpoint(eager=True)
-    # The links between internal nodes are used at every level: kept once.
-    ilinks = bounded_broadcast(links.join(internal, F.col("_child") == F.col("_inode"), "left_semi")
-                               .checkpoint(eager=True), max_broadcast_rows)
-    # Closure of the internal nodes, one join per level.
-    levels = [internal.select(F.col("_inode").alias("node"), F.col("_inode").alias("ancestor"),
-                              F.lit(0).alias("depth"))]
-    frontier = ilinks.select(F.col("_child").alias("node"), F.col("_up").alias("ancestor"),
-                             F.lit(1).alias("depth"))
-    depth = 1
-    while True:
-        frontier = frontier.checkpoint(eager=True)
-        if frontier.isEmpty():
-            break
-        loop = frontier.where(F.col("node") == F.col("ancestor")).select("node").first()
-        if loop is not None:
-            raise ValueError(f"node {loop['node']!r} is its own ancestor at distance {depth}")
-        levels.append(frontier)
-        depth += 1
-        frontier = (frontier.join(ilinks, F.col("ancestor") == F.col("_child"))
-                    .select("node", F.col("_up").alias("ancestor"), F.lit(depth).alias("depth")))
-    inner = levels[0]
-    for lv in levels[1:]:
-        inner = inner.unionByName(lv)
-    # The internal closure is small and used twice (size check, join): cut
-    # its lineage once so the edges are not scanned again for it.
-    inner = inner.select(F.col("node").alias("_anode"), F.col("ancestor").alias("_anc"),
-                         F.col("depth").alias("_d")).checkpoint(eager=True)
+    links, internal, ilinks = _links(edges)
+    jumps = ancestor_jumps(ilinks.select(F.col("_child").alias("node"), F.col("_up").alias("up")), max_broadcast_rows)
+    inner = internal.select(F.col("_inode").alias("_anode"), F.col("_inode").alias("_anc"), F.lit(0).alias("_d"))
+    for r, jump in enumerate(jumps):
+        far = skew_join(jump, inner, [("up", "_anode")], salt_by=["node"], max_rows=max_broadcast_rows)
+        far = far.select(F.col("node").alias("_anode"), "_anc", (F.col("_d") + (1 << r)).alias("_d"))
+        inner = inner.unionByName(far).checkpoint()
     # Every node with its parent's closure.
     up = skew_join(links, inner, [("_up", "_anode")], salt_by=["_child"],
                    max_rows=max_broadcast_rows)
     above = up.select(F.col("_child").alias("node"), F.col("_anc").alias("ancestor"),
                       (F.col("_d") + 1).alias("depth"))
-    nodes = e.select("node").union(e.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")))
+    named = edges.select(F.col("node").cast("string").alias("node"))
+    nodes = named.union(internal.select(F.col("_inode").alias("node")))
     self_rows = nodes.distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     return self_rows.unionByName(above)
 

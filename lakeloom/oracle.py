@@ -76,6 +76,20 @@ walk(node, ancestor, depth) AS (
   WHERE e.parent IS NOT NULL
 )"""
 
+# Numbers of a tour that takes a node before its children, leaves first.
+_INTERVALS = r"""
+sizes AS (SELECT ancestor AS node, count(*) AS size FROM walk GROUP BY ancestor),
+kids AS (
+  SELECT node, size, coalesce(sum(size) OVER (PARTITION BY parent ORDER BY size > 1, node
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM edges JOIN sizes USING (node)
+),
+iv AS (
+  SELECT w.node, CAST(sum(k.earlier) + max(w.depth) AS BIGINT) AS lo
+  FROM walk w JOIN kids k ON k.node = w.ancestor GROUP BY w.node
+),
+intervals AS (SELECT node, lo, lo + size AS hi FROM iv JOIN sizes USING (node))"""
+
 # Grant change log (see standins.grant_requests) folded to the current state.
 _GRANTS = r"""
 greq AS (
@@ -314,6 +328,35 @@ FROM walk w JOIN grants g ON w.ancestor = g.EntityIdentifier
 WHERE g.include_child OR w.depth = 0
 GROUP BY w.node, g.PolicyType, g.principal_kind""",
 
+    "grant_listing": f"""
+WITH RECURSIVE {_TREE}, {_INTERVALS.strip()}, {_GRANTS.strip()}
+SELECT 'node' AS kind, node AS entity, NULL AS PolicyType, NULL AS principal_kind, NULL AS PrincipalArn,
+       CAST(NULL AS BOOLEAN) AS include_child, lo, hi FROM intervals
+UNION ALL
+SELECT 'grant', EntityIdentifier, PolicyType, principal_kind, PrincipalArn, include_child, lo,
+       CASE WHEN include_child THEN hi ELSE lo + 1 END
+FROM grants JOIN intervals ON node = EntityIdentifier""",
+
+    "grant_lookup": f"""
+WITH RECURSIVE {_TREE}, {_GRANTS.strip()},
+asked AS (SELECT 'r' || r_regionkey AS node FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation
+          UNION ALL SELECT 'c' || min(c_custkey) FROM customer GROUP BY c_nationkey)
+SELECT node, g.EntityIdentifier AS entity, g.PolicyType, g.principal_kind, g.PrincipalArn, g.include_child
+FROM walk w JOIN asked USING (node) JOIN grants g ON w.ancestor = g.EntityIdentifier
+WHERE g.include_child OR w.depth = 0""",
+
+    "hierarchy_deep": """
+WITH RECURSIVE edges AS (
+  SELECT 'c' || c_custkey AS node, CASE WHEN c_custkey > 5 THEN 'c' || (c_custkey - 5) END AS parent FROM customer
+  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders
+),
+down(node, root, depth) AS (
+  SELECT node, node, 0 FROM edges WHERE parent IS NULL
+  UNION ALL
+  SELECT e.node, d.root, d.depth + 1 FROM down d JOIN edges e ON e.parent = d.node
+)
+SELECT node, root, depth FROM down""",
+
     "grant_rejects": f"""
 WITH {_GRANTS.strip()}
 SELECT request_id, PolicyType, PrincipalType FROM gvalid WHERE NOT valid""",

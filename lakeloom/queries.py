@@ -23,7 +23,8 @@ from lakeloom.operators.aggregates import rejected_requests
 from lakeloom.operators.events import (ASSET_ADDED, CATALOG_SOURCE, METADATA_ACCEPTED,
                                        extract_by_type, match_events, route_events)
 from lakeloom.operators.hierarchy import (effective_policies, fan_out_entities, fan_out_grants,
-                                          hierarchy_closure)
+                                          hierarchy_closure, hierarchy_depths)
+from lakeloom.operators.intervals import grant_intervals, grants_on, tree_intervals
 from lakeloom.operators.lookups import enrich_asset, resolve_members
 from lakeloom.operators.mapping import apply_mapper
 from lakeloom.plans.delivery import deliver_entity as deliver
@@ -473,6 +474,13 @@ def hierarchy_closure_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy_closure(spark, _edges(spark, sf_dir))
 
 
+def hierarchy_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root and depth of every node of a tree that is hundreds of levels
+    deep and more, by pointer doubling."""
+    _start(spark, "hierarchy_deep")
+    return hierarchy_depths(spark, si.chain_edges(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")))
+
+
 GRANT_CREATOR = "role-admin"
 GRANT_USERS = ["role-analyst", "role-admin", "role-steward"]
 
@@ -501,15 +509,36 @@ def grant_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("request_id", "PolicyType", "PrincipalType")
 
 
+def _current_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold_grants(_requests(spark, sf_dir)).select(
+        F.col("EntityIdentifier").alias("entity"), "PolicyType", "principal_kind", "PrincipalArn",
+        "include_child")
+
+
 def grant_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grants cover their entity and, with the child flag, all descendants;
     per node, policy and kind of principal, how many act on it."""
     _start(spark, "grant_effective")
-    g = fold_grants(_requests(spark, sf_dir)).select(
-        F.col("EntityIdentifier").alias("entity"), "PolicyType", "principal_kind", "PrincipalArn",
-        "include_child")
     closure = hierarchy_closure(spark, _edges(spark, sf_dir))
-    return effective_policies(g, closure, ["PolicyType", "principal_kind"])
+    return effective_policies(_current_grants(spark, sf_dir), closure, ["PolicyType", "principal_kind"])
+
+
+def grant_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7 in linear size: one row per node with the numbers of its subtree, one
+    per grant with the numbers of the nodes it acts on."""
+    _start(spark, "grant_listing")
+    iv = tree_intervals(_edges(spark, sf_dir)).checkpoint()
+    nodes = iv.select(F.lit("node").alias("kind"), F.col("node").alias("entity"), *[F.lit(None).cast("string").alias(c) for c in (
+        "PolicyType", "principal_kind", "PrincipalArn")], F.lit(None).cast("boolean").alias("include_child"), "lo", "hi")
+    return nodes.unionByName(grant_intervals(_current_grants(spark, sf_dir), iv).withColumn("kind", F.lit("grant")))
+
+
+def grant_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grants that act on each of the nodes asked about."""
+    _start(spark, "grant_lookup")
+    iv = tree_intervals(_edges(spark, sf_dir)).checkpoint()
+    asked = si.asked_nodes(*(_t(spark, sf_dir, t) for t in ("region", "nation", "customer")))
+    return grants_on(asked, grant_intervals(_current_grants(spark, sf_dir), iv), iv)
 
 
 # ---------------------------------------------------------------------------
@@ -733,6 +762,9 @@ QUERIES = {
     "grant_fan_out": grant_fan_out,
     "grant_state": grant_state,
     "grant_effective": grant_effective,
+    "grant_listing": grant_listing,
+    "grant_lookup": grant_lookup,
+    "hierarchy_deep": hierarchy_deep,
     "grant_rejects": grant_rejects,
     "retention_keep": retention_keep,
     "deliver_entity": deliver_entity,

@@ -172,6 +172,26 @@ def tree_edges(region: DataFrame, nation: DataFrame, customer: DataFrame) -> Dat
     return r.unionByName(n).unionByName(c)
 
 
+def chain_edges(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    """A deep tree: each customer under the one five keys before, every order
+    under its customer."""
+    k = F.col("c_custkey")
+    c = customer.select(F.concat(F.lit("c"), _s("c_custkey")).alias("node"),
+                        F.when(k > 5, F.concat(F.lit("c"), _s(k - 5))).alias("parent"))
+    o = orders.select(F.concat(F.lit("o"), _s("o_orderkey")).alias("node"),
+                      F.concat(F.lit("c"), _s("o_custkey")).alias("parent"))
+    return c.unionByName(o)
+
+
+def asked_nodes(region: DataFrame, nation: DataFrame, customer: DataFrame) -> DataFrame:
+    """The nodes asked about: every region and nation, and each nation's
+    customer of least key."""
+    r = region.select(F.concat(F.lit("r"), _s("r_regionkey")).alias("node"))
+    n = nation.select(F.concat(F.lit("n"), _s("n_nationkey")).alias("node"))
+    c = customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("k")).select(F.concat(F.lit("c"), _s("k")).alias("node"))
+    return r.unionByName(n).unionByName(c)
+
+
 def grant_requests(events: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
     """Grant change log: one request per event, on the user's nation or region.
 
