@@ -411,4 +411,12 @@ keys AS (SELECT DISTINCT domain_name, domain_unit_name, project_name, asset_name
 SELECT k.domain_name, k.domain_unit_name, k.project_name, k.asset_name, n.n_name AS column_name,
        'Nation ' || n.n_nationkey AS description
 FROM keys k JOIN nation n ON n.n_regionkey = k.r_regionkey""",
+
+    "stream_assets_late": f"""
+WITH {_ENV}, {_LOOKUPS}
+SELECT domain_name, domain_unit_name, project_name, asset_name, id AS event_id,
+       strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS event_time,
+       CAST((SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS INTEGER) AS n_columns
+FROM (SELECT *, row_number() OVER (PARTITION BY domain_name, domain_unit_name, project_name, asset_name
+                                   ORDER BY ts DESC, id DESC) AS rn FROM good) WHERE rn = 1""",
 }

@@ -33,6 +33,7 @@ from lakeloom.plans.ingest import SimulatedCrash, ingest, ingest_and_register
 from lakeloom.session import apply_runtime_defaults, scratch
 from lakeloom.sinks.assets import run_sql_asset
 from lakeloom.sinks.exports import EXPORT_KEYS, export_latest, notification_rows as notify
+from lakeloom.sinks.snapshots import current_objects, read_dictionary
 from lakeloom.sinks.tables import expire_partitions, read_lake_table
 from lakeloom.sources import fs
 from lakeloom.sources.configs import mapper_pairs, sql_asset
@@ -682,16 +683,27 @@ def stream_deliver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON events stream through match → extract → enrich → unnest; the
-    dictionary exports (one CSV per domain/unit/project/asset) are read back."""
+    dictionary exports (one CSV per domain/unit/project/asset) are read back
+    through the latest snapshot."""
     work = _start(spark, "stream_assets")
     path = si.stage_events_json(spark, sf_dir, f"{work}/events")
     q = asset_event_stream(spark, path, *_lookups(spark, sf_dir), si.HOME_DOMAIN,
                            f"{work}/export", f"{work}/notify", f"{work}/rejects", f"{work}/checkpoint",
                            max_files_per_trigger=4)
     q.awaitTermination()
-    schema = "column_name STRING, description STRING, " + ", ".join(f"{k} STRING" for k in EXPORT_KEYS)
-    return (spark.read.schema(schema).option("header", "true").csv(f"{work}/export")
-            .select(*EXPORT_KEYS, "column_name", "description"))
+    return read_dictionary(spark, f"{work}/export")
+
+
+def stream_assets_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arrive out of order, one file per micro-batch; every
+    asset's object is still that of its latest event."""
+    work = _start(spark, "stream_assets_late")
+    si.envelopes(_t(spark, sf_dir, "events")).repartition(3, "id").write.json(f"{work}/events")
+    asset_event_stream(spark, f"{work}/events", *_lookups(spark, sf_dir), si.HOME_DOMAIN,
+                       f"{work}/export", f"{work}/notify", f"{work}/rejects", f"{work}/checkpoint",
+                       max_files_per_trigger=1).awaitTermination()
+    return current_objects(spark, f"{work}/export").select(
+        *EXPORT_KEYS, "event_id", F.date_format("event_time", TS_MICROS).alias("event_time"), "n_columns")
 
 
 # ---------------------------------------------------------------------------
@@ -774,6 +786,7 @@ QUERIES = {
     "asset_rejects": asset_rejects,
     "stream_ingest": stream_ingest,
     "stream_assets": stream_assets,
+    "stream_assets_late": stream_assets_late,
 }
 QUERIES = {name: _pinned(fn) for name, fn in QUERIES.items()}
 

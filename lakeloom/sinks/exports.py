@@ -101,15 +101,17 @@ def object_folder(keys: list[str]) -> Column:
     return F.concat(*map(spelled, keys))
 
 
-def notification_rows(exports: DataFrame, bucket: str, prefix: str = "dictionary") -> DataFrame:
+def notification_rows(exports: DataFrame, bucket: str, prefix: str = "dictionary",
+                      batch: str | None = None) -> DataFrame:
     """K6: one message row per export: subject, bucket, key (the folder that
-    ``export_dictionary`` writes), link expiry.
+    ``export_dictionary`` writes, or, with the column ``batch``, the object that
+    batch published), link expiry.
 
     ``exports`` has EXPORT_KEYS and ``created`` (timestamp).
     """
-    key = F.concat(F.lit(prefix + "/"), object_folder(EXPORT_KEYS))
+    key = F.concat(F.lit(prefix + "/"), *([object_folder([batch])] if batch else []), object_folder(EXPORT_KEYS))
     return exports.select(
-        "*",
+        *[c for c in exports.columns if c != batch],
         F.lit(NOTIFY_SUBJECT).alias("subject"),
         F.lit(bucket).alias("bucket"),
         key.alias("key"),

@@ -6,6 +6,9 @@ files or folders. No row data passes through these helpers.
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -38,6 +41,49 @@ def rename(spark: SparkSession, src: str, dst: str) -> bool:
     return bool(fs.rename(p, q))
 
 
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create ``path`` with ``text``, whole or not at all; False if it exists.
+
+    The text is written beside it and renamed without overwriting, which is one
+    step of the file system: of two callers one wins.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs, tmp = target.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:12]}.tmp")
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf)
+        context.rename(fs.makeQualified(tmp), fs.makeQualified(target),
+                       gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        return True
+    except Py4JJavaError as e:
+        fs.delete(tmp, False)
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; None if there is none."""
+    fs, p = _fs_and_path(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the direct children of ``folder``, files and folders."""
+    fs, p = _fs_and_path(spark, folder)
+    return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def list_data_files(spark: SparkSession, folder: str, suffix: str = "") -> list[str]:
     """Direct children of ``folder`` that are files (not ``_``/``.`` markers)."""
     fs, p = _fs_and_path(spark, folder)

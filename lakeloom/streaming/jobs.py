@@ -10,6 +10,7 @@ batch id (dynamic overwrite), so a replayed batch replaces its own output.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import zlib
 from collections.abc import Callable
 
@@ -22,7 +23,8 @@ from lakeloom.functions.stamps import run_clock, stamp_upload_time
 from lakeloom.plans.delivery import shape_delivery
 from lakeloom.plans.dictionary import asset_events
 from lakeloom.plans.ingest import ingest_all
-from lakeloom.sinks.exports import EXPORT_KEYS, export_dictionary, notification_rows, write_delivery
+from lakeloom.sinks.exports import EXPORT_KEYS, notification_rows, write_delivery
+from lakeloom.sinks.snapshots import publish_batch
 from lakeloom.sinks.tables import lake_ddl, write_partitioned
 from lakeloom.sources.events import event_stream
 
@@ -118,17 +120,22 @@ def batch_key(batch: DataFrame, batch_id: int) -> int:
 
 def process_asset_batch(batch: DataFrame, batch_id: int, export_root: str, notify_root: str,
                         rejects_root: str, bucket: str = "dictionary-exports") -> None:
-    """One micro-batch of T3: dictionary export (K5), then notification rows
-    (K6) and rejects. Every write replaces only what this batch owns (its
-    export keys, its ``batch_id`` partitions), so a replayed batch gives the
-    same result as a single run."""
+    """One micro-batch of T3: the dictionary objects of the assets whose latest
+    event it holds (K5, ``sinks.snapshots``), then notification rows (K6) and
+    rejects. A batch is published once and the rest replaces only its own
+    ``batch_id`` partitions, so a replayed batch gives the same result as a
+    single run. An event that is older than its asset's object announces the
+    object as it is."""
     batch_id = batch_key(batch, batch_id)
     batch.persist()
     try:
         good = batch.where(F.col("reject_reason").isNull())
-        export_dictionary(good, export_root)
-        notes = notification_rows(good.select("event_id", *EXPORT_KEYS, F.col("event_time").alias("created")),
-                                  bucket)
+        live = publish_batch(good.select(*EXPORT_KEYS, "event_time", "event_id", "columns"), batch_id, export_root)
+        made = [F.col(k).alias(f"_{k}") for k in EXPORT_KEYS]
+        live = live.select(*made, F.col("batch_id"))
+        same = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in EXPORT_KEYS])
+        told = good.select("event_id", *EXPORT_KEYS, F.col("event_time").alias("created")).join(live, same)
+        notes = notification_rows(told.drop(*[f"_{k}" for k in EXPORT_KEYS]), bucket, batch="batch_id")
         (notes.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
          .write.partitionBy("batch_id").mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").parquet(notify_root))

@@ -139,3 +139,96 @@ def test_replayed_daily_delivery_on_a_later_day_replaces_its_batch(spark, work):
     back = spark.read.schema("id LONG, v STRING, run_date STRING, batch_id LONG").json(f"{work}/out")
     assert sorted((r.id, r.run_date, r.batch_id) for r in back.collect()) == [
         (1, "2024-03-06", 3), (2, "2024-03-06", 3)]
+
+
+def _events(spark, rows):
+    """(domain, asset, event id, time or None, columns or None) as good events."""
+    return spark.createDataFrame(
+        [(d, "u", "p", a, t, i, None if c is None else [(x, f"about {x}") for x in c]) for d, a, i, t, c in rows],
+        "domain_name string, domain_unit_name string, project_name string, asset_name string, event_time string, event_id string, "
+        "columns array<struct<columnIdentifier: string, description: string>>").selectExpr(
+        "domain_name", "domain_unit_name", "project_name", "asset_name", "cast(event_time as timestamp) as event_time", "event_id", "columns")
+
+
+def _dictionary(spark, root):
+    from lakeloom.sinks.snapshots import read_dictionary
+
+    return sorted(((r.domain_name, r.asset_name, r.column_name) for r in read_dictionary(spark, root).collect()), key=str)
+
+
+def test_late_event_does_not_replace_a_newer_list(spark, work):
+    from lakeloom.sinks.snapshots import current_objects, latest_snapshot, publish_batch
+
+    root = f"{work}/x"
+    assert _dictionary(spark, root) == [] and latest_snapshot(spark, root)["version"] == 0
+    publish_batch(_events(spark, [("d", "feb#1", "e2", "2024-02-01", ["b"]), ("d", "other", "e3", "2024-02-01", ["o"]),
+                                  (None, "no domain", "e4", None, ["n"]), ("d", "empty", "e5", "2024-02-01", ["x"])]), 0, root)
+    publish_batch(_events(spark, [("d", "feb#1", "e1", "2024-01-01", ["a"]), (None, "no domain", "e9", "1999-01-01", ["later"]),
+                                  ("d", "empty", "e6", "2024-02-02", [])]), 1, root)
+    assert _dictionary(spark, root) == sorted([("d", "feb#1", "b"), ("d", "other", "o"), (None, "no domain", "later")], key=str)
+    publish_batch(_events(spark, []), 2, root)  # an empty batch publishes nothing
+    assert latest_snapshot(spark, root)["version"] == 2
+    publish_batch(_events(spark, [("d", "feb#1", "e0", "2024-03-01", ["c1", "c2"])]), 3, root)
+    live = {r.asset_name: (r.batch_id, r.n_columns) for r in current_objects(spark, root).collect()}
+    assert live == {"feb#1": (3, 2), "other": (0, 1), "no domain": (1, 1), "empty": (1, 0)}
+
+
+def test_crash_replay_and_second_writer(spark, work):
+    import pytest
+
+    from lakeloom.sinks import snapshots as sn
+
+    root = f"{work}/x"
+    first = _events(spark, [("d", "a", "e1", "2024-01-01", ["one"]), ("d", "b", "e2", "2024-01-01", ["two"])])
+    sn.publish_batch(first, 0, root)
+    before = _dictionary(spark, root)
+    second = _events(spark, [("d", "a", "e3", "2024-02-01", ["three"])])
+    with pytest.raises(sn.StoppedBeforePublish):
+        sn.publish_batch(second, 1, root, stop_before_publish=True)
+    assert _dictionary(spark, root) == before  # nothing of it is visible
+    sn.publish_batch(second, 1, root)
+    after = _dictionary(spark, root)
+    assert after == [("d", "a", "three"), ("d", "b", "two")]
+    sn.publish_batch(_events(spark, [("d", "a", "zzz", "2030-01-01", ["never"])]), 1, root)  # a replay changes nothing
+    assert _dictionary(spark, root) == after and sn.latest_snapshot(spark, root)["version"] == 2
+    # Another writer publishes version 3 between this batch's read and its publication.
+    real = sn.fs.write_once
+    try:
+        def beaten(s, path, text):
+            assert real(s, path, text)
+            return real(s, path, text)
+        sn.fs.write_once = beaten
+        with pytest.raises(sn.ConcurrentPublish):
+            sn.publish_batch(_events(spark, [("d", "b", "e9", "2024-05-01", ["x"])]), 2, root)
+    finally:
+        sn.fs.write_once = real
+
+
+def test_superseded_objects_are_collected(spark, work):
+    from lakeloom.sinks import snapshots as sn
+    from lakeloom.sources import fs
+
+    root = f"{work}/x"
+    for k in range(5):
+        rows = [("d", "a", f"e{k}", f"2024-01-0{k + 1}", [f"v{k}"])] + ([("d", "still", "s", "2024-01-01", ["s"])] if k == 1 else [])
+        sn.publish_batch(_events(spark, rows), k, root)
+    fs.write_once(spark, f"{root}/batch_id=9/domain_name=d/domain_unit_name=u/project_name=p/asset_name=a/part-0.csv", "column_name,description\nunpublished,x\n")
+    assert sn.collect_superseded(spark, root, keep=2) == [0, 2]
+    assert _dictionary(spark, root) == [("d", "a", "v4"), ("d", "still", "s")]
+    assert [n for n in fs.list_names(spark, root) if n.startswith("batch")] == ["batch_id=1", "batch_id=3", "batch_id=4", "batch_id=9"]
+    assert len(fs.list_names(spark, f"{root}/_snapshots")) == 2
+
+
+def test_notification_key_finds_its_object(spark, work):
+    from lakeloom import standins as si
+    from lakeloom.plans.dictionary import asset_events
+    from lakeloom.sources import fs
+    from lakeloom.streaming.jobs import process_asset_batch
+
+    sf = "/root/testdata/sf0.001"
+    region, nation, customer = (si.table(spark, sf, t) for t in ("region", "nation", "customer"))
+    batch = asset_events(si.envelopes(si.table(spark, sf, "events").limit(200)), si.projects(customer), si.units(nation),
+                         si.domains(spark), si.assets(region, nation), si.HOME_DOMAIN)
+    process_asset_batch(batch, 4, f"{work}/dictionary", f"{work}/notify", f"{work}/rejects")
+    keys = {r.key for r in spark.read.parquet(f"{work}/notify").collect()}
+    assert keys and all(k.startswith("dictionary/batch_id=4/") and fs.list_data_files(spark, f"{work}/{k}") for k in keys)
