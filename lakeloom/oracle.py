@@ -221,6 +221,16 @@ SELECT 2024 AS year, 3 AS month, {_DROP_DAY} AS day, count(*) AS n_orders,
        count(DISTINCT o_custkey) AS n_customers, 'bigint' AS key_type, 'double' AS price_type, 'string' AS status_type
 FROM orders GROUP BY 1, 2, 3""",
 
+    "register_types": """
+WITH o AS (SELECT *, o_orderdate >= TIMESTAMP '1998-01-01' AS second FROM orders)
+SELECT o_orderkey AS id, lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS zip, '9000000000' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS long_id,
+       '+34600' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS phone, strftime(o_orderdate, '%Y-%m-%d') AS ordered_on,
+       CASE WHEN o_orderstatus = 'O' THEN 'true' ELSE 'false' END AS flag, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) AS price,
+       o_custkey || CASE WHEN second THEN '.5' ELSE '.0' END AS amount,
+       CASE WHEN second THEN 'n' ELSE '' END || o_custkey AS later_text, o_orderpriority AS note,
+       'bigint,string,decimal(38,0),string,date,boolean,decimal(38,2),double,string,string' AS kinds
+FROM o""",
+
     "event_match": f"""
 WITH {_ENV}
 SELECT id, detail_type, domain FROM env

@@ -10,10 +10,11 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions.stamps import stamp_upload_time
+from lakeloom.operators.profiles import profile_rows, profiled, without_helpers
 from lakeloom.sinks.tables import PARTITION_TYPES, batch_folder, register_table, write_partitioned
 from lakeloom.sources import files as src_files
 from lakeloom.sources import fs
@@ -111,7 +112,13 @@ def _ingest_batch(spark, ctx, src, dst, state_dir, run_ts, layout, fmt, max_file
                  F.lit(batch_id).cast("bigint").alias("batch_id"))
          .write.partitionBy("batch_id").mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").parquet(rejects_dir))
+    seen = Observation(f"profile-{batch_id}")
+    noted, metrics = profiled(stamped, columns if fmt == "csv" else [])
+    if metrics:  # the types' evidence is collected by the write itself
+        stamped = without_helpers(noted.observe(seen, *metrics))
     write_partitioned(stamped, dst, layout=layout, fmt=fmt)
+    if metrics:
+        mf.record_profile(spark, state_dir, profile_rows(seen.get, columns, ctx, batch_id))
     if stop_after == "write":
         raise SimulatedCrash(f"stopped after writing batch {batch_id}")
     # Commit only files still at their listed version; one rewritten during
@@ -144,7 +151,8 @@ def ingest_and_register(spark: SparkSession, ctx: str, src: str, dst: str, state
     if cols:
         register_table(spark, database, table, dst, cols,
                        layout=kw.get("layout", "ymd"), fmt=kw.get("fmt", "csv"),
-                       db_location=db_location, batches=res.batches)
+                       db_location=db_location, batches=res.batches,
+                       types=mf.column_types(spark, state_dir, ctx) if kw.get("fmt", "csv") == "csv" else None)
     return res
 
 

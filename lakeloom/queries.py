@@ -261,6 +261,33 @@ def register_table_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                      f"FROM `{database}`.orders_orders GROUP BY year, month, day")
 
 
+TYPE_COLS = ["id", "zip", "long_id", "phone", "ordered_on", "flag", "price", "amount", "later_text", "note"]
+
+
+def register_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: types by lexical profile over two runs. Leading zeros, 20-digit ids,
+    signed phone numbers and padded decimals read back as written; ``amount``
+    is whole in the first run, ``later_text`` a number."""
+    work = _start(spark, "register_types")
+    src, lake, state = f"{work}/src", f"{work}/lake", f"{work}/state"
+    database = "lakeloom_" + work.rsplit("-", 1)[1]
+    o, second = _t(spark, sf_dir, "orders"), F.col("o_orderdate") >= F.lit(DROP_SPLIT).cast("timestamp_ntz")
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    rows = o.select(
+        F.col("o_orderkey").alias("id"), F.lpad(cust, 8, "0").alias("zip"), F.concat(F.lit("9000000000"), F.lpad(key, 10, "0")).alias("long_id"),
+        F.concat(F.lit("+34600"), F.lpad(cust, 6, "0")).alias("phone"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered_on"),
+        F.when(F.col("o_orderstatus") == "O", "true").otherwise("false").alias("flag"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"),
+        F.when(second, F.concat(cust, F.lit(".5"))).otherwise(cust).alias("amount"),
+        F.when(second, F.concat(F.lit("n"), cust)).otherwise(cust).alias("later_text"), F.col("o_orderpriority").alias("note"), second.alias("second"))
+    for drop, clock in ((False, RUN1), (True, RUN2)):
+        si.stage_csv(spark, rows.where(F.col("second") == drop).select(TYPE_COLS), f"{src}/drop{int(drop)}")
+        ingest_and_register(spark, "orders", src, lake, state, database, "orders_types", run_ts=clock, db_location=f"{work}/warehouse")
+    t = spark.table(f"`{database}`.orders_types")
+    kinds = ",".join(t.schema[c].dataType.simpleString() for c in TYPE_COLS)
+    return t.select("id", *[F.col(c).cast("string").alias(c) for c in TYPE_COLS[1:]], F.lit(kinds).alias("kinds"))
+
+
 def retention_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7: a managed table partitioned by order date; partitions more than 90
     days before the latest date are dropped (files included)."""
@@ -762,6 +789,7 @@ QUERIES = {
     "sql_asset_run": sql_asset_run,
     "ingest_rejects": ingest_rejects,
     "register_table": register_table_query,
+    "register_types": register_types,
     "event_match": event_match,
     "event_route": event_route,
     "event_extract": event_extract,

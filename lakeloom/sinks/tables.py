@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.operators.profiles import profile_rows, profiled, type_of
 from lakeloom.sources import fs
 
 LAYOUTS = {
@@ -74,23 +76,26 @@ def read_lake_table(spark: SparkSession, path: str, columns: list[str], fmt: str
     return spark.read.schema(lake_ddl(columns, layout)).option("header", "true").csv(path)
 
 
-WIDER = {("BIGINT", "DOUBLE"): "DOUBLE", ("DOUBLE", "BIGINT"): "DOUBLE"}
+def infer_types(rows: DataFrame, columns: list[str]) -> dict[str, str | None]:
+    """The type that gives every value of a text column back (see
+    ``operators.profiles``); None for a column without values. One aggregate
+    over the rows."""
+    df, metrics = profiled(rows, columns)
+    if not metrics:
+        return {}
+    got = df.agg(*metrics).first().asDict()
+    return {c: type_of(classes, digits, low, high) for _, _, c, classes, _, digits, low, high in profile_rows(got, columns)}
 
 
-def infer_types(rows: DataFrame, columns: list[str]) -> dict[str, str | None]:
-    """The type that every value of a text column fits: BIGINT (in its plain
-    spelling), DOUBLE or STRING; None for a column without values. One
-    aggregate over the rows."""
-    tests = []
-    for i, c in enumerate(columns):
-        v = F.col(f"`{c}`")
-        whole = v.try_cast("bigint").cast("string") == v
-        real = v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-        tests += [F.min(F.coalesce(whole, F.lit(False)) | v.isNull()).alias(f"i{i}"),
-                  F.min(F.coalesce(real, F.lit(False)) | v.isNull()).alias(f"d{i}"), F.count(v).alias(f"n{i}")]
-    got = rows.agg(*tests).first()
-    return {c: None if not got[f"n{i}"] else "BIGINT" if got[f"i{i}"] else "DOUBLE" if got[f"d{i}"] else "STRING"
-            for i, c in enumerate(columns)}
+# Types whose values another one holds unchanged.
+WIDER = {("BIGINT", "DECIMAL(38,0)"): "DECIMAL(38,0)"}
+
+
+def wider(old: str | None, new: str | None) -> str | None:
+    """The least type that holds the values of both; STRING if there is none."""
+    if old is None or new is None or old == new:
+        return old or new
+    return WIDER.get((old, new)) or WIDER.get((new, old)) or "STRING"
 
 
 def partition_spec(batch_id: int, layout: str) -> dict[str, int]:
@@ -102,53 +107,72 @@ def partition_spec(batch_id: int, layout: str) -> dict[str, int]:
 
 def register_table(spark: SparkSession, database: str, table: str, location: str,
                    columns: list[str], layout: str = "ymd", fmt: str = "csv",
-                   db_location: str | None = None, batches: list[int] | None = None) -> str:
+                   db_location: str | None = None, batches: list[int] | None = None,
+                   types: dict[str, str | None] | None = None) -> str:
     """K2: create the database and an external partitioned table over ``location``.
 
-    The types of a CSV table's columns are inferred from the rows of the run's
-    ``batches`` (all rows without them) and widened on conflict, at the end to
-    text; only then is the table's entry, not its data, made anew. New columns
-    are added on drift. Of a table that exists, only the batches' partitions are
-    added. Returns ``db.table``.
+    The types of a CSV table's columns are ``types`` (of all its rows; ``ingest``
+    profiles them as it writes), or else inferred from the rows of the run's
+    ``batches`` (all rows without them) and joined with those the table has. A
+    column without values is text for now. When a type changes, a second entry
+    with all partitions is made and takes the first one's name; the data stays
+    as it is. New columns are added on drift. Of a table that exists, only the
+    batches' partitions are added. Returns ``db.table``.
     """
     from lakeloom.sinks.assets import ensure_database
 
     name, parts = f"`{database}`.`{table}`", LAYOUTS[layout]
     ensure_database(spark, database, db_location)
-    exists = spark.catalog.tableExists(f"`{database}`.`{table}`")
+    exists = spark.catalog.tableExists(name)
     specs = [partition_spec(b, layout) for b in batches or []]
-    types: dict[str, str | None] = dict.fromkeys(columns, "STRING")
-    if fmt == "csv":
+    have = {f.name.lower(): f.dataType.simpleString().upper() for f in spark.table(name).schema} if exists else {}
+    if fmt != "csv":
+        want: dict[str, str] = dict.fromkeys(columns, "STRING")
+    elif types is not None:
+        want = {c: types.get(c) or "STRING" for c in columns}
+    else:
         rows = read_lake_table(spark, location, columns, fmt, layout)
         if specs:
             rows = rows.where(functools.reduce(lambda x, y: x | y, [
                 functools.reduce(lambda x, y: x & y, [F.col(k) == v for k, v in s.items()]) for s in specs]))
-        types = infer_types(rows, columns) if specs or not exists else dict.fromkeys(columns)
-    have = {f.name.lower(): f.dataType.simpleString().upper() for f in spark.table(name).schema} if exists else {}
-    want = {}
-    for c in columns:
-        old, new = have.get(c.lower()), types[c]
-        want[c] = new or old or "STRING" if old in (None, new) or new is None else WIDER.get((old, new), "STRING")
-        want[c] = old if old and new is None else want[c]
-    if exists and any(have.get(c.lower(), t) != t for c, t in want.items()):
-        spark.sql(f"DROP TABLE {name}")  # external: the files stay
-        exists = False
+        found = infer_types(rows, columns) if specs or not exists else dict.fromkeys(columns)
+        want = {c: wider(have.get(c.lower()), found[c]) or "STRING" for c in columns}
     if not exists:
-        opts = "OPTIONS (header 'true')" if fmt == "csv" else ""
-        ddl = ["upload_time TIMESTAMP"] + [f"`{c}` {want[c]}" for c in columns] + [f"{p} {PARTITION_TYPES[p]}" for p in parts]
-        spark.sql(f"CREATE TABLE {name} ({', '.join(ddl)}) USING {fmt} "
-                  f"{opts} PARTITIONED BY ({', '.join(parts)}) LOCATION '{location}'")
+        _create(spark, name, columns, want, layout, fmt, location)
         spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
         return f"{database}.{table}"
-    extra = [c for c in columns if c.lower() not in have]
-    if extra:
-        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(f'`{c}` {want[c]}' for c in extra)})")
+    if any(have.get(c.lower(), t) != t for c, t in want.items()):
+        known = [r[0] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()]  # names only
+        known = [dict(x.split("=", 1) for x in p.split("/")) for p in known]
+        fresh, old = (f"`{database}`.`{table}_{x}_{uuid.uuid4().hex[:8]}`" for x in ("new", "old"))
+        _create(spark, fresh, columns, want, layout, fmt, location)
+        _add_partitions(spark, fresh, known + specs)
+        # Both renames only change names; readers between them find no table.
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+        spark.sql(f"DROP TABLE {old}")  # external: the files stay
+    else:
+        extra = [c for c in columns if c.lower() not in have]
+        if extra:
+            spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(f'`{c}` {want[c]}' for c in extra)})")
+        _add_partitions(spark, name, specs)
     if batches is None:
         spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
-    for i in range(0, len(specs), 500):
+    return f"{database}.{table}"
+
+
+def _create(spark: SparkSession, name: str, columns: list[str], types: dict[str, str], layout: str, fmt: str, location: str) -> None:
+    parts = LAYOUTS[layout]
+    opts = "OPTIONS (header 'true')" if fmt == "csv" else ""
+    ddl = ["upload_time TIMESTAMP"] + [f"`{c}` {types[c]}" for c in columns] + [f"{p} {PARTITION_TYPES[p]}" for p in parts]
+    spark.sql(f"CREATE TABLE {name} ({', '.join(ddl)}) USING {fmt} "
+              f"{opts} PARTITIONED BY ({', '.join(parts)}) LOCATION '{location}'")
+
+
+def _add_partitions(spark: SparkSession, name: str, specs: list[dict]) -> None:
+    for i in range(0, len(specs), 500):  # one statement per chunk keeps the command's size bounded
         clause = " ".join("PARTITION (" + ", ".join(f"{k}={v}" for k, v in s.items()) + ")" for s in specs[i:i + 500])
         spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {clause}")
-    return f"{database}.{table}"
 
 
 def expire_partitions(spark: SparkSession, table: str, keep_days: int = 90,

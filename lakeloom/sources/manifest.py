@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.functions.stamps import run_clock
+from lakeloom.operators.profiles import PROFILE_SCHEMA, merged, type_of
 from lakeloom.sources import fs
 
 MANIFEST_SCHEMA = T.StructType([
@@ -177,6 +178,28 @@ def record_columns(spark: SparkSession, state_dir: str, ctx: str, batch_id: int,
      .coalesce(1).write.mode("append").parquet(columns_path(state_dir)))
 
 
+def record_profile(spark: SparkSession, state_dir: str, rows: list[tuple]) -> None:
+    """Append the profiles of a batch's columns (see ``operators.profiles``)."""
+    if rows:
+        spark.createDataFrame(rows, PROFILE_SCHEMA).coalesce(1).write.mode("append").parquet(f"{state_dir.rstrip('/')}/profiles")
+
+
+def column_types(spark: SparkSession, state_dir: str, ctx: str) -> dict[str, str | None] | None:
+    """The type of each column over all committed batches of ``ctx``; None if
+    a committed batch with rows has no profile (it was ingested without one)."""
+    path = f"{state_dir.rstrip('/')}/profiles"
+    if not fs.exists(spark, path):
+        return None
+    man = read_manifest(spark, state_dir).where((F.col("ctx") == ctx) & (F.col("state") == COMMITTED))
+    done = man.groupBy("batch_id").agg(F.count("path").alias("files")).where("files > 0").select("batch_id")
+    known = spark.read.schema(PROFILE_SCHEMA).parquet(path).where(F.col("ctx") == ctx)
+    if not done.join(known.select("batch_id"), "batch_id", "left_anti").isEmpty():
+        return None
+    # A batch whose files all changed under it is committed without files, its rows stay.
+    batches = man.select("batch_id").distinct()
+    return {c: type_of(k, d, low, high) for c, k, d, low, high in merged(known.join(batches, "batch_id", "left_semi"))}
+
+
 def compact_manifest(spark: SparkSession, state_dir: str, target_bytes: int = 128 << 20) -> int:
     """Rewrite the manifest's many small files as a few; returns the number of
     files replaced.
