@@ -181,6 +181,10 @@ SELECT s_suppkey, s_name, 5 AS day FROM supplier WHERE s_nationkey < 12""",
     "ingest_header_rules": """
 SELECT s_suppkey, s_name, CASE WHEN s_nationkey >= 12 THEN s_nationkey END AS s_nationkey, 2024 AS year FROM supplier""",
 
+    "ingest_two_writers": """
+SELECT s_suppkey, s_name, CAST(1709622489 AS BIGINT) AS batch_id, TRUE AS fenced, CAST(2 AS BIGINT) AS first_token,
+       CAST(2 AS BIGINT) AS last_token, CAST(3 AS BIGINT) AS n_commits FROM supplier""",
+
     "deliver_chunked": """
 SELECT s_suppkey AS supplier_id, s_name AS supplier FROM supplier""",
 

@@ -13,6 +13,7 @@ from lakeloom.sinks.tables import lake_ddl
 from lakeloom.sources import files as src_files
 from lakeloom.sources import fs
 from lakeloom.sources import manifest as mf
+from lakeloom.sources.lease import Lease
 
 
 def shape_delivery(spark: SparkSession, rows: DataFrame, pairs: list[tuple[str, str]],
@@ -33,7 +34,8 @@ def deliver_entity(spark: SparkSession, ctx: str, table_root: str, columns: list
                    query: str | None = None, view: str = "increment",
                    run_ts: dt.datetime | str | None = None, layout: str = "ymd",
                    fmt: str = "json", max_files: int = 10_000, lake_fmt: str = "csv",
-                   ingest_ctx: str | None = None, ingest_state: str | None = None) -> int:
+                   ingest_ctx: str | None = None, ingest_state: str | None = None,
+                   lease_seconds: float = 600.0, lease_wait: float = 7200.0) -> int:
     """K4: deliver every lake-table file not yet delivered for ``ctx``.
 
     Same manifest protocol as ingest (intent, write, commit), in batches of at
@@ -46,17 +48,19 @@ def deliver_entity(spark: SparkSession, ctx: str, table_root: str, columns: list
     recorded columns are read (``columns`` may be None), and in layout
     ``ymd_batch`` only the files of committed batches are taken. All day
     folders are listed, since a copied or restored lake may hold news in any.
+    One run per context at a time, as in ``ingest``.
     """
     if ingest_ctx and ingest_state:
         columns = mf.last_columns(spark, ingest_state, ingest_ctx) or columns
     total = 0
-    while True:
-        n, retried, found = _deliver_batch(spark, ctx, table_root, columns or [], state_dir, entity_root, pairs, query,
-                                           view, run_ts, layout, fmt, max_files, lake_fmt, ingest_ctx, ingest_state,
-                                           first=total == 0)
-        total += n
-        if not retried and found < max_files:
-            return total
+    with Lease(spark, state_dir, ctx, lease_seconds, lease_wait) as lease:
+        while True:
+            n, retried, found = _deliver_batch(spark, ctx, table_root, columns or [], state_dir, entity_root, pairs, query,
+                                               view, run_ts, layout, fmt, max_files, lake_fmt, ingest_ctx, ingest_state,
+                                               total == 0, lease)
+            total += n
+            if not retried and found < max_files:
+                return total
 
 
 def _committed_only(spark: SparkSession, files: DataFrame, ingest_ctx: str, ingest_state: str) -> DataFrame:
@@ -67,8 +71,9 @@ def _committed_only(spark: SparkSession, files: DataFrame, ingest_ctx: str, inge
 
 
 def _deliver_batch(spark, ctx, table_root, columns, state_dir, entity_root, pairs, query, view, run_ts, layout, fmt,
-                   max_files, lake_fmt, ingest_ctx, ingest_state, first) -> tuple[int, bool, int]:
+                   max_files, lake_fmt, ingest_ctx, ingest_state, first, lease) -> tuple[int, bool, int]:
     """(files delivered, whether it was a retry, files chosen)."""
+    lease.check()
     manifest = mf.read_manifest(spark, state_dir)
     pending, last_batch = mf.batch_state(manifest, ctx)
     retried = pending is not None
@@ -84,9 +89,9 @@ def _deliver_batch(spark, ctx, table_root, columns, state_dir, entity_root, pair
         chosen = mf.collect_files(new.orderBy("mtime", "path").limit(max_files))
     if not chosen:
         if retried:
-            mf.append(mf.commit_rows(spark, mf.file_frame(spark, []), ctx, batch_id, run_ts_sql), state_dir)
+            mf.append(mf.commit_rows(spark, mf.file_frame(spark, []), ctx, batch_id, run_ts_sql, lease.token), state_dir)
         elif first:
-            mf.commit_empty_run(spark, state_dir, ctx, batch_id, run_ts_sql)
+            mf.commit_empty_run(spark, state_dir, ctx, batch_id, run_ts_sql, lease.token)
         return 0, retried, 0
     file_df, paths = mf.file_frame(spark, chosen), [f[0] for f in chosen]
     reader = spark.read.option("basePath", table_root)
@@ -96,8 +101,10 @@ def _deliver_batch(spark, ctx, table_root, columns, state_dir, entity_root, pair
         rows = reader.option("mergeSchema", "true").format(lake_fmt).load(paths)
     out = shape_delivery(spark, rows, pairs, query, view)  # a plan that fails leaves no intent
     check_delivery(out)
+    lease.check()
     if not retried:
-        mf.append(mf.manifest_rows(file_df, ctx, batch_id, run_ts_sql, mf.INTENT), state_dir)
+        mf.append(mf.manifest_rows(file_df, ctx, batch_id, run_ts_sql, mf.INTENT, lease.token), state_dir)
     write_delivery(out, entity_root, run_ts_sql[:10], batch_id, fmt)
-    mf.append(mf.commit_rows(spark, file_df, ctx, batch_id, run_ts_sql), state_dir)
+    lease.check()
+    mf.append(mf.commit_rows(spark, file_df, ctx, batch_id, run_ts_sql, lease.token), state_dir)
     return len(chosen), retried, len(chosen)

@@ -19,6 +19,7 @@ from lakeloom.sinks.tables import PARTITION_TYPES, batch_folder, register_table,
 from lakeloom.sources import files as src_files
 from lakeloom.sources import fs
 from lakeloom.sources import manifest as mf
+from lakeloom.sources.lease import Lease
 
 # Names the stamp owns: a source column of such a name is replaced by it.
 RESERVED = ("upload_time", *PARTITION_TYPES, src_files.CORRUPT_COL, src_files.SOURCE_PATH, src_files.SOURCE_MTIME)
@@ -44,7 +45,8 @@ class IngestResult:
 def ingest(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
            run_ts: dt.datetime | str | None = None, layout: str = "ymd", fmt: str = "csv",
            max_files: int = 10_000, glob: str = "*.csv", csv_options: dict | None = None,
-           rejects_dir: str | None = None, stop_after: str | None = None) -> IngestResult:
+           rejects_dir: str | None = None, stop_after: str | None = None,
+           lease_seconds: float = 600.0, lease_wait: float = 7200.0, on_written=None) -> IngestResult:
     """Ingest every file under ``src`` that is new or modified since the last commit.
 
     Files are taken in batches of at most ``max_files`` (oldest first), so the
@@ -53,12 +55,19 @@ def ingest(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
     own batch id, run time and file list, less the files that have gone since.
     ``rejects_dir`` keeps malformed lines at the cost of a second pass over the
     batch's files.
+
+    One run per context and state folder at a time: the call waits up to
+    ``lease_wait`` seconds for the lease, which passes to it when the holder is
+    done or has not renewed it for ``lease_seconds``. A run that lost its lease
+    raises ``Fenced`` instead of committing. ``on_written`` is called between a
+    batch's write and its commit.
     """
     out, last = [], None
-    while last is None or last.retried or last.files >= max_files:
-        last = _ingest_batch(spark, ctx, src, dst, state_dir, run_ts, layout, fmt, max_files, glob,
-                             csv_options, rejects_dir, stop_after, first=not out)
-        out.append(last)
+    with Lease(spark, state_dir, ctx, lease_seconds, lease_wait) as lease:
+        while last is None or last.retried or last.files >= max_files:
+            last = _ingest_batch(spark, ctx, src, dst, state_dir, run_ts, layout, fmt, max_files, glob,
+                                 csv_options, rejects_dir, stop_after, not out, lease, on_written)
+            out.append(last)
     taken = [r for r in out if r.files] or out[-1:]
     return IngestResult(ctx, taken[-1].batch_id, taken[-1].run_ts, sum(r.files for r in out),
                         next((r.columns for r in reversed(out) if r.columns), []),
@@ -66,7 +75,8 @@ def ingest(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
 
 
 def _ingest_batch(spark, ctx, src, dst, state_dir, run_ts, layout, fmt, max_files, glob, csv_options,
-                  rejects_dir, stop_after, first) -> IngestResult:
+                  rejects_dir, stop_after, first, lease, on_written) -> IngestResult:
+    lease.check()
     manifest = mf.read_manifest(spark, state_dir)
     pending, last_batch = mf.batch_state(manifest, ctx)
     retried = pending is not None
@@ -85,9 +95,9 @@ def _ingest_batch(spark, ctx, src, dst, state_dir, run_ts, layout, fmt, max_file
             fs.delete(spark, f"{rejects_dir.rstrip('/')}/batch_id={batch_id}")
     if not chosen:
         if retried:
-            mf.append(mf.commit_rows(spark, mf.file_frame(spark, []), ctx, batch_id, run_ts_sql), state_dir)
+            mf.append(mf.commit_rows(spark, mf.file_frame(spark, []), ctx, batch_id, run_ts_sql, lease.token), state_dir)
         elif first:
-            mf.commit_empty_run(spark, state_dir, ctx, batch_id, run_ts_sql)
+            mf.commit_empty_run(spark, state_dir, ctx, batch_id, run_ts_sql, lease.token)
         return IngestResult(ctx, batch_id, run_ts_sql, 0, retried=retried)
     file_df = mf.file_frame(spark, chosen)
 
@@ -101,8 +111,9 @@ def _ingest_batch(spark, ctx, src, dst, state_dir, run_ts, layout, fmt, max_file
                                          file_df, size)
     rows = raw.drop(src_files.CORRUPT_COL, src_files.SOURCE_PATH, src_files.SOURCE_MTIME)
     stamped = stamp_upload_time(rows, run_ts_sql, batch_id if layout == "ymd_batch" else None)
+    lease.check()
     if not retried:
-        mf.append(mf.manifest_rows(file_df, ctx, batch_id, run_ts_sql, mf.INTENT), state_dir)
+        mf.append(mf.manifest_rows(file_df, ctx, batch_id, run_ts_sql, mf.INTENT, lease.token), state_dir)
     if rejects_dir:
         # Spark refuses a raw CSV query that reads only the corrupt-record
         # column, so the parsed fields travel with the line.
@@ -121,24 +132,21 @@ def _ingest_batch(spark, ctx, src, dst, state_dir, run_ts, layout, fmt, max_file
         mf.record_profile(spark, state_dir, profile_rows(seen.get, columns, ctx, batch_id))
     if stop_after == "write":
         raise SimulatedCrash(f"stopped after writing batch {batch_id}")
+    if on_written:
+        on_written()
     # Commit only files still at their listed version; one rewritten during
     # the run is read again, whole, by the next run. Only the folders of the
     # batch's files are listed again.
     folders = sorted({r[0].rsplit("/", 1)[0] for r in chosen})
     now = src_files.list_files(spark, [f for f in folders if fs.exists(spark, f)], "*", recursive=False)
     unchanged = file_df.join(now, ["path", "mtime", "length"], "left_semi")
-    mf.append(mf.commit_rows(spark, unchanged, ctx, batch_id, run_ts_sql), state_dir)
+    lease.check()
+    mf.append(mf.commit_rows(spark, unchanged, ctx, batch_id, run_ts_sql, lease.token), state_dir)
     if columns != known:
         mf.record_columns(spark, state_dir, ctx, batch_id, columns)
     return IngestResult(ctx, batch_id, run_ts_sql, len(chosen), columns, retried)
 
 
-def ingest_all(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
-               run_ts: dt.datetime | str | None = None, **kw) -> IngestResult:
-    """``ingest``, under its earlier name: one call takes every file."""
-    return ingest(spark, ctx, src, dst, state_dir, run_ts=run_ts, **kw)
-
-
 def ingest_and_register(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
                         database: str, table: str, db_location: str | None = None,
                         **kw) -> IngestResult:
@@ -157,10 +165,15 @@ def ingest_and_register(spark: SparkSession, ctx: str, src: str, dst: str, state
 
 
 def read_increment(spark: SparkSession, ctx: str, src: str, state_dir: str,
-                   glob: str = "*.csv", csv_options: dict | None = None) -> DataFrame:
-    """S2 alone: the rows of all files not yet committed for ``ctx`` (no write)."""
+                   glob: str = "*.csv", csv_options: dict | None = None, max_files: int = 10_000) -> DataFrame:
+    """S2 alone: the rows of the files not yet committed for ``ctx`` (no write).
+    More than ``max_files`` of them raise, since their paths go through the
+    driver; ``ingest`` takes any number, in batches."""
     manifest = mf.read_manifest(spark, state_dir)
-    new = mf.new_files(src_files.list_files(spark, src, glob), manifest, ctx)
+    found = mf.new_files(src_files.list_files(spark, src, glob), manifest, ctx).limit(max_files + 1)
+    new = mf.file_frame(spark, mf.collect_files(found))
+    if new.count() > max_files:
+        raise ValueError(f"over {max_files} new files; use ingest, or raise max_files")
     groups = src_files.header_groups(new, csv_options)
     return src_files.csv_scan(spark, groups, options=csv_options).drop(
         src_files.CORRUPT_COL, src_files.SOURCE_PATH, src_files.SOURCE_MTIME)

@@ -39,6 +39,8 @@ from lakeloom.sources import fs
 from lakeloom.sources.configs import mapper_pairs, sql_asset
 from lakeloom.sources.events import event_scan
 from lakeloom.sources.files import discover_assets
+from lakeloom.sources.lease import Fenced
+from lakeloom.sources.manifest import read_manifest
 from lakeloom.streaming.jobs import asset_event_stream, deliver_daily, ingest_on_arrival, ingest_stream_append
 
 # Fixed run clocks of the staged runs (UTC) and the batch id of the first.
@@ -198,6 +200,26 @@ def ingest_source_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crash_then(spark, sf_dir, work, lambda folder, rows: fs.delete(spark, folder))
 
 
+def ingest_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run stalls past its lease between write and commit, another run
+    takes the context over, retries the batch and commits; the first one is
+    fenced off. Every row is there once, committed under the second token."""
+    work = _start(spark, "ingest_two_writers")
+    args = (spark, "supplier", f"{work}/src", f"{work}/lake", f"{work}/state")
+    si.stage_csv(spark, _t(spark, sf_dir, "supplier").select(*SUPPLIER_COLS), f"{work}/src", n_files=3, key="s_suppkey")
+    fenced = False
+    try:
+        ingest(*args, run_ts=RUN1, layout="ymd_batch", lease_seconds=0,
+               on_written=lambda: ingest(*args, run_ts=RUN2, layout="ymd_batch"))
+    except Fenced:
+        fenced = True
+    tokens = read_manifest(spark, f"{work}/state").where("state = 'committed' AND path IS NOT NULL").agg(
+        F.min("token").alias("first_token"), F.max("token").alias("last_token"), F.count(F.lit(1)).alias("n_commits")).first()
+    rows = read_lake_table(spark, f"{work}/lake", SUPPLIER_COLS, layout="ymd_batch")
+    return rows.select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "s_name", "batch_id", F.lit(fenced).alias("fenced"),
+                       *[F.lit(v).cast("bigint").alias(k) for k, v in tokens.asDict().items()])
+
+
 def ingest_header_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Another separator, spaces in the header, names that differ
     by case, and a source column of a stamp's name, which the stamp replaces."""
@@ -779,6 +801,7 @@ QUERIES = {
     "ingest_retry_rewritten": ingest_retry_rewritten,
     "ingest_source_deleted": ingest_source_deleted,
     "ingest_header_rules": ingest_header_rules,
+    "ingest_two_writers": ingest_two_writers,
     "deliver_chunked": deliver_chunked,
     "deliver_after_retry": deliver_after_retry,
     "stream_ingest_manifest": stream_ingest_manifest,

@@ -66,6 +66,14 @@ def write_once(spark: SparkSession, path: str, text: str) -> bool:
         raise
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, over an earlier one."""
+    fs, p = _fs_and_path(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """The text of a small file; None if there is none."""
     fs, p = _fs_and_path(spark, path)

@@ -1,11 +1,12 @@
 """Manifest of ingested files: the incremental-scan state.
 
 An append-only parquet table under a state folder holds one row per file per
-run: ``(ctx, path, mtime, length, batch_id, run_ts, state)`` where state is
+run: ``(ctx, path, mtime, length, batch_id, run_ts, state, token)`` where state is
 ``intent`` (written before the data) or ``committed`` (written after). A file
 counts as done only when a committed row with the same path, change time and
 length exists, so a modified file is picked up again and a crash between the
-data write and the commit leaves an open intent that the next run retries.
+data write and the commit leaves an open intent that the next run retries. The
+token is that of the run's lease (``sources.lease``).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ MANIFEST_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()),
     T.StructField("run_ts", T.TimestampType()),
     T.StructField("state", T.StringType()),
+    T.StructField("token", T.LongType()),
 ])
 
 COLUMNS_SCHEMA = T.StructType([
@@ -131,21 +133,21 @@ def intent_files(manifest: DataFrame, ctx: str, batch_id: int) -> DataFrame:
 
 
 def manifest_rows(files: DataFrame, ctx: str, batch_id: int, run_ts_sql: str,
-                  state: str) -> DataFrame:
+                  state: str, token: int | None = None) -> DataFrame:
     return files.select(
         F.lit(ctx).alias("ctx"), "path", "mtime", "length",
         F.lit(batch_id).cast("bigint").alias("batch_id"),
         F.expr(f"CAST('{run_ts_sql}' AS TIMESTAMP)").alias("run_ts"),
-        F.lit(state).alias("state"))
+        F.lit(state).alias("state"), F.lit(token).cast("bigint").alias("token"))
 
 
 def commit_rows(spark: SparkSession, files: DataFrame, ctx: str, batch_id: int,
-                run_ts_sql: str) -> DataFrame:
+                run_ts_sql: str, token: int | None = None) -> DataFrame:
     """S3: committed rows for ``files`` plus one marker row (null path) that
     closes the batch even when no file is left to commit."""
-    marker = spark.createDataFrame([(ctx, None, None, None, batch_id, None, COMMITTED)], MANIFEST_SCHEMA)
+    marker = spark.createDataFrame([(ctx, None, None, None, batch_id, None, COMMITTED, token)], MANIFEST_SCHEMA)
     marker = marker.withColumn("run_ts", F.expr(f"CAST('{run_ts_sql}' AS TIMESTAMP)"))
-    return manifest_rows(files, ctx, batch_id, run_ts_sql, COMMITTED).unionByName(marker)
+    return manifest_rows(files, ctx, batch_id, run_ts_sql, COMMITTED, token).unionByName(marker)
 
 
 def append(rows: DataFrame, state_dir: str) -> None:
@@ -154,9 +156,9 @@ def append(rows: DataFrame, state_dir: str) -> None:
 
 
 def commit_empty_run(spark: SparkSession, state_dir: str, ctx: str, batch_id: int,
-                     run_ts_sql: str) -> None:
+                     run_ts_sql: str, token: int | None = None) -> None:
     """S3 for a run with nothing new: one marker row with a null path."""
-    row = spark.createDataFrame([(ctx, None, None, None, batch_id, None, COMMITTED)],
+    row = spark.createDataFrame([(ctx, None, None, None, batch_id, None, COMMITTED, token)],
                                 MANIFEST_SCHEMA)
     row = row.withColumn("run_ts", F.expr(f"CAST('{run_ts_sql}' AS TIMESTAMP)"))
     append(row, state_dir)

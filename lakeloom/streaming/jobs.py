@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lakeloom.functions.stamps import run_clock, stamp_upload_time
 from lakeloom.plans.delivery import shape_delivery
 from lakeloom.plans.dictionary import asset_events
-from lakeloom.plans.ingest import ingest_all
+from lakeloom.plans.ingest import ingest
 from lakeloom.sinks.exports import EXPORT_KEYS, notification_rows, write_delivery
 from lakeloom.sinks.snapshots import publish_batch
 from lakeloom.sinks.tables import lake_ddl, write_partitioned
@@ -59,8 +59,8 @@ def ingest_on_arrival(spark: SparkSession, ctx: str, src: str, dst: str, state_d
     signals = stream.load(src)
 
     def run(_batch: DataFrame, batch_id: int) -> None:
-        ingest_all(spark, ctx, src, dst, state_dir,
-                   run_ts=clock(batch_id) if clock else None, **ingest_kw)
+        ingest(spark, ctx, src, dst, state_dir,
+               run_ts=clock(batch_id) if clock else None, **ingest_kw)
 
     return _start(signals, run, checkpoint, available_now, processing_time)
 

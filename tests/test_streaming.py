@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from conftest import write_file
-from lakeloom.plans.ingest import ingest_all
+from lakeloom.plans.ingest import ingest
 from lakeloom.sinks.tables import read_lake_table
 from lakeloom.streaming.jobs import ingest_on_arrival, ingest_stream_append
 
@@ -19,7 +19,7 @@ def test_ingest_on_arrival_equals_batch(spark, work):
     q = ingest_on_arrival(spark, "t", f"{work}/src", f"{work}/lake_s", f"{work}/state_s",
                           f"{work}/ckpt", max_files_per_trigger=1, clock=lambda b: f"2024-03-0{5 + b}")
     q.awaitTermination()
-    ingest_all(spark, "t", f"{work}/src", f"{work}/lake_b", f"{work}/state_b", run_ts="2024-03-05")
+    ingest(spark, "t", f"{work}/src", f"{work}/lake_b", f"{work}/state_b", run_ts="2024-03-05")
     assert lake_rows(spark, f"{work}/lake_s") == lake_rows(spark, f"{work}/lake_b") == \
         [("0", "x0"), ("1", "x1"), ("2", "x2")]
     # a second availableNow run with nothing new adds nothing
