@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -99,3 +100,68 @@ def test_without_windows_nothing_is_learnt(spark):
 
 def test_redact_overlaps():
     assert pii.redact("x 12 y", [(2, "phone", 4), (3, "card", 4)]) == "x [PHONE] y"
+
+
+def held_out(seed, n=80):
+    """(text, start, kind, end) of forms and words the training did not see."""
+    rng = random.Random(seed)
+    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    out = []
+    for _ in range(n):
+        card = d(15)
+        card += next(str(x) for x in range(10) if pii.luhn(card + str(x)))
+        four = [card[i:i + 4] for i in range(0, 16, 4)]
+        a, b, c = rng.randint(200, 899), d(3), d(4)
+        forms = [("card", ".".join(four)), ("card", "  ".join(four)), ("phone", f"001 {a} {b} {c}"), ("phone", f"({a}) {b}-{c}"), ("phone", f"{a}-{b}-{c}"),
+                 ("ip", " . ".join(str(rng.randint(0, 255)) for _ in range(4))), ("email", f"k{d(2)} at host{d(1)} dot org"), ("email", f"k.{d(2)} @ site{d(1)}.example.com")]
+        kind, s = rng.choice(forms)
+        left = rng.choice(["He wrote: ", "reach me on ", "see ", "Ruf an: ", "the line is "])
+        out.append((f"{left}{s} {rng.choice(['please', 'or later.', 'und so', 'x'])}", len(left), kind, len(left) + len(s)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return pii.fit(docs(spark, corpus()))
+
+
+def test_field_finds_unseen_forms_of_every_kind(model):
+    right = wrong = missed = 0
+    by_kind = {k: [0, 0] for k in pii.KINDS}
+    for text, a, kind, b in held_out(11, 400):
+        got = set(pii.find_spans(text, model)[1])
+        hit = (a, kind, b) in got
+        by_kind[kind][0] += hit
+        by_kind[kind][1] += 1
+        right, wrong, missed = right + hit, wrong + len(got - {(a, kind, b)}), missed + (not hit)
+    assert right / (right + missed) >= 0.9 and right / (right + wrong) >= 0.9, (right, wrong, missed, by_kind)
+    assert all(x / n >= 0.8 for x, n in by_kind.values()), by_kind
+
+
+def test_field_leaves_lookalikes_alone(model):
+    rng, found = random.Random(5), 0
+    texts = [f"{w} {s} {v}" for w in ("on", "version", "price of") for v in ("ended", "is it") for _ in range(6) for s in pii.decoys(rng)]
+    for t in texts:
+        if not brute(t):
+            found += bool(pii.find_spans(t, model)[1])
+    assert found <= 0.1 * len(texts)
+    assert pii.find_spans("meet at noon dot then", model)[1] == []
+
+
+def test_many_spans_in_one_text_take_linear_time(model):
+    times = []
+    for n in (2000, 8000):
+        text = "".join(f"a{i}@mail{i % 9}.example.com +1 (017) 555-{i % 9999:04d} " for i in range(n))
+        t0 = time.perf_counter()
+        base, spans = pii.find_spans(text, model)
+        times.append(time.perf_counter() - t0)
+        assert len(base) == 2 * n and set(base) <= set(spans)
+    assert times[1] < 8 * times[0] + 0.5 and times[1] < 4
+
+
+def test_copies_are_merged_before_sampling(spark):
+    """A text that is most of the table is one of the training texts."""
+    rows = corpus()
+    many = rows + [(1000 + i, "only this 12345678901 number here") for i in range(3000)]
+    a, b = pii.fit(docs(spark, rows + many[-1:]), sample_docs=10 ** 6), pii.fit(docs(spark, many), sample_docs=10 ** 6)
+    assert np.allclose(a.weights, b.weights)
