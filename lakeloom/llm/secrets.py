@@ -11,13 +11,19 @@ lengths of pieces and candidates are summed per document.
 **Features** (``FEATURES``): length and shares of sign classes; transitions
 between classes of neighbouring characters; dictionary coverage, the share of
 the candidate's letter 4-grams that occur in words of the corpus; slashes and
-the share of real secrets among labelled findings of the same path; signs and
-words next to the candidate.
+the share of real secrets among labelled findings of the same path, of other
+folds than the candidate's own, so no label tells of itself; signs and words
+next to the candidate.
 
 **Training** takes labelled findings. ``silver_findings`` makes them where
 there are none: a candidate given to a name such as ``token`` or ``password``
-by ``=`` or ``:`` is real, any other is false. About ``sample`` findings of each
-label train the forest; the dictionary is counted over all documents.
+by ``=`` or ``:`` is real, any other is false. The features that this rule reads
+(``RULE_READS``) are then withheld from the forest, so that it judges by what a
+candidate looks like: a bare key may score high and a named plain word low, and
+the rule's own errors are not learnt back. What stands after a candidate often
+goes with the name before it, so half of these training rows have it replaced by
+chance values. About ``sample`` findings of each label
+train the forest; the dictionary is counted over all documents.
 
 Only DataFrame functions and Spark's own forest are used.
 """
@@ -45,7 +51,9 @@ NAME = r"(?i)(token|secret|passw|api.?key|credential)\w*[^\w]{0,6}$"
 GRAM = 4
 FEATURES = ("length", "digits", "uppers", "lowers", "signs", "to_digit", "to_letter", "case_change", "vowel_change",
             "letter_pairs", "digit_pairs", "variety", "coverage", "slashes", "path_rate", "named", "assigned", "quoted_before",
-            "quoted_after", "word_before")
+            "quoted_after", "word_before", "word_after")
+RULE_READS = ("named", "assigned", "quoted_before", "word_before")
+FOLDS = 5
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -94,6 +102,27 @@ def _share(cand: Column, pattern: str) -> Column:
     return F.regexp_count(cand, F.lit(pattern)) / F.length(cand)
 
 
+def _fold() -> Column:
+    """The candidate's fold; equal strings are of one fold."""
+    return F.pmod(F.xxhash64("cand"), F.lit(FOLDS)).cast("int")
+
+
+def path_rates(known: DataFrame, base_rate: float) -> DataFrame:
+    """(rpath, rfold, path_rate): per path and fold, the share of label 1 among
+    the path's strings of all other folds, drawn to the base rate. Each string
+    counts once and the share is rounded to tenths: else the small difference
+    between folds, which is made by the fold's own labels, would give these away."""
+    known = known.groupBy("path", "cand").agg(F.max("label").alias("label"))
+    per = known.groupBy(F.col("path").alias("rpath"), _fold().alias("f")).agg(
+        F.sum("label").alias("y"), F.count("label").alias("n"))
+    every = per.groupBy("rpath").agg(F.sum("y").alias("ys"), F.sum("n").alias("ns"))
+    own = per.select(F.col("rpath").alias("p"), "f", "y", "n")
+    all_folds = every.withColumn("rfold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
+    got = all_folds.join(own, F.col("rpath").eqNullSafe(F.col("p")) & (F.col("rfold") == F.col("f")), "left")
+    y, n = F.col("ys") - F.coalesce("y", F.lit(0)), F.col("ns") - F.coalesce("n", F.lit(0))
+    return got.select("rpath", "rfold", F.round((y + 10 * base_rate) / (n + 10), 1).alias("path_rate"))
+
+
 def with_features(cands: DataFrame, grams: DataFrame, rates: DataFrame, base_rate: float) -> DataFrame:
     """``cands`` with the columns ``FEATURES``."""
     c, pairs = F.col("cand"), F.length("cand") - 1
@@ -101,7 +130,8 @@ def with_features(cands: DataFrame, grams: DataFrame, rates: DataFrame, base_rat
     g = d.select("row", "start", F.explode_outer(F.filter(_grams("letters"), lambda x: ~F.contains(x, F.lit(" ")))).alias("g")) \
         .filter(F.col("g").isNotNull()).join(_small(grams.withColumn("hit", F.lit(1))), "g", "left") \
         .groupBy("row", "start").agg((F.count("hit") / F.count(F.lit(1))).alias("coverage"))
-    d = d.join(g, ["row", "start"], "left").join(_small(rates), F.col("path").eqNullSafe(F.col("rpath")), "left").drop("rpath", "letters")
+    d = d.join(g, ["row", "start"], "left").join(
+        _small(rates), F.col("path").eqNullSafe(F.col("rpath")) & (_fold() == F.col("rfold")), "left").drop("rpath", "rfold", "letters")
 
     def change(pattern: str) -> Column:
         return F.regexp_count(c, F.lit(pattern)) / pairs
@@ -118,6 +148,7 @@ def with_features(cands: DataFrame, grams: DataFrame, rates: DataFrame, base_rat
         "named": before.rlike("(?i)(key|token|secret|passw|auth|cred)").cast("double"), "assigned": before.rlike(r"[:=]\s*[\"']?$").cast("double"),
         "quoted_before": before.rlike("[\"'`]$").cast("double"), "quoted_after": F.col("after").rlike("^[\"'`]").cast("double"),
         "word_before": F.length(F.regexp_extract(before, r"(\w*)\W*$", 1)).cast("double"),
+        "word_after": F.length(F.regexp_extract("after", r"^\W*(\w*)", 1)).cast("double"),
     }
     return d.withColumns(cols)
 
@@ -155,14 +186,22 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     if not (n0 and n1):
         return result(cands, F.lit(float(n1 > 0)))
     base = n1 / (n0 + n1)
-    rates = cut(known.groupBy(F.col("path").alias("rpath")).agg(
-        ((F.sum("label") + 10 * base) / (F.count("label") + 10)).alias("path_rate")))
+    rates = cut(path_rates(known, base))
+    names = [f for f in FEATURES if findings is not None or f not in RULE_READS]
     grams = cut(dictionary(docs, text_col))
     few = sample_by_count(known.filter("label = 1"), n1, sample, "row", "start").unionByName(
         sample_by_count(known.filter("label = 0"), n0, sample, "row", "start"))
-    assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = cut(with_features(few, grams, rates, base).select("label", *FEATURES))
-    forest = RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8) \
+    assemble = VectorAssembler(inputCols=names, outputCol="features")
+    train = with_features(few, grams, rates, base)
+    if findings is None:
+        half = F.pmod(F.xxhash64(F.lit(1), F.col("cand")), F.lit(2)) == 0
+        for k, (name, many) in enumerate({"quoted_after": 2, "word_after": 13}.items(), 2):
+            chance = F.pmod(F.xxhash64(F.lit(k), F.col("cand")), F.lit(many)).cast("double")
+            train = train.withColumn(name, F.when(half, chance).otherwise(F.col(name)))
+    train = cut(train.select("label", *names))
+    # A silver label may be wrong: a leaf for a few rows of their own would learn just that.
+    forest = RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8,
+                                    minInstancesPerNode=1 if findings is not None else 10) \
         .fit(assemble.transform(train))
     got = forest.transform(assemble.transform(with_features(cands, grams, rates, base)))
     return result(got, vector_to_array("probability")[1])

@@ -6,6 +6,7 @@ from __future__ import annotations
 import itertools
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -293,3 +294,58 @@ def test_scan_edge_tables(spark):
     assert secrets.scan(empty(spark)).count() == 0
     only = secrets.scan(docs(spark, [(1, "x 1234567890123456 y")])).first()
     assert (only.start, only.end, only.score, only.is_secret) == (2, 18, 0.0, False)
+
+
+def test_secret_features_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(i, f"the word {rng.choice(['token', 'id'])} {rng.choice(['=', ':', 'of'])} {rng.choice(['', chr(34)])}" + "".join(
+        rng.choice("abcdeXY0189+/_-") for _ in range(rng.randint(16, 40))) + rng.choice([" word next", chr(34) + " x", ""]), None, rng.choice(["a/b", "c", None])) for i in range(60)]
+    rows += [(100 + i, "recurring plaintext words recurring", None, "c") for i in range(6)]
+    df = docs(spark, rows)
+    cands = secrets.silver_findings(secrets.candidates(df)).checkpoint()
+    grams, base = secrets.dictionary(df), 0.25
+    known = [r.asDict() for r in cands.collect()]
+    fold = {r.cand: r.f for r in cands.select("cand", secrets._fold().alias("f")).collect()}
+
+    assert {"recu", "word"} <= {r.g for r in grams.collect()}
+    have = {r.g for r in grams.collect()}
+    got = secrets.with_features(cands, grams, secrets.path_rates(cands, base), base).collect()
+    assert len(got) == len(known) > 40
+    for r in got:
+        c, before, after = r.cand, r.before, r.after
+        pairs = list(zip(c, c[1:]))
+        n = len(pairs)
+        vowel = lambda x: x.lower() in "aeiou"
+        kind = lambda x: "d" if x.isdigit() else "a" if x.isalpha() else "s"
+        runs = re.sub("[^a-z]+", " ", c.lower())
+        four = [g for g in (runs[i:i + 4] for i in range(len(runs) - 3)) if " " not in g]
+        others = list({k["cand"]: k["label"] for k in sorted(known, key=lambda k: k["label"]) if k["path"] == r.path and fold[k["cand"]] != fold[c]}.values())
+        want = {
+            "length": len(c), "digits": sum(map(str.isdigit, c)) / len(c), "uppers": sum(map(str.isupper, c)) / len(c), "lowers": sum(map(str.islower, c)) / len(c),
+            "signs": sum(x in "+/_=-" for x in c) / len(c), "to_digit": sum(kind(a) == "a" and kind(b) == "d" for a, b in pairs) / n,
+            "to_letter": sum(kind(a) == "d" and kind(b) == "a" for a, b in pairs) / n,
+            "case_change": sum(a.isalpha() and b.isalpha() and a.isupper() != b.isupper() for a, b in pairs) / n,
+            "vowel_change": sum(a.isalpha() and b.isalpha() and vowel(a) != vowel(b) for a, b in pairs) / n,
+            "letter_pairs": sum(kind(a) == kind(b) == "a" for a, b in pairs) / n, "digit_pairs": sum(kind(a) == kind(b) == "d" for a, b in pairs) / n,
+            "variety": len(set(c)) / len(c), "coverage": sum(g in have for g in four) / len(four) if four else 0.0, "slashes": c.count("/"),
+            "path_rate": round((sum(others) + 10 * base) / (len(others) + 10), 1), "named": bool(re.search("key|token|secret|passw|auth|cred", before, re.I)),
+            "assigned": bool(re.search(r"[:=]\s*[\"']?$", before)), "quoted_before": bool(re.search("[\"'`]$", before)), "quoted_after": bool(re.match("[\"'`]", after)),
+            "word_before": len(re.search(r"(\w*)\W*$", before, re.A)[1]), "word_after": len(re.match(r"\W*(\w*)", after, re.A)[1])}
+        for f in secrets.FEATURES:
+            assert r[f] == pytest.approx(float(want[f])), (f, c)
+
+
+def test_forest_judges_by_looks_not_by_the_label_rule(spark):
+    """Silver labels: a key without a name scores high, a named plain word and a
+    named version string low."""
+    rng = random.Random(9)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    plain = "international understanding extraordinarily straightforwardly characteristics responsibilities".split()
+    rows = [(i, f'some words token = "{key()}" and {rng.choice(plain)} then {rng.choice(plain)} with {rng.choice("123456789") * 8}00012345 at the end', None, "s") for i in range(150)]
+    rows += [(500, f"only {key()} here", None, "s"), (501, "password: understanding of it", None, "s"), (502, "the secret = straightforwardly done", None, "s"),
+             (503, "api_key: 2024-03-05-17-22-01 done", None, "s")]
+    got = {(r.doc_id, r.start): r for r in secrets.scan(docs(spark, rows)).collect() if r.doc_id >= 500}
+    silver = {(r.id, r.start): r.label for r in secrets.silver_findings(secrets.candidates(docs(spark, rows))).collect() if r.id >= 500}
+    by = {k[0]: v for k, v in got.items()}
+    assert by[500].score > 0.8 and silver[500, by[500].start] == 0
+    assert all(by[i].score < 0.3 and silver[i, by[i].start] == 1 for i in (501, 502, 503))
