@@ -341,7 +341,7 @@ def test_forest_judges_by_looks_not_by_the_label_rule(spark):
     rng = random.Random(9)
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
     plain = "international understanding extraordinarily straightforwardly characteristics responsibilities".split()
-    rows = [(i, f'some words token = "{key()}" and {rng.choice(plain)} then {rng.choice(plain)} with {rng.choice("123456789") * 8}00012345 at the end', None, "s") for i in range(150)]
+    rows = [(i, f'some words token = "{key()}" and {rng.choice(plain)} then {rng.choice(plain)} with {rng.choice("123456789") * 8}00012345 at the end of 20{i % 30 + 10}-01-{i % 9}5-10-3{i % 7}-11 runs', None, "s") for i in range(150)]
     rows += [(500, f"only {key()} here", None, "s"), (501, "password: understanding of it", None, "s"), (502, "the secret = straightforwardly done", None, "s"),
              (503, "api_key: 2024-03-05-17-22-01 done", None, "s")]
     got = {(r.doc_id, r.start): r for r in secrets.scan(docs(spark, rows)).collect() if r.doc_id >= 500}
