@@ -63,41 +63,62 @@ def resolve_rule_buckets(rules: DataFrame, bucket_map: DataFrame | None) -> Data
     return exploded.dropDuplicates(["_rule", "bucket"]).drop("bucket_names", "_rule")
 
 
+# What stands for "any" in a rule's key, beside a listed value.
+_ANY, _LISTED = "*", "="
+
+
+def rule_index(rules: DataFrame, bucket_map: DataFrame | None = None) -> DataFrame:
+    """The enabled rules as keys: one row per listed (source, type, domain,
+    bucket), with ``*`` for what a rule does not restrict: columns r_source,
+    r_type, r_domain, r_bucket, rule_name and targets."""
+    # A catalog rule tests only "domain is ours": without a domain list it is
+    # skipped, and a bucket list on it is ignored.
+    catalog = F.coalesce(F.get("source", F.lit(0)) == CATALOG_SOURCE, F.lit(False))  # the first source decides
+    live = rules.where(F.coalesce("enabled", F.lit(True)) & ~(catalog & F.coalesce(F.size("domains") <= 0, F.lit(True))))
+    live = live.withColumn("bucket_names", F.when(~catalog, F.col("bucket_names")))
+    r = resolve_rule_buckets(live, bucket_map)
+
+    def keys(c: str) -> Column:
+        listed = F.transform(F.array_distinct(F.array_compact(c)), lambda x: F.concat(F.lit(_LISTED), x))
+        return F.when(F.col(c).isNull(), F.array(F.lit(_ANY))).otherwise(listed)
+
+    r = r.withColumn("r_source", F.explode(F.array_distinct(F.array_compact("source"))))
+    r = r.withColumn("r_type", F.explode(keys("detail_type"))).withColumn("r_domain", F.explode(keys("domains")))
+    bucket = F.when(F.col("bucket").isNull(), F.lit(_ANY)).otherwise(F.concat(F.lit(_LISTED), F.col("bucket")))
+    return r.select("r_source", "r_type", "r_domain", bucket.alias("r_bucket"), "rule_name", "targets")
+
+
 def route_events(events: DataFrame, rules: DataFrame, bucket_map: DataFrame | None = None,
-                 max_rule_rows: int = 10_000) -> DataFrame:
+                 max_rule_rows: int = 200_000) -> DataFrame:
     """One row per (event, matching enabled rule, target).
 
     Rule semantics: source ∈ rule sources, type ∈ rule types (if listed);
     catalog rules match ``detail.metadata.domain`` ∈ domains, other rules
     ``detail.bucket.name`` ∈ buckets (if listed).
 
-    ``rules`` is a configuration table; after a size check it is broadcast and
-    matched by a hash join on the event source (one rule row per listed
-    source), the type / domain / bucket tests run as a residual condition next
-    to each event partition, so events are never shuffled. Columns added:
-    rule_name, service, action, parameters, supported.
+    The rules become an index of keys (``rule_index``). An event has at most
+    eight keys, its own values or ``*`` for type, domain and bucket, of which
+    only the combinations that some rule uses are made; each is looked up by an
+    equality join, so the work per event does not grow with the number of rules.
+    An index that passes the size check is broadcast and events are not
+    shuffled; a larger one is joined by ``skew_join``, since a key without a
+    domain or bucket may be that of very many events. Columns added: rule_name,
+    service, action, parameters, supported.
     """
-    from lakeloom.operators.lookups import bounded_broadcast
-
-    # A catalog rule tests only "domain is ours": without a domain list it is
-    # skipped, and a bucket list on it is ignored.
-    catalog = F.coalesce(F.get("source", F.lit(0)) == CATALOG_SOURCE, F.lit(False))  # the first source decides
-    live = rules.where(F.coalesce("enabled", F.lit(True)) & ~(catalog & F.coalesce(F.size("domains") <= 0, F.lit(True))))
-    live = live.withColumn("bucket_names", F.when(~catalog, F.col("bucket_names")))
-    r = (resolve_rule_buckets(live, bucket_map)
-         .select("*", F.explode(F.array_distinct("source")).alias("r_source")))
-    r = bounded_broadcast(r, max_rule_rows).alias("r")
-    e = events.alias("e")
-    cond = ((F.col("e.source") == F.col("r.r_source"))
-            & (F.col("r.detail_type").isNull()
-               | F.array_contains(F.col("r.detail_type"), F.col("e.`detail-type`")))
-            & (F.col("r.domains").isNull()
-               | F.array_contains(F.col("r.domains"), F.col("e.detail.metadata.domain")))
-            & (F.col("r.bucket").isNull() | (F.col("r.bucket") == F.col("e.detail.bucket.name"))))
-    matched = e.join(r, cond, "inner")
+    from lakeloom.operators.lookups import skew_join
+
+    index = rule_index(rules, bucket_map)
+    any_of = [F.col(c) == _ANY for c in ("r_type", "r_domain", "r_bucket")]
+    forms = [tuple(r) for r in index.select(*[x.alias(f"a{i}") for i, x in enumerate(any_of)]).distinct().collect()]  # at most eight
+    own = [F.concat(F.lit(_LISTED), F.col(c)) for c in ("`detail-type`", "detail.metadata.domain", "detail.bucket.name")]
+    keys = F.array(*[F.struct(*[(F.lit(_ANY) if wild else value).alias(f"k{i}") for i, (wild, value) in enumerate(zip(form, own))])
+                     for form in sorted(forms)]) if forms else F.array().cast("array<struct<k0: string, k1: string, k2: string>>")
+    e = events.withColumn("_k", F.explode(keys)).select(*[f"`{c}`" for c in events.columns], F.col("source").alias("_s"), "_k.k0", "_k.k1", "_k.k2")
+    matched = skew_join(e, index, [("_s", "r_source"), ("k0", "r_type"), ("k1", "r_domain"), ("k2", "r_bucket")],
+                        salt_by=[c for c, t in e.dtypes if "map<" not in t], max_rows=max_rule_rows)
     pairs = F.array(*[F.struct(F.lit(s).alias("service"), F.lit(a).alias("action"))
                       for s, a in SUPPORTED_TARGETS])
-    return (matched.select("e.*", "r.rule_name", F.explode("r.targets").alias("t"))
+    return (matched.select(*[f"`{c}`" for c in events.columns], "rule_name", F.explode("targets").alias("t"))
             .select("*", F.col("t.service").alias("service"), F.col("t.action").alias("action"),
                     F.col("t.parameters").alias("parameters"))
             .drop("t")

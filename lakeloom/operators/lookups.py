@@ -2,8 +2,9 @@
 
 Broadcast only behind a size check: ``fits_broadcast`` counts at most
 ``max_rows + 1`` rows of the side. A larger side is joined by ``skew_join``,
-which spreads a hot key over many tasks. A lookup gives one match at most: a
-key that is listed twice counts once.
+which finds the hot keys with a frequent-items sketch and spreads these, and
+only these, over many tasks. A lookup gives one match at most: a key that is
+listed twice counts once.
 """
 
 from __future__ import annotations
@@ -63,6 +64,21 @@ def one_per_key(lookup: DataFrame, keys: list[str]) -> DataFrame:
     return known.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("_row")).select(*keys, "_row.*")
 
 
+def hot_keys(df: DataFrame, keys: list[str], share: float, tracked: int = 4096) -> list[int]:
+    """Hashes of the key tuples that hold at least ``share`` of the rows of
+    ``df``, and possibly a few that hold less.
+
+    Spark's frequent-items sketch keeps ``tracked`` counters per task and merges
+    them; a key above 1 / ``tracked`` of the rows is never missed. At most
+    1 / ``share`` hashes reach the driver. Null keys match nothing and are left
+    out.
+    """
+    h = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
+    known = df.dropna(subset=keys).select(h.alias("h"))
+    r = known.agg(F.expr(f"approx_top_k(h, {max(1, min(1000, int(1 / share)))}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return [x["item"] for x in r["top"] or [] if x["count"] >= share * r["n"]]
+
+
 def skew_join(big: DataFrame, small: DataFrame, cond_keys: list[tuple[str, str]], how: str = "inner",
               salt_by: list[str] | None = None, salts: int | None = None,
               max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
@@ -70,18 +86,34 @@ def skew_join(big: DataFrame, small: DataFrame, cond_keys: list[tuple[str, str]]
     a key of ``big`` may hold a large share of its rows.
 
     A ``small`` side that passes the size check is broadcast (no shuffle of
-    ``big``). Otherwise each ``big`` row gets a salt from a hash of
-    ``salt_by`` (deterministic, so a lost task recomputes the same rows) and
-    ``small`` is replicated once per salt: a hot key is spread over ``salts``
-    tasks instead of one. ``how`` is ``inner`` or ``left``.
+    ``big``). Otherwise the keys with more rows than half a shuffle partition's
+    share are found (``hot_keys``, one pass over the keys of ``big``). A row of
+    ``big`` with such a key, or with a null key, gets a salt from a hash of
+    ``salt_by`` (deterministic, so a lost task recomputes the same rows); the
+    rows of ``small`` with such a key are there once per salt, all others once.
+    A streaming ``big`` cannot be counted first, so all its keys are salted.
+    ``how`` is ``inner`` or ``left``.
     """
     cond = [F.col(a) == F.col(b) for a, b in cond_keys]
     if fits_broadcast(small, max_rows, max_bytes):
         return big.join(F.broadcast(small), _and(cond), how)
     cols = salt_by or big.columns
     salts = salts or salts_of(big.sparkSession)
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), F.lit(salts)))
-    s = small.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), F.lit(salts))
+    copies = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    if not big.isStreaming:
+        # Of one type on both sides, so that equal keys have equal hashes.
+        kinds = [big.schema[a].dataType for a, _ in cond_keys]
+        left = F.xxhash64(*[F.col(a) for a, _ in cond_keys])
+        right = F.xxhash64(*[F.col(b).cast(t) for (_, b), t in zip(cond_keys, kinds)])
+        hot = hot_keys(big, [a for a, _ in cond_keys], 1 / (2 * salts))
+        lost = F.col(cond_keys[0][0]).isNull()
+        for a, _ in cond_keys[1:]:
+            lost = lost | F.col(a).isNull()
+        salt = F.when(lost | left.isin(hot), salt).otherwise(F.lit(0))
+        copies = F.when(right.isin(hot), copies).otherwise(F.array(F.lit(0).cast("long")))
+    b = big.withColumn("_salt", salt)
+    s = small.withColumn("_salt2", F.explode(copies))
     return b.join(s, _and(cond + [F.col("_salt") == F.col("_salt2")]), how).drop("_salt", "_salt2")
 
 

@@ -258,6 +258,19 @@ UNION ALL
 SELECT id, 'other-landing', 'Glue', 'startWorkflowRun', TRUE
 FROM env WHERE source = 'aws.s3' AND detail_type = 'Object Created' AND bucket = 'landing-other'""",
 
+    "event_route_many": f"""
+WITH {_ENV}
+SELECT id, 'domain-' || c_custkey AS rule_name, 'fn-' || c_nationkey AS target
+FROM env JOIN customer ON user_id = c_custkey
+WHERE source = 'aws.datazone' AND c_custkey % 7 <> 0
+  AND (detail_type = 'Asset Added To Catalog' OR (detail_type = 'Metadata Generation Accepted' AND c_custkey % 2 = 1))
+UNION ALL
+SELECT id, 'bucket-' || c_custkey, 'fn-' || c_nationkey FROM env JOIN customer ON user_id = c_custkey
+WHERE source = 'aws.s3' AND c_custkey % 5 = 0
+UNION ALL
+SELECT id, 'every-' || c_custkey, 'fn-' || c_nationkey FROM env JOIN customer ON c_custkey IN (100, 200, 300)
+WHERE source = 'aws.s3' AND detail_type = 'Object Created'""",
+
     "event_extract": f"""
 WITH {_ENV}
 SELECT id, detail_type, user_id_x AS user_id, asset_id, owning_project AS project_id, known FROM ext""",

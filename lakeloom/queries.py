@@ -432,6 +432,12 @@ def event_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", "rule_name", "service", "action", "supported")
 
 
+def event_route_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of rules, matched by the keys of the rule index."""
+    r = route_events(si.spread_envelopes(_t(spark, sf_dir, "events")), si.many_rules(_t(spark, sf_dir, "customer")))
+    return r.select("id", "rule_name", F.element_at("parameters", "Name").alias("target"))
+
+
 def event_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User and asset ids from type-dependent paths."""
     x = extract_by_type(_envelopes(spark, sf_dir))
@@ -815,6 +821,7 @@ QUERIES = {
     "register_types": register_types,
     "event_match": event_match,
     "event_route": event_route,
+    "event_route_many": event_route_many,
     "event_extract": event_extract,
     "asset_enrich": asset_enrich,
     "dictionary_rows": dictionary_rows,

@@ -239,6 +239,35 @@ def route_rules(spark: SparkSession) -> DataFrame:
                                   for n, en, s, d, dom, b, ts in RULES], RULE_SCHEMA)
 
 
+def many_rules(customer: DataFrame) -> DataFrame:
+    """Routing rules by the thousand, of the customers: one in each customer's
+    own domain for one or both catalog types, one in five on all object events
+    of its own bucket, and three on every object event."""
+    k, key = F.col("c_custkey"), _s("c_custkey")
+    text, target = "array<string>", "array<struct<service: string, action: string, parameters: map<string, string>>>"
+    call = F.array(F.struct(F.lit("Lambda").alias("service"), F.lit("invokeLambdaFunction").alias("action"),
+                            F.create_map(F.lit("Name"), F.concat(F.lit("fn-"), _s("c_nationkey"))).alias("parameters"))).cast(target)
+    none = F.lit(None).cast(text)
+
+    def rules(prefix: str, source: str, types: F.Column, domains: F.Column, buckets: F.Column, enabled: F.Column) -> DataFrame:
+        return customer.select(F.concat(F.lit(prefix), key).alias("rule_name"), enabled.alias("enabled"), F.array(F.lit(source)).alias("source"),
+                               types.cast(text).alias("detail_type"), domains.cast(text).alias("domains"), buckets.cast(text).alias("bucket_names"),
+                               call.alias("targets"), k.alias("k"))
+
+    own = rules("domain-", CATALOG_SOURCE, F.when(k % 2 == 0, F.array(F.lit(ASSET_ADDED))).otherwise(F.array(F.lit(ASSET_ADDED), F.lit(METADATA_ACCEPTED))),
+                F.array(F.concat(F.lit("dzd-"), key)), none, k % 7 != 0)
+    bucket = rules("bucket-", OBJECT_SOURCE, none, none, F.array(F.concat(F.lit("landing-"), key)), F.lit(True)).where("k % 5 = 0")
+    every = rules("every-", OBJECT_SOURCE, F.array(F.lit(OBJECT_CREATED)), none, none, F.lit(True)).where("k IN (100, 200, 300)")
+    return own.unionByName(bucket).unionByName(every).drop("k")
+
+
+def spread_envelopes(events: DataFrame) -> DataFrame:
+    """``envelopes`` in a world of many domains and buckets: each user's own."""
+    user = F.replace(F.col("detail.metadata.owningProjectId"), F.lit("prj-"), F.lit(""))
+    return envelopes(events).withColumn("detail", F.col("detail").withField("metadata.domain", F.concat(F.lit("dzd-"), user)).withField(
+        "bucket.name", F.when(F.col("detail.bucket.name").isNotNull(), F.concat(F.lit("landing-"), user))))
+
+
 def bucket_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BUCKET_MAP, "logical string, real string")
 

@@ -301,3 +301,66 @@ def test_malformed_event_time_does_not_fail(spark):
                                    "domain_id string, id string, name string, revision string, forms array<struct<formName string, content string>>")
     r = asset_events(e, projects, units, domains, assets, "home").first()
     assert r.event_time is None and r.reject_reason == "missing form"
+
+
+def test_only_hot_keys_are_salted(spark, monkeypatch):
+    """With the broadcast bound at 0, the small side's copies are hot keys times
+    salts, the rest once; results equal the broadcast join's."""
+    from pyspark.sql import functions as F
+
+    from lakeloom.operators import lookups as lk
+
+    big = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("k"),
+        "id", (F.col("id") % 2).cast("int").alias("j"))
+    small = spark.createDataFrame([("hot", 0, "h0"), ("hot", 1, "h1")] + [(f"k{i}", i % 2, f"v{i}") for i in range(600)], "sk string, sj long, v string")
+    assert set(lk.hot_keys(big, ["k"], 1 / 16)) == {r[0] for r in spark.range(1).select(F.xxhash64(F.lit("hot"))).collect()}
+    for keys in ([("k", "sk")], [("k", "sk"), ("j", "sj")]):
+        for how in ("inner", "left"):
+            seen, real = [], F.explode
+            monkeypatch.setattr(lk.F, "explode", lambda c: seen.append(c) or real(c))
+            got = lk.skew_join(big, small, keys, how, salts=8, max_rows=0)
+            monkeypatch.setattr(lk.F, "explode", real)
+            copies = small.select(F.size(seen[0]).alias("n"), "sk").collect()
+            assert {r.n for r in copies if r.sk == "hot"} == {8} and {r.n for r in copies if r.sk != "hot"} == {1}
+            want = lk.skew_join(big, small, keys, how)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rule_index_matches_like_the_plain_rules(spark):
+    """Random rules and events against the rule semantics in plain Python."""
+    import random
+
+    from lakeloom.operators.events import RULE_SCHEMA, route_events
+    from lakeloom.sources.events import EVENT_SCHEMA
+
+    rng = random.Random(8)
+    pick = lambda names: None if rng.random() < 0.3 else rng.sample(names, rng.randint(0, 2)) + ([None] if rng.random() < 0.1 else [])
+    sources = ["aws.datazone", "aws.s3", "x"]
+    rules = [(f"r{i}", rng.choice([True, True, True, False, None]), rng.sample(sources, rng.randint(1, 2)), pick(["t1", "t2", "*"]), pick(["d1", "d2"]),
+              pick(["b1", "b2"]), [("Glue", "startWorkflowRun", {"n": str(i)}), ("SNS", "publish", {})][:rng.randint(1, 2)]) for i in range(60)]
+    events = [{"id": str(i), "source": rng.choice([*sources, None]), "detail-type": rng.choice(["t1", "t2", "*", None]),
+               "detail": {"metadata": {"domain": rng.choice(["d1", "d2", "d3", None])}, "bucket": rng.choice([None, {"name": rng.choice(["b1", "b2", "real"])}])}} for i in range(80)]
+    df = spark.read.schema(EVENT_SCHEMA).json(spark.sparkContext.parallelize([__import__("json").dumps(e) for e in events]))
+    table = spark.createDataFrame(rules, RULE_SCHEMA)
+    names = spark.createDataFrame([("b1", "real")], "logical string, real string")
+    want = []
+    for e in events:
+        domain, bucket = e["detail"]["metadata"]["domain"], (e["detail"]["bucket"] or {}).get("name")
+        for name, on, src, types, domains, buckets, targets in rules:
+            catalog = src[0] == "aws.datazone"
+            if on is False or (catalog and not domains) or e["source"] not in src:
+                continue
+            if types is not None and (e["detail-type"] is None or e["detail-type"] not in types):
+                continue
+            if domains is not None and (domain is None or domain not in domains):
+                continue
+            real = None if catalog or buckets is None else {"real" if b == "b1" else b for b in buckets}
+            if real and None in real:  # an unnamed bucket restricts nothing, as an empty list does
+                hits = 1 + (bucket is not None and bucket in real)
+            else:
+                hits = 1 if not real or (bucket in real) else 0
+            want += [(e["id"], name, t[0]) for t in targets] * hits
+    for bound in (200_000, 0):
+        got = [(r.id, r.rule_name, r.service) for r in route_events(df, table, names, max_rule_rows=bound).collect()]
+        assert sorted(got) == sorted(want)
