@@ -225,6 +225,12 @@ SELECT 2024 AS year, 3 AS month, {_DROP_DAY} AS day, count(*) AS n_orders,
        count(DISTINCT o_custkey) AS n_customers, 'bigint' AS key_type, 'double' AS price_type, 'string' AS status_type
 FROM orders GROUP BY 1, 2, 3""",
 
+    "register_mixed": """
+SELECT 'f0' AS family, s_suppkey AS id, s_name AS name, CAST(s_nationkey AS VARCHAR) AS extra,
+       CASE WHEN s_nationkey >= 12 THEN s_acctbal END AS balance, CASE WHEN s_nationkey >= 12 THEN 6 ELSE 5 END AS day FROM supplier
+UNION ALL
+SELECT 'f1', c_custkey, c_name, c_mktsegment, NULL, 5 FROM customer""",
+
     "register_types": """
 WITH o AS (SELECT *, o_orderdate >= TIMESTAMP '1998-01-01' AS second FROM orders)
 SELECT o_orderkey AS id, lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS zip, '9000000000' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS long_id,

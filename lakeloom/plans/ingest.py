@@ -8,6 +8,7 @@ left. Per chunk: small actions on metadata and one data pass.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -40,13 +41,15 @@ class IngestResult:
     columns: list[str] = field(default_factory=list)
     retried: bool = False
     batches: list[int] = field(default_factory=list)
+    families: dict[str, list[str]] = field(default_factory=dict)
 
 
 def ingest(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
            run_ts: dt.datetime | str | None = None, layout: str = "ymd", fmt: str = "csv",
            max_files: int = 10_000, glob: str = "*.csv", csv_options: dict | None = None,
            rejects_dir: str | None = None, stop_after: str | None = None,
-           lease_seconds: float = 600.0, lease_wait: float = 7200.0, on_written=None) -> IngestResult:
+           lease_seconds: float = 600.0, lease_wait: float = 7200.0, on_written=None,
+           families: float | None = None) -> IngestResult:
     """Ingest every file under ``src`` that is new or modified since the last commit.
 
     Files are taken in batches of at most ``max_files`` (oldest first), so the
@@ -61,21 +64,26 @@ def ingest(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
     done or has not renewed it for ``lease_seconds``. A run that lost its lease
     raises ``Fenced`` instead of committing. ``on_written`` is called between a
     batch's write and its commit.
+
+    With ``families`` (a similarity, say 0.5) files of unlike headers make
+    tables of their own (A5, ``files.header_families``): family f goes to
+    ``<dst>/f`` with its own columns. Without it all files make one table.
     """
     out, last = [], None
     with Lease(spark, state_dir, ctx, lease_seconds, lease_wait) as lease:
         while last is None or last.retried or last.files >= max_files:
             last = _ingest_batch(spark, ctx, src, dst, state_dir, run_ts, layout, fmt, max_files, glob,
-                                 csv_options, rejects_dir, stop_after, not out, lease, on_written)
+                                 csv_options, rejects_dir, stop_after, not out, lease, on_written, families)
             out.append(last)
     taken = [r for r in out if r.files] or out[-1:]
     return IngestResult(ctx, taken[-1].batch_id, taken[-1].run_ts, sum(r.files for r in out),
                         next((r.columns for r in reversed(out) if r.columns), []),
-                        any(r.retried for r in out), [r.batch_id for r in out if r.files])
+                        any(r.retried for r in out), [r.batch_id for r in out if r.files],
+                        functools.reduce(lambda a, b: a | b, [r.families for r in out]))
 
 
 def _ingest_batch(spark, ctx, src, dst, state_dir, run_ts, layout, fmt, max_files, glob, csv_options,
-                  rejects_dir, stop_after, first, lease, on_written) -> IngestResult:
+                  rejects_dir, stop_after, first, lease, on_written, families) -> IngestResult:
     lease.check()
     manifest = mf.read_manifest(spark, state_dir)
     pending, last_batch = mf.batch_state(manifest, ctx)
@@ -90,9 +98,11 @@ def _ingest_batch(spark, ctx, src, dst, state_dir, run_ts, layout, fmt, max_file
     if retried and layout == "ymd_batch":
         # The retry rewrites the batch; whatever the first try left goes, also
         # if no row is left to write.
-        fs.delete(spark, f"{dst.rstrip('/')}/{batch_folder(run_ts_sql, batch_id)}")
-        if rejects_dir:
-            fs.delete(spark, f"{rejects_dir.rstrip('/')}/batch_id={batch_id}")
+        roots = [""] if families is None else [f"/{n}" for n in fs.list_names(spark, dst) if not n.startswith(("_", "."))]
+        for f in roots:
+            fs.delete(spark, f"{dst.rstrip('/')}{f}/{batch_folder(run_ts_sql, batch_id)}")
+            if rejects_dir:
+                fs.delete(spark, f"{rejects_dir.rstrip('/')}{f}/batch_id={batch_id}")
     if not chosen:
         if retried:
             mf.append(mf.commit_rows(spark, mf.file_frame(spark, []), ctx, batch_id, run_ts_sql, lease.token), state_dir)
@@ -104,32 +114,39 @@ def _ingest_batch(spark, ctx, src, dst, state_dir, run_ts, layout, fmt, max_file
     # Headers and the plan are checked before the intent is written: input that
     # cannot be read must not leave an intent that fails for ever.
     groups = src_files.header_groups(file_df, csv_options)
-    known = mf.last_columns(spark, state_dir, ctx)
-    columns = src_files.merge_columns(groups, known, RESERVED)
     size = (len(chosen), sum(len(r[0]) + 24 for r in chosen))  # known on the driver
-    raw = src_files.listed_versions_only(src_files.csv_scan(spark, groups, columns, csv_options),
-                                         file_df, size)
-    rows = raw.drop(src_files.CORRUPT_COL, src_files.SOURCE_PATH, src_files.SOURCE_MTIME)
-    stamped = stamp_upload_time(rows, run_ts_sql, batch_id if layout == "ymd_batch" else None)
+    tables = [("", ctx, groups)]
+    if families is not None:
+        names = src_files.header_families([h for h, _ in groups], mf.known_families(spark, state_dir, ctx), families)
+        tables = [(f"/{f}", f"{ctx}/{f}", [g for g, n in zip(groups, names) if n == f]) for f in dict.fromkeys(names)]
+    plans = []
+    for folder, name, some in tables:
+        known = mf.last_columns(spark, state_dir, name)
+        columns = src_files.merge_columns(some, known, RESERVED)
+        raw = src_files.listed_versions_only(src_files.csv_scan(spark, some, columns, csv_options), file_df, size)
+        rows = raw.drop(src_files.CORRUPT_COL, src_files.SOURCE_PATH, src_files.SOURCE_MTIME)
+        stamped = stamp_upload_time(rows, run_ts_sql, batch_id if layout == "ymd_batch" else None)
+        plans.append((folder, name, known, columns, raw, stamped))
     lease.check()
     if not retried:
         mf.append(mf.manifest_rows(file_df, ctx, batch_id, run_ts_sql, mf.INTENT, lease.token), state_dir)
-    if rejects_dir:
-        # Spark refuses a raw CSV query that reads only the corrupt-record
-        # column, so the parsed fields travel with the line.
-        (raw.where(F.col(src_files.CORRUPT_COL).isNotNull())
-         .select(F.col(src_files.CORRUPT_COL).alias("line"),
-                 *[F.col(f"`{c}`") for c in columns],
-                 F.lit(batch_id).cast("bigint").alias("batch_id"))
-         .write.partitionBy("batch_id").mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").parquet(rejects_dir))
-    seen = Observation(f"profile-{batch_id}")
-    noted, metrics = profiled(stamped, columns if fmt == "csv" else [])
-    if metrics:  # the types' evidence is collected by the write itself
-        stamped = without_helpers(noted.observe(seen, *metrics))
-    write_partitioned(stamped, dst, layout=layout, fmt=fmt)
-    if metrics:
-        mf.record_profile(spark, state_dir, profile_rows(seen.get, columns, ctx, batch_id))
+    for folder, name, _, columns, raw, stamped in plans:
+        if rejects_dir:
+            # Spark refuses a raw CSV query that reads only the corrupt-record
+            # column, so the parsed fields travel with the line.
+            (raw.where(F.col(src_files.CORRUPT_COL).isNotNull())
+             .select(F.col(src_files.CORRUPT_COL).alias("line"),
+                     *[F.col(f"`{c}`") for c in columns],
+                     F.lit(batch_id).cast("bigint").alias("batch_id"))
+             .write.partitionBy("batch_id").mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").parquet(f"{rejects_dir}{folder}"))
+        seen = Observation(f"profile-{batch_id}{folder}")
+        noted, metrics = profiled(stamped, columns if fmt == "csv" else [])
+        if metrics:  # the types' evidence is collected by the write itself
+            stamped = without_helpers(noted.observe(seen, *metrics))
+        write_partitioned(stamped, f"{dst}{folder}", layout=layout, fmt=fmt)
+        if metrics:
+            mf.record_profile(spark, state_dir, profile_rows(seen.get, columns, name, batch_id))
     if stop_after == "write":
         raise SimulatedCrash(f"stopped after writing batch {batch_id}")
     if on_written:
@@ -142,9 +159,12 @@ def _ingest_batch(spark, ctx, src, dst, state_dir, run_ts, layout, fmt, max_file
     unchanged = file_df.join(now, ["path", "mtime", "length"], "left_semi")
     lease.check()
     mf.append(mf.commit_rows(spark, unchanged, ctx, batch_id, run_ts_sql, lease.token), state_dir)
-    if columns != known:
-        mf.record_columns(spark, state_dir, ctx, batch_id, columns)
-    return IngestResult(ctx, batch_id, run_ts_sql, len(chosen), columns, retried)
+    for _, name, known, columns, _, _ in plans:
+        if columns != known:
+            mf.record_columns(spark, state_dir, name, batch_id, columns)
+    if families is None:
+        return IngestResult(ctx, batch_id, run_ts_sql, len(chosen), plans[0][3], retried)
+    return IngestResult(ctx, batch_id, run_ts_sql, len(chosen), retried=retried, families={p[0][1:]: p[3] for p in plans})
 
 
 def ingest_and_register(spark: SparkSession, ctx: str, src: str, dst: str, state_dir: str,
@@ -152,15 +172,20 @@ def ingest_and_register(spark: SparkSession, ctx: str, src: str, dst: str, state
                         **kw) -> IngestResult:
     """Ingest, then (only on success) register or refresh the catalog table.
 
-    ``db_location`` places a new database under a shared folder.
+    ``db_location`` places a new database under a shared folder. With
+    ``families`` every family f is a table ``<table>_f``.
     """
     res = ingest(spark, ctx, src, dst, state_dir, **kw)
-    cols = res.columns or mf.last_columns(spark, state_dir, ctx)
-    if cols:
-        register_table(spark, database, table, dst, cols,
-                       layout=kw.get("layout", "ymd"), fmt=kw.get("fmt", "csv"),
-                       db_location=db_location, batches=res.batches,
-                       types=mf.column_types(spark, state_dir, ctx) if kw.get("fmt", "csv") == "csv" else None)
+    parts = {"": res.columns or mf.last_columns(spark, state_dir, ctx)}
+    if kw.get("families") is not None:
+        parts = dict(mf.known_families(spark, state_dir, ctx))
+    for f, cols in parts.items():
+        if cols:
+            name = f"{ctx}/{f}" if f else ctx
+            register_table(spark, database, f"{table}_{f}" if f else table, f"{dst}/{f}" if f else dst, cols,
+                           layout=kw.get("layout", "ymd"), fmt=kw.get("fmt", "csv"),
+                           db_location=db_location, batches=None if f else res.batches,
+                           types=mf.column_types(spark, state_dir, ctx, name) if kw.get("fmt", "csv") == "csv" else None)
     return res
 
 

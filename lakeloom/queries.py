@@ -310,6 +310,27 @@ def register_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", *[F.col(c).cast("string").alias(c) for c in TYPE_COLS[1:]], F.lit(kinds).alias("kinds"))
 
 
+def register_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 K2: files of two unrelated kinds in one source folder. Suppliers, with
+    drifting headers, make one table, customers another."""
+    work = _start(spark, "register_mixed")
+    src, lake, state = f"{work}/src", f"{work}/lake", f"{work}/state"
+    database = "lakeloom_" + work.rsplit("-", 1)[1]
+    sup, in_b = _t(spark, sf_dir, "supplier"), F.col("s_nationkey") >= NATION_SPLIT
+    si.stage_csv(spark, sup.where(~in_b).select("s_suppkey", "s_name", "s_nationkey"), f"{src}/a")
+    si.stage_csv(spark, _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), f"{src}/b")
+    kw = {"db_location": f"{work}/warehouse", "families": 0.5}
+    ingest_and_register(spark, "mixed", src, lake, state, database, "mixed", run_ts=RUN1, **kw)
+    si.stage_csv(spark, sup.where(in_b).select("s_acctbal", "s_nationkey", "s_suppkey", "s_name"), f"{src}/c")
+    ingest_and_register(spark, "mixed", src, lake, state, database, "mixed", run_ts=RUN2, **kw)
+    one, two = spark.table(f"`{database}`.mixed_f0"), spark.table(f"`{database}`.mixed_f1")
+    none = F.lit(None).cast("string")
+    return one.select(F.lit("f0").alias("family"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("extra"),
+                      F.col("s_acctbal").cast("double").alias("balance"), "day").unionByName(
+        two.select(F.lit("f1").alias("family"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+                   F.col("c_mktsegment").alias("extra"), none.cast("double").alias("balance"), "day"))
+
+
 def retention_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7: a managed table partitioned by order date; partitions more than 90
     days before the latest date are dropped (files included)."""
@@ -819,6 +840,7 @@ QUERIES = {
     "ingest_rejects": ingest_rejects,
     "register_table": register_table_query,
     "register_types": register_types,
+    "register_mixed": register_mixed,
     "event_match": event_match,
     "event_route": event_route,
     "event_route_many": event_route_many,

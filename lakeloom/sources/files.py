@@ -13,7 +13,9 @@ from __future__ import annotations
 import csv
 import functools
 import io
+import math
 import re
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -215,6 +217,66 @@ def read_csv_group(spark: SparkSession, columns: tuple[str, ...], paths: list[st
                      F.col("_metadata.file_modification_time").alias(SOURCE_MTIME))
 
 
+def header_families(headers: list[tuple[str, ...]], known: list[tuple[str, list[str]]] | None = None,
+                    bound: float = 0.5) -> list[str]:
+    """A5: the family of each header: files whose headers are alike make one
+    table, others a table of their own.
+
+    Two headers are compatible if they share ``bound`` or more of their columns
+    (Jaccard, names that differ by case are one). A header joins the known
+    family (name, columns) it is most like, the earlier one of two; families
+    never merge. The others are grouped by compatibility, directly or through
+    each other, and get the next free names ``f0``, ``f1``, ... in the order
+    given. Compatible headers share one of the rarest columns of each (prefix
+    filter), so only those that do are compared. The number of distinct headers
+    is bounded by the files of a batch.
+    """
+    sets = [frozenset(c.lower() for c in field_names(h)) for h in headers]
+    old = [(name, frozenset(c.lower() for c in cols)) for name, cols in known or []]
+    count = Counter(c for s in [*sets, *(s for _, s in old)] for c in s)
+
+    def prefix(s: frozenset) -> list[str]:
+        need = math.ceil(bound * len(s) - 1e-9)  # columns a compatible header shares at least
+        return sorted(s, key=lambda c: (count[c], c))[:len(s) - max(need, 1) + 1]
+
+    def alike(a: frozenset, b: frozenset) -> float:
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    by_old, by_new = defaultdict(list), defaultdict(list)
+    for k, (_, s) in enumerate(old):
+        for c in prefix(s):
+            by_old[c].append(k)
+    out: list[str | None] = []
+    for s in sets:
+        best = max(({k for c in prefix(s) for k in by_old[c]}), key=lambda k: (alike(s, old[k][1]), -k), default=None)
+        out.append(old[best][0] if best is not None and alike(s, old[best][1]) >= bound else None)
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, s in enumerate(sets):
+        if out[i] is not None:
+            continue
+        for j in sorted({j for c in prefix(s) for j in by_new[c]}):
+            if find(i) != find(j) and alike(s, sets[j]) >= bound:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for c in prefix(s):
+            by_new[c].append(i)
+    taken, names = {name for name, _ in old}, {}
+    for i in range(len(sets)):
+        if out[i] is None and find(i) not in names:
+            n = len(taken)
+            while f"f{n}" in taken:
+                n += 1
+            names[find(i)] = f"f{n}"
+            taken.add(f"f{n}")
+    return [f if f is not None else names[find(i)] for i, f in enumerate(out)]
+
+
 def merge_columns(groups: list[tuple[tuple[str, ...], list[str]]], base: list[str] | None = None,
                   reserved: tuple[str, ...] = ()) -> list[str]:
     """A5: union of column names, known ones first, new ones in arrival order.

@@ -174,6 +174,17 @@ def last_columns(spark: SparkSession, state_dir: str, ctx: str) -> list[str]:
     return list(row[0]["columns"]) if row else []
 
 
+def known_families(spark: SparkSession, state_dir: str, ctx: str) -> list[tuple[str, list[str]]]:
+    """(family, its columns so far) of a context, in order of first use. The
+    columns of family f are recorded under the context ``<ctx>/f``."""
+    path = columns_path(state_dir)
+    if not fs.exists(spark, path):
+        return []
+    rows = (spark.read.schema(COLUMNS_SCHEMA).parquet(path).where(F.startswith("ctx", F.lit(f"{ctx}/")))
+            .groupBy("ctx").agg(F.max_by("columns", "batch_id").alias("columns")).collect())
+    return sorted(((r["ctx"][len(ctx) + 1:], list(r["columns"])) for r in rows), key=lambda f: (len(f[0]), f[0]))
+
+
 def record_columns(spark: SparkSession, state_dir: str, ctx: str, batch_id: int,
                    columns: list[str]) -> None:
     (spark.createDataFrame([(ctx, batch_id, columns)], COLUMNS_SCHEMA)
@@ -186,16 +197,18 @@ def record_profile(spark: SparkSession, state_dir: str, rows: list[tuple]) -> No
         spark.createDataFrame(rows, PROFILE_SCHEMA).coalesce(1).write.mode("append").parquet(f"{state_dir.rstrip('/')}/profiles")
 
 
-def column_types(spark: SparkSession, state_dir: str, ctx: str) -> dict[str, str | None] | None:
+def column_types(spark: SparkSession, state_dir: str, ctx: str, name: str | None = None) -> dict[str, str | None] | None:
     """The type of each column over all committed batches of ``ctx``; None if
-    a committed batch with rows has no profile (it was ingested without one)."""
+    a committed batch with rows has no profile (it was ingested without one).
+    ``name`` is the context the profiles are kept under, if another: that of a
+    family, whose rows are in some of the batches."""
     path = f"{state_dir.rstrip('/')}/profiles"
     if not fs.exists(spark, path):
         return None
     man = read_manifest(spark, state_dir).where((F.col("ctx") == ctx) & (F.col("state") == COMMITTED))
     done = man.groupBy("batch_id").agg(F.count("path").alias("files")).where("files > 0").select("batch_id")
-    known = spark.read.schema(PROFILE_SCHEMA).parquet(path).where(F.col("ctx") == ctx)
-    if not done.join(known.select("batch_id"), "batch_id", "left_anti").isEmpty():
+    known = spark.read.schema(PROFILE_SCHEMA).parquet(path).where(F.col("ctx") == (name or ctx))
+    if name in (None, ctx) and not done.join(known.select("batch_id"), "batch_id", "left_anti").isEmpty():
         return None
     # A batch whose files all changed under it is committed without files, its rows stay.
     batches = man.select("batch_id").distinct()
