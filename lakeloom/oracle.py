@@ -206,11 +206,11 @@ FROM orders GROUP BY 1, 2, 3""",
 SELECT c_custkey AS customer_id, c_name, c_mktsegment AS segment, c_acctbal AS balance FROM customer""",
 
     "asset_discovery": r"""
-SELECT 'sql_asset' AS kind, lower(regexp_replace(r_name, '\s+', '', 'g')) AS project,
-       lower(n_name) AS entity
-FROM nation JOIN region ON n_regionkey = r_regionkey
+SELECT 'sql_asset' AS kind, lower(regexp_replace(n_name, '\s+', '', 'g')) AS project,
+       lower(s_name) AS entity
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL
-SELECT 'mapper', lower(regexp_replace(r_name, '\s+', '_', 'g')), CAST(NULL AS VARCHAR) FROM region""",
+SELECT 'mapper', lower(regexp_replace(n_name, '\s+', '_', 'g')), CAST(NULL AS VARCHAR) FROM nation""",
 
     "sql_asset_run": """
 SELECT r.r_name AS region, count(*) AS n_customers, round(sum(c.c_acctbal), 2) AS total_sales,
@@ -287,8 +287,9 @@ SELECT id, project_name, domain_unit_name, domain_name, asset_name, asset_revisi
 FROM enriched""",
 
     "dictionary_rows": """
-SELECT r_name AS asset_name, n_name AS column_name, 'Nation ' || n_nationkey AS description
-FROM nation JOIN region ON n_regionkey = r_regionkey""",
+SELECT DISTINCT 'Part ' || p_partkey AS asset_name, 'shipped_' || year(l_shipdate) AS column_name,
+       'Shipped in ' || year(l_shipdate) AS description
+FROM part JOIN lineitem ON l_partkey = p_partkey""",
 
     "latest_export": """
 SELECT user_id, event_id, event_type, value FROM (
@@ -324,11 +325,11 @@ WHERE resolved_user IS NOT NULL OR groupIdentifier IS NOT NULL""",
 
     "entity_fan_out": r"""
 WITH e AS (
-  SELECT r.r_name AS parent_unit, n.n_name AS unit, n.n_name || ' data feed' AS project,
-         s.seg AS entity_type, 'source-' || lower(n.n_name) || '-' || s.seg AS source_bucket
-  FROM (SELECT DISTINCT c_nationkey, lower(c_mktsegment) AS seg FROM customer) s
-  JOIN nation n ON s.c_nationkey = n.n_nationkey
-  JOIN region r ON n.n_regionkey = r.r_regionkey)
+  SELECT n.n_name AS parent_unit, c.c_name AS unit, c.c_name || ' data feed' AS project,
+         s.kind AS entity_type, 'source-' || lower(c.c_name) || '-' || s.kind AS source_bucket
+  FROM (SELECT DISTINCT o_custkey, lower(regexp_replace(o_orderpriority, '[^A-Za-z]+', '', 'g')) AS kind FROM orders) s
+  JOIN customer c ON s.o_custkey = c.c_custkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey)
 SELECT parent_unit, unit, project, entity_type, source_bucket, 'cron(30 3 * * ? *)' AS schedule,
        lower(regexp_replace(parent_unit, '\s+', '', 'g')) || '/' ||
          lower(regexp_replace(unit, '\s+', '', 'g')) || '/' || entity_type AS entity_path,
@@ -343,8 +344,8 @@ WITH RECURSIVE {_TREE}
 SELECT node, ancestor, depth FROM walk""",
 
     "grant_fan_out": """
-SELECT 'unit-' || n_nationkey AS unit_id, r.principal, r.policy_type, r.include_child
-FROM nation CROSS JOIN (VALUES
+SELECT 'unit-' || c_custkey AS unit_id, r.principal, r.policy_type, r.include_child
+FROM customer CROSS JOIN (VALUES
   ('role-admin', 'CREATE_PROJECT', TRUE),
   ('role-admin', 'ADD_TO_PROJECT_MEMBER_POOL', FALSE),
   ('role-analyst', 'ADD_TO_PROJECT_MEMBER_POOL', FALSE),
@@ -398,6 +399,10 @@ SELECT request_id, PolicyType, PrincipalType FROM gvalid WHERE NOT valid""",
 SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders
 WHERE CAST(o_orderdate AS DATE) >= (SELECT CAST(max(o_orderdate) AS DATE) FROM orders) - INTERVAL 90 DAY""",
 
+    "retention_rows": """
+SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders
+WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAY""",
+
     "deliver_entity": """
 SELECT o_orderkey AS order_id, o_orderstatus AS status, o_totalprice AS total_price,
        CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN '2024-03-05' ELSE '2024-03-06' END AS run_date

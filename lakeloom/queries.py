@@ -34,7 +34,7 @@ from lakeloom.session import apply_runtime_defaults, scratch
 from lakeloom.sinks.assets import run_sql_asset
 from lakeloom.sinks.exports import EXPORT_KEYS, export_latest, notification_rows as notify
 from lakeloom.sinks.snapshots import current_objects, read_dictionary
-from lakeloom.sinks.tables import expire_partitions, read_lake_table
+from lakeloom.sinks.tables import expire_partitions, expire_rows, read_lake_table
 from lakeloom.sources import fs
 from lakeloom.sources.configs import mapper_pairs, sql_asset
 from lakeloom.sources.events import event_scan
@@ -348,6 +348,19 @@ def retention_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_orderstatus", _day("o_orderdate").alias("o_orderdate"))
 
 
+def retention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: a managed table without partitions is rewritten without the rows
+    more than 90 days before the latest date."""
+    work = _start(spark, "retention_rows")
+    database = "lakeloom_" + work.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{work}/warehouse/{database}.db'")
+    o = _t(spark, sf_dir, "orders")
+    o.select("o_orderkey", "o_orderstatus", "o_orderdate").write.format("parquet").saveAsTable(f"`{database}`.all_orders")
+    latest = o.agg(F.max("o_orderdate").alias("m")).first()["m"]  # one value
+    name, _ = expire_rows(spark, f"`{database}`.all_orders", "o_orderdate", keep_days=90, now=latest)
+    return spark.table(name).select("o_orderkey", "o_orderstatus", _day("o_orderdate").alias("o_orderdate"))
+
+
 # ---------------------------------------------------------------------------
 # Config records: mapper, SQL asset, asset discovery
 # ---------------------------------------------------------------------------
@@ -398,29 +411,28 @@ def sql_asset_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asset_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SQL assets ``<project>/<entity>_sql.csv`` (one per nation, project =
-    its region) and mappers (one per region) are found; readmes and nested
+    """SQL assets ``<project>/<entity>_sql.csv`` (one per supplier, project =
+    its nation) and mappers (one per nation) are found; readmes and nested
     mapper folders are skipped."""
     work = _start(spark, "asset_discovery")
-    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"),
-                                         F.col("n_regionkey") == F.col("r_regionkey"))
-    assets = n.select(nm.squash_name("r_name").alias("d"),
-                      F.concat(F.lower("n_name"), F.lit("_sql.csv")).alias("f"),
+    nation = _t(spark, sf_dir, "nation")
+    n = _t(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    assets = n.select(nm.squash_name("n_name").alias("d"),
+                      F.concat(F.lower("s_name"), F.lit("_sql.csv")).alias("f"),
                       F.concat(F.lit("database_name,table_name,sql_query\n"),
-                               nm.squash_name("r_name"), F.lit("_pub_db,"), F.lower("n_name"),
+                               nm.squash_name("n_name"), F.lit("_pub_db,"), F.lower("s_name"),
                                F.lit(",SELECT 1")).alias("v"))
     readmes = spark.range(1).select(F.lit(None).cast("string").alias("d"), F.lit("README.md").alias("f"),
                                     F.lit("notes").alias("v"))
-    region = _t(spark, sf_dir, "region")
-    inner_readme = region.select(nm.squash_name("r_name").alias("d"), F.lit("Readme.MD").alias("f"),
+    inner_readme = nation.select(nm.squash_name("n_name").alias("d"), F.lit("Readme.MD").alias("f"),
                                  F.lit("notes").alias("v"))
     si.stage_text_files(spark, assets.unionByName(readmes).unionByName(inner_readme),
                         f"{work}/sql", "d", "f", "v")
-    mappers = region.select(F.lit(None).cast("string").alias("d"),
-                            F.concat(nm.snake_name("r_name"), F.lit("_mapper_config.csv")).alias("f"),
+    mappers = nation.select(F.lit(None).cast("string").alias("d"),
+                            F.concat(nm.snake_name("n_name"), F.lit("_mapper_config.csv")).alias("f"),
                             F.lit("from,to\na,b").alias("v"))
-    nested = region.select(F.lit("old").alias("d"),
-                           F.concat(nm.snake_name("r_name"), F.lit("_mapper_config.csv")).alias("f"),
+    nested = nation.select(F.lit("old").alias("d"),
+                           F.concat(nm.snake_name("n_name"), F.lit("_mapper_config.csv")).alias("f"),
                            F.lit("from,to\na,b").alias("v"))
     si.stage_text_files(spark, mappers.unionByName(readmes).unionByName(nested),
                         f"{work}/mappers", "d", "f", "v")
@@ -486,7 +498,7 @@ def asset_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dictionary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asset documents (JSON inside JSON) → column records."""
-    return dict_rows(si.assets(_t(spark, sf_dir, "region"), _t(spark, sf_dir, "nation")))
+    return dict_rows(si.part_assets(_t(spark, sf_dir, "part"), _t(spark, sf_dir, "lineitem")))
 
 
 def latest_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -533,8 +545,7 @@ def member_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(unit, project) × entities → one row each with derived names."""
-    u = si.hierarchy_units(_t(spark, sf_dir, "region"), _t(spark, sf_dir, "nation"),
-                           _t(spark, sf_dir, "customer"))
+    u = si.hierarchy_units(_t(spark, sf_dir, "nation"), _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders"))
     return fan_out_entities(u).select("parent_unit", "unit", "project", "entity_type", "source_bucket",
                                       "schedule", "entity_path", "target_bucket", "database",
                                       "table_prefix", "project_key")
@@ -563,8 +574,8 @@ GRANT_USERS = ["role-analyst", "role-admin", "role-steward"]
 
 
 def grant_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every unit × the creator and user roles."""
-    units = si.units(_t(spark, sf_dir, "nation"))
+    """Every unit × the creator and user roles; a unit per customer."""
+    units = _t(spark, sf_dir, "customer").select(F.concat(F.lit("unit-"), F.col("c_custkey")).alias("id"))
     return fan_out_grants(units, "id", GRANT_CREATOR, GRANT_USERS)
 
 
@@ -859,6 +870,7 @@ QUERIES = {
     "hierarchy_deep": hierarchy_deep,
     "grant_rejects": grant_rejects,
     "retention_keep": retention_keep,
+    "retention_rows": retention_rows,
     "deliver_entity": deliver_entity,
     "names": names,
     "object_path": object_path,

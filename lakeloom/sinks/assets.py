@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
+# What a query's text may hold besides names: literals and comments.
+_QUIET = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|--[^\n]*|/\*.*?\*/""", re.S)
+
+
 def _reads_name(query: str, name: str) -> bool:
+    query = _QUIET.sub(" ", query)
     return re.search(r"(?<![\w.`])`?" + re.escape(name) + r"`?(?![\w`])", query, re.I) is not None
 
 
@@ -28,8 +32,8 @@ def run_sql_asset(spark: SparkSession, database: str, table: str, query: str,
     other sessions of the catalog can read; a query over temp views, which the
     catalog cannot keep, becomes a temp view instead. ``"table"`` saves a
     managed table in the database. When the query also reads ``table`` itself,
-    the result gets another name so it does not hide its own source. Returns
-    (name, result).
+    the result is called ``<table>_asset``, in every run, so it does not hide its
+    own source. Returns (name, result).
     The session's current database is restored afterwards.
     """
     ensure_database(spark, database, location)
@@ -48,7 +52,7 @@ def _publish(spark: SparkSession, database: str, table: str, text: str, result:
     name = table
     if publish == "view":
         if _reads_name(text, table):
-            name = f"{table}_asset_{uuid.uuid4().hex[:8]}"
+            name = f"{table}_asset"  # the same in every run, which replaces it
         try:
             spark.sql(f"CREATE OR REPLACE VIEW `{database}`.`{name}` AS {text}")
             return f"{database}.{name}", spark.table(f"`{database}`.`{name}`")

@@ -215,3 +215,36 @@ def expire_partitions(spark: SparkSession, table: str, keep_days: int = 90,
         for s in specs:
             fs.delete(spark, root + "/" + "/".join(f"{k}={v}" for k, v in s.items()))
     return specs
+
+
+def expire_rows(spark: SparkSession, table: str, time_col: str, keep_days: int = 90,
+                now: dt.datetime | dt.date | str | None = None) -> tuple[str, bool]:
+    """K7 for a managed table without date partitions: rows whose ``time_col``
+    is more than ``keep_days`` before ``now`` go; rows without a time stay.
+
+    The rows kept are written as a new table, with the same partition columns
+    and format, which then takes the old one's name; only then is the old one
+    dropped, so a crash leaves one whole table under its own name or, between
+    two renames, beside it. Nothing is written if no row is too old. Returns the
+    table's name and whether it was rewritten.
+    """
+    if now is None:
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    cutoff = F.lit(str(now)).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(keep_days)} DAYS")
+    info = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where(
+        "col_name IN ('Type', 'Provider', 'Database', 'Table')").collect()}
+    if info.get("Type", "").upper() != "MANAGED":
+        raise ValueError(f"{table} is no managed table; drop its files where they are made")
+    rows = spark.table(table)
+    old = F.try_to_timestamp(F.col(time_col).cast("string")).cast("timestamp_ntz") < cutoff
+    if rows.where(old).isEmpty():
+        return table, False
+    database, name, tag = info["Database"], info["Table"], uuid.uuid4().hex[:8]
+    fresh, gone = f"`{database}`.`{name}_new_{tag}`", f"`{database}`.`{name}_old_{tag}`"
+    parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    w = rows.where(~F.coalesce(old, F.lit(False))).write.format(info.get("Provider", "parquet"))
+    (w.partitionBy(*parts) if parts else w).saveAsTable(fresh)
+    spark.sql(f"ALTER TABLE `{database}`.`{name}` RENAME TO {gone}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO `{database}`.`{name}`")
+    spark.sql(f"DROP TABLE {gone}")
+    return f"{database}.{name}", True

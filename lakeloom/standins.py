@@ -116,6 +116,22 @@ def assets(region: DataFrame, nation: DataFrame) -> DataFrame:
                     forms.alias("forms"))
 
 
+def part_assets(part: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """One asset document per part; its columns are the years it was shipped
+    in, so both grow with the tables."""
+    years = lineitem.select("l_partkey", F.year("l_shipdate").alias("y")).distinct()
+    cols = years.groupBy("l_partkey").agg(F.sort_array(F.collect_list(F.struct(
+        F.concat(F.lit("shipped_"), _s("y")).alias("columnIdentifier"), F.concat(F.lit("Shipped in "), _s("y")).alias("description")))).alias("cols"))
+    p = part.join(cols, part.p_partkey == cols.l_partkey)
+    forms = F.array(
+        F.struct(F.lit("AssetCommonDetailsForm").alias("formName"),
+                 F.to_json(F.struct(F.concat(F.lit("Years of "), F.col("p_name")).alias("summary"))).alias("content")),
+        F.struct(F.lit("ColumnBusinessMetadataForm").alias("formName"),
+                 F.to_json(F.struct(F.col("cols").alias("columnsBusinessMetadata"))).alias("content")))
+    return p.select(F.lit(HOME_DOMAIN).alias("domain_id"), F.concat(F.lit("asset-"), _s("p_partkey")).alias("id"),
+                    F.concat(F.lit("Part "), _s("p_partkey")).alias("name"), F.lit("1").alias("revision"), forms.alias("forms"))
+
+
 def members(customer: DataFrame) -> DataFrame:
     """Project memberships: some by lookup key, some by literal id, some groups."""
     return customer.select(
@@ -136,28 +152,27 @@ def users(nation: DataFrame) -> DataFrame:
         F.concat(F.lit("uid-"), F.col("n_name")).alias("user_id"))
 
 
-def hierarchy_units(region: DataFrame, nation: DataFrame, customer: DataFrame) -> DataFrame:
-    """Units (nations) under parent units (regions), one project each, whose
-    entities are the market segments of the nation's customers.
+def hierarchy_units(nation: DataFrame, customer: DataFrame, orders: DataFrame) -> DataFrame:
+    """Units (customers) under parent units (nations), one project each, whose
+    entities are the priorities of the customer's orders.
 
-    The entity list of a project is bounded by the number of segments; a
-    nation without customers gets a project with no entity.
+    The entity list of a project is bounded by the number of priorities; a
+    customer without orders gets a project with no entity.
     """
-    segs = customer.select("c_nationkey", F.lower("c_mktsegment").alias("seg")).distinct()
-    ents = (segs.groupBy("c_nationkey")
-            .agg(F.sort_array(F.collect_list("seg")).alias("segs")))
-    n = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    j = n.join(ents, n.n_nationkey == ents.c_nationkey, "left")
+    kinds = orders.select("o_custkey", F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]+", "")).alias("kind")).distinct()
+    ents = kinds.groupBy("o_custkey").agg(F.sort_array(F.collect_list("kind")).alias("kinds"))
+    n = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
+    j = n.join(ents, n.c_custkey == ents.o_custkey, "left")
     entities = F.transform(
-        F.coalesce("segs", F.array().cast("array<string>")),
-        lambda seg: F.struct(
-            seg.alias("entity_type"),
-            F.concat(F.lit("source-"), F.lower("n_name"), F.lit("-"), seg).alias("source_bucket"),
+        F.coalesce("kinds", F.array().cast("array<string>")),
+        lambda kind: F.struct(
+            kind.alias("entity_type"),
+            F.concat(F.lit("source-"), F.lower("c_name"), F.lit("-"), kind).alias("source_bucket"),
             F.lit(SCHEDULE).alias("schedule_trigger_timing")))
-    project = F.struct(F.concat(F.col("n_name"), F.lit(" data feed")).alias("name"),
-                       F.concat(F.lit("Data of "), F.col("n_name")).alias("description"),
+    project = F.struct(F.concat(F.col("c_name"), F.lit(" data feed")).alias("name"),
+                       F.concat(F.lit("Data of "), F.col("c_name")).alias("description"),
                        entities.alias("entities"))
-    return j.select(F.col("r_name").alias("parent_unit"), F.col("n_name").alias("unit"),
+    return j.select(F.col("n_name").alias("parent_unit"), F.col("c_name").alias("unit"),
                     F.array(project).alias("projects"))
 
 

@@ -16,17 +16,16 @@ from lakeloom.sources.files import discover_assets
 
 def test_sql_asset_record_with_quotes_commas_newlines(spark, work):
     text = ('database_name,table_name,sql_query\n'
-            'sales_db,totals,"SELECT region, sum(amount) AS total_sales\nFROM totals\n'
-            'WHERE note <> ""a, b"" GROUP BY region;"\n')
+            'fleet_db,trips,"SELECT max(km) AS longest, count(*) AS n\nFROM trips\n'
+            'WHERE driver <> ""Ada, B."" OR km > 7;"\n')
     write_file(work, "asset/q.csv", text)
     db, table, query = sql_asset(spark, f"{work}/asset")
-    assert (db, table) == ("sales_db", "totals")
-    assert query.startswith("SELECT region, sum(amount)") and '"a, b"' in query and query.endswith(";")
-    spark.createDataFrame([("n", 1.0, "x"), ("n", 2.0, "a, b"), ("s", 5.0, "y")],
-                          "region string, amount double, note string").createOrReplaceTempView("totals")
+    assert (db, table) == ("fleet_db", "trips")
+    assert query.startswith("SELECT max(km)") and '"Ada, B."' in query and query.endswith(";")
+    spark.createDataFrame([("Ada, B.", 3), ("Ada, B.", 8), ("Cem", 5)], "driver string, km int").createOrReplaceTempView("trips")
     name, view = run_sql_asset(spark, db, table, query, location=f"{work}/wh")
-    assert name != "totals"  # the query reads its own name: published under a run-local name
-    assert sorted(tuple(r) for r in view.collect()) == [("n", 1.0), ("s", 5.0)]
+    assert name == "trips_asset"  # the query reads its own name
+    assert [tuple(r) for r in view.collect()] == [(8, 2)]
     assert spark.catalog.currentDatabase() == "default"
 
 
@@ -148,3 +147,37 @@ def test_expire_partitions_external_lake_table_deletes_folders(spark, work):
     assert [r.id for r in spark.table(f"{db}.t_lake").collect()] == [2]  # a typed column
     assert not os.path.exists(f"{lake}/year=2024/month=1/day=1".replace("file:", ""))
     assert os.path.exists(f"{lake}/year=2024/month=6/day=1".replace("file:", ""))
+
+
+def test_self_named_asset_keeps_one_stable_name(spark, work):
+    from lakeloom.sinks.assets import _reads_name
+
+    db = "self_" + work.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{work}/wh/{db}.db'")
+    spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int").write.saveAsTable(f"{db}.rows")
+    for q, want in (("SELECT k FROM rows", 2), ("SELECT k FROM rows WHERE n > 1;", 1), ("SELECT 'x' AS k FROM rows LIMIT 1", 1)):
+        name, df = run_sql_asset(spark, db, "rows", q, location=f"{work}/wh")
+        assert name == f"{db}.rows_asset" and df.count() == want
+    assert sorted(t.name for t in spark.catalog.listTables(db) if not t.isTemporary) == ["rows", "rows_asset"]
+    assert _reads_name("select 1 from `rows`", "rows") and _reads_name("select 1 from a join ROWS on 1=1", "rows")
+    for q in ("select 'from rows' from t", 'select "rows" from t', "select 1 from t -- rows", "select /* rows */ 1 from t", "select 1 from other_rows", "select 'it''s rows'"):
+        assert not _reads_name(q, "rows"), q
+
+
+def test_rows_of_an_unpartitioned_table_expire(spark, work):
+    import pytest
+
+    from lakeloom.sinks.tables import expire_rows
+
+    db = "rows_" + work.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{work}/wh/{db}.db'")
+    rows = [(1, "2024-01-01 00:00:00", "x"), (2, "2024-03-31 12:00:00", "x"), (3, None, "y"), (4, "no time", "y"), (5, "2024-01-02", "z")]
+    spark.createDataFrame(rows, "id int, at string, kind string").write.partitionBy("kind").saveAsTable(f"{db}.t")
+    assert expire_rows(spark, f"{db}.t", "at", keep_days=90, now="2024-04-01") == (f"{db}.t", True)
+    assert sorted(r.id for r in spark.table(f"{db}.t").collect()) == [2, 3, 4, 5]  # 90 days before is 2024-01-02
+    assert [c.name for c in spark.catalog.listColumns(f"{db}.t") if c.isPartition] == ["kind"]
+    assert expire_rows(spark, f"{db}.t", "at", keep_days=90, now="2024-04-01")[1] is False
+    assert [t.name for t in spark.catalog.listTables(db) if not t.isTemporary] == ["t"]
+    spark.createDataFrame([(1, "2000-01-01")], "id int, at string").write.option("path", f"{work}/ext").saveAsTable(f"{db}.e")
+    with pytest.raises(ValueError, match="no managed table"):
+        expire_rows(spark, f"{db}.e", "at")
