@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.operators.profiles import profile_rows, profiled, type_of
+from lakeloom.session import shared_dir
 from lakeloom.sources import fs
 
 LAYOUTS = {
@@ -222,11 +223,13 @@ def expire_rows(spark: SparkSession, table: str, time_col: str, keep_days: int =
     """K7 for a managed table without date partitions: rows whose ``time_col``
     is more than ``keep_days`` before ``now`` go; rows without a time stay.
 
-    The rows kept are written as a new table, with the same partition columns
-    and format, which then takes the old one's name; only then is the old one
-    dropped, so a crash leaves one whole table under its own name or, between
-    two renames, beside it. Nothing is written if no row is too old. Returns the
-    table's name and whether it was rewritten.
+    Of a partitioned table only the partitions that hold such rows are written
+    again (their kept rows are checkpointed first, since a partition cannot be
+    read and written at once) and those left empty are dropped. Another table's
+    kept rows are written as a new table, which then takes the old one's name;
+    only then is the old one dropped, so a crash leaves one whole table under its
+    own name or, between two renames, beside it. Nothing is written if no row is
+    too old. Returns the table's name and whether it was rewritten.
     """
     if now is None:
         now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
@@ -242,8 +245,19 @@ def expire_rows(spark: SparkSession, table: str, time_col: str, keep_days: int =
     database, name, tag = info["Database"], info["Table"], uuid.uuid4().hex[:8]
     fresh, gone = f"`{database}`.`{name}_new_{tag}`", f"`{database}`.`{name}_old_{tag}`"
     parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
-    w = rows.where(~F.coalesce(old, F.lit(False))).write.format(info.get("Provider", "parquet"))
-    (w.partitionBy(*parts) if parts else w).saveAsTable(fresh)
+    kept = rows.where(~F.coalesce(old, F.lit(False)))
+    if parts:
+        shared_dir(spark)  # make sure a checkpoint folder is set
+        touched = rows.where(old).select(*parts).distinct().checkpoint()
+        same = functools.reduce(lambda x, y: x & y, [F.col(f"r.`{c}`").eqNullSafe(F.col(f"t.`{c}`")) for c in parts])
+        kept = kept.alias("r").join(touched.alias("t"), same, "left_semi").checkpoint()
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(f"`{database}`.`{name}`")
+        left = kept.select(*parts).distinct()
+        for r in touched.alias("r").join(left.alias("t"), same, "left_anti").collect():  # partition values only
+            spec = ", ".join(f"`{c}` = " + ("NULL" if r[c] is None else "'" + str(r[c]).replace("\\", "\\\\").replace("'", "\\'") + "'") for c in parts)
+            spark.sql(f"ALTER TABLE `{database}`.`{name}` DROP IF EXISTS PARTITION ({spec})")
+        return f"{database}.{name}", True
+    kept.write.format(info.get("Provider", "parquet")).saveAsTable(fresh)
     spark.sql(f"ALTER TABLE `{database}`.`{name}` RENAME TO {gone}")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO `{database}`.`{name}`")
     spark.sql(f"DROP TABLE {gone}")

@@ -171,13 +171,16 @@ def test_rows_of_an_unpartitioned_table_expire(spark, work):
 
     db = "rows_" + work.rsplit("-", 1)[1]
     spark.sql(f"CREATE DATABASE {db} LOCATION '{work}/wh/{db}.db'")
-    rows = [(1, "2024-01-01 00:00:00", "x"), (2, "2024-03-31 12:00:00", "x"), (3, None, "y"), (4, "no time", "y"), (5, "2024-01-02", "z")]
+    rows = [(1, "2024-01-01 00:00:00", "x"), (2, "2024-03-31 12:00:00", "x"), (3, None, "y"), (4, "no time", "y"), (5, "2024-01-02", "z"), (6, "2023-01-01", "o'k"), (7, "2023-01-01", None)]
     spark.createDataFrame(rows, "id int, at string, kind string").write.partitionBy("kind").saveAsTable(f"{db}.t")
     assert expire_rows(spark, f"{db}.t", "at", keep_days=90, now="2024-04-01") == (f"{db}.t", True)
     assert sorted(r.id for r in spark.table(f"{db}.t").collect()) == [2, 3, 4, 5]  # 90 days before is 2024-01-02
-    assert [c.name for c in spark.catalog.listColumns(f"{db}.t") if c.isPartition] == ["kind"]
+    assert sorted(r.partition for r in spark.sql(f"SHOW PARTITIONS {db}.t").collect()) == ["kind=x", "kind=y", "kind=z"]
+    spark.createDataFrame(rows, "id int, at string, kind string").drop("kind").write.saveAsTable(f"{db}.u")
+    assert expire_rows(spark, f"{db}.u", "at", keep_days=90, now="2024-04-01")[1]
+    assert sorted(r.id for r in spark.table(f"{db}.u").collect()) == [2, 3, 4, 5]
     assert expire_rows(spark, f"{db}.t", "at", keep_days=90, now="2024-04-01")[1] is False
-    assert [t.name for t in spark.catalog.listTables(db) if not t.isTemporary] == ["t"]
+    assert [t.name for t in spark.catalog.listTables(db) if not t.isTemporary] == ["t", "u"]
     spark.createDataFrame([(1, "2000-01-01")], "id int, at string").write.option("path", f"{work}/ext").saveAsTable(f"{db}.e")
     with pytest.raises(ValueError, match="no managed table"):
         expire_rows(spark, f"{db}.e", "at")
