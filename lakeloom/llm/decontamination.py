@@ -16,7 +16,9 @@ sketch's values, or fewer shingles than the threshold asks for, is no candidate.
 text with those of their candidate items.
 
 Words are runs of letters and digits, lower-cased. A text with fewer words
-than ``n`` has one shingle, its whole sequence; without words it has none.
+than ``n`` has one shingle, its whole sequence; without words it has none. For
+items that short, documents also have the shingles of the lengths that occur
+among them (n - 1 at most), so such an item is found inside a longer document.
 
 Only DataFrame functions are used. Arrays are exploded by ``explode_outer``:
 for ``explode`` the optimizer adds a test of the array's size below the
@@ -41,23 +43,39 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def shingle_hashes(name: str, n: int) -> Column:
-    """Distinct 64-bit hashes of the ``n``-word shingles of a word array. It is
-    a column by name, so that the words are split once and not once a shingle."""
-    w = F.col(name)
-    full = F.transform(F.sequence(F.lit(0), F.size(w) - n),
-                       lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+def shingle_hashes(name: str, n: int, also: tuple[int, ...] = ()) -> Column:
+    """Distinct 64-bit hashes of the ``n``-word shingles of a word array, and of
+    those of the lengths ``also``. It is a column by name, so that the words are
+    split once and not once a shingle."""
+    w, none = F.col(name), F.array().cast("array<bigint>")
+
+    def of(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+
     short = F.array(F.xxhash64(*[F.get(w, F.lit(k)) for k in range(n)]))
-    return F.when(F.size(w) >= n, F.array_distinct(full)) \
-        .when(F.size(w) > 0, short).otherwise(F.array().cast("array<bigint>"))
+    full = F.when(F.size(w) >= n, F.array_distinct(of(n))).when(F.size(w) > 0, short).otherwise(none)
+    if not also:
+        return full
+    return F.array_distinct(F.concat(full, *[F.when(F.size(w) >= k, of(k)).otherwise(none) for k in also]))
+
+
+def shingle_texts(name: str, n: int, also: tuple[int, ...] = ()) -> Column:
+    """Distinct shingles of a word array as text, and those of lengths ``also``."""
+    w, none = F.col(name), F.array().cast("array<string>")
 
+    def of(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
 
-def shingle_texts(name: str, n: int) -> Column:
-    """Distinct shingles of a word array as text."""
-    w = F.col(name)
-    full = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(full)) \
-        .when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+    full = F.when(F.size(w) >= n, F.array_distinct(of(n))).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(none)
+    if not also:
+        return full
+    return F.array_distinct(F.concat(full, *[F.when(F.size(w) >= k, of(k)).otherwise(none) for k in also]))
+
+
+def short_lengths(items: DataFrame, n: int) -> tuple[int, ...]:
+    """The numbers of words, 1 to n - 1, that occur among the items' texts."""
+    size = F.size(words(F.col("text")))
+    return tuple(sorted(r[0] for r in items.select(size.alias("k")).filter(F.col("k").between(1, n - 1)).distinct().collect()))
 
 
 def _allowed(n: Column, threshold: float) -> Column:
@@ -77,14 +95,20 @@ def sketches(items: DataFrame, item_col: str, text_col: str, n: int, threshold:
                        F.explode_outer(F.slice("hs", F.lit(1), F.col("m").cast("int"))).alias("h"))
 
 
+def _keys(ident: str, text: str, name: str) -> list[Column]:
+    return [F.xxhash64(ident, text).alias(name), F.xxhash64(F.lit(1), F.col(ident), F.col(text)).alias(f"{name}2")]
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(row_key, doc_id, item_id, n_item, n_common, containment) for every item
-    leaked into a document; ``row_key`` is the hash of id and text.
+    """(row_key, row_key2, doc_id, item_id, n_item, n_common, containment) for
+    every item leaked into a document; the two keys are hashes of id and text,
+    together 128 bits. The first alone serves the search for candidates, where
+    documents that share it are more candidates and nothing else.
 
     Rows alike in id and text count once. Null and empty texts, on either
     side, match nothing; null ids are kept as null. Items alike in id and text
@@ -92,33 +116,33 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """
     prepare(docs.sparkSession)
     items = cut(items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"),
-                             F.xxhash64(item_col, item_text_col).alias("ikey")).dropDuplicates(["ikey"]))
+                             *_keys(item_col, item_text_col, "ikey")).dropDuplicates(["ikey", "ikey2"]))
+    short = short_lengths(items, n)
     sk = cut(sketches(items, "ikey", "text", n, threshold))
-    d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"),
-                    F.xxhash64(id_col, text_col).alias("row_key"))
-    grams = d.select("row_key", words(F.col("text")).alias("w")).select("row_key", shingle_hashes("w", n).alias("hs")) \
+    d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), *_keys(id_col, text_col, "row_key"))
+    grams = d.select("row_key", words(F.col("text")).alias("w")).select("row_key", shingle_hashes("w", n, short).alias("hs")) \
         .select("row_key", F.size("hs").alias("n_doc"), F.explode_outer("hs").alias("h"))
     met = grams.join(_small(sk), "h").filter(F.col("n_doc") >= F.ceil(F.col("n_item") * F.lit(threshold) - F.lit(1e-9)))
     pairs = cut(met.groupBy("row_key", "item").agg(F.countDistinct("h").alias("seen"), F.first("need").alias("need"))
                 .filter("seen >= need").select("row_key", F.col("item").alias("ikey")))
     some = pairs.select("row_key").distinct()
-    texts = d.join(_small(some), "row_key", "left_semi").dropDuplicates(["row_key"])
-    texts = texts.select("row_key", "doc", words(F.col("text")).alias("w")) \
-        .select("row_key", "doc", F.explode_outer(shingle_texts("w", n)).alias("s"))
-    its = items.select("ikey", "item", words(F.col("text")).alias("w")) \
-        .select("ikey", "item", shingle_texts("w", n).alias("ss"))
-    its = its.select("ikey", "item", F.size("ss").alias("n_item"), F.explode_outer("ss").alias("s"))
+    texts = d.join(_small(some), "row_key", "left_semi").dropDuplicates(["row_key", "row_key2"])
+    texts = texts.select("row_key", "row_key2", "doc", words(F.col("text")).alias("w")) \
+        .select("row_key", "row_key2", "doc", F.explode_outer(shingle_texts("w", n, short)).alias("s"))
+    its = items.select("ikey", "ikey2", "item", words(F.col("text")).alias("w")) \
+        .select("ikey", "ikey2", "item", shingle_texts("w", n).alias("ss"))
+    its = its.select("ikey", "ikey2", "item", F.size("ss").alias("n_item"), F.explode_outer("ss").alias("s"))
     hit = texts.join(_small(its), "s").join(pairs, ["row_key", "ikey"], "left_semi")
-    out = hit.groupBy("row_key", "ikey").agg(F.first("doc").alias(id_col), F.first("item").alias(item_col),
+    out = hit.groupBy("row_key", "row_key2", "ikey", "ikey2").agg(F.first("doc").alias(id_col), F.first("item").alias(item_col),
                                              F.first("n_item").alias("n_item"), F.count(F.lit(1)).alias("n_common"))
     out = out.withColumn("containment", F.col("n_common") / F.col("n_item"))
-    return out.filter(F.col("n_common") >= F.ceil(F.col("n_item") * F.lit(threshold) - F.lit(1e-9))).drop("ikey")
+    return out.filter(F.col("n_common") >= F.ceil(F.col("n_item") * F.lit(threshold) - F.lit(1e-9))).drop("ikey", "ikey2")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` without the documents into which an item leaked."""
+    names = [f"{TMP}key", f"{TMP}key2"]
     bad = cut(leaks(docs, items, id_col, text_col, item_col, item_text_col, n, threshold).select(
-        F.col("row_key").alias(f"{TMP}key")).distinct())
-    return docs.withColumn(f"{TMP}key", F.xxhash64(id_col, text_col)) \
-        .join(_small(bad), f"{TMP}key", "left_anti").drop(f"{TMP}key")
+        F.col("row_key").alias(names[0]), F.col("row_key2").alias(names[1])).distinct())
+    return docs.select("*", *_keys(id_col, text_col, names[0])).join(_small(bad), names, "left_anti").drop(*names)

@@ -92,7 +92,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     """doc_id, item_id, n_item, n_common, containment: every leaked item."""
     prepare(spark)
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
-                                 n=5, threshold=0.8).drop("row_key")
+                                 n=5, threshold=0.8).drop("row_key", "row_key2")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,8 +192,10 @@ WITH docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \
 SELECT doc_id, source, k AS n_tokens, block, (block + {_UNIT.format(block="block")}) * n / t AS position FROM b
 """,
     "op7_benchmark_decontamination": f"""
-WITH d AS (WITH rows AS (SELECT doc_id AS id, text FROM documents), {_SHINGLES} SELECT * FROM grams),
-     b AS (WITH rows AS (SELECT item_id AS id, text FROM benchmark), {_SHINGLES} SELECT * FROM grams),
+WITH b AS (WITH rows AS (SELECT item_id AS id, text FROM benchmark), {_SHINGLES} SELECT * FROM grams),
+     short AS (SELECT DISTINCT len(string_split(s, ' ')) AS k FROM b WHERE len(string_split(s, ' ')) < 5),
+     d AS (WITH rows AS (SELECT doc_id AS id, text FROM documents), {_SHINGLES} SELECT * FROM grams
+           UNION SELECT id, array_to_string(w[i:i + k - 1], ' ') FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, short)),
      n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, any_value(n_item) AS n_item, count(*) AS n_common,
        count(*) / any_value(n_item) AS containment

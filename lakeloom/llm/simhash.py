@@ -9,7 +9,11 @@ without words (null included) has fingerprint zero, which links like any other.
 **Links.** Two fingerprints with at most ``bits`` differing bits agree on at
 least ``blocks - bits`` of ``blocks`` blocks. Every set of that many blocks is
 a join key (six blocks and four bits: 15 keys of some 21 bits), so each close
-pair meets under some key, and the Hamming distance is then checked.
+pair meets under some key, and the Hamming distance is then checked. The number
+of blocks follows from the number of distinct fingerprints: the fewest whose keys
+are wide enough for a key to hold two of them on average (``blocks_for``). More
+blocks mean wider and more keys, so candidates stay in proportion to the
+fingerprints at any size; the links found are the same.
 
 **Large groups.** Equal fingerprints are one node. Under each key the members
 are first held against the key's least member only, which is linear and joins
@@ -20,6 +24,7 @@ components, so a group of copies is never expanded into pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -67,6 +72,20 @@ def with_fingerprint(df: DataFrame, text: str, keep: list[Column], n: int) -> Da
     return cols.mapInArrow(run, schema).withColumnRenamed(f"{TMP}fp", "fp")
 
 
+def blocks_for(n: int, bits: int) -> int:
+    """The fewest blocks, from ``bits`` + 2, whose narrowest key has at least
+    log2(n) - 1 bits: 6 up to 2 million fingerprints at a distance of 4,
+    7 to 268 million, 8 to 8.6 billion."""
+    blocks = bits + 2
+    while blocks < 16:
+        edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
+        narrow = sum(sorted(hi - lo for lo, hi in zip(edges, edges[1:]))[:blocks - bits])
+        if narrow >= math.log2(max(n, 2)) - 1:
+            break
+        blocks += 1
+    return blocks
+
+
 def block_keys(fp: Column, bits: int, blocks: int) -> Column:
     """The join keys of a fingerprint: one per set of ``blocks - bits`` blocks."""
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
@@ -83,9 +102,10 @@ def _close(a: str, b: str, bits: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
 
 
-def near_components(fps: DataFrame, bits: int, blocks: int) -> DataFrame:
+def near_components(fps: DataFrame, bits: int, blocks: int | None = None) -> DataFrame:
     """``fps`` (distinct fp) -> (fp, root): the component of every fingerprint,
-    root its least fingerprint."""
+    root its least fingerprint. ``blocks`` follows from their number if not given."""
+    blocks = blocks or blocks_for(fps.count(), bits)
     keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), bits, blocks)).alias("k")) \
         .select("fp", F.col("k.t").alias("t"), F.col("k.v").alias("v"))
     # Linear pass: every member against the least member of its key.
@@ -110,7 +130,7 @@ def near_components(fps: DataFrame, bits: int, blocks: int) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   n: int = 4, bits: int = 4, blocks: int = 6) -> DataFrame:
+                   n: int = 4, bits: int = 4, blocks: int | None = None) -> DataFrame:
     """One row per input row: ``id_col``, ``fp`` (long), ``text_hash``, ``root``
     (least fingerprint of the component, signed) and ``component_id`` (least id
     of the component).
@@ -133,7 +153,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             n: int = 4, bits: int = 4, blocks: int = 6) -> DataFrame:
+             n: int = 4, bits: int = 4, blocks: int | None = None) -> DataFrame:
     """One row of each component stays, the one with the least id (ties: least
     text hash; rows alike in id and text: any one). A component none of whose
     rows has an id keeps its row of least text hash. All columns stay."""

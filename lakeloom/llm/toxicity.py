@@ -85,7 +85,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     d = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, mod) != out))
     d = simhash.with_fingerprint(d, text_col, [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")], 4)
     d = cut(d.join(y, "id").groupBy("h").agg(F.min("id").alias("id"), F.max("y").alias("y"), F.first("fp").alias("fp")))
-    return d.join(simhash.near_components(d.select("fp").distinct(), 4, 6), "fp").select("id", "h", "y", "root")
+    return d.join(simhash.near_components(d.select("fp").distinct(), 4), "fp").select("id", "h", "y", "root")
 
 
 def build_lexicon(rows: DataFrame, n_toxic: int, n_clean: int,

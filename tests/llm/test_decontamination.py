@@ -16,8 +16,10 @@ def shingles(text, n=5):
 
 def brute(rows, items):
     out = set()
+    short = {len(re.findall(r"[^\W_]+", x or "")) for _, x in items} & {1, 2, 3, 4}
     for d, t in rows:
-        have = shingles(t)
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        have = shingles(t) | {" ".join(w[i:i + k]) for k in short for i in range(len(w) - k + 1)}
         for i, x in items:
             s = shingles(x)
             if s and len(s & have) >= 0.8 * len(s):
@@ -65,6 +67,13 @@ def test_decontaminate_keeps_clean_rows(spark):
     assert sorted(key(r.doc_id) for r in kept.collect()) == sorted(key(d) for d, _ in rows if d not in bad)
 
 
+def test_short_items_inside_longer_texts(spark):
+    it = spark.createDataFrame([(1, "red green blue"), (2, "red green"), (3, "a b c d e f")], "item_id long, text string")
+    rows = [(1, "they saw Red, green; blue and more colours"), (2, "green blue red"), (3, "red green"), (4, "red blue"), (5, "a b c d e f")]
+    got = {(r.doc_id, r.item_id, r.n_item, r.n_common) for r in decontamination.leaks(docs(spark, rows), it).collect()}
+    assert got == {(1, 1, 1, 1), (1, 2, 1, 1), (3, 2, 1, 1), (5, 3, 2, 2)}
+
+
 def test_empty(spark):
     it = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.leaks(empty(spark), it).count() == 0

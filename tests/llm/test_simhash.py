@@ -98,3 +98,14 @@ def test_group_without_ids_keeps_one_row(spark):
 def test_empty(spark):
     assert simhash.simhash_groups(empty(spark)).count() == 0
     assert simhash.keep_one(empty(spark)).count() == 0
+
+
+def test_blocks_grow_with_the_fingerprints(spark):
+    for n, want in ((0, 6), (1, 6), (2_000_000, 6), (3_000_000, 7), (200_000_000, 7), (300_000_000, 8), (10 ** 9, 8), (10 ** 10, 9)):
+        assert simhash.blocks_for(n, 4) == want, n
+    rng = random.Random(3)
+    fps = list({rng.getrandbits(63) for _ in range(60)})
+    fps += [f ^ sum(1 << b for b in rng.sample(range(63), rng.randint(1, 6))) for f in fps for _ in range(3)]
+    df = spark.createDataFrame([(f,) for f in set(fps)], "fp long").checkpoint()
+    got = [sorted(map(tuple, simhash.near_components(df, 4, blocks).collect())) for blocks in (None, 6, 7, 8, 9)]
+    assert all(g == got[0] for g in got)
