@@ -151,7 +151,9 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text swaps the last third (rounded down, code points) for as
     many code points from the start of the next document, or all it has. A null
     text counts as empty; a single row is followed by itself. Only the two
-    named columns are read. An empty table gives an empty result.
+    named columns are read. An empty table gives an empty result. Ids are whole
+    numbers, since blocks are ranges of them; text that is no number fails the
+    job. Rows without an id, and rows that share one, are in one block.
     """
     spark = docs.sparkSession
     prepare(spark)

@@ -34,7 +34,7 @@ RISK = {"risk": 0.05, "level": 0.05}
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score."""
+    """doc_id, held_out (null where the id is), lang_pred, score."""
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.select("doc_id", "text", "lang"), mod=3, out=1)
@@ -60,7 +60,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, held_out (null where the id is), score, predicted."""
     prepare(spark)
     got = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mod=4, out=2)
     return got.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), F.col(f"{TMP}score").alias("score"),
@@ -68,7 +68,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted, spans (``start:end``, comma-joined)."""
+    """doc_id, held_out (null where the id is), score, predicted, spans
+    (``start:end``, comma-joined)."""
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), mod=3, out=1)

@@ -156,7 +156,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              n: int = 4, bits: int = 4, blocks: int | None = None) -> DataFrame:
     """One row of each component stays, the one with the least id (ties: least
     text hash; rows alike in id and text: any one). A component none of whose
-    rows has an id keeps its row of least text hash. All columns stay."""
+    rows has an id keeps its row of least text hash. All columns stay. Ids are
+    whole numbers."""
     g = simhash_groups(docs, id_col, text_col, n, bits, blocks)
     pick = g.groupBy("root").agg(F.min(F.struct(
         F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash").alias("h"))).alias("p"))
