@@ -119,6 +119,57 @@ def test_toxicity_counts_near_copies_once(spark):
     assert "=vilex" in model.lexicon and not any("=" + w in model.lexicon for w in base)
 
 
+def plain_features(word):
+    return ["=" + word, *("^" + word[:k] for k in range(3, 9) if len(word) >= k)]
+
+
+def test_toxicity_chains_against_brute_force(spark):
+    """A chain holds exactly the features of equal counts that continue one another."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abé") for _ in range(rng.choice([1, 2, 3, 4, 6, 8, 9, 11]))) for _ in range(150)]
+    rows = [(" ".join(rng.choice(vocab) for _ in range(30)), int(i % 3 == 0), None) for i in range(90)]
+    counts = {}
+    for text, y, _ in rows:
+        for w in set(text.split()):
+            for f in plain_features(w):
+                counts.setdefault(f, [0, 0])[1 - y] += 1
+    passing = {f for f, (t, c) in counts.items() if t >= 2 and np.log((t + 0.5) / 31) - np.log((c + 0.5) / 61) >= -0.5}
+    chains = toxicity.build_lexicon(spark.createDataFrame(rows, "text string, y int, root long"), 30, 60, 2, -0.5, -1.0).collect()
+    lexicon = toxicity.Lexicon((r["first"], r["last"]) for r in chains)
+    assert set(lexicon) == passing and len(lexicon) == len(passing) > len(lexicon.chains)
+    for f in passing:
+        mates = {g for g in passing if counts[g] == counts[f] and g[1:4] == f[1:4] and lexicon[g] == lexicon[f]}
+        want = {g for g in passing if counts[g] == counts[f] and "=" not in min(f, g, key=lambda x: (len(x), x[0] == "="))
+                and (g[1:].startswith(f[1:]) or f[1:].startswith(g[1:]))} | {f}
+        assert mates == want
+    for w in vocab + ["ab", "abé", "abéabéabéabé", "x"]:
+        assert sorted(lexicon.carried(w)) == sorted(lexicon[f] for f in plain_features(w) if f in lexicon)
+
+
+def test_toxicity_lexicon_above_the_bound(spark):
+    """Weights looked up by join give the scores and spans of the broadcast ones."""
+    rows, labels = toxic_corpus()
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    extra = [(9000, None), (9001, ""), (9002, "ab cd VILEX ef nastyism"), (9002, "ab cd VILEX ef nastyism"), (None, "plain nastyish words")]
+    df = docs(spark, rows + extra + [(9003, "vilex " * 50)] * 200, clash=True).withColumn("_salt", F.lit(3)).withColumn("m", F.create_map(F.lit(1), F.lit(2)))
+    small, large = toxicity.fit(df, lab, sample_docs=40), toxicity.fit(df, lab, sample_docs=40, max_lexicon=0)
+    assert small.table is None and large.table is not None and not len(large.lexicon) and len(small.lexicon)
+    weights = {r["first"]: r["weight"] for r in large.table.collect()}
+    assert weights.keys() == small.lexicon.chains.keys()
+    assert all(abs(small.weights[small.lexicon[f]] - v) < 1e-9 for f, v in weights.items())
+    a, b = (toxicity.with_toxicity(df, m) for m in (small, large))
+    assert a.columns == b.columns and a.schema == b.schema
+
+    def plain(r):
+        return r.doc_id or 0, r.text or "", r["_salt"], r["m"], r["__ll_score"], [(s.start, s.end, s.p) for s in r["__ll_spans"]]
+
+    got, want = sorted(map(plain, b.collect()), key=str), sorted(map(plain, a.collect()), key=str)
+    assert len(got) == len(want) == len(rows) + len(extra) + 200
+    for x, y in zip(got, want):
+        assert x[:4] == y[:4] and abs(x[4] - y[4]) < 1e-9 and [s[:2] for s in x[5]] == [s[:2] for s in y[5]]
+    assert toxicity.with_toxicity(empty(spark), large).count() == 0
+
+
 @has_data
 def test_toxicity_held_out(spark):
     got = queries.QUERIES["op5_toxicity"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
