@@ -53,20 +53,11 @@ def list_files(spark: SparkSession, root: str | list[str], glob: str = "*.csv",
                     F.col("length")))
 
 
-def _local_uri(path: str) -> str:
-    # Hadoop prints local files as file:/x; Arrow wants file:///x.
-    if path.startswith("file:/") and not path.startswith("file:///"):
-        return "file:///" + path[len("file:/"):].lstrip("/")
-    if path.startswith("s3a://") or path.startswith("s3n://"):
-        return "s3://" + path.split("://", 1)[1]
-    return path
-
-
 def _first_line(path: str, encoding: str) -> str | None:
     """The whole first line, however long; None for an empty file."""
     from pyarrow import fs as pafs
 
-    filesystem, inner = pafs.FileSystem.from_uri(_local_uri(path))
+    filesystem, inner = pafs.FileSystem.from_uri(fs.python_uri(path))
     parts: list[bytes] = []
     # Compression follows the extension (.gz, .bz2, .zst …), as in Spark's reader.
     with filesystem.open_input_stream(inner, compression="detect") as f:

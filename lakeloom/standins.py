@@ -339,11 +339,19 @@ def stage_text_files(spark: SparkSession, df: DataFrame, root: str, dir_col: str
                      text_col: str) -> None:
     """Write one text file per row at ``<root>/<dir>/<name>`` (small config files).
 
-    The files are written by a partitioned text write and renamed into place.
-    ``dir_col`` may be null for files at the top level.
+    The tasks write the files in place. On a file system without a Python
+    client they are written by a partitioned text write and renamed by the
+    driver. ``dir_col`` may be null for files at the top level; a file without a
+    name gets one.
     """
     from lakeloom.sources import fs
 
+    d, n = F.coalesce(F.col(dir_col), F.lit("")), F.coalesce(F.col(name_col), F.lit(""))
+    if fs.python_reaches(spark, root):
+        path = F.concat(F.when(d != "", F.concat(d, F.lit("/"))).otherwise(F.lit("")), F.when(n != "", n).otherwise(F.lit("part-00000.txt")))
+        files = df.select(path.alias("path"), F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n")).alias("text"))
+        fs.put_files(files.repartition("path").sortWithinPartitions("path"), root)
+        return
     tmp = f"{root.rstrip('/')}/_incoming-{uuid.uuid4().hex[:8]}"
     (df.select(F.coalesce(F.col(dir_col), F.lit("")).alias("_d"), F.col(name_col).alias("_n"),
                F.col(text_col).alias("value"))
