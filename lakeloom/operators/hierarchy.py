@@ -59,21 +59,30 @@ def ancestor_jumps(links: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST
 
 def hierarchy_depths(spark: SparkSession, edges: DataFrame,
                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """J5 in linear size: (node, root, depth) of every node, from the jumps of
-    the internal nodes, longest first; leaves take their parent's root and one
-    step more. For trees: of a node with several parents any way up is taken."""
+    """J5 in linear size: (node, root, depth) of every node. Only the internal
+    nodes walk up, by pointer doubling: after r rounds a node points 2^r steps
+    up, or to its root, so a tree of depth d takes log2(d) joins of a row per
+    internal node. Leaves take their parent's root and one step more. For trees:
+    of a node with several parents any way up is taken. A cycle raises."""
     shared_dir(spark)  # make sure a checkpoint folder is set
-    links, internal, ilinks = _links(edges)
-    at = internal.select(F.col("_inode").alias("node"), F.col("_inode").alias("root"), F.lit(0).alias("depth"))
-    jumps = ancestor_jumps(ilinks.select(F.col("_child").alias("node"), F.col("_up").alias("up")), max_broadcast_rows)
-    for r in range(len(jumps) - 1, -1, -1):
-        j = jumps[r].groupBy(F.col("node").alias("_node")).agg(F.min("up").alias("_next"))
-        at = skew_join(at, j, [("root", "_node")], "left", salt_by=["node"], max_rows=max_broadcast_rows).select(
-            "node", F.coalesce("_next", "root").alias("root"),
-            (F.col("depth") + F.when(F.col("_next").isNotNull(), 1 << r).otherwise(0)).alias("depth")).checkpoint()
-    own = edges.select(F.col("node").cast("string").alias("node")).where(F.col("node").isNotNull()).distinct()
-    up = links.groupBy(F.col("_child").alias("node")).agg(F.min("_up").alias("_up"))
-    leaves = own.join(at.select("node"), "node", "left_anti").join(up, "node", "left")
+    _, internal, ilinks = _links(edges)
+    up = ilinks.groupBy(F.col("_child").alias("_node")).agg(F.min("_up").alias("_up"))
+    top = F.col("_up").isNull()  # a root points to itself, no step away
+    at = internal.join(up, F.col("_inode") == F.col("_node"), "left").select(
+        F.col("_inode").alias("node"), F.coalesce("_up", "_inode").alias("root"),
+        F.when(top, 0).otherwise(1).alias("depth"), top.alias("_end")).checkpoint()
+    n, r = at.count(), 0
+    while not (walk := at.where("NOT _end")).isEmpty():
+        if 1 << r > 2 * n:
+            raise ValueError(f"node {walk.first()['node']!r} has no end of ancestors: the tree has a cycle")
+        ahead = at.select(F.col("node").alias("_node"), F.col("root").alias("_up"), F.col("depth").alias("_more"), F.col("_end").alias("_top"))
+        walk = skew_join(walk, ahead, [("root", "_node")], salt_by=["node"], max_rows=max_broadcast_rows).select(
+            "node", F.col("_up").alias("root"), (F.col("depth") + F.col("_more")).alias("depth"), F.col("_top").alias("_end"))
+        at, r = walk.unionByName(at.where("_end")).checkpoint(), r + 1
+    at = at.drop("_end")
+    own = edges.select(F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("_up"))
+    own = own.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("_up").alias("_up"))
+    leaves = own.join(at.select("node"), "node", "left_anti").checkpoint()
     heads = at.select(F.col("node").alias("_head"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
     leaves = skew_join(leaves, heads, [("_up", "_head")], "left", salt_by=["node"], max_rows=max_broadcast_rows)
     return at.unionByName(leaves.select("node", F.coalesce("_root", "node").alias("root"),
