@@ -120,3 +120,17 @@ def test_depths_and_closure_equal_recursion(spark):
     assert got == {x: (way(x)[-1], len(way(x)) - 1) for x in up}
     closure = sorted(map(tuple, h.hierarchy_closure(spark, edges).collect()))
     assert closure == sorted((x, a, d) for x in up for d, a in enumerate(way(x)))
+
+
+def test_depths_take_one_join_a_round(spark, monkeypatch):
+    """A chain of 300: root and depth of every node, by one join a doubling and
+    one for the leaves."""
+    calls = []
+    real = h.skew_join
+    monkeypatch.setattr(h, "skew_join", lambda *a, **k: calls.append(1) or real(*a, **k))
+    rows = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(300)] + [("leaf", "c299"), ("alone", None), ("late", "gone"), (None, "c1")]
+    got = {r.node: (r.root, r.depth) for r in h.hierarchy_depths(spark, spark.createDataFrame(rows + rows[:5], E)).collect()}
+    want = {f"c{i}": ("c0", i) for i in range(300)} | {"leaf": ("c0", 300), "alone": ("alone", 0), "late": ("gone", 1), "gone": ("gone", 0)}
+    assert got == want and len(calls) <= 12
+    with pytest.raises(ValueError, match="cycle"):
+        h.hierarchy_depths(spark, spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a")], E)).collect()

@@ -184,3 +184,18 @@ def test_rows_of_an_unpartitioned_table_expire(spark, work):
     spark.createDataFrame([(1, "2000-01-01")], "id int, at string").write.option("path", f"{work}/ext").saveAsTable(f"{db}.e")
     with pytest.raises(ValueError, match="no managed table"):
         expire_rows(spark, f"{db}.e", "at")
+
+
+def test_text_files_are_written_by_the_tasks(spark, work, monkeypatch):
+    """No file is renamed by the driver; names and folders may be missing, and
+    rows of one name are one file."""
+    from lakeloom import standins as si
+    from lakeloom.sources import fs
+
+    monkeypatch.setattr(fs, "rename", lambda *a: pytest.fail("renamed by the driver"))
+    rows = [("a", "x_sql.csv", "one"), ("a", "x_sql.csv", "two"), (None, "top #1%.csv", "three"), ("b", "y_sql.csv", None), ("b", None, "four")]
+    si.stage_text_files(spark, spark.createDataFrame(rows, "d string, f string, v string"), f"{work}/t", "d", "f", "v")
+    root = work.replace("file:", "") + "/t"
+    got = {os.path.relpath(os.path.join(p, n), root): open(os.path.join(p, n)).read() for p, _, names in os.walk(root) for n in names}
+    assert sorted(got.pop("a/x_sql.csv").split()) == ["one", "two"]
+    assert got == {"top #1%.csv": "three\n", "b/y_sql.csv": "\n", "b/part-00000.txt": "four\n"}
