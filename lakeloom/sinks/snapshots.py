@@ -9,11 +9,13 @@ a later batch replaces nothing. The new buckets are written under the batch too,
 and one snapshot file, created whole or not at all, names the batch of every
 bucket and makes all of it visible in one step.
 
-Readers resolve keys through the latest snapshot. A crash before the snapshot
+Readers resolve keys through the latest snapshot, and the tasks open just the
+current objects: nothing lists the folders, whose number grows with the keys. A
+crash before the snapshot
 leaves an invisible folder that the batch's replay removes; a batch that is in
 the snapshot already is not applied again. A second writer that publishes the
-same version fails. Since nothing is visible before the snapshot, tasks move
-their own files into place (commit algorithm 2) and the driver renames none.
+same version fails. Since nothing is visible before the snapshot, tasks write
+their objects in place and the driver renames none.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.session import shared_dir
-from lakeloom.sinks.exports import EXPORT_KEYS
+from lakeloom.sinks.exports import EXPORT_KEYS, object_folder
 from lakeloom.sinks.tables import CSV_WRITE_OPTIONS
 from lakeloom.sources import fs
 
@@ -69,6 +71,12 @@ def read_dictionary(spark: SparkSession, root: str) -> DataFrame:
     """(EXPORT_KEYS, column_name, description) of every asset's current object.
     An object without columns gives no row."""
     live = current_objects(spark, root)
+    if fs.python_reaches(spark, root):
+        wanted = live.where("n_columns > 0").select(object_folder(["batch_id", *EXPORT_KEYS]), _object_name(), *EXPORT_KEYS)
+        wanted = wanted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *EXPORT_KEYS)
+        lines = fs.get_files(wanted, root).select(*EXPORT_KEYS, F.explode(F.slice(F.split("text", "\r\n|\r|\n"), 2, 1 << 30)).alias("line"))
+        rows = lines.where("line != ''").select(*EXPORT_KEYS, F.from_csv("line", "column_name STRING, description STRING").alias("r"))
+        return rows.select(*EXPORT_KEYS, "r.*").where("column_name IS NOT NULL")
     schema = "column_name STRING, description STRING, batch_id BIGINT, " + ", ".join(f"{k} STRING" for k in EXPORT_KEYS)
     if not [n for n in fs.list_names(spark, root) if n.startswith("batch_id=")]:
         return spark.createDataFrame([], schema).drop("batch_id")
@@ -107,13 +115,8 @@ def publish_batch(rows: DataFrame, batch_id: int, root: str, buckets: int = 64,
     old = current_objects(spark, root, snap).where(F.col("key_bucket").isin(touched)) \
         .withColumn("is_new", F.lit(0)).withColumn("columns", F.lit(None).cast(new.schema["columns"].dataType))
     merged = _latest(new.unionByName(old)).checkpoint() if snap["buckets"] else new
-    won = merged.where("is_new = 1").select(*EXPORT_KEYS, F.explode_outer("columns").alias("c"))
-    # Objects are many and small: a fixed number of tasks, which adaptive
-    # execution does not merge, each with whole objects.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (won.select(*EXPORT_KEYS, F.col("c.columnIdentifier").alias("column_name"), F.col("c.description").alias("description"))
-     .repartition(tasks, *EXPORT_KEYS).write.partitionBy(*EXPORT_KEYS).options(**CSV_WRITE_OPTIONS)
-     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(f"{root}/batch_id={batch_id}"))
+    won = merged.where("is_new = 1").select(*EXPORT_KEYS, "columns")
+    _write_objects(won, f"{root}/batch_id={batch_id}")
     (merged.select(*EXPORT_KEYS, *ORDER, "n_columns", "batch_id", "key_bucket").repartition("key_bucket")
      .write.partitionBy("key_bucket").parquet(f"{root}/_state/batch={batch_id}"))
     if stop_before_publish:
@@ -125,6 +128,34 @@ def publish_batch(rows: DataFrame, batch_id: int, root: str, buckets: int = 64,
     return current_objects(spark, root, after)
 
 
+def _object_name() -> F.Column:
+    """The name of an asset's object in its folder. Of a null and an empty key,
+    which share a folder, each has its own."""
+    return F.concat(F.lit("part-"), F.lpad(F.lower(F.hex(F.xxhash64(*[F.coalesce(F.concat(F.lit("="), k), F.lit("")) for k in EXPORT_KEYS]))), 16, "0"), F.lit(".csv"))
+
+
+def _write_objects(won: DataFrame, folder: str) -> None:
+    """One CSV (column_name, description) per row of ``won`` (EXPORT_KEYS and
+    columns) under ``folder``; without columns it has one blank line."""
+    spark = won.sparkSession
+    # Objects are many and small: a fixed number of tasks, which adaptive
+    # execution does not merge, each with whole objects.
+    won = won.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *EXPORT_KEYS)
+    if not fs.python_reaches(spark, folder):
+        c = won.select(*EXPORT_KEYS, F.explode_outer("columns").alias("c"))
+        (c.select(*EXPORT_KEYS, F.col("c.columnIdentifier").alias("column_name"), F.col("c.description").alias("description"))
+         .write.partitionBy(*EXPORT_KEYS).options(**CSV_WRITE_OPTIONS)
+         .option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(folder))
+        return
+
+    def line(c: F.Column) -> F.Column:
+        return F.to_csv(F.struct(c["columnIdentifier"].alias("column_name"), c["description"].alias("description")))
+
+    some = F.when(F.size("columns") > 0, F.col("columns")).otherwise(F.array(F.lit(None).cast(won.schema["columns"].dataType.elementType)))
+    text = F.concat(F.lit("column_name,description\n"), F.array_join(F.transform(some, line), "\n"), F.lit("\n"))
+    fs.put_files(won.select(F.concat(object_folder(EXPORT_KEYS), _object_name()).alias("path"), text.alias("text")), folder)
+
+
 def _latest(rows: DataFrame) -> DataFrame:
     """The latest event per key; between equal events the state's own row."""
     rest = [c for c in rows.columns if c not in EXPORT_KEYS]

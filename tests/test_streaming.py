@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from conftest import write_file
 from lakeloom.plans.ingest import ingest
 from lakeloom.sinks.tables import read_lake_table
@@ -232,3 +233,27 @@ def test_notification_key_finds_its_object(spark, work):
     process_asset_batch(batch, 4, f"{work}/dictionary", f"{work}/notify", f"{work}/rejects")
     keys = {r.key for r in spark.read.parquet(f"{work}/notify").collect()}
     assert keys and all(k.startswith("dictionary/batch_id=4/") and fs.list_data_files(spark, f"{work}/{k}") for k in keys)
+
+
+def test_objects_are_written_and_read_without_listing(spark, work, monkeypatch):
+    """The tasks write and open the objects by name: the same rows as by Spark's
+    CSV writer and reader, which serve where Python has no client, and each
+    reads what the other wrote."""
+    from lakeloom.sinks import snapshots as sn
+
+    odd = ['q"uote', "com,ma", " pad ", "back\\slash", "é", "#hash", ""]
+    rows = [("d #1/x", "a%b", "e1", "2024-01-01", odd), (None, "n\x01", "e2", None, odd[:2]), ("d", None, "e3", None, ["only"]),
+            ("d", "none", "e4", None, None), ("d", "empty", "e5", None, [])]
+    tasks, spark_io = f"{work}/tasks", f"{work}/spark"
+    with monkeypatch.context() as m:
+        m.setattr(sn.fs, "python_reaches", lambda *a: False)
+        sn.publish_batch(_events(spark, rows), 0, spark_io)
+        want = _dictionary(spark, spark_io)
+    sn.publish_batch(_events(spark, rows), 0, tasks)
+    with monkeypatch.context() as m:
+        m.setattr(sn.fs, "python_reaches", lambda *a: False)
+        assert _dictionary(spark, tasks) == want and len(want) == 9
+    assert _dictionary(spark, spark_io) == want
+    real = sn.fs.list_names
+    monkeypatch.setattr(sn.fs, "list_names", lambda s, folder: real(s, folder) if folder.endswith("_snapshots") else pytest.fail("folders are listed"))
+    assert _dictionary(spark, tasks) == want
