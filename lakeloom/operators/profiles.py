@@ -34,23 +34,36 @@ PROFILE_SCHEMA = ("ctx STRING, batch_id BIGINT, column STRING, classes MAP<STRIN
                   "max_digits INT, min_scale INT, max_scale INT")
 
 
+def _digits(v: Column, others: Column | int = 0) -> Column:
+    """How many digits a number has that is known to hold, besides them, at
+    most a leading minus and ``others`` more characters."""
+    return F.length(v) - F.when(F.startswith(v, F.lit("-")), 1).otherwise(0) - others
+
+
 def lexical_class(v: Column) -> Column:
-    """The number (in CLASSES) of a text value's class; null for null."""
-    digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
-    as_double = v.try_cast("double").cast("string") == v
-    whole = F.when(digits <= 15, F.lit(SHORT_WHOLE)).when(v.try_cast("bigint").isNotNull(), F.lit(LONG_WHOLE)) \
-        .when(digits <= 38, F.lit(WIDE_WHOLE)).otherwise(F.lit(TEXT))
-    point = F.when(as_double, F.lit(REAL)).when((digits <= 38) & ~v.rlike(r"^-0\.0+$"), F.lit(FIXED)).otherwise(F.lit(TEXT))
-    numeric = (F.when(v.rlike(r"^(0|-?[1-9][0-9]*)$"), whole)
-               .when(v.rlike(r"^-?(0|[1-9][0-9]*)\.[0-9]+$"), point)
-               .when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.when(v.try_cast("date").cast("string") == v, F.lit(DAY)).otherwise(F.lit(TEXT)))
-               .when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"),
-                     F.when(v.try_cast("timestamp_ntz").cast("string") == v, F.lit(TIME)).otherwise(F.lit(TEXT)))
-               .when(as_double, F.lit(FLOATING)).otherwise(F.lit(TEXT)))
-    first = F.substring(v, 1, 1)
-    name = (F.when(v.isNull(), F.lit(None)).when(first.between("0", "9") | (first == "-"), numeric)
-            .when(v.isin("true", "false"), F.lit(BOOL)).when(v.isin("NaN", "Infinity"), F.lit(FLOATING)).otherwise(F.lit(TEXT)))
-    return F.array_position(F.array(*[F.lit(c) for c in CLASSES]), name).cast("int")
+    """The number (in CLASSES) of a text value's class; null for null.
+
+    This runs for every value of a table, so the shape is told by its first
+    character, length and point, and each test is made only where it can hold:
+    a parser that fails by an exception sees no value that is no number.
+    """
+    cls = {c: F.lit(i) for i, c in enumerate(CLASSES, 1)}
+
+    def spelled(kind: str) -> Column:
+        return v.try_cast(kind).cast("string") == v
+
+    size, digit = F.length(v), F.substring(v, 1, 1).between("0", "9")
+    point = F.when(spelled("double"), cls[REAL]).when((_digits(v, 1) <= 38) & ~v.rlike(r"^-0\.0+\z"), cls[FIXED]).otherwise(cls[TEXT])
+    whole = F.when(_digits(v) <= 15, cls[SHORT_WHOLE]).when(v.try_cast("bigint").isNotNull(), cls[LONG_WHOLE]) \
+        .when(_digits(v) <= 38, cls[WIDE_WHOLE]).otherwise(cls[TEXT])
+    time = size.between(19, 26) & v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?\z") & spelled("timestamp_ntz")
+    with_point = (F.when(v.rlike(r"^-?(0|[1-9][0-9]*)\.[0-9]+\z"), point).when(time, cls[TIME])
+                  .when(v.rlike(r"^-?[0-9]+\.[0-9]+E-?[0-9]+\z"), F.when(spelled("double"), cls[FLOATING]).otherwise(cls[TEXT]))
+                  .otherwise(cls[TEXT]))
+    without = (F.when(v.rlike(r"^(0|-?[1-9][0-9]*)\z"), whole).when(digit & (size == 10) & spelled("date"), cls[DAY]).when(time, cls[TIME])
+               .when(v == "-Infinity", cls[FLOATING]).otherwise(cls[TEXT]))
+    return (F.when(v.isNull(), F.lit(None)).when(digit | F.startswith(v, F.lit("-")), F.when(F.contains(v, F.lit(".")), with_point).otherwise(without))
+            .when(v.isin("true", "false"), cls[BOOL]).when(v.isin("NaN", "Infinity"), cls[FLOATING]).otherwise(cls[TEXT])).cast("int")
 
 
 def profiled(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, list[Column]]:
@@ -60,11 +73,11 @@ def profiled(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, list[Colum
     for i, c in enumerate(columns):
         v = F.col(f"`{c}`")
         extra[f"_pf_class_{i}"] = lexical_class(v)
-        extra[f"_pf_scale_{i}"] = F.when(v.rlike(r"^-?[0-9]+\.[0-9]+$"), F.length(F.substring_index(v, ".", -1)))
+        extra[f"_pf_scale_{i}"] = F.when(F.contains(v, F.lit(".")) & v.rlike(r"^-?[0-9]+\.[0-9]+\z"), F.length(F.substring_index(v, ".", -1)))
         k, scale = F.col(f"_pf_class_{i}"), F.col(f"_pf_scale_{i}")
         metrics += [F.count_if(k == j).alias(f"{i}_{j}") for j in range(1, len(CLASSES) + 1)]
         metrics += [F.max(F.length(v)).alias(f"{i}_length"), F.min(scale).alias(f"{i}_low"), F.max(scale).alias(f"{i}_high"),
-                    F.max(F.when(k <= 5, F.length(F.regexp_replace(v, "[^0-9]", "")))).alias(f"{i}_digits")]
+                    F.max(F.when(k <= 5, _digits(v, F.when(k >= 4, 1).otherwise(0)))).alias(f"{i}_digits")]
     return rows.withColumns(extra) if extra else rows, metrics
 
 

@@ -89,3 +89,25 @@ def test_register_without_profiles_joins_types(spark, work):
     two = ingest(*args, run_ts="2024-01-02")
     register_table(spark, db, "t", f"{work}/lake", two.columns, batches=two.batches)
     assert sorted((str(r.id), r.v) for r in spark.table(f"{db}.t").collect()) == [("1", "2024-01-01"), ("99999999999999999999", "soon")]
+
+
+def test_classes_cost_no_exceptions_and_stay_the_same(spark):
+    """Values that look like numbers or times but are none: their class, and no
+    parser is asked for one it would refuse with an exception (the plan guards
+    every cast by a pattern or a length)."""
+    from pyspark.sql import functions as F
+
+    from lakeloom.operators.profiles import CLASSES, lexical_class, profiled
+
+    want = {"5-LOW": "text", "1998-02-06T00:00:00.000000": "text", "007": "text", "-0": "text", "-7": CLASSES[0], "9" * 16: CLASSES[1],
+            "9223372036854775808": CLASSES[2], "9" * 39: "text", "1.5": CLASSES[3], "1.50": CLASSES[4], "-0.00": "text", "1.0E10": CLASSES[5],
+            "-Infinity": CLASSES[5], "2024-02-29": "date", "2024-02-30": "text", "2024-01-01 00:00:00.5": "timestamp", "2024-01-01 00:00:00.50": "text",
+            "true": "true or false", "1\n": "text", "": "text"}
+    df = spark.createDataFrame([(v,) for v in want], "v string")
+    got = {r.v: CLASSES[r.k - 1] for r in df.select("v", lexical_class(F.col("v")).alias("k")).collect()}
+    assert got == want
+    rows, metrics = profiled(df.where("v in ('-7', '1.50', '007.5', '1.5')"), ["v"])
+    r = rows.agg(*metrics).first()
+    assert (r["0_digits"], r["0_low"], r["0_high"], r["0_length"]) == (3, 1, 2, 4)
+    seen = lexical_class(F.col("v"))._jc.toString() if hasattr(lexical_class(F.col("v")), "_jc") else ""
+    assert "regexp_replace" not in seen.lower()
