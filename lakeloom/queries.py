@@ -406,7 +406,9 @@ def sql_asset_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         _t(spark, sf_dir, name).createOrReplaceTempView(name)
     _stage_sql_asset(spark, f"{work}/asset", "sales_pub_db", "customer", SALES_QUERY)
     database, table, query = sql_asset(spark, f"{work}/asset")
-    _, view = run_sql_asset(spark, database, table, query, location=f"{work}/warehouse")
+    name, view = run_sql_asset(spark, database, table, query, location=f"{work}/warehouse")
+    for left in ("customer", "nation", "region", name):  # the result is planned; the session keeps no views of it
+        spark.catalog.dropTempView(left)
     return view
 
 

@@ -5,6 +5,7 @@ import sys
 import tempfile
 
 import pytest
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -19,6 +20,17 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(autouse=True)
+def no_views_left():
+    """Temp views of one test are not seen by the next: catalogs list them with
+    every database's tables."""
+    yield
+    s = SparkSession.getActiveSession()
+    for t in s.catalog.listTables() if s else []:
+        if t.isTemporary:
+            s.catalog.dropTempView(t.name)
+
+
 @pytest.fixture
 def work(spark, request):
     """A fresh folder under the shared folder for one test."""
