@@ -94,3 +94,17 @@ def test_query_shows_what_is_left(spark, tmp_path):
         kept += raw[i][at:]
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest() and r.text == kept.decode(errors="replace")
     assert got[1].n_removed > 400 and got[2].n_removed == got[1].n_removed and got[3].text == "unlike" and got[4].text == ""
+
+
+def test_query_flags_long_repeats_only(spark, tmp_path):
+    """A passage of over 50 words is removed, and the row flagged, if it has 400
+    bytes; 60 short words are fewer and stay, by the contract."""
+    long = " ".join(f"passage{i}" for i in range(60))
+    short = " ".join(f"w{i}" for i in range(60))
+    assert len(short) < 400 < len(long)
+    rows = [(1, f"one {long} end"), (2, f"another {long}"), (3, f"third {short} x"), (4, f"fourth {short}"), (5, "clean " * 3), (6, None), (6, long)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op8_suffix_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.repeated, r.n_bytes) for r in got) == sorted(
+        (i, int(long in (t or "")), len(t or "")) for i, t in rows)
+    assert all(r.repeated == (r.n_removed > 0) for r in got)
